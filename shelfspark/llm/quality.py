@@ -21,7 +21,7 @@ BUCKETS = 1 << 14
 #: Added to each bucket's count, as a share of the mean count of a bucket.
 SMOOTHING = 0.1
 #: Lowest mean log-likelihood ratio that is kept.
-THRESHOLD = -0.5
+THRESHOLD = -0.2
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sst
+from . import jaccard, quality, sst
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.sorted_token_table(table(spark, sf_dir, "documents"))
 
 
+def op2_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = quality.trusted_rows(docs, table(spark, sf_dir, "labels"))
@@ -19,4 +23,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (op1_sst_shards, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sst_shards, op2_bayes_jaccard, op10_quality_rules)}
