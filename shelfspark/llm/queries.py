@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, quality, sst
+from . import decontam, jaccard, quality, sst
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = quality.trusted_rows(docs, table(spark, sf_dir, "labels"))
@@ -23,4 +27,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (op1_sst_shards, op2_bayes_jaccard, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sst_shards, op2_bayes_jaccard, op4_positional_index, op10_quality_rules)}
