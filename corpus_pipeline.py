@@ -1,15 +1,81 @@
-"""The corpus pipeline: quality rules, near-duplicate join, decontamination, mixing, token-ID output."""
+"""The corpus pipeline: quality rules, near-duplicate join, decontamination, mixing, token-ID output.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; stages but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfspark.llm import decontam, jaccard, mixing, quality, sst
+from shelfspark.llm.common import materialize, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _without(docs: DataFrame, bad: DataFrame, text_key: str) -> DataFrame:
+    """docs without the rows whose identifier and text hash are in bad."""
+    bad = materialize(bad.select(F.col("doc_id").alias("_k"), F.col(text_key).alias("_h")).distinct(), "rejected")
+    same = (decontam.text_key(F.col("doc_id"), F.col("text")) == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_k"))
+    return docs.select(COLUMNS).join(bad, same, "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the base rules or the likelihood ratio reject."""
+    marked = quality.trusted_rows(docs, table(spark, sf_dir, "labels"))
+    model = quality.fit(marked, marked["_good"])
+    keyed = docs.select("doc_id", "text", decontam.text_key(F.col("doc_id"), F.col("text")).alias("_t"))
+    verdicts = quality.judge_rows(keyed, model, ["doc_id", "_t"])
+    return _without(docs, verdicts.where("not kept"), "_t")
+
+
+def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least identifier of each near-duplicate class; of rows that repeat it, one.
+
+    Documents without an identifier are kept if their class has no other.
+    """
+    classes = materialize(jaccard.near_duplicates(docs), "classes")
+    leads = classes.where("doc_id = class_id or class_id is null").select(F.col("doc_id").alias("_k")).distinct()
+    kept = docs.select(COLUMNS).join(leads, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold benchmark windows over the contract's share of their words."""
+    found = materialize(decontam.contamination(docs, table(spark, sf_dir, "benchmark")), "contamination")
+    return _without(docs, found.where("contaminated"), "text_key")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat, sample or leave out documents so that sources reach their targets."""
+    sized = mixing.weighed(mixing.with_sizes(docs.select(COLUMNS)), table(spark, sf_dir, "labels"))
+    return mixing.repeated(mixing.mix(sized, F.col("_quality")), COLUMNS)
+
+
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the mix as sorted-string-table shards and read them back."""
+    return sst.sorted_token_table(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicate_join),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", source_mix),
+    ("token-ID output", token_shards),
+]
 
-STAGES: list = []
+#: SQL cannot express hashed likelihood ratios or a tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; each result is written and read again as the next one's input."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{k}")
     return docs

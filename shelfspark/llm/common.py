@@ -71,7 +71,7 @@ def publish(uri: str, write) -> None:
     store, path = filesystem(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         write(out)
     store.move(part, path)
 

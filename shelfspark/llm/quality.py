@@ -110,12 +110,19 @@ def score(docs: DataFrame, model: DataFrame, columns: list[str], words: str = "w
     return out.drop("_row")
 
 
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def judge_rows(docs: DataFrame, model: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """columns of docs, base columns, score and kept of every row."""
+    out = score(base_columns(docs, text), model, [*columns, *BASE])
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= THRESHOLD))
+
+
 def judge(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, base columns, score and kept of every row of docs."""
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = base_columns(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")))
-    out = score(rows, model, ["_key", *base])
-    return out.select(F.col("_key").alias(key), *base, "score", (~F.col("base_failed") & (F.col("score") >= THRESHOLD)).alias("kept"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return judge_rows(rows, model, ["_key"], "_text").withColumnRenamed("_key", key).select(key, *BASE, "score", "kept")
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:

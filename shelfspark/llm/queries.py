@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, quality, sst
-from .common import table
+from . import decontam, jaccard, licenses, mixing, quality, sharding, sst, token_counts, urls, warc
+from .common import materialize, table
 
 
 def op1_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +16,36 @@ def op2_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op5_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).drop("score")
+
+
+def op7_epoch_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "source", "size")
+    slim = materialize(mixing.weighed(docs, table(spark, sf_dir, "labels")), "sizes")
+    return mixing.mix(slim, slim["_quality"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_permutation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = quality.trusted_rows(docs, table(spark, sf_dir, "labels"))
@@ -27,4 +53,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (op1_sst_shards, op2_bayes_jaccard, op4_positional_index, op10_quality_rules)}
+_ALL = (
+    op1_sst_shards,
+    op2_bayes_jaccard,
+    op3_chunked_warc,
+    op4_positional_index,
+    op5_license_compression,
+    op6_url_model,
+    op7_epoch_mix,
+    op8_section_tokens,
+    op9_permutation_shards,
+    op10_quality_rules,
+)
+QUERIES = {f.__name__: f for f in _ALL}
