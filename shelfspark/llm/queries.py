@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, jaccard, licenses, mixing, quality, sharding, sst, token_counts, urls, warc
 from .common import materialize, table
+from .sql import ORACLE_SQL  # noqa: F401  part of this module's tables
 
 
 def op1_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(marked, marked["_good"]))
 
 
-ORACLE_SQL: dict[str, str] = {}
+
 _ALL = (
     op1_sst_shards,
     op2_bayes_jaccard,
