@@ -170,9 +170,11 @@ class ShardReader:
         return found
 
 
-# A blank between two non-blanks always starts a pre-token, so texts may be cut there without changing ids.
+# A blank between two non-blanks always starts a pre-token, and a run of letters always ends one before an ASCII character
+# that is none, so texts may be cut there without changing ids.
 _BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # white space of the pre-tokenizer's pattern
-_PIECES = re.compile(f" ?[^{_BLANKS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_PIECES = re.compile(f" ?[{_LETTERS}]+(?=[\x00-@\\[-`{{-\x7f]|$)| ?[^{_BLANKS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
 
 
 class Encoder:
@@ -182,11 +184,13 @@ class Encoder:
     the library once. Texts with a special token's string, and vocabularies of other kinds, go through the library whole.
     """
 
-    LIMIT = 300_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str) -> None:
         import os
 
+        import numpy as np
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -195,26 +199,40 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         kind = str(self.library.pre_tokenizer)
         self.by_piece = kind.startswith("ByteLevel") and "add_prefix_space=False" in kind and self.library.normalizer is None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.opens = np.zeros(self.library.get_vocab_size(), bool)  # tokens that begin with a blank
+        self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.known: dict[str, bytes] = {}  # ids of a piece as little-endian 32-bit integers
+
+    def _learn(self, new: list[str]) -> None:
+        import numpy as np
+
+        # pieces with a leading blank may be encoded in a row: each begins at a token that begins with a blank
+        rows = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        alone = [p for p in new if p[0] != " " or len(p) == 1 or p[1].isspace()]
+        for i in range(0, len(rows), 2_000):
+            part = rows[i : i + 2_000]
+            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            at = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
+            raw = ids.tobytes()
+            self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, at[:-1], at[1:], strict=True))
+        for i in range(0, len(alone), 10_000):
+            part = alone[i : i + 10_000]
+            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True))
 
     def encode(self, texts: list[str | None]) -> list:
         """A NumPy array of ids for each text; null is empty."""
-        import itertools
-
         import numpy as np
 
         texts = [t or "" for t in texts]
         pieces = [_PIECES.findall(t) if self.by_piece and not any(s in t for s in self.special) else None for t in texts]
-        known = self.known
-        new = [p for p in {p for ps in pieces if ps for p in ps} if p not in known]
-        if len(known) + len(new) > self.LIMIT:
-            known.clear()
-            new = list({p for ps in pieces if ps for p in ps})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            known.update(zip(part, (tuple(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        of = known.__getitem__
-        return [np.fromiter(itertools.chain.from_iterable(map(of, ps)), "<u4") if ps is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") for t, ps in zip(texts, pieces, strict=True)]
+        every = set().union(*(ps for ps in pieces if ps))
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > self.LIMIT:
+            self.known.clear()
+            new = every
+        self._learn(list(new))
+        of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(of, ps)), "<u4") if ps is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") for t, ps in zip(texts, pieces, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
