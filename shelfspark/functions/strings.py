@@ -35,3 +35,8 @@ def contains_like(s: Column, needle: str, ascii_only: bool = False) -> Column:
     if ascii_only:
         return ascii_lower(s).like(pattern.translate(str.maketrans(_UPPER, _LOWER)))
     return s.ilike(pattern)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
