@@ -31,18 +31,14 @@ def _out(df: DataFrame, value) -> DataFrame:
     return grid.pixels(df.select("img_id", "w", "h", value.alias("v")))
 
 
-_W, _H, _VV = F.col("w"), F.col("h"), F.col("v")
-_C = (F.col("r"), F.col("g"), F.col("b"))
-
-
 @query(f"{_RGB} SELECT img_id, x::INT AS x, y::INT AS y, ((r * 30 + g * 59 + b * 11) // 100)::INT AS v FROM rgb")
 def luma(spark, sf_dir):
-    return _out(coloured(spark, sf_dir), grid.gray(*_C))
+    return _out(coloured(spark, sf_dir), grid.gray(*map(F.col, "rgb")))
 
 
 @query(f"{_PX} SELECT img_id, x::INT AS x, y::INT AS y, 255 - v AS v FROM px")
 def inverted(spark, sf_dir):
-    return _out(images(spark, sf_dir), grid.invert(_VV))
+    return _out(images(spark, sf_dir), grid.invert(F.col("v")))
 
 
 _STRETCH = "SELECT img_id, x::INT AS x, y::INT AS y, ((v - min(v) OVER p) * 255 // greatest(1, max(v) OVER p - min(v) OVER p))::INT AS v FROM {} WINDOW p AS (PARTITION BY img_id)"
@@ -50,22 +46,22 @@ _STRETCH = "SELECT img_id, x::INT AS x, y::INT AS y, ((v - min(v) OVER p) * 255
 
 @query(f"{_PX} {_STRETCH.format('px')}")
 def stretch(spark, sf_dir):
-    return _out(images(spark, sf_dir), grid.stretch(_VV))
+    return _out(images(spark, sf_dir), grid.stretch(F.col("v")))
 
 
 @query(f"{_RGB} {_STRETCH.format('(SELECT img_id, x, y, least(r, g, b) AS v FROM rgb)')}")
 def min_channel(spark, sf_dir):
-    return _out(coloured(spark, sf_dir), grid.min_channel(*_C))
+    return _out(coloured(spark, sf_dir), grid.min_channel(*map(F.col, "rgb")))
 
 
 @query(f"{_RGB} {_STRETCH.format('(SELECT img_id, x, y, 255 - (greatest(r, g, b) - least(r, g, b)) AS v FROM rgb)')}")
 def chroma_as_dark(spark, sf_dir):
-    return _out(coloured(spark, sf_dir), grid.chroma_as_dark(*_C))
+    return _out(coloured(spark, sf_dir), grid.chroma_as_dark(*map(F.col, "rgb")))
 
 
 @query(f"{_RGB} {_STRETCH.format('(SELECT img_id, x, y, 255 - greatest(r, g, b) AS v FROM rgb)')}")
 def inverted_max(spark, sf_dir):
-    return _out(coloured(spark, sf_dir), grid.inverted_max(*_C))
+    return _out(coloured(spark, sf_dir), grid.inverted_max(*map(F.col, "rgb")))
 
 
 def _pct(f: float) -> str:
@@ -74,7 +70,7 @@ def _pct(f: float) -> str:
 
 @query(f"{_PX} SELECT img_id, {_pct(0.02)} AS p2, {_pct(0.5)} AS p50, {_pct(0.98)} AS p98 FROM px GROUP BY img_id")
 def percentile(spark, sf_dir):
-    return images(spark, sf_dir).select("img_id", *[grid.percentile(_VV, p / 100).alias(f"p{p}") for p in (2, 50, 98)])
+    return images(spark, sf_dir).select("img_id", *[grid.percentile(F.col("v"), p / 100).alias(f"p{p}") for p in (2, 50, 98)])
 
 
 # images of 8 x 8 have no inset and a step of 1, so every pixel counts
@@ -84,20 +80,20 @@ _LUMA = "(SELECT *, (r * 30 + g * 59 + b * 11) // 100 AS l FROM rgb)"
 
 @query(f"{_PX} {_DARK.format('px')}")
 def mostly_dark(spark, sf_dir):
-    return images(spark, sf_dir).select("img_id", grid.mostly_dark(_VV, _W, _H).alias("dark"))
+    return images(spark, sf_dir).select("img_id", grid.mostly_dark(F.col("v"), F.col("w"), F.col("h")).alias("dark"))
 
 
 @query(f"""{_RGB}, d AS ({_DARK.format("(SELECT img_id, (r * 30 + g * 59 + b * 11) // 100 AS v FROM rgb)")}), e AS (SELECT img_id, x, y, CASE WHEN dark THEN 255 - greatest(r, g, b) ELSE l END AS v FROM {_LUMA} JOIN d USING (img_id)),
 q AS (SELECT img_id, {_pct(0.02)} AS lo, {_pct(0.98)} AS hi, min(v) AS mn, max(v) AS mx FROM e GROUP BY img_id), k AS (SELECT img_id, CASE WHEN hi - lo < 24 THEN mn ELSE lo END AS lo, CASE WHEN hi - lo < 24 THEN mx ELSE hi END AS hi FROM q)
 SELECT img_id, x::INT AS x, y::INT AS y, trunc((v - lo) * 255 / greatest(1, hi - lo))::INT AS v FROM e JOIN k USING (img_id)""")
 def enhanced(spark, sf_dir):
-    return _out(coloured(spark, sf_dir), grid.enhance(*_C, _W, _H))
+    return _out(coloured(spark, sf_dir), grid.enhance(*map(F.col, "rgb"), F.col("w"), F.col("h")))
 
 
 @query(f"""{_RGB}, d AS ({_DARK.format("(SELECT img_id, (r * 30 + g * 59 + b * 11) // 100 AS v FROM rgb)")}), s AS (SELECT img_id, x, y, 255 - greatest(r, g, b) AS v FROM rgb), t AS ({_STRETCH.format("s")})
 SELECT img_id, l.x::INT AS x, l.y::INT AS y, (CASE WHEN dark THEN t.v ELSE l.l END)::INT AS v FROM {_LUMA} l JOIN d USING (img_id) JOIN t ON t.img_id = l.img_id AND t.x = l.x AND t.y = l.y""".replace("SELECT img_id, l.x", "SELECT l.img_id, l.x"))
 def dark_on_light(spark, sf_dir):
-    return _out(coloured(spark, sf_dir), grid.dark_on_light(*_C, _W, _H))
+    return _out(coloured(spark, sf_dir), grid.dark_on_light(*map(F.col, "rgb"), F.col("w"), F.col("h")))
 
 
 _INK = "CASE WHEN img_id % 2 = 0 THEN ((r * 30 + g * 59 + b * 11) // 100 >= 155 OR (greatest(r, g, b) >= 165 AND greatest(r, g, b) - least(r, g, b) >= 28)) ELSE (r * 30 + g * 59 + b * 11) // 100 <= 92 END::INT"
@@ -105,8 +101,8 @@ _INK = "CASE WHEN img_id % 2 = 0 THEN ((r * 30 + g * 59 + b * 11) // 100 >= 155
 
 @query(f"""{_RGB}, p AS (SELECT img_id, y, sum({_INK})::INT AS ink FROM rgb GROUP BY img_id, y) SELECT img_id, y::INT AS y, ink, (sum(ink) OVER n // count(*) OVER n)::INT AS smooth FROM p WINDOW n AS (PARTITION BY img_id ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
 def projection(spark, sf_dir):
-    ink = grid._zip(*_C, lambda r, g, b: grid.is_ink(r, g, b, F.col("img_id") % 2 == 0).cast("int"))
-    rows = coloured(spark, sf_dir).select("img_id", grid.row_projection(ink, _W, _H).alias("p"))
+    ink = grid._zip(*map(F.col, "rgb"), lambda r, g, b: grid.is_ink(r, g, b, F.col("img_id") % 2 == 0).cast("int"))
+    rows = coloured(spark, sf_dir).select("img_id", grid.row_projection(ink, F.col("w"), F.col("h")).alias("p"))
     return rows.select("img_id", F.posexplode(F.arrays_zip(F.col("p").alias("ink"), grid.smooth3(F.col("p")).alias("smooth"))).alias("y", "s")).select("img_id", "y", "s.ink", "s.smooth")
 
 
@@ -122,7 +118,7 @@ _BLUR = _blur()
 
 @query(f"{_BLUR} SELECT img_id, x::INT AS x, y::INT AS y, v FROM bl")
 def blur(spark, sf_dir):
-    return _out(images(spark, sf_dir), grid.blur(_VV, _W, _H))
+    return _out(images(spark, sf_dir), grid.blur(F.col("v"), F.col("w"), F.col("h")))
 
 
 def _around(s: str, v: str = "v") -> str:
@@ -144,7 +140,7 @@ so AS (SELECT *, CASE WHEN a < 22.5 OR a >= 157.5 THEN 0 WHEN a < 67.5 THEN 1 WH
 
 
 def _sobel(spark, sf_dir) -> DataFrame:
-    return images(spark, sf_dir).select("img_id", "w", "h", grid.sobel(_VV, _W, _H).alias("g"))
+    return images(spark, sf_dir).select("img_id", "w", "h", grid.sobel(F.col("v"), F.col("w"), F.col("h")).alias("g"))
 
 
 @query(f"{_SOBEL} SELECT img_id, x::INT AS x, y::INT AS y, round(mag, 6) AS mag, dir FROM so")
@@ -158,7 +154,7 @@ _NMS = f"""{_SOBEL}, nm AS (SELECT *, {_IN} AND mag > 0 AND mag >= CASE dir WHEN
 
 @query(f"{_NMS} SELECT img_id, x::INT AS x, y::INT AS y, coalesce(keep, FALSE) AS v FROM nm")
 def nms(spark, sf_dir):
-    return _out(_sobel(spark, sf_dir), grid.thin(F.col("g"), _W, _H))
+    return _out(_sobel(spark, sf_dir), grid.thin(F.col("g"), F.col("w"), F.col("h")))
 
 
 _CLASSES = f"{_NMS}, cl AS (SELECT img_id, x, y, w, h, mag, CASE WHEN NOT coalesce(keep, FALSE) THEN 0 WHEN mag >= hi THEN 2 WHEN mag >= 0.4 * hi THEN 1 ELSE 0 END AS c FROM (SELECT *, greatest(28, 0.18 * max(mag) OVER (PARTITION BY img_id)) AS hi FROM nm))"
@@ -169,13 +165,13 @@ SELECT img_id, x::INT AS x, y::INT AS y FROM gr""")
 def hysteresis(spark, sf_dir):
     from ..operators.contours import with_edges
 
-    rows = _sobel(spark, sf_dir).withColumn("classes", grid.edge_classes(F.col("g"), _W, _H))
+    rows = _sobel(spark, sf_dir).withColumn("classes", grid.edge_classes(F.col("g"), F.col("w"), F.col("h")))
     return grid.pixels(with_edges(rows), value="edges").where("edges").drop("edges")
 
 
 @query(f"{_PX} SELECT img_id, x::INT AS x, y::INT AS y, {_IN} AND coalesce(n00, FALSE) OR {_IN} AND (n10 OR n20 OR n01 OR n11 OR n21 OR n02 OR n12 OR n22) AS v FROM ({_around('(SELECT *, v > 180 AS b FROM px)', 'b')})")
 def dilated(spark, sf_dir):
-    return _out(images(spark, sf_dir), grid.dilate(F.transform(_VV, lambda v: v > 180), _W, _H))
+    return _out(images(spark, sf_dir), grid.dilate(F.transform(F.col("v"), lambda v: v > 180), F.col("w"), F.col("h")))
 
 
 @query(f"{_CLASSES} SELECT img_id, t::INT AS theta, floor(x * cos(radians(t)) + y * sin(radians(t)) + 0.5)::INT AS rho, count(*)::INT AS votes FROM cl, range(180) r(t) WHERE c = 2 AND mag >= 20 AND {_IN} GROUP BY ALL")
@@ -185,7 +181,7 @@ def hough_votes(spark, sf_dir):
 
 def _edges(spark, sf_dir) -> DataFrame:
     rows = _sobel(spark, sf_dir)
-    both = F.arrays_zip(F.col("g").alias("g"), grid.edge_classes(F.col("g"), _W, _H).alias("c"))
+    both = F.arrays_zip(F.col("g").alias("g"), grid.edge_classes(F.col("g"), F.col("w"), F.col("h")).alias("c"))
     px = rows.select("img_id", "w", "h", F.posexplode(both).alias("i", "p")).where("p.c = 2")
     return px.select("img_id", "w", "h", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.col("p.g.mag").alias("mag"))
 
@@ -212,7 +208,7 @@ def side_energy(spark, sf_dir):
 @query()
 def side_scan(spark, sf_dir):
     g = _sobel(spark, sf_dir).select("img_id", "w", "h", F.transform("g", lambda x: x["mag"]).alias("m"))
-    return g.select("img_id", grid.side_scan(F.col("m"), _W, _H).alias("quad"))
+    return g.select("img_id", grid.side_scan(F.col("m"), F.col("w"), F.col("h")).alias("quad"))
 
 
 #: Quads made of suppliers' numbers in an image of 100 x 80.
@@ -272,9 +268,9 @@ _SCALE = f"CASE WHEN greatest(w, h) * CASE WHEN least(w, h) < 560 THEN 560 / lea
     FROM (SELECT *, ({_SCALE})::DOUBLE AS s FROM (SELECT p_partkey, ({_SZ})::INT AS w, ({_SZ2})::INT AS h FROM part))""")
 def image_sizes(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(f"cast({_SZ} as int)").alias("w"), F.expr(f"cast({_SZ2} as int)").alias("h"))
-    fit = grid.fit_size(_W, _H)
-    view = quads.fit_to_view(_W, _H, F.lit(1080.0), F.lit(1920.0))
-    return rows.select("p_partkey", fit["w"].alias("fit_w"), fit["h"].alias("fit_h"), grid.sample_size(_W, _H, 512).alias("sample"), F.round(view["scale"], 6).alias("scale"), grid.number_band(_W, _H, F.lit(4000), F.lit(3000)).alias("number_band"))
+    fit = grid.fit_size(F.col("w"), F.col("h"))
+    view = quads.fit_to_view(F.col("w"), F.col("h"), F.lit(1080.0), F.lit(1920.0))
+    return rows.select("p_partkey", fit["w"].alias("fit_w"), fit["h"].alias("fit_h"), grid.sample_size(F.col("w"), F.col("h"), 512).alias("sample"), F.round(view["scale"], 6).alias("scale"), grid.number_band(F.col("w"), F.col("h"), F.lit(4000), F.lit(3000)).alias("number_band"))
 
 
 @query()

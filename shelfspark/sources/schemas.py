@@ -18,8 +18,9 @@ DETAIL_TYPES = {
 }
 BASE_TYPES = {"id": "bigint", "title": "string", "author_id": "bigint", "publisher_id": "bigint", "isbn": "string", "page_count": "int", "cover_image_uri": "string"}
 BOOK_TYPES = BASE_TYPES | DETAIL_TYPES
-BOOKS = T.StructType.fromDDL(", ".join(f"{n} {t}" + (" NOT NULL" if n in ("id", "title") else "") for n, t in BOOK_TYPES.items()))
-BOOKS_V1 = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in BASE_TYPES.items()))
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "float": T.FloatType()}
+BOOKS = T.StructType([T.StructField(n, _KINDS[t], n not in ("id", "title")) for n, t in BOOK_TYPES.items()])
+BOOKS_V1 = T.StructType([T.StructField(n, _KINDS[t]) for n, t in BASE_TYPES.items()])
 
 #: One document of the metadata service: a map with one entry for each requested identifier.
 NAMED = "ARRAY<STRUCT<name: STRING>>"
