@@ -22,6 +22,8 @@ BUCKETS = 1 << 14
 SMOOTHING = 0.1
 #: Lowest mean log-likelihood ratio that is kept.
 THRESHOLD = -0.2
+#: Most labelled documents that the trusted target is counted on; the raw corpus is always counted whole.
+TRUSTED = 20_000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -76,17 +78,17 @@ def _grams(words: Column) -> Column:
     return F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b"))
 
 
-def _buckets(gram: Column) -> Column:
-    """Bucket of the unigram and of the bigram; the last word has no bigram."""
-    one = F.pmod(F.xxhash64(gram["a"]), F.lit(BUCKETS))
+def _buckets(gram: Column) -> tuple[Column, Column]:
+    """Bucket of the unigram and of the bigram; the last word has no bigram, and a text without words neither."""
+    one = F.when(gram["a"].isNotNull(), F.pmod(F.xxhash64(gram["a"]), F.lit(BUCKETS)))
     two = F.when(gram["b"].isNotNull(), F.pmod(F.xxhash64(gram["a"], gram["b"], F.lit(2)), F.lit(BUCKETS)))
-    return F.array(one, two)
+    return one, two
 
 
 def fit(docs: DataFrame, trusted: Column, text: str = "text") -> DataFrame:
     """The model: bucket, llr. trusted: which rows of docs are the target; all rows are the raw corpus."""
     rows = docs.select(F.coalesce(trusted, F.lit(False)).cast("long").alias("good"), F.explode(_grams(spaced_words(F.col(text)))).alias("g"))
-    rows = rows.select("good", F.explode(_buckets(F.col("g"))).alias("bucket")).where("bucket is not null")
+    rows = rows.select("good", F.explode(F.array(*_buckets(F.col("g")))).alias("bucket")).where("bucket is not null")
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"))
     counts = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
@@ -104,10 +106,13 @@ def score(docs: DataFrame, model: DataFrame, columns: list[str], words: str = "w
     """
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     grams = rows.select("_row", *columns, F.explode_outer(_grams(F.col(words))).alias("g"))
-    grams = grams.select("_row", *columns, F.explode(_buckets(F.col("g"))).alias("bucket"))
-    joined = grams.join(F.broadcast(model), "bucket", "left")  # BUCKETS rows, whatever the corpus
-    out = joined.groupBy("_row", *columns).agg(F.coalesce(F.avg("llr"), F.lit(0.0)).alias("score"))
-    return out.drop("_row")
+    grams = grams.select("_row", *columns, *[b.alias(n) for b, n in zip(_buckets(F.col("g")), ("b1", "b2"), strict=True)])
+    for n in "12":  # BUCKETS rows, whatever the corpus
+        grams = grams.join(F.broadcast(model.select(F.col("bucket").alias(f"b{n}"), F.col("llr").alias(f"llr{n}"))), f"b{n}", "left")
+    total = F.coalesce(F.sum("llr1"), F.lit(0.0)) + F.coalesce(F.sum("llr2"), F.lit(0.0))
+    n = F.count("llr1") + F.count("llr2")
+    kept = [F.first(c).alias(c) for c in columns]  # a row's grams all have its columns
+    return grams.groupBy("_row").agg(F.when(n > 0, total / n).otherwise(0.0).alias("score"), *kept).select(*columns, "score")
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -125,8 +130,12 @@ def judge(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
     return judge_rows(rows, model, ["_key"], "_text").withColumnRenamed("_key", key).select(key, *BASE, "score", "kept")
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with _good: true where labels marks the identifier as good quality and not toxic in every label it has."""
-    good = labels.groupBy(F.col(key)).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("_g"))
-    good = good.where("_g = 1").select(F.col(key).alias("_k"))
-    return docs.join(good, docs[key] == good["_k"], "left").withColumn("_good", F.col("_k").isNotNull()).drop("_k")
+def trusted_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", most: int = TRUSTED) -> DataFrame:
+    """docs with _good: true for the trusted documents.
+
+    Trusted are identifiers that every label of theirs calls good quality and not toxic; of more than most of them, those
+    with the least MD5. The bound makes the trusted set small enough to broadcast at any size of the corpus.
+    """
+    good = labels.groupBy(F.col(key)).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("_g")).where("_g = 1")
+    good = good.select(F.col(key).alias("_k")).orderBy(F.md5(F.col("_k").cast("string"))).limit(most)
+    return docs.join(F.broadcast(good), docs[key] == good["_k"], "left").withColumn("_good", F.col("_k").isNotNull()).drop("_k")
