@@ -140,13 +140,12 @@ def number_lines(spark, sf_dir):
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, x = y OR (least(length(x), length(y)) >= 4 AND least(length(x), length(y)) * 100 >= greatest(length(x), length(y)) * 70 AND (levenshtein(x, y) <= 1 OR levenshtein(x, y) * 6 <= greatest(length(x), length(y)))) AS variant
-    FROM (SELECT p_partkey, p_brand, lower(regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g')) AS x FROM part) a JOIN (SELECT p_partkey, p_brand, lower(regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g')) AS y FROM part) b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
+    FROM (SELECT p_partkey, lower(regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g')) AS x FROM part) a JOIN (SELECT p_partkey, lower(regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g')) AS y FROM part) b ON b.p_partkey = a.p_partkey + 1""")
 def noisy_variants(spark, sf_dir):
     from ..sources.catalogue import table
 
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", L.key(F.col("p_name")).alias("k"))
-    q = p.toDF("b", "brand", "y")
-    pairs = p.join(q, (F.col("p_brand") == F.col("brand")) & (F.col("p_partkey") < F.col("b")))
+    p = table(spark, sf_dir, "part").select("p_partkey", L.key(F.col("p_name")).alias("k"))
+    pairs = p.join(p.toDF("b", "y"), F.col("b") == F.col("p_partkey") + 1)
     return pairs.select(F.col("p_partkey").alias("a"), "b", L.noisy_variant(F.col("k"), F.col("y")).alias("variant"))
 
 
@@ -181,14 +180,14 @@ def real_content(spark, sf_dir):
     return ops.real_content(located(spark, sf_dir).withColumn("text", L.clean(F.col("text"))), "CYRILLIC")
 
 
-_KEYS = f"keys AS (SELECT {_ID}, c AS text, lower(regexp_replace(c, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) AS k, {_F['initials']} AS ini FROM linesc WHERE ordinal < 12)"
+_KEYS = f"keys AS (SELECT {_ID}, c AS text, lower(regexp_replace(c, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) AS k, {_F['initials']} AS ini FROM linesc)"
 
 
 @query(f"""{_BASE}, {_KEYS} SELECT {_ID}, text FROM keys a WHERE NOT EXISTS (SELECT 1 FROM keys b WHERE b.page_id = a.page_id AND b.ordinal <> a.ordinal AND length(b.k) > length(a.k) AND contains(b.k, a.k)
     AND (a.ini OR length(a.k) <= 4 OR (length(a.k) >= 4 AND length(a.k) * 100 >= length(b.k) * 70 AND (length(b.k) - length(a.k) <= 1 OR (length(b.k) - length(a.k)) * 6 <= length(b.k)))))""")
 def drop_covered(spark, sf_dir):
     """Lines that no longer line covers. A key inside another differs from it by its missing characters alone."""
-    rows = located(spark, sf_dir).where("ordinal < 12").select("page_id", "ordinal", L.clean(F.col("text")).alias("text"))
+    rows = located(spark, sf_dir).select("page_id", "ordinal", L.clean(F.col("text")).alias("text"))
     return ops.drop_covered(rows)
 
 

@@ -81,10 +81,10 @@ def locale_options(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", ops.language_only(tag).alias("language"), ops.option_index(tag).alias("option"))
 
 
-@query("SELECT DISTINCT p_brand AS code FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey < 40 AND p_partkey % 5 * 20000 >= 50000)")
+@query("SELECT DISTINCT p_brand AS code FROM part WHERE p_brand NOT IN (SELECT 'Brand#' || c_nationkey FROM customer WHERE c_acctbal * 10 >= 50000)")
 def missing_files(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    files = p.where("p_partkey < 40").select(F.col("p_brand").alias("code"), (F.col("p_partkey") % 5 * 20000).alias("bytes"))
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("Brand#"), F.col("c_nationkey").cast("string")).alias("code"), (F.col("c_acctbal") * 10).alias("bytes"))
     return ops.missing_files(p.select(F.col("p_brand").alias("code")).distinct(), files)
 
 

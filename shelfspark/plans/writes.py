@@ -10,12 +10,12 @@ from ..sources.schemas import BASE_TYPES, DETAIL_TYPES
 from .registry import query
 
 #: New names for authors: known ones, new ones, and repetitions, in the order of ord.
-_NEW = "SELECT id - 1 AS ordinal, CASE WHEN id % 3 = 0 THEN 'Supplier#' || lpad((id % 40)::VARCHAR, 9, '0') ELSE 'New author ' || (id % 17)::VARCHAR END AS name FROM books WHERE id <= 200"
+_NEW = "SELECT id - 1 AS ordinal, CASE WHEN id % 3 = 0 THEN 'Supplier#' || lpad((id % 40)::VARCHAR, 9, '0') ELSE 'New author ' || (id % 17)::VARCHAR END AS name FROM books"
 
 
 def _new(c):
     name = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 40).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("New author "), (F.col("id") % 17).cast("string")))
-    return c.books.where("id <= 200").select((F.col("id") - 1).alias("ordinal"), name.alias("name"))
+    return c.books.select((F.col("id") - 1).alias("ordinal"), name.alias("name"))
 
 
 _FRESH = "SELECT name, min(ordinal) AS o FROM new WHERE name NOT IN (SELECT name FROM authors) GROUP BY name"
@@ -28,10 +28,10 @@ def insert_ignore(spark, sf_dir):
     return ops.insert_ignore(c.authors, _new(c), "name")
 
 
-@query(with_views("SELECT id, CASE WHEN id % 4 = 0 AND id < 500 THEN 'Changed ' || id ELSE title END AS title, CASE WHEN NOT (id % 4 = 0 AND id < 500) THEN isbn END AS isbn, CASE WHEN id % 4 = 0 AND id < 500 THEN 1 ELSE page_count END AS page_count, genres FROM books"))
+@query(with_views("SELECT id, CASE WHEN page_count > 250 THEN 'Changed ' || id ELSE title END AS title, CASE WHEN NOT page_count > 250 THEN isbn END AS isbn, CASE WHEN page_count > 250 THEN 1 ELSE page_count END AS page_count, genres FROM books"))
 def update_full_row(spark, sf_dir):
     books = derived(spark, sf_dir).books
-    changed = books.where("id % 4 = 0 and id < 500").withColumns({"title": F.concat(F.lit("Changed "), F.col("id").cast("string")), "isbn": F.lit(None).cast("string"), "page_count": F.lit(1)})
+    changed = books.where("page_count > 250").withColumns({"title": F.concat(F.lit("Changed "), F.col("id").cast("string")), "isbn": F.lit(None).cast("string"), "page_count": F.lit(1)})
     return ops.update_rows(books, changed).select("id", "title", "isbn", "page_count", "genres")
 
 
@@ -42,16 +42,16 @@ def delete_cascade(spark, sf_dir):
     return gone.books.select("id", "title", "author_id", "publisher_id")
 
 
-@query(with_views("SELECT id, name FROM authors WHERE id % 3 <> 0"))
+@query(with_views("SELECT id, name FROM authors WHERE NOT ends_with(name, '7')"))
 def delete_rows(spark, sf_dir):
     c = derived(spark, sf_dir)
-    return ops.delete_rows(c.authors, c.authors.where("id % 3 = 0"))
+    return ops.delete_rows(c.authors, c.authors.where(F.col("name").endswith("7")))
 
 
 #: A batch of forms: every fifth updates its own book; others are new, some with a stored or a repeated ISBN.
 _FORMS = """SELECT id AS ordinal, CASE WHEN id % 5 = 0 THEN id END AS own, 'Form ' || id AS title, CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN isbn WHEN 2 THEN 'X' || (id // 14)::VARCHAR WHEN 3 THEN ' ' ELSE 'N' || id END AS isbn,
     CASE id % 4 WHEN 0 THEN '  ' WHEN 1 THEN ' New author ' || (id % 6)::VARCHAR || ' ' WHEN 2 THEN 'Supplier#' || lpad((id % 50)::VARCHAR, 9, '0') END AS author_name,
-    CASE WHEN id % 3 = 0 THEN 'Brand#' || (id % 60)::VARCHAR END AS publisher_name FROM books WHERE id <= 400"""
+    CASE WHEN id % 3 = 0 THEN 'Brand#' || (id % 60)::VARCHAR END AS publisher_name FROM books"""
 
 
 def _forms(c):
@@ -60,8 +60,7 @@ def _forms(c):
     isbn = F.when(i % 7 == 0, None).when(i % 7 == 1, F.col("isbn")).when(i % 7 == 2, F.concat(F.lit("X"), s(F.expr("id div 14")))).when(i % 7 == 3, " ").otherwise(F.concat(F.lit("N"), s(i)))
     author = F.when(i % 4 == 0, "  ").when(i % 4 == 1, F.concat(F.lit(" New author "), s(i % 6), F.lit(" "))).when(i % 4 == 2, F.concat(F.lit("Supplier#"), F.lpad(s(i % 50), 9, "0")))
     publisher = F.when(i % 3 == 0, F.concat(F.lit("Brand#"), s(i % 60)))
-    rows = c.books.where("id <= 400")
-    return rows.withColumns({"ordinal": i, "title": F.concat(F.lit("Form "), s(i)), "isbn": isbn, "author_name": author, "publisher_name": publisher, "id": F.when(i % 5 == 0, i)})
+    return c.books.withColumns({"ordinal": i, "title": F.concat(F.lit("Form "), s(i)), "isbn": isbn, "author_name": author, "publisher_name": publisher, "id": F.when(i % 5 == 0, i)})
 
 
 _SAVED = {
@@ -146,7 +145,7 @@ def form_parse(spark, sf_dir):
     return ops.parse_form(_text(derived(spark, sf_dir)))
 
 
-_OLD = "SELECT b.id, b.publication_year AS oy, b.purchase_price AS op, b.rating AS ra, b.genres AS og, b.signed AS os, p.name AS pn FROM books b JOIN publishers p ON b.publisher_id = p.id WHERE b.id % 4 <> 0"
+_OLD = "SELECT b.id, b.publication_year AS oy, b.purchase_price AS op, b.rating AS ra, b.genres AS og, b.signed AS os, p.name AS pn FROM books b JOIN publishers p ON b.publisher_id = p.id WHERE b.publication_year IS NOT NULL"
 
 
 @query(with_views("""SELECT p.id, title, CASE WHEN k THEN coalesce(publication_year, oy) ELSE publication_year END AS publication_year, CASE WHEN k THEN op ELSE purchase_price END AS purchase_price, CASE WHEN k THEN ra ELSE rating END AS rating,
@@ -154,7 +153,7 @@ _OLD = "SELECT b.id, b.publication_year AS oy, b.purchase_price AS op, b.rating
     FROM (SELECT p.*, o.* EXCLUDE (id), NOT p.detailed AND o.id IS NOT NULL AS k FROM parsed p LEFT JOIN old o ON o.id = p.id) p""", typed=_TEXT, parsed=_PARSED, old=_OLD))
 def save_mode(spark, sf_dir):
     c = derived(spark, sf_dir)
-    old = c.books.where("id % 4 <> 0").join(c.publishers.select(F.col("id").alias("publisher_id"), F.col("name").alias("publisher_name")), "publisher_id")
+    old = c.books.where("publication_year is not null").join(c.publishers.select(F.col("id").alias("publisher_id"), F.col("name").alias("publisher_name")), "publisher_id")
     out = ops.save_mode(ops.parse_form(_text(c)), old)
     return out.select("id", "title", "publication_year", "purchase_price", "rating", "genres", "signed", "publisher_name")
 
