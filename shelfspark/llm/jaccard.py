@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, folded_words, materialize, small_batches
@@ -101,6 +101,11 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
+def _text_hash(text: Column) -> Column:
+    """128 bits, so that no two texts of even a very large corpus share a value."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     """k, text_hash, digest (null without words), n (shingles) and sig (packed MinHash values) of every row."""
     small_batches(docs.sparkSession)
@@ -116,8 +121,8 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             sigs = signatures(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sigs], pa.binary())], names=["k", "text_hash", "digest", "n", "sig"])
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text).cast("binary")).alias("text_hash"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(sketch, "k long, text_hash long, digest binary, n long, sig binary")
+    rows = docs.select(F.col(key).cast("long").alias("k"), _text_hash(F.col(text)).alias("text_hash"), F.col(text).cast("binary").alias("t"))
+    return rows.mapInArrow(sketch, "k long, text_hash binary, digest binary, n long, sig binary")
 
 
 def with_shingles(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -229,7 +234,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     member = materialize(member.join(totals, "component").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")), "members")
 
     # one text stands for a class; copies of it are reduced to one where they are read
-    texts = docs.select(F.col(text).cast("binary").alias("t")).withColumn("text_hash", F.xxhash64("t"))
+    texts = docs.select(F.col(text).cast("binary").alias("t"), _text_hash(F.col(text)).alias("text_hash"))
     found = texts.join(member.select("text_hash", "rid"), "text_hash").groupBy("rid").agg(F.first("t").alias("t"))
     sets = with_shingles(found, ["rid"]).join(member, "rid")
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
