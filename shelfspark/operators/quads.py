@@ -146,17 +146,25 @@ def fit_to_view(w: Column, h: Column, view_w: Column, view_h: Column) -> Column:
     return F.struct(s.alias("scale"), ((view_w - w * s) / 2).alias("left"), ((view_h - h * s) / 2).alias("top"))
 
 
-def inside_polygon(x: Column, y: Column, xs: Column, ys: Column) -> Column:
-    """Whether a point lies within a closed polygon, by its winding number."""
-    n = F.size(xs)
+def sides(xs: Column, ys: Column) -> Column:
+    """The sides of a closed polygon, an array of x1, y1, x2, y2."""
+    after = lambda v: F.concat(F.slice(v, F.lit(2), F.size(v)), F.slice(v, 1, 1))
+    return F.arrays_zip(xs.alias("x1"), ys.alias("y1"), after(xs).alias("x2"), after(ys).alias("y2"))
 
-    def turn(i: Column) -> Column:
-        j = (i + 1) % n
-        x1, y1, x2, y2 = F.get(xs, i), F.get(ys, i), F.get(xs, j), F.get(ys, j)
-        side = (x2 - x1) * (y - y1) - (x - x1) * (y2 - y1)
-        return F.when((y1 <= y) & (y2 > y) & (side > 0), 1).when((y1 > y) & (y2 <= y) & (side < 0), -1).otherwise(0)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + turn(i)) != 0
+def crossing(polygon: Column, y: Column) -> Column:
+    """Those sides that pass the height y."""
+    return F.filter(polygon, lambda s: (s["y1"] <= y) != (s["y2"] <= y))
+
+
+def inside_polygon(x: Column, y: Column, crossed: Column) -> Column:
+    """Whether a point lies within a polygon, by its winding number; crossed has the sides that pass its height."""
+
+    def turn(s: Column) -> Column:
+        side = (s["x2"] - s["x1"]) * (y - s["y1"]) - (x - s["x1"]) * (s["y2"] - s["y1"])
+        return F.when((s["y1"] <= y) & (side > 0), 1).when((s["y1"] > y) & (side < 0), -1).otherwise(0)
+
+    return F.aggregate(crossed, F.lit(0), lambda a, s: a + turn(s)) != 0
 
 
 def lasso(w: Column, h: Column, xs: Column, ys: Column, pad: int = 16) -> Column:
@@ -171,7 +179,9 @@ def lasso(w: Column, h: Column, xs: Column, ys: Column, pad: int = 16) -> Column
     def made(o: Column) -> Column:
         bw, bh = o["right"] - o["left"], o["bottom"] - o["top"]
         step = lambda n: F.greatest(F.lit(1), F.floor(n / 80).cast("int"))
-        hits = F.flatten(F.transform(F.sequence(o["top"], o["bottom"] - 1, step(bh)), lambda py: F.transform(F.sequence(o["left"], o["right"] - 1, step(bw)), lambda px: inside_polygon(px + 0.5, py + 0.5, xs, ys))))
+        line = lambda py, crossed: F.transform(F.sequence(o["left"], o["right"] - 1, step(bw)), lambda px: inside_polygon(px + 0.5, py + 0.5, crossed))
+        row = lambda py: let(crossing(sides(xs, ys), py + 0.5), lambda crossed: line(py, crossed))
+        hits = F.flatten(F.transform(F.sequence(o["top"], o["bottom"] - 1, step(bh)), row))
         share = let(hits, lambda s: F.size(F.filter(s, lambda v: v)) / F.size(s))
         fields = lambda c: F.struct(o["left"].alias("left"), o["top"].alias("top"), o["right"].alias("right"), o["bottom"].alias("bottom"), (bw + 2 * pad).alias("out_w"), (bh + 2 * pad).alias("out_h"), c.alias("coverage"), (c >= 0.18).alias("masked"))
         return F.when((r - l >= 8) & (b - t >= 8), let(share, fields))

@@ -26,6 +26,14 @@ def coloured(spark, sf_dir) -> DataFrame:
     return images(spark, sf_dir).withColumns({"r": F.col("v"), "g": g, "b": b})
 
 
+def lined(spark, sf_dir) -> DataFrame:
+    """Pages of lines of eleven rows with ten between, inked where an embedding's value is positive."""
+    e = F.col("embedding")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), F.size(e).alias("w"), F.size(e).alias("h"), e.alias("e"))
+    ink = F.flatten(F.transform("e", lambda _, y: F.transform(F.col("e"), lambda v: ((y % 21 < 11) & (v > 0)).cast("int"))))
+    return rows.select("img_id", "w", "h", ink.alias("ink"))
+
+
 def _out(df: DataFrame, value) -> DataFrame:
     """One row a pixel of a value array."""
     return grid.pixels(df.select("img_id", "w", "h", value.alias("v")))
@@ -277,3 +285,65 @@ def image_sizes(spark, sf_dir):
 def cover_quads(spark, sf_dir):
     """The whole cover detection, which mixes expressions, votes and searches within an image."""
     return covers.detect(images(spark, sf_dir))
+
+
+@query()
+def text_bands(spark, sf_dir):
+    """Rectangles of text: a fold over runs of rows and columns, tested on drawn pages."""
+    rows = lined(spark, sf_dir)
+    return rows.select("img_id", F.inline(grid.text_bands(F.col("ink"), F.col("w"), F.col("h"))))
+
+
+#: The quads with their corners moved on by one, two or three places.
+_TURNED = f"SELECT img_id, list_concat(xs[k + 1:], xs[:k]) AS xs, list_concat(ys[k + 1:], ys[:k]) AS ys FROM (SELECT img_id, (img_id % 4)::INT AS k, [x0, x1, x2, x3] AS xs, [y0, y1, y2, y3] AS ys FROM ({_QUADS}))"
+_PICKED = ", ".join(f"list_position(s, list_{f}(s)) AS {n}" if v == "s" else f"list_position(d, list_{f}(d)) AS {n}" for n, v, f in (("a", "s", "min"), ("b", "d", "max"), ("c", "s", "max"), ("e", "d", "min")))
+
+
+@query(f"""SELECT img_id, [{', '.join(f'greatest(0.0::DOUBLE, least({m}::DOUBLE, {v}[{n}]))' for n in 'abce' for v, m in (('xs', 79), ('ys', 59)))}] AS q
+    FROM (SELECT *, {_PICKED} FROM (SELECT *, list_transform([1, 2, 3, 4], lambda i: xs[i] + ys[i]) AS s, list_transform([1, 2, 3, 4], lambda i: xs[i] - ys[i]) AS d FROM ({_TURNED})))""")
+def quad_order(spark, sf_dir):
+    """Corners put in order and held within an image of 80 x 60."""
+    k = (F.col("img_id") % 4).cast("int")
+    turned = F.concat(F.slice("q", 2 * k + 1, F.lit(8)), F.slice("q", F.lit(1), 2 * k))
+    rows = _quads(spark, sf_dir).select("img_id", turned.alias("q"))
+    return rows.select("img_id", quads.ordered(F.col("q")).alias("q")).select("img_id", quads.clamped(F.col("q"), F.lit(80), F.lit(60)).alias("q"))
+
+
+_BIG = [f"greatest(0.0::DOUBLE, least({119 if a == 'x' else 199}::DOUBLE, {a}{i} * {1.5 if a == 'x' else 2.5}::DOUBLE))" for i in range(4) for a in "xy"]
+_HELD = f"SELECT img_id, {', '.join(f'{v} AS {a}{i}' for v, (i, a) in zip(_BIG, [(i, a) for i in range(4) for a in 'xy'], strict=True))} FROM ({_QUADS})"
+
+
+@query(f"SELECT img_id, CASE WHEN least({', '.join(_CROSSES)}) >= 1 OR greatest({', '.join(_CROSSES)}) <= -1 THEN [x0, y0, x1, y1, x2, y2, x3, y3] ELSE [9.6, 16.0, 110.4, 16.0, 110.4, 184.0, 9.6, 184.0]::DOUBLE[] END AS q FROM ({_HELD})")
+def quad_scale(spark, sf_dir):
+    """Quads scaled to an image of 120 x 200; the inset quad where that is not convex."""
+    return _quads(spark, sf_dir).select("img_id", quads.scaled(F.col("q"), F.lit(1.5), F.lit(2.5), F.lit(120), F.lit(200)).alias("q"))
+
+
+def _far(i: int) -> str:
+    j = (i + 1) % 4
+    dx, dy = f"(x{j} - x{i})", f"(y{j} - y{i})"
+    t = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((30 - x{i}) * {dx} + (20 - y{i}) * {dy}) / greatest({dx} * {dx} + {dy} * {dy}, 1)))"
+    return f"sqrt((x{i} + {t} * {dx} - 30) ** 2 + (y{i} + {t} * {dy} - 20) ** 2)"
+
+
+@query(f"SELECT img_id, CASE WHEN least(f0, f1, f2, f3) > 12 THEN -1 " + " ".join(f"WHEN f{i} = least(f0, f1, f2, f3) THEN {i}" for i in (3, 2, 1, 0)) + f" END::INT AS edge FROM (SELECT img_id, {', '.join(f'{_far(i)} AS f{i}' for i in range(4))} FROM ({_QUADS}))")
+def nearest_edge(spark, sf_dir):
+    return _quads(spark, sf_dir).select("img_id", quads.nearest_edge(F.col("q"), F.lit(30.0), F.lit(20.0), F.lit(12.0)).cast("int").alias("edge"))
+
+
+def _turn(i: int) -> str:
+    j = (i + 1) % 4
+    side = f"(x{j} - x{i}) * (py + 0.5 - y{i}) - (px + 0.5 - x{i}) * (y{j} - y{i})"
+    return f"CASE WHEN y{i} <= py + 0.5 AND y{j} > py + 0.5 AND {side} > 0 THEN 1 WHEN y{i} > py + 0.5 AND y{j} <= py + 0.5 AND {side} < 0 THEN -1 ELSE 0 END"
+
+
+@query(f"""SELECT img_id, l AS "left", t AS top, r AS "right", b AS bottom, r - l + 32 AS out_w, b - t + 32 AS out_h, round(avg(((wn <> 0)::INT)), 6) AS coverage, avg((wn <> 0)::INT) >= 0.18 AS masked FROM (
+    SELECT *, {' + '.join(_turn(i) for i in range(4))} AS wn FROM (SELECT *, unnest(range(l, r)) AS px FROM (SELECT *, unnest(range(t, b)) AS py FROM (
+        SELECT *, floor(least(x0, x1, x2, x3))::INT AS l, floor(least(y0, y1, y2, y3))::INT AS t, ceil(greatest(x0, x1, x2, x3))::INT AS r, ceil(greatest(y0, y1, y2, y3))::INT AS b FROM ({_QUADS})))))
+    GROUP BY ALL""")
+def lasso_crop(spark, sf_dir):
+    """Crops of lassos with four corners in an image of 100 x 80; they are small enough that every pixel is sampled."""
+    corner = lambda d: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(F.col("q"), 2 * i + d))
+    rows = _quads(spark, sf_dir).select("img_id", corner(0).alias("xs"), corner(1).alias("ys"))
+    made = rows.select("img_id", quads.lasso(F.lit(100), F.lit(80), F.col("xs"), F.col("ys")).alias("m")).where("m is not null").select("img_id", "m.*")
+    return made.withColumn("coverage", F.round("coverage", 6))

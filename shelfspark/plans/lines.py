@@ -149,6 +149,24 @@ def noisy_variants(spark, sf_dir):
     return pairs.select(F.col("p_partkey").alias("a"), "b", L.noisy_variant(F.col("k"), F.col("y")).alias("variant"))
 
 
+_LISTED = "SELECT p_partkey, [p_type, p_brand || ' x', p_name] AS listed, CASE p_partkey % 4 WHEN 0 THEN left(p_name, length(p_name) - 1) WHEN 1 THEN p_brand || '.' WHEN 2 THEN p_type || 's' ELSE 'No. ' || p_partkey END AS wanted FROM part"
+_SAME = """length(k) >= 2 AND length(o) >= 2 AND (k = o OR (NOT kd AND NOT od AND least(length(k), length(o)) >= 4 AND least(length(k), length(o)) * 100 >= greatest(length(k), length(o)) * 70 AND (levenshtein(k, o) <= 1 OR levenshtein(k, o) * 6 <= greatest(length(k), length(o))))
+    OR (kd = od AND least(length(k), length(o)) >= 3 AND (contains(k, o) OR contains(o, k)) AND least(length(k), length(o)) * 100 >= greatest(length(k), length(o)) * 55))"""
+_KEY = "lower(regexp_replace({}, '[^a-zA-Z0-9]', '', 'g'))"
+
+
+@query(f"""SELECT p_partkey, coalesce(min(i) FILTER ({_SAME}), -1)::INT AS place FROM (SELECT *, regexp_full_match(k, '[0-9]+') AS kd, regexp_full_match(o, '[0-9]+') AS od FROM (
+    SELECT p_partkey, {_KEY.format('wanted')} AS k, {_KEY.format('unnest(listed)')} AS o, unnest([0, 1, 2]) AS i FROM ({_LISTED}))) GROUP BY p_partkey""")
+def similar_line(spark, sf_dir):
+    """The place of the first of three lines that a fourth one repeats with small differences."""
+    from ..sources.catalogue import table
+
+    k, name = F.col("p_partkey"), F.col("p_name")
+    wanted = F.when(k % 4 == 0, F.expr("left(p_name, length(p_name) - 1)")).when(k % 4 == 1, F.concat("p_brand", F.lit("."))).when(k % 4 == 2, F.concat("p_type", F.lit("s"))).otherwise(F.concat(F.lit("No. "), k.cast("string")))
+    listed = F.array("p_type", F.concat("p_brand", F.lit(" x")), name)
+    return table(spark, sf_dir, "part").select("p_partkey", L.index_of_similar(listed, wanted).alias("place"))
+
+
 _I = _flags("i")
 _ADMIT = f"adm AS (SELECT * FROM (SELECT *, {_initials('c')} AS i FROM linesc) WHERE {_I['keep']} AND (confidence >= 32 OR {_I['letters']} >= 6 OR {_I['digits']} >= 4))"
 _SCORED = f"""sco AS (SELECT page_id, attempt, (floor(avg(confidence)) + sum(CASE WHEN bad THEN -20 WHEN good THEN 30 + n + floor(confidence / 2 + 0.5) ELSE 0 END) - CASE WHEN sum((good AND NOT bad)::INT) = 0 THEN 50 ELSE 0 END)::BIGINT AS score

@@ -39,6 +39,11 @@ def pack_chooser(spark, sf_dir):
     return ops.chooser(packs(spark), "c", "cat").select("id", "place", "checked")
 
 
+@query(f"{_P} SELECT ordinal, id, label FROM packs")
+def packs_by_label(spark, sf_dir):
+    return ops.by_label(packs(spark)).select("ordinal", "id", "label")
+
+
 #: Thirteen locales that name a pack, and some with scripts and countries.
 LOCALES = [
     ("be", "bel", "", ""), ("kk", "kaz", "", ""), ("ky", "kir", "", ""), ("lt", "lit", "", ""), ("lv", "lav", "", ""), ("ru", "rus", "", ""), ("uk", "ukr", "", ""),
