@@ -297,11 +297,13 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str = "byte_bpe_50k.json
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Read shards back: key, start, n_tokens and ids_crc32 of each document.
 
-    start counts all ids of documents before it: those of earlier shards, a running sum over the manifest's few rows,
-    and those earlier in the shard.
+    start counts all ids of documents before it: those of earlier parts (one row a writing task), those of earlier shards of
+    the part, and those earlier in the shard.
     """
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = manifest.select("shard", before.cast("long").alias("base"))
+    earlier = lambda over: F.coalesce(F.sum("ids").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).select(F.col("part").alias("_part"), earlier(Window.orderBy("part")).alias("before"))
+    inside = manifest.select("part", "shard", earlier(Window.partitionBy("part").orderBy("seq")).alias("within"))
+    placed = inside.join(parts, F.col("part") == F.col("_part")).select("shard", (F.col("before") + F.col("within")).cast("long").alias("base"))
     placed = placed.repartition(F.col("shard"))
 
     def read(batches):
