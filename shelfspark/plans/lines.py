@@ -103,11 +103,11 @@ def line_initials(spark, sf_dir):
 _F = _flags("c")
 
 
-@query(f"{_BASE} SELECT {_ID}, {', '.join(f'{_F[n]} AS {n}' for n in ('initials', 'useful', 'mixed', 'gibberish', 'math', 'keep', 'foreign'))} FROM linesc")
+@query(f"{_BASE} SELECT {_ID}, {', '.join(f'{_F[n]} AS {n}' for n in ('initials', 'useful', 'mixed', 'gibberish', 'math', 'keep'))}, {_F['foreign']} AS mismatch FROM linesc")
 def line_flags(spark, sf_dir):
     c = F.col("c")
     rows = located(spark, sf_dir).select("page_id", "ordinal", L.clean(F.col("text")).alias("c"))
-    return rows.select("page_id", "ordinal", L.looks_like_initials(c).alias("initials"), L.has_useful_word(c).alias("useful"), L.mixed_scripts(c).alias("mixed"), L.gibberish(c).alias("gibberish"), L.math_noise(c).alias("math"), L.keepable(c).alias("keep"), L.script_mismatch(c, F.lit("CYRILLIC")).alias("foreign"))
+    return rows.select("page_id", "ordinal", L.looks_like_initials(c).alias("initials"), L.has_useful_word(c).alias("useful"), L.mixed_scripts(c).alias("mixed"), L.gibberish(c).alias("gibberish"), L.math_noise(c).alias("math"), L.keepable(c).alias("keep"), L.script_mismatch(c, F.lit("CYRILLIC")).alias("mismatch"))
 
 
 @query(f"{_BASE} SELECT {_ID}, {_F['letters']}::INT AS letters, {_F['digits']}::INT AS digits, {_score('c', 'confidence')} AS score, CASE WHEN length(c) > 80 THEN substr(c, 1, 80) || '…' ELSE c END AS preview FROM linesc")
