@@ -45,6 +45,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_files(files: DataFrame, per_task: int = 2) -> DataFrame:
+    """Deal a stored list of files to tasks, per_task to each.
+
+    The list itself is tiny whatever the files hold, so adaptive execution would hand all of it to one task; a stated number of
+    partitions is left alone. Only the number of files reaches the driver.
+    """
+    return files.repartition(max(1, -(-files.count() // per_task)))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small in Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

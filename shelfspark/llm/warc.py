@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, publish, scratch, small_batches
+from .common import filesystem, materialize, publish, scratch, small_batches, spread_files
 
 MIN_SHARED = 100
 #: Bytes of a chunk, of what is read or written at once, and of compressed records after which a file is closed.
@@ -191,7 +191,7 @@ def read_chunks(manifest: DataFrame, with_data: bool = True, chunk: int = CHUNK)
                 if rows:
                     yield pack(rows)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(read, CHUNKS)
+    return spread_files(manifest.select("path")).mapInArrow(read, CHUNKS)
 
 
 def records(chunks: DataFrame, chunk: int = CHUNK) -> DataFrame:
