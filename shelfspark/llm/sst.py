@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import publish, filesystem, scratch, small_batches
+from .common import filesystem, materialize, publish, scratch, small_batches, spread_files
 
 MAGIC = b"SHSST001"
 BLOCK_BYTES = 64 << 10
@@ -304,7 +304,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).select(F.col("part").alias("_part"), earlier(Window.orderBy("part")).alias("before"))
     inside = manifest.select("part", "shard", earlier(Window.partitionBy("part").orderBy("seq")).alias("within"))
     placed = inside.join(parts, F.col("part") == F.col("_part")).select("shard", (F.col("before") + F.col("within")).cast("long").alias("base"))
-    placed = placed.repartition(F.col("shard"))
+    placed = spread_files(materialize(placed, "sst-starts"))
 
     def read(batches):
         import pyarrow as pa
@@ -348,8 +348,6 @@ def lookup(manifest: DataFrame, keys: list[int | None]) -> DataFrame:
 
 def sorted_token_table(docs: DataFrame, spark: SparkSession | None = None, uri: str | None = None) -> DataFrame:
     """Write docs as shards and read them back: doc_id, start, n_tokens, ids_crc32 (see the two steps)."""
-    from .common import materialize
-
     spark = spark or docs.sparkSession
     uri = uri or scratch(spark, "sst")
     return read_shards(materialize(write_shards(docs, uri), "sst-manifest"))
