@@ -349,3 +349,14 @@ def test_empty_tables(spark, docs):
     assert licenses.scan(none).count() == 0
     assert token_counts.section_counts(none).count() == 0
     assert sst.sorted_token_table(none).count() == 0
+
+
+def test_file_lists_are_spread(spark):
+    """A short list of files is dealt to several tasks, whatever adaptive execution makes of its few bytes."""
+    from shelfspark.llm.common import spread_files
+
+    for n, tasks in ((0, 1), (1, 1), (5, 3)):
+        dealt = spread_files(spark.range(n).select(F.col("id").cast("string").alias("path")))
+        assert dealt.rdd.getNumPartitions() == tasks and dealt.count() == n
+    at = {r.p: r.n for r in spread_files(spark.range(40), 4).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    assert len(at) == 10 and max(at.values()) <= 8
