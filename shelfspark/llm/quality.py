@@ -1,9 +1,10 @@
-"""Quality rules: base rules on each whole text and a hashed n-gram likelihood ratio.
+"""Quality rules: base rules on each whole text and an n-gram likelihood ratio.
 
-Two multinomials over hashed unigrams and bigrams are counted: the raw corpus (all documents) and a trusted target
-(documents marked as good). A document's score is the mean over its n-grams of log p_target - log p_raw; it is kept if it
-passes the base rules and its score is at least a fixed threshold. Everything is DataFrame expressions:
-the corpus is reduced to BUCKETS counts by partial aggregation, so the model that is broadcast has a fixed size.
+Two multinomials over unigrams and bigrams are counted: the raw corpus (all documents) and a trusted target (documents
+marked as good). A document's score is the mean over its n-grams of log p_target - log p_raw; it is kept if it passes the
+base rules and its score is at least a threshold. Counts are kept for each n-gram's 64-bit hash, so the model grows with the
+corpus: frequent n-grams (a bounded number) are broadcast, all others meet the model in a shuffled join. The threshold is
+calibrated on good documents that the target was not counted on. Everything is DataFrame expressions.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; with an empty target or corpus
 every ratio is 0; repeated rows are judged one by one; other columns are ignored.
@@ -14,16 +15,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, spaced_words
+from .common import bound, materialize, spaced_words
 
-#: Size of the hashed n-gram space, and so of the model.
+#: Least number of n-grams that smoothing reckons with; a corpus with more distinct ones reckons with those.
 BUCKETS = 1 << 14
-#: Added to each bucket's count, as a share of the mean count of a bucket.
+#: Added to each n-gram's count, as a share of the mean count.
 SMOOTHING = 0.1
-#: Lowest mean log-likelihood ratio that is kept.
+#: Highest threshold, and the one without held-out documents: lowest mean log-likelihood ratio that is kept.
 THRESHOLD = -0.2
-#: Most labelled documents that the trusted target is counted on; the raw corpus is always counted whole.
+#: Share of the held-out good documents that the calibrated threshold keeps at least.
+KEPT = 0.99
+#: Most labelled documents that are trusted; the raw corpus is always counted whole.
 TRUSTED = 20_000
+#: One in so many trusted documents is held out of the target, to calibrate the threshold.
+HELD = 5
+#: N-grams with at least this share of all occurrences are broadcast; there are no more than 1 / HOT_SHARE.
+HOT_SHARE = 1 / 65_536
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -78,41 +85,70 @@ def _grams(words: Column) -> Column:
     return F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b"))
 
 
-def _buckets(gram: Column) -> tuple[Column, Column]:
-    """Bucket of the unigram and of the bigram; the last word has no bigram, and a text without words neither."""
-    one = F.when(gram["a"].isNotNull(), F.pmod(F.xxhash64(gram["a"]), F.lit(BUCKETS)))
-    two = F.when(gram["b"].isNotNull(), F.pmod(F.xxhash64(gram["a"], gram["b"], F.lit(2)), F.lit(BUCKETS)))
-    return one, two
+def _hashes(gram: Column) -> Column:
+    """Hashes of the unigram and of the bigram; the last word has no bigram, and a text without words neither."""
+    one = F.when(gram["a"].isNotNull(), F.xxhash64(gram["a"]))
+    two = F.when(gram["b"].isNotNull(), F.xxhash64(gram["a"], gram["b"], F.lit(2)))
+    return F.filter(F.array(one, two), lambda x: x.isNotNull())
 
 
-def fit(docs: DataFrame, trusted: Column, text: str = "text") -> DataFrame:
-    """The model: bucket, llr. trusted: which rows of docs are the target; all rows are the raw corpus."""
-    rows = docs.select(F.coalesce(trusted, F.lit(False)).cast("long").alias("good"), F.explode(_grams(spaced_words(F.col(text)))).alias("g"))
-    rows = rows.select("good", F.explode(F.array(*_buckets(F.col("g")))).alias("bucket")).where("bucket is not null")
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"))
-    counts = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
-    totals = counts.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
-    share = lambda n, total: (F.col(n) + SMOOTHING * F.col(total) / BUCKETS) / ((1 + SMOOTHING) * F.col(total))
-    llr = F.when((F.col("n_target") > 0) & (F.col("n_raw") > 0), F.log(share("target", "n_target")) - F.log(share("raw", "n_raw"))).otherwise(0.0)
-    return counts.crossJoin(F.broadcast(totals)).select("bucket", llr.alias("llr"))  # totals is one row
+def _text_key(text: Column) -> list[Column]:
+    """128 bits of a text: _t1, _t2. A score depends on the text alone, so it is added up and found again by them."""
+    body = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit(1), body).alias("_t2")]
 
 
-def score(docs: DataFrame, model: DataFrame, columns: list[str], words: str = "words") -> DataFrame:
-    """columns of docs and score, the mean ratio over the document's n-grams (0 without any).
+def fit(docs: DataFrame, trusted: Column, text: str = "text", held: Column | None = None) -> DataFrame:
+    """The model: gram (64-bit hash), llr, hot, in_held, threshold; and a row without a gram, for n-grams that no text has.
 
-    Rows are told apart by a number that their scan gives them, so that repeated or null identifiers stay separate rows.
-    A document's n-grams are added up where they are made; only one partial row a document is shuffled.
+    trusted: which rows of docs are the target; all rows are the raw corpus. held: good rows outside the target, by default
+    those with _held if docs has that column. The threshold keeps KEPT of them, and is at most THRESHOLD.
+    """
+    if held is None and "_held" in docs.columns:
+        held = docs["_held"]
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    rows = docs.select(flag(trusted).cast("long").alias("good"), flag(held if held is not None else F.lit(False)).alias("held"), F.explode(_grams(spaced_words(F.col(text)))).alias("g"))
+    rows = rows.select("good", "held", F.explode(_hashes(F.col("g"))).alias("gram"))
+    counts = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"), F.max("held").alias("in_held")), "counts")
+    totals = counts.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"), F.greatest(F.count(F.lit(1)), F.lit(BUCKETS)).alias("space"))
+    share = lambda n, total: (F.col(n) + SMOOTHING * F.col(total) / F.col("space")) / ((1 + SMOOTHING) * F.col(total))
+    llr = F.when((F.col("n_target") > 0) & (F.col("n_raw") > 0), F.log(share("target", "n_target")) - F.log(share("raw", "n_raw"))).otherwise(0.0)
+    model = counts.crossJoin(F.broadcast(totals)).select("gram", llr.alias("llr"), (F.col("raw") >= HOT_SHARE * F.col("n_raw")).alias("hot"), "in_held")  # totals is one row
+    unseen = docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("gram"), F.lit(0.0).alias("llr"), F.lit(False).alias("hot"), F.lit(False).alias("in_held"))
+    model = model.union(unseen)
+    if held is None:
+        return model.withColumn("threshold", F.lit(THRESHOLD))
+    tried = _scored(docs.where(held).select(F.col(text).alias("_text")), model.where("in_held"), [], "_text")
+    # no filter, which would be pushed below the base columns and compute them again; percentiles leave out nulls
+    lowest = tried.agg(F.expr(f"percentile_disc({1 - KEPT:.6f}) within group (order by case when not base_failed then score end)").alias("low"))
+    lowest = materialize(lowest.select(F.least(F.coalesce("low", F.lit(THRESHOLD)), F.lit(THRESHOLD)).alias("threshold")), "threshold")
+    return model.crossJoin(F.broadcast(lowest))
+
+
+def scores(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
+    """_t1, _t2 and score of each different text with words: the mean ratio over its n-grams.
+
+    Copies of a text add the same n-grams again, which leaves their mean as it is.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    grams = rows.select("_row", *columns, F.explode_outer(_grams(F.col(words))).alias("g"))
-    grams = grams.select("_row", *columns, *[b.alias(n) for b, n in zip(_buckets(F.col("g")), ("b1", "b2"), strict=True)])
-    for n in "12":  # BUCKETS rows, whatever the corpus
-        grams = grams.join(F.broadcast(model.select(F.col("bucket").alias(f"b{n}"), F.col("llr").alias(f"llr{n}"))), f"b{n}", "left")
-    total = F.coalesce(F.sum("llr1"), F.lit(0.0)) + F.coalesce(F.sum("llr2"), F.lit(0.0))
-    n = F.count("llr1") + F.count("llr2")
-    kept = [F.first(c).alias(c) for c in columns]  # a row's grams all have its columns
-    return grams.groupBy("_row").agg(F.when(n > 0, total / n).otherwise(0.0).alias("score"), *kept).select(*columns, "score")
+    grams = docs.select(*_text_key(F.col(text)), F.explode(_grams(spaced_words(F.col(text)))).alias("g"))
+    grams = grams.select("_t1", "_t2", F.explode(_hashes(F.col("g"))).alias("gram"))
+    hot = F.broadcast(model.where("hot").select(F.col("gram").alias("_g"), "llr"))
+    rest = model.where("not hot and gram is not null").select(F.col("gram").alias("_g"), "llr").hint("shuffle_hash")
+    met = F.col("gram") == F.col("_g")
+
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("_t1", "_t2").agg(F.sum(F.coalesce("llr", F.lit(0.0))).alias("s"), F.count(F.lit(1)).alias("n"))
+
+    parts = added(grams.join(hot, met)).union(added(grams.join(hot, met, "left_anti").join(rest, met, "left")))
+    return parts.groupBy("_t1", "_t2").agg(F.round(F.sum("s") / F.sum("n"), 9).alias("score"))
+
+
+def _scored(docs: DataFrame, model: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """columns of docs, base columns and score (0 without n-grams) of every row."""
+    rows = base_columns(docs, text).select(*columns, *BASE, *_text_key(F.col(text)))
+    found = scores(docs, model, text).select(F.col("_t1").alias("_s1"), F.col("_t2").alias("_s2"), F.col("score").alias("_score"))
+    rows = rows.join(found, (F.col("_t1") == F.col("_s1")) & (F.col("_t2") == F.col("_s2")), "left")
+    return rows.select(*columns, *BASE, F.coalesce("_score", F.lit(0.0)).alias("score"))
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -120,8 +156,9 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 def judge_rows(docs: DataFrame, model: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """columns of docs, base columns, score and kept of every row."""
-    out = score(base_columns(docs, text), model, [*columns, *BASE])
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= THRESHOLD))
+    least = F.broadcast(model.where("gram is null").select("threshold"))  # one row
+    out = _scored(docs, model, columns, text).crossJoin(least)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.col("threshold"))).drop("threshold")
 
 
 def judge(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,11 +168,15 @@ def judge(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", most: int = TRUSTED) -> DataFrame:
-    """docs with _good: true for the trusted documents.
+    """docs with _good: true for the documents of the target; and _held: true for those held out to calibrate the threshold.
 
     Trusted are identifiers that every label of theirs calls good quality and not toxic; of more than most of them, those
-    with the least MD5. The bound makes the trusted set small enough to broadcast at any size of the corpus.
+    with the least MD5. The bound makes the trusted set small enough to broadcast at any size of the corpus. About one in
+    HELD of them is held out, the others are the target.
     """
     good = labels.groupBy(F.col(key)).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("_g")).where("_g = 1")
     good = good.select(F.col(key).alias("_k")).orderBy(F.md5(F.col("_k").cast("string"))).limit(most)
-    return docs.join(F.broadcast(good), docs[key] == good["_k"], "left").withColumn("_good", F.col("_k").isNotNull()).drop("_k")
+    good = good.withColumn("_out", F.pmod(F.xxhash64("_k"), F.lit(HELD)) == 0)
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    out = docs.join(F.broadcast(good), docs[key] == good["_k"], "left")
+    return out.withColumns({"_good": sure(~F.col("_out")), "_held": sure(F.col("_out"))}).drop("_k", "_out")

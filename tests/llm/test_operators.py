@@ -322,6 +322,21 @@ def test_quality_scores(spark):
     assert {r.llr for r in empty.select("llr").distinct().collect()} == {0.0}
 
 
+def test_quality_model_grows(spark, monkeypatch):
+    """With far more n-grams than BUCKETS junk is rejected still, and clean documents outside the target stay."""
+    import random
+
+    monkeypatch.setattr(quality, "BUCKETS", 64)
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"word{min(rng.randrange(60), rng.randrange(60))}" for _ in range(120)), "a") for i in range(300)]
+    rows += [(1000 + i, " ".join(f"junk{rng.randrange(5000)}" for _ in range(120)), "a") for i in range(60)]
+    df = frame(spark, rows, clash=False)
+    marked = quality.trusted_rows(df, spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int"))
+    kept = {r.doc_id for r in quality.judge(df, quality.fit(marked, marked["_good"])).where("kept").collect()}
+    assert not any(k >= 1000 for k in kept)
+    assert len(kept) >= 0.95 * 300
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Org/x?q#f"), (2, "https://sub.example.org/es/1"), (3, "http://example.org/en/12"), (4, "nothing"), (5, None), (6, "http://com/fr/9"), (7, "ftp://x.com/de/#a"), (8, "http://example.net"), (8, "http://example.net"), (9, "http://notorg/"), (10, "a://b://c/d")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "path", "rule", "score", "s", "say")})
