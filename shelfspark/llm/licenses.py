@@ -1,8 +1,10 @@
 """License scans by conditional compression.
 
-Blocks of a text that mention licensing (single lines, and paragraphs of several lines) are compressed alone and with each
-template as a raw zstandard dictionary. Templates are ranked by how many bytes the dictionary saves; winners in that
-order are confirmed by the exact differences of wording, and the first that is close enough names the block's license.
+Blocks of a text that mention licensing (single lines, and paragraphs of several lines) are read through windows of about
+each template's length. A window with enough of the template's words is compressed alone and with the template as a
+raw zstandard dictionary, with the same parameters, and is confirmed by the exact differences of wording. Every window of a
+block that could pass the wording check is tried, so a block's length does not matter. Where confirmed windows overlap
+the closest wording counts, and of equals the one that saves more bytes.
 
 A block's text is judged once however often it occurs: distinct blocks are found by an aggregate, judged where they
 lie, and joined back to documents.
@@ -45,13 +47,13 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
-    """Template words that the block lacks, and block words put in between matched ones."""
+def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str], range]:
+    """Template words that the block lacks, block words put in between matched ones, and where the match lies in the block."""
     runs = [r for r in difflib.SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if r.size]
     have = {i for r in runs for i in range(r.b, r.b + r.size)}
     used = {i for r in runs for i in range(r.a, r.a + r.size)}
     between = range(runs[0].a, runs[-1].a + runs[-1].size) if runs else range(0)
-    return [w for i, w in enumerate(template) if i not in have], [block[i] for i in between if i not in used]
+    return [w for i, w in enumerate(template) if i not in have], [block[i] for i in between if i not in used], between
 
 
 class Scanner:
@@ -61,26 +63,63 @@ class Scanner:
         import zstandard
 
         self.templates = {name: words(t) for name, t in templates.items()}
-        self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
+        params = zstandard.ZstdCompressionParameters.from_level(3, window_log=17, write_content_size=False, write_dict_id=False)
+        self.plain = zstandard.ZstdCompressor(compression_params=params)
         self.given = {}
-        for name, t in templates.items():
-            raw = zstandard.ZstdCompressionDict(" ".join(words(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.given[name] = zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_dict_id=False)
+        for name, t in self.templates.items():
+            raw = zstandard.ZstdCompressionDict(" ".join(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.given[name] = zstandard.ZstdCompressor(compression_params=params, dict_data=raw)
+
+    def windows(self, mine: list[str], name: str):
+        """(start, end) of every window of mine that may hold the template: it begins with a word of it and has enough of them.
+
+        A confirmed span has at most the template's words and the extra ones it may have, so no other window can pass.
+        """
+        template = self.templates[name]
+        known, need, width = set(template), len(template) - int((1 - MIN_COVER) * len(template)), len(template) + int(MAX_EXTRA * len(template))
+        at = [i for i, w in enumerate(mine) if w in known]
+        last = 0
+        for k, start in enumerate(at):
+            while last < len(at) and at[last] < start + width:
+                last += 1
+            if last - k >= need:
+                yield start, at[last - 1] + 1
+
+    def confirm(self, mine: list[str], name: str, start: int, end: int):
+        """The closest confirmed wording of the template from start to end at most: (differences, first word, end, missing, extra), or None."""
+        template = self.templates[name]
+        best = None
+        for stop in sorted({end, min(end, start + len(template)), min(end, start + len(template) - int((1 - MIN_COVER) * len(template)))}):
+            missing, extra, span = differences(mine[start:stop], template)
+            if len(missing) <= (1 - MIN_COVER) * len(template) and len(extra) <= MAX_EXTRA * len(template):
+                if best is None or len(missing) + len(extra) < best[0]:
+                    best = len(missing) + len(extra), start + span.start, start + span.stop, missing, extra
+        return best
+
+    def find(self, block: str) -> list[tuple[str, int, float, list[str], list[str]]]:
+        """License, bytes that its template saves, share of bytes, missing and extra words: one of each confirmed license.
+
+        The license of the closest wording comes first.
+        """
+        mine, found = words(block), []
+        for name, template in self.templates.items():
+            for window in self.windows(mine, name):
+                if sure := self.confirm(mine, name, *window):
+                    n, start, stop, missing, extra = sure
+                    raw = " ".join(mine[start:stop]).encode()
+                    alone = len(self.plain.compress(raw))
+                    gain = alone - len(self.given[name].compress(raw))
+                    found.append((n + len(missing) - len(template), -gain, name, start, stop, gain / alone, missing, extra))
+        out, taken = {}, set()
+        for _, less, name, start, stop, share, missing, extra in sorted(found, key=lambda x: x[:5]):
+            if taken.isdisjoint(range(start, stop)):
+                taken.update(range(start, stop))
+                out.setdefault(name, (name, -less, share, missing, extra))
+        return list(out.values())
 
     def judge(self, block: str) -> tuple[str | None, int, float, list[str], list[str]]:
-        """License (or null), bytes that its template saves, share of bytes, missing and extra words."""
-        mine = words(block)
-        raw = " ".join(mine).encode()
-        alone = len(self.plain.compress(raw))
-        saved = sorted(((alone - len(c.compress(raw)), name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-        for gain, name in saved:
-            if gain <= 0:
-                break
-            template = self.templates[name]
-            missing, extra = differences(mine, template)
-            if len(missing) <= (1 - MIN_COVER) * len(template) and len(extra) <= MAX_EXTRA * len(template):
-                return name, gain, gain / alone, missing, extra
-        return None, saved[0][0], max(0.0, saved[0][0] / alone), [], []
+        """The first of find(), or nulls and nothing saved."""
+        return next(iter(self.find(block)), (None, 0, 0.0, [], []))
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -200,6 +200,22 @@ def test_licenses(spark, docs):
     assert scanner.judge("We discussed permission to park with the neighbours for hours on end.")[0] is None
 
 
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_licenses_in_long_blocks(spark, n):
+    """Verbatim notices in the middle of one-line texts and of wrapped paragraphs."""
+    import random
+
+    rng = random.Random(n)
+    prose = [f"{rng.choice('bcdfghjk')}{rng.choice('aeiou')}word{rng.randrange(3000)}" for _ in range(n)]
+    names = ["MIT", "GPL-3.0", "Apache-2.0", "MIT-text"]
+    rows = []
+    for i, name in enumerate(names):
+        whole = prose[: n // 2] + licenses.TEMPLATES[name].split() + prose[n // 2 :]
+        rows += [(2 * i, " ".join(whole), "a"), (2 * i + 1, "\n".join(" ".join(whole[j : j + 4]) for j in range(0, len(whole), 4)), "a")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {k: names[k // 2] for k in range(8)}
+
+
 def test_mix(spark, docs):
     sized = mixing.with_sizes(docs)
     rows = mixing.mix(sized).collect()
