@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Public license notices, as their publishers word them.
+#: Public license notices, as their publishers word them, and the short wordings in use.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
@@ -35,7 +35,9 @@ TEMPLATES = {
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
-}
+    "All-rights-reserved-short": "All rights reserved.",
+    "CC0-1.0-short": "Licensed under CC0 1.0.",
+} | {f"CC-{kind}-4.0-short": f"Licensed under CC {kind} 4.0." for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")}
 #: A block is a candidate if it has one of these, in any case; each template has one.
 CUES = r"(?i)licen[cs]|copyright|permission|permitted|redistribut|all rights reserved|free software"
 #: Least share of a template's words that the block must have, in order, and most further words within the matched span.

@@ -216,6 +216,22 @@ def test_licenses_in_long_blocks(spark, n):
     assert got == {k: names[k // 2] for k in range(8)}
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_licenses_of_whole_tables(spark, sf):
+    """Every document's licenses are those whose wordings are in its text, and no license line stays without one."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    wordings = {name: f" {' '.join(licenses.words(t))} " for name, t in licenses.TEMPLATES.items()}
+    rows = licenses.scan(table).collect()
+    want = []
+    for r in table.collect():
+        body = f" {' '.join(licenses.words(r.text or ''))} "
+        has = {name for name, w in wordings.items() if w in body}
+        has -= {a for a in has for b in has if a != b and wordings[a] in wordings[b]}
+        want.append((r.doc_id, ",".join(sorted(has))))
+    assert order([(r.doc_id, r.licenses) for r in rows]) == order(want)
+    assert any(r.licenses == "All-rights-reserved-short" for r in rows) and any(r.licenses == "CC-BY-NC-4.0-short" for r in rows)
+
+
 def test_mix(spark, docs):
     sized = mixing.with_sizes(docs)
     rows = mixing.mix(sized).collect()
