@@ -61,6 +61,8 @@ def differences(block: list[str], template: list[str]) -> tuple[list[str], list[
 class Scanner:
     """Compressors for all templates, made once a worker."""
 
+    NONE = (None, 0, 0.0, [], [])
+
     def __init__(self, templates: dict[str, str]) -> None:
         import zstandard
 
@@ -121,7 +123,7 @@ class Scanner:
 
     def judge(self, block: str) -> tuple[str | None, int, float, list[str], list[str]]:
         """The first of find(), or nulls and nothing saved."""
-        return next(iter(self.find(block)), (None, 0, 0.0, [], []))
+        return next(iter(self.find(block)), self.NONE)
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,7 +135,10 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def judge_blocks(distinct: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """block, license, saved_bytes, saved_share, missing, extra of each distinct block."""
+    """block, nth, license, saved_bytes, saved_share, missing, extra: a row for each license of each distinct block.
+
+    nth counts a block's rows from 0; a block without a license has one row, whose license is null.
+    """
     templates = templates or TEMPLATES
 
     def judge(batches):
@@ -141,18 +146,18 @@ def judge_blocks(distinct: DataFrame, templates: dict[str, str] | None = None) -
 
         scanner = Scanner(templates)
         for batch in batches:
-            found = [scanner.judge(b) for b in batch.column(0).to_pylist()]
-            kinds = [pa.string(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
+            found = [(b, nth, *f) for b in batch.column(0).to_pylist() for nth, f in enumerate(scanner.find(b) or [scanner.NONE])]
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["block", "license", "saved_bytes", "saved_share", "missing", "extra"])
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "nth", "license", "saved_bytes", "saved_share", "missing", "extra"])
 
-    return distinct.select("block").mapInArrow(judge, "block string, license string, saved_bytes long, saved_share double, missing array<string>, extra array<string>")
+    return distinct.select("block").mapInArrow(judge, "block string, nth int, license string, saved_bytes long, saved_share double, missing array<string>, extra array<string>")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row for each row of docs: key, n_candidates, n_confirmed, licenses, saved_bytes, n_differences.
 
-    licenses has the confirmed names, sorted and comma-joined, empty for none; saved_bytes the most that a confirmed
+    n_confirmed counts every license of every block; licenses has their names, sorted and comma-joined, empty for none; saved_bytes the most that a confirmed
     template saves; n_differences the fewest words that differ. Null and empty texts have no candidates. Repeated rows and
     rows with one or no key are scanned one by one; equal blocks get equal verdicts; other columns are ignored.
     """
@@ -162,7 +167,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
     rows = found.join(judged, found["block"] == judged["_b"], "left")
     sure = F.col("license").isNotNull()
     out = rows.groupBy("_row", key).agg(
-        F.count("block").alias("n_candidates"),
+        F.count(F.when(F.col("nth") == 0, 1)).alias("n_candidates"),
         F.count("license").alias("n_confirmed"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
         F.coalesce(F.max(F.when(sure, F.col("saved_bytes"))), F.lit(0)).cast("long").alias("saved_bytes"),

@@ -216,6 +216,14 @@ def test_licenses_in_long_blocks(spark, n):
     assert got == {k: names[k // 2] for k in range(8)}
 
 
+def test_licenses_of_one_block(spark):
+    """A block with several notices has them all; a notice that is part of a longer one is not counted again."""
+    t = licenses.TEMPLATES
+    rows = [(1, f"{t['MIT']} {t['Apache-2.0']}", "a"), (2, f"dual: {t['GPL-3.0']} or {t['MPL-2.0']} and {t['MIT']}", "a"), (3, t["Apache-2.0-header"], "a"), (4, t["CC-BY-SA-4.0"], "a"), (5, "some license", "a")]
+    got = {r.doc_id: (r.n_candidates, r.n_confirmed, r.licenses, r.n_differences) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {1: (1, 2, "Apache-2.0,MIT", 0), 2: (1, 3, "GPL-3.0,MIT,MPL-2.0", 0), 3: (1, 1, "Apache-2.0-header", 0), 4: (1, 1, "CC-BY-SA-4.0", 0), 5: (1, 0, "", None)}
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_licenses_of_whole_tables(spark, sf):
     """Every document's licenses are those whose wordings are in its text, and no license line stays without one."""
