@@ -6,7 +6,7 @@ the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm import decontam, jaccard, mixing, quality, sst
@@ -32,14 +32,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least identifier of each near-duplicate class; of rows that repeat it, one.
+    """Keep one document of each near-duplicate class: that with the least identifier, of its texts that with the least hash.
 
-    Documents without an identifier are kept if their class has no other.
+    A document without an identifier is kept if its class has no other; of equal documents one. Documents without words are
+    in no class and are all kept.
     """
-    classes = materialize(jaccard.near_duplicates(docs), "classes")
-    leads = classes.where("doc_id = class_id or class_id is null").select(F.col("doc_id").alias("_k")).distinct()
-    kept = docs.select(COLUMNS).join(leads, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    rows = materialize(jaccard.classed_rows(docs), "classes").select("doc_id", "text_hash", "class_no")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    leads = rows.where("class_no is not null").groupBy("class_no").agg(first.alias("x")).select(F.col("x.doc_id").alias("_k"), F.col("x.text_hash").alias("_h"), F.lit(False).alias("_bare"))
+    bare = rows.where("class_no is null").select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h"), F.lit(True).alias("_bare")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_k")) & jaccard.text_hash(F.col("text")).eqNullSafe(F.col("_h"))
+    kept = docs.select(COLUMNS).join(leads.union(bare), same)
+    apart = F.when(F.col("_bare"), F.monotonically_increasing_id())  # of equal rows with words one is kept, of others each
+    copies = Window.partitionBy("_k", "_h", "_apart").orderBy("lang", "source", "n_chars")
+    return kept.withColumn("_apart", apart).withColumn("_nth", F.row_number().over(copies)).where("_nth = 1").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def _text_hash(text: Column) -> Column:
+def text_hash(text: Column) -> Column:
     """128 bits, so that no two texts of even a very large corpus share a value."""
     return F.unhex(F.md5(text.cast("binary")))
 
@@ -121,7 +121,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             sigs = signatures(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sigs], pa.binary())], names=["k", "text_hash", "digest", "n", "sig"])
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), _text_hash(F.col(text)).alias("text_hash"), F.col(text).cast("binary").alias("t"))
+    rows = docs.select(F.col(key).cast("long").alias("k"), text_hash(F.col(text)).alias("text_hash"), F.col(text).cast("binary").alias("t"))
     return rows.mapInArrow(sketch, "k long, text_hash binary, digest binary, n long, sig binary")
 
 
@@ -209,16 +209,8 @@ def link_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.groupBy("component", "chunk_a", "chunk_b").applyInArrow(compare, "rid long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: key, class_id, n_links, n_copies.
-
-    class_id is the least key among all rows that links connect to this one, itself included; n_links the number of other
-    rows with similarity 0.8 or more, exact copies included; n_copies of the rows with the very same shingle set.
-
-    Null or empty texts, and texts without words, have no shingles: they link to nothing and are their own class. Texts of
-    fewer than five words have all their words as one shingle. Repeated rows are copies. A null key counts as a row but
-    names a class only if the class has no other, so class_id can be null. Other columns are ignored.
-    """
+def classed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """near_duplicates, and of each row text_hash (null for a null text) and class_no, which tells classes apart: null without shingles."""
     sketched = materialize(sketches(docs, key, text), "sketches")
     grouped = sketched.where("digest is not null").groupBy("digest").agg(F.min("k").alias("first_key"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("sig").alias("sig"))
     classes = materialize(grouped.withColumn("rid", F.monotonically_increasing_id()), "classes")
@@ -234,7 +226,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     member = materialize(member.join(totals, "component").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")), "members")
 
     # one text stands for a class; copies of it are reduced to one where they are read
-    texts = docs.select(F.col(text).cast("binary").alias("t"), _text_hash(F.col(text)).alias("text_hash"))
+    texts = docs.select(F.col(text).cast("binary").alias("t"), text_hash(F.col(text)).alias("text_hash"))
     found = texts.join(member.select("text_hash", "rid"), "text_hash").groupBy("rid").agg(F.first("t").alias("t"))
     sets = with_shingles(found, ["rid"]).join(member, "rid")
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
@@ -246,7 +238,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     joined = components(linked.select(F.col("rid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rid")
     named = classes.select("rid", "digest", "first_key", "copies").join(degree, "rid", "left").join(joined, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     least = named.groupBy("component").agg(F.min("first_key").alias("class_id"))
-    named = named.join(least, "component").select("digest", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = sketched.select("k", "digest").join(named, "digest", "left")
+    named = named.join(least, "component").select("digest", "component", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    out = sketched.select("k", "text_hash", "digest").join(named, "digest", "left")
     alone = F.col("digest").isNull()
-    return out.select(F.col("k").alias(key), F.when(alone, F.col("k")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+    return out.select(F.col("k").alias(key), F.when(alone, F.col("k")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), "text_hash", F.col("component").alias("class_no"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs: key, class_id, n_links, n_copies.
+
+    class_id is the least key among all rows that links connect to this one, itself included; n_links the number of other
+    rows with similarity 0.8 or more, exact copies included; n_copies of the rows with the very same shingle set.
+
+    Null or empty texts, and texts without words, have no shingles: they link to nothing and are their own class. Texts of
+    fewer than five words have all their words as one shingle. Repeated rows are copies. A null key counts as a row but
+    names a class only if the class has no other, so class_id can be null. Other columns are ignored.
+    """
+    return classed_rows(docs, key, text).select(key, "class_id", "n_links", "n_copies")

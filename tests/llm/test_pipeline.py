@@ -38,6 +38,17 @@ def test_near_duplicates(spark, docs):
     assert len(kept) == len(set(kept)) and {102, 103, 104} <= set(kept)
 
 
+def test_near_duplicates_of_null_and_repeated_identifiers(spark, docs):
+    """Different texts stay, whether they have no identifier or one and the same; copies of an identified document go."""
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (7, text("c")), (8, text("d")), (8, text("e")), (9, text("d")), (None, None), (None, ""), (None, ""), (3, "..."), (3, "...")]
+    df = spark.createDataFrame([(k, t, "en", "s0", 1) for k, t in rows], docs.schema)
+    out = corpus_pipeline.near_duplicate_join(spark, df, SF)
+    want = [(None, text("a")), (None, text("b")), (7, text("c")), (8, text("d")), (8, text("e")), (None, None), (None, ""), (None, ""), (3, "..."), (3, "...")]
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=key) == sorted(want, key=key)
+
+
 def test_decontamination(spark, docs):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first()
     dirty = spark.createDataFrame([(900, item.text, "en", "s0", 1), (901, item.text + " filler" * 5000, "en", "s0", 1)], docs.schema)
