@@ -5,24 +5,31 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; with whole documents as rows this keeps a Python worker small.
 BATCH_ROWS = 256
+#: Most rows of a slim side that is broadcast: of a few numbers each they take some 64 MB.
+BROADCAST_ROWS = 1_000_000
+_made = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (local tests) a folder of our own is made and announced
-    as checkpoint folder; it is removed when the process ends.
+    Only where that is unset and the master is local (tests) a folder of our own is made and announced
+    as checkpoint folder; it is removed when the process ends. On a cluster the setting is needed.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="shelfspark-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
@@ -32,7 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.paths = [*getattr(_made, "paths", []), path]
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +60,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """materialize(build()); whatever else build has put below the shared folder is deleted then."""
+    before = set(getattr(_made, "paths", []))
+    out = materialize(build(), name)
+    *passed, kept = [p for p in _made.paths if p not in before]
+    for path in passed:
+        remove(spark, path)
+    _made.paths = [*(p for p in _made.paths if p in before), kept]
+    return out
+
+
+def small_side(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """stored, a written table of slim rows, to be broadcast if it has no more than most rows; beyond that the join is left to Spark."""
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
 def spread_files(files: DataFrame, per_task: int = 2) -> DataFrame:
     """Deal a stored list of files to tasks, per_task to each.
 
@@ -97,8 +128,12 @@ def ascii_lower(text: Column) -> Column:
 
 def spaced_words(text: Column) -> Column:
     """Array of the runs [^\\x20\\x09-\\x0D]+ of text; empty for null."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]"), "")
+
+
+def text_hash(text: Column) -> Column:
+    """128 bits, so that no two texts of even a very large corpus share a value."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 #: bytes.translate table: A-Z to a-z, every other ASCII character that is no digit or letter to a space.
