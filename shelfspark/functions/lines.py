@@ -25,7 +25,7 @@ DOUBLE_ONE_DOT = r"(?<!\p{L})(\p{L})\.(\p{L})(?!\.)\s+(?=\p{L}{2,})"
 INITIALS = r"^(\p{L}\.\s*){1,4}\p{L}?\.?$"
 
 _LOOK = LOOKALIKES.replace("|", r"\|")
-_CYRILLIC, _LATIN = r"[\x{0400}-\x{052F}&&\p{L}]", r"[\x{0000}-\x{024F}&&\p{L}]"
+_NOT_CYRILLIC, _NOT_LATIN = r"[\P{L}[^\x{0400}-\x{052F}]]", r"[\P{L}[^\x{0000}-\x{024F}]]"
 #: Stand-ins for brackets that may be stripped; both are code points that no text has.
 _SHUT, _OPEN = "\ufdd0", "\ufdd1"
 
@@ -51,12 +51,12 @@ def strip_unbalanced(s: Column) -> Column:
 
         return let(marked, ends)
 
-    return let(body, strip)
+    return F.when(body.rlike(r"[()\[\]{}]"), let(body, strip)).otherwise(body)
 
 
 def clean(s: Column) -> Column:
     """A line trimmed, without junk and unbalanced brackets at its ends, and with single spaces."""
-    t = F.translate(trimmed(F.coalesce(s, F.lit(""))), "\u00a0", " ")
+    t = F.replace(trimmed(F.coalesce(s, F.lit(""))), F.lit("\u00a0"), F.lit(" "))
     t = F.regexp_replace(F.regexp_replace(t, f"^[{JUNK}]+", ""), f"[{JUNK}]+$", "")
     return trimmed(F.regexp_replace(strip_unbalanced(t), r"\s+", " "))
 
@@ -73,30 +73,38 @@ def looks_like_initials(s: Column) -> Column:
     return F.coalesce(trimmed(s).rlike(INITIALS), F.lit(False))
 
 
-def count_of(s: Column, pattern: str) -> Column:
-    return F.regexp_count(F.coalesce(s, F.lit("")), F.lit(pattern))
+def count_of(s: Column, others: str) -> Column:
+    """Number of characters of s that the character class others does not have: whole runs of others are cut out at once."""
+    return F.length(F.regexp_replace(F.coalesce(s, F.lit("")), f"{others}+", ""))
 
 
 def letters(s: Column) -> Column:
-    return count_of(s, r"\p{L}")
+    return count_of(s, r"\P{L}")
 
 
 def digits(s: Column) -> Column:
-    return count_of(s, r"\p{Nd}")
+    return count_of(s, r"\P{Nd}")
 
 
 def alnum(s: Column) -> Column:
-    return count_of(s, r"[\p{L}\p{Nd}]")
+    return count_of(s, r"[^\p{L}\p{Nd}]")
+
+
+def cyrillic(s: Column) -> Column:
+    return count_of(s, _NOT_CYRILLIC)
+
+
+def latin(s: Column) -> Column:
+    return count_of(s, _NOT_LATIN)
 
 
 def has_useful_word(s: Column) -> Column:
     """A run of five letters, two runs of four, or a single run that has four."""
-    runs = F.transform(F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(r"(\p{L}+)"), 1), lambda r: F.length(r))
-    return let(runs, lambda n: F.exists(n, lambda k: k >= 5) | (F.size(F.filter(n, lambda k: k >= 4)) >= 2) | ((F.size(n) == 1) & F.exists(n, lambda k: k >= 4)))
+    return F.coalesce(s, F.lit("")).rlike(r"(?s)\p{L}{5}|\p{L}{4}.*\p{L}{4}|\A\P{L}*\p{L}{4}\P{L}*\z")
 
 
 def mixed_scripts(s: Column) -> Column:
-    return (count_of(s, _CYRILLIC) >= 2) & (count_of(s, _LATIN) >= 2)
+    return (cyrillic(s) >= 2) & (latin(s) >= 2)
 
 
 def number_like(s: Column) -> Column:
@@ -111,7 +119,7 @@ def gibberish(s: Column) -> Column:
 def math_noise(s: Column) -> Column:
     """A line that is rather a formula: by its words and signs, or by the share of brackets and operators."""
     s = F.coalesce(s, F.lit(""))
-    brackets, ops, chars = count_of(s, r"[()\[\]{}]"), count_of(s, r"[=+*/^_<>|\\×−]"), letters(s) + digits(s)
+    brackets, ops, chars = count_of(s, r"[^()\[\]{}]"), count_of(s, r"[^=+*/\^_<>|\\×−]"), letters(s) + digits(s)
     by_sign = s.rlike(MATH) & (letters(s) < 8)
     return (s != "") & (by_sign | ((brackets >= 2) & (chars < 6)) | ((ops + brackets >= 3) & (chars <= ops + brackets + 3)))
 
@@ -132,20 +140,22 @@ def _as_digits(t: Column) -> Column:
 def collapse_digits(s: Column) -> Column:
     """A cleaned line in which digit tokens, and lookalikes beside them, are joined to numbers.
 
-    A number with fewer than two real digits is dropped.
+    A number with fewer than two real digits is dropped. A fold numbers the runs of tokens that belong together, one small struct a
+    token; the runs are then put together once.
     """
     kinds = lambda ts: F.transform(ts, lambda t: F.struct(t.alias("t"), _digit_token(t).alias("d"), ((F.length(t) == 1) & t.rlike(f"^[{_LOOK}]$")).alias("l"), _as_digits(t).alias("n"), digits(t).alias("r")))
-    join = lambda out, x: F.when(out == "", x).otherwise(F.concat(out, F.lit(" "), x))
-    flush = lambda a: F.when((a["num"] != "") & (a["real"] >= 2), join(a["out"], a["num"])).otherwise(a["out"])
-    state = lambda out, num, real: F.struct(out.alias("out"), num.alias("num"), real.alias("real"))
+    number = lambda num, real: F.when((num != "") & (real >= 2), F.array(num)).otherwise(F.array().cast("array<string>"))
+    state = lambda num, real, out: F.struct(num.alias("num"), real.alias("real"), out.alias("out"))
 
     def fold(ts: Column) -> Column:
         ahead = F.transform(ts, lambda x, i: F.struct(x["t"].alias("t"), x["n"].alias("n"), x["r"].alias("r"), x["d"].alias("d"), x["l"].alias("l"), F.coalesce(F.get(ts, i + 1)["d"], F.lit(False)).alias("next")))
         taken = lambda a, x: x["d"] | (x["l"] & ((a["real"] > 0) | x["next"]))
-        step = lambda a, x: F.when(taken(a, x), state(a["out"], F.concat(a["num"], x["n"]), a["real"] + x["r"])).otherwise(state(join(flush(a), x["t"]), F.lit(""), F.lit(0)))
-        return F.aggregate(ahead, state(F.lit(""), F.lit(""), F.lit(0)), step, flush)
+        none = F.array().cast("array<string>")
+        step = lambda a, x: F.when(taken(a, x), state(F.concat(a["num"], x["n"]), a["real"] + x["r"], a["out"])).otherwise(state(F.lit(""), F.lit(0), F.concat(a["out"], number(a["num"], a["real"]), F.array(x["t"]))))
+        return F.aggregate(ahead, state(F.lit(""), F.lit(0), none), step, lambda a: F.array_join(F.concat(a["out"], number(a["num"], a["real"])), " "))
 
-    return let(clean(s), lambda c: F.when(c == "", "").otherwise(let(kinds(F.split(c, r"\s+")), fold)))
+    # without a digit or lookalike in a token of its own nothing is joined
+    return let(clean(s), lambda c: F.when(~c.rlike(rf"(?:^|\s)[\p{{Nd}}{_LOOK}.,:\-]+(?:\s|$)"), c).otherwise(let(kinds(F.split(c, r"\s+")), fold)))
 
 
 def digit_run(s: Column) -> Column:
@@ -157,7 +167,8 @@ def digit_run(s: Column) -> Column:
 
 
 def mostly_digits(s: Column) -> Column:
-    return let(collapse_digits(s), lambda c: (F.length(digit_run(c)) >= 4) & (letters(c) <= 1))
+    """Whether a collapsed line is a number of four digits or more with a letter at most. A line of fewer than two real digits is none."""
+    return F.when(digits(s) >= 2, let(collapse_digits(s), lambda c: (F.length(digit_run(c)) >= 4) & (letters(c) <= 1))).otherwise(False)
 
 
 def explode_number(s: Column) -> Column:
@@ -182,7 +193,7 @@ def script_mismatch(s: Column, family: Column) -> Column:
     """Whether a line of at least two letters has no letter of the family's script; for CYRILLIC and LATIN only."""
 
     def judge(t: Column) -> Column:
-        cyr, lat = count_of(t, _CYRILLIC), count_of(t, _LATIN)
+        cyr, lat = cyrillic(t), latin(t)
         other = letters(t) - cyr - lat
         wrong = F.when(family == "CYRILLIC", (cyr == 0) & (lat >= 2) & (other == 0)).when(family == "LATIN", (lat == 0) & (cyr >= 2) & (other == 0)).otherwise(False)
         return wrong & ~looks_like_initials(t) & ~mostly_digits(t)

@@ -10,7 +10,7 @@ from ..sources.lines import LOCATED, located
 from .registry import query
 
 _TRIM = "regexp_replace({}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
-_JUNK = "[|_=\\-•·«»\"''“”]+"
+_JUNK = "[" + L.JUNK.replace("'", "''") + "]+"
 _SHUT, _OPEN = "\ufdd0", "\ufdd1"
 
 
@@ -54,7 +54,7 @@ def _flags(c: str) -> dict[str, str]:
     useful = f"(length(list_filter({runs}, lambda x: x >= 5)) >= 1 OR {four} >= 2 OR (length({runs}) = 1 AND {four} = 1))"
     ini = f"regexp_full_match({_TRIM.format(c)}, '(\\p{{L}}\\.\\s*){{1,4}}\\p{{L}}?\\.?')"
     num = f"({d} >= 4 AND {l} <= 1)"
-    math = f"({c} <> '' AND ((regexp_matches({c}, '(?i)(sgn|chi|sin|cos|tan|log|exp)\\b|[χλφψ]|[_^=]') AND {l} < 8) OR ({br} >= 2 AND {l} + {d} < 6) OR ({op} + {br} >= 3 AND {l} + {d} <= {op} + {br} + 3)))"
+    math = f"({c} <> '' AND ((regexp_matches({c}, '{L.MATH}') AND {l} < 8) OR ({br} >= 2 AND {l} + {d} < 6) OR ({op} + {br} >= 3 AND {l} + {d} <= {op} + {br} + 3)))"
     mixed = f"({cyr} >= 2 AND {lat} >= 2)"
     return {
         "initials": ini, "useful": useful, "mixed": mixed, "gibberish": f"({c} <> '' AND NOT {ini} AND NOT {num} AND NOT {useful})", "math": math,

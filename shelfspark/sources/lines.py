@@ -13,8 +13,14 @@ LOCATED = """SELECT doc_id AS page_id, ((i - 1) % 4)::INT AS attempt, (i - 1)::I
 
 
 def located(spark, sf_dir: str) -> DataFrame:
-    """page_id, attempt, ordinal, text, top, left, height and confidence of every line of documents."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
+    """page_id, attempt, ordinal, text, top, left, height and confidence of every line of documents.
+
+    Of a table that is read in fewer tasks than there are cores the documents are dealt anew before they are cut.
+    """
+    docs, cores = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
+    rows = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
     return rows.select(
         "page_id", (F.col("ordinal") % 4).cast("int").alias("attempt"), "ordinal", "text", F.expr("cast(ordinal div 4 * 17 + page_id % 5 as int)").alias("top"),
         (F.col("ordinal") % 3 * 40).cast("int").alias("left"), (10 + F.col("page_id") % 9).cast("int").alias("height"), ((F.col("page_id") * 31 + F.col("ordinal") * 17) % 100).cast("float").alias("confidence"),
