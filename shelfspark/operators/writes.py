@@ -1,6 +1,6 @@
 """Writes of the catalogue as merges of DataFrames: the state goes in, the new state comes out.
 
-Nothing is collected. New identifiers continue after the largest one in the order of the input's ordinal, and are
+Nothing is collected; save_books writes out what several of its results need. New identifiers continue after the largest one in the order of the input's ordinal, and are
 dealt in blocks of ordinals, so that numbering does not pass through one task.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.strings import blank_to_null, present
 from ..sources.catalogue import Catalogue
 from ..sources.schemas import BASE_TYPES, BOOK_TYPES, DETAIL_TYPES
+from ..storage import materialize
 
 #: Ordinals that are numbered together.
 BLOCK = 1 << 16
@@ -42,7 +43,11 @@ def first_of(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
 
 def insert_ignore(table: DataFrame, new: DataFrame, unique: str, ordinal: str = "ordinal") -> DataFrame:
     """table and those rows of new whose unique key is neither there nor earlier in new; null keys never conflict."""
-    fresh = first_of(new, unique, ordinal).join(table.select(unique), unique, "left_anti")
+    return _with_fresh(table, first_of(new, unique, ordinal), unique, ordinal)
+
+
+def _with_fresh(table: DataFrame, new: DataFrame, unique: str, ordinal: str) -> DataFrame:
+    fresh = new.join(table.select(unique), unique, "left_anti")
     return table.unionByName(number(fresh, table, ordinal).select(table.columns))
 
 
@@ -72,7 +77,7 @@ def get_or_create(dimension: DataFrame, rows: DataFrame, name: str, ordinal: str
     """dimension with a row for each trimmed, non-blank name of rows that it lacks, in order of first use."""
     wanted = rows.select(blank_to_null(F.col(name)).alias("name"), F.col(ordinal).alias("ordinal")).where("name is not null")
     wanted = wanted.groupBy("name").agg(F.min("ordinal").alias("ordinal"))
-    return insert_ignore(dimension, wanted, "name")
+    return _with_fresh(dimension, wanted, "name", "ordinal")
 
 
 def save_books(c: Catalogue, forms: DataFrame) -> tuple[Catalogue, DataFrame]:
@@ -83,18 +88,22 @@ def save_books(c: Catalogue, forms: DataFrame) -> tuple[Catalogue, DataFrame]:
     of its row is saved. Of several updates of one book the earliest counts. Status: saved or isbn_conflict.
     """
     rows = forms.withColumn("_id", F.when(F.coalesce(F.col("id"), F.lit(0)) != 0, F.col("id")))
-    key = F.when(present(F.col("isbn")), F.col("isbn"))
+    rows = rows.withColumn("_key", F.when(present(F.col("isbn")), F.col("isbn")))
+    # a form without ISBN meets no book; a key of its own keeps all of them from one task
+    alone = F.concat(F.lit("\u0000"), F.col("ordinal").cast("string"))
     held = c.books.where("isbn is not null").select(F.col("isbn").alias("_isbn"), F.col("id").alias("_holder"))
-    rows = rows.join(held, key == F.col("_isbn"), "left")
+    rows = rows.join(held, F.coalesce("_key", alone) == F.col("_isbn"), "left")
     clash = F.col("_isbn").isNotNull() & ~F.col("_holder").eqNullSafe(F.col("_id"))
-    rows = rows.withColumn("_clash", clash).withColumn("_key", F.when(~F.col("_clash"), key))
-    again = F.row_number().over(Window.partitionBy("_key", F.when(F.col("_key").isNull(), F.col("ordinal"))).orderBy("ordinal")) > 1
-    rows = rows.withColumn("_clash", F.col("_clash") | again)
+    rows = rows.withColumn("_clash", clash).withColumn("_key", F.coalesce(F.when(~F.col("_clash"), F.col("_key")), alone))
+    again = F.row_number().over(Window.partitionBy("_key").orderBy("ordinal")) > 1
+    rows = materialize(rows.withColumn("_clash", F.col("_clash") | again).drop("_isbn", "_holder", "_key"), "forms")
     status = rows.select("ordinal", F.when(F.col("_clash"), "isbn_conflict").otherwise("saved").alias("status"))
-    good = rows.where(~F.col("_clash")).drop("_isbn", "_holder", "_clash", "_key")
-    authors, publishers = get_or_create(c.authors, good, "author_name", "ordinal"), get_or_create(c.publishers, good, "publisher_name", "ordinal")
+    good = rows.where(~F.col("_clash")).drop("_clash")
+    authors, publishers = (materialize(get_or_create(d, good, f"{n}_name", "ordinal"), f"{n}s") for d, n in ((c.authors, "author"), (c.publishers, "publisher")))
     a, p = authors.select(F.col("id").alias("author_id"), F.col("name").alias("_an")), publishers.select(F.col("id").alias("publisher_id"), F.col("name").alias("_pn"))
-    linked = good.drop("author_id", "publisher_id").join(a, blank_to_null(F.col("author_name")) == F.col("_an"), "left").join(p, blank_to_null(F.col("publisher_name")) == F.col("_pn"), "left")
+    name = lambda n: F.coalesce(blank_to_null(F.col(n)), alone)
+    linked = good.drop("author_id", "publisher_id").join(a, name("author_name") == F.col("_an"), "left").join(p, name("publisher_name") == F.col("_pn"), "left")
+    linked = materialize(linked.drop("_an", "_pn"), "linked")
     changed = first_of(linked.where("_id is not null").withColumn("id", F.col("_id")), "id", "ordinal").select(c.books.columns)
     fresh = number(linked.where("_id is null").drop("id"), c.books, "ordinal").select(c.books.columns)
     return Catalogue(update_rows(c.books, changed).unionByName(fresh), authors, publishers), status
