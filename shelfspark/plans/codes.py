@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import identifiers as ids
 from ..functions import metadata as meta
+from ..operators.codes import first_hits
 from ..sources.catalogue import derived, table, with_views
 from .registry import query
 
@@ -94,11 +96,9 @@ _SEEN = "SELECT id // 7 AS frame, id, raw, (id * 37 % 640)::DOUBLE AS cx, (id *
 def zone_hits(spark, sf_dir):
     from ..functions.strings import trimmed
 
-    seen = codes(spark, sf_dir).select(F.expr("id div 7").alias("frame"), "id", trimmed(F.col("raw")).alias("raw"), (F.col("id") * 37 % 640).cast("double").alias("cx"), (F.col("id") * 53 % 480).cast("double").alias("cy"), F.expr("cast(id div 7 % 4 * 90 as int)").alias("rotation"))
+    seen = codes(spark, sf_dir).select(F.expr("id div 7").alias("frame"), "id", "raw", (F.col("id") * 37 % 640).cast("double").alias("cx"), (F.col("id") * 53 % 480).cast("double").alias("cy"), F.expr("cast(id div 7 % 4 * 90 as int)").alias("rotation"))
     zone = F.struct(F.lit(140.0).alias("l"), F.lit(660.0).alias("t"), F.lit(940.0).alias("r"), F.lit(1260.0).alias("b"))
-    hit = ids.in_zone(F.col("cx"), F.col("cy"), F.col("rotation"), F.lit(640.0), F.lit(480.0), F.lit(1080.0), F.lit(1920.0), zone)
-    first = F.row_number().over(Window.partitionBy("frame").orderBy("id"))
-    return seen.where((F.length("raw") >= 3) & hit).withColumn("k", first).where("k = 1").select("frame", "id", "raw")
+    return first_hits(seen, zone, (640.0, 480.0), (1080.0, 1920.0)).select("frame", "id", "raw")
 
 
 #: Lookup answers made from parts: documents with one book, empty documents, broken text, failures.
@@ -107,8 +107,12 @@ _ANSWERS = f"SELECT p_partkey, p_name, p_brand, p_type, p_size, CASE WHEN p_part
 
 
 def answers(spark, sf_dir) -> DataFrame:
-    table(spark, sf_dir, "part").createOrReplaceTempView("_part_answers")
-    return spark.sql(_ANSWERS.replace("FROM part", "FROM _part_answers"))
+    view = f"_answers_{uuid.uuid4().hex}"  # of no other query
+    table(spark, sf_dir, "part").createTempView(view)
+    try:
+        return spark.sql(_ANSWERS.replace("FROM part", f"FROM {view}"))
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 _STATUS = "CASE WHEN p_partkey % 10 = 1 THEN 'NOT_FOUND' WHEN p_partkey % 10 IN (2, 3, 5) THEN 'NETWORK_ERROR' WHEN p_partkey % 10 = 4 THEN 'NOT_FOUND' ELSE 'SUCCESS' END"
