@@ -26,6 +26,20 @@ def coloured(spark, sf_dir) -> DataFrame:
     return images(spark, sf_dir).withColumns({"r": F.col("v"), "g": g, "b": b})
 
 
+#: Drawn images of 48 x 60, one a supplier: a light cover on a dark ground, upright, slanted or over all rows, or nothing.
+_L, _T, _R, _B = "4 + img_id % 7", "5 + img_id * 3 % 9", "42 - img_id * 5 % 8", "54 - img_id * 7 % 10"
+_NOISE = "(x * x * 7 + y * y * 13 + x * y * (img_id % 17)) % 11"
+_SLANTED = f"5 * x + y >= 5 * ({_L} + 8) AND 5 * x + y < 5 * ({_R} + 2) AND 5 * y - x >= 5 * ({_T} - 3) AND 5 * y - x < 5 * ({_B} - 12)"
+_COVER = f"CASE img_id % 4 WHEN 3 THEN 90 WHEN 1 THEN CASE WHEN {_SLANTED} THEN 190 ELSE 40 END ELSE CASE WHEN x >= {_L} AND x < {_R} AND (img_id % 4 = 2 OR y >= {_T} AND y < {_B}) THEN 190 ELSE 40 END END + {_NOISE}"
+_DRAWN = f"WITH px AS (SELECT img_id, x, y, 48 AS w, 60 AS h, ({_COVER})::INT AS v FROM (SELECT s_suppkey AS img_id, p % 48 AS x, p // 48 AS y FROM supplier, range(2880) r(p)))"
+
+
+def drawn(spark, sf_dir) -> DataFrame:
+    """img_id, w, h and v of the drawn images."""
+    px = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("img_id"), F.sequence(F.lit(0), F.lit(2879)).alias("i"))
+    return px.select("img_id", F.lit(48).alias("w"), F.lit(60).alias("h"), F.expr(f"transform(transform(i, p -> struct(p % 48 AS x, p div 48 AS y)), q -> cast({_COVER.replace('x ', 'q.x ').replace('y ', 'q.y ')} as int))").alias("v"))
+
+
 def lined(spark, sf_dir) -> DataFrame:
     """Pages of lines of eleven rows with ten between, inked where an embedding's value is positive."""
     e = F.col("embedding")
@@ -129,12 +143,12 @@ def blur(spark, sf_dir):
     return _out(images(spark, sf_dir), grid.blur(F.col("v"), F.col("w"), F.col("h")))
 
 
-def _around(s: str, v: str = "v") -> str:
-    """Neighbour values n(dx)(dy) of each pixel by windows over rows of eight."""
+def _around(s: str, v: str = "v", width: int = 8) -> str:
+    """Neighbour values n(dx)(dy) of each pixel by windows over rows of width."""
     cols = []
     for dy in (-1, 0, 1):
         for dx in (-1, 0, 1):
-            k = dy * 8 + dx
+            k = dy * width + dx
             f = "lag" if k < 0 else "lead"
             cols.append(f"{f}({v}, {abs(k)}) OVER o AS n{dx + 1}{dy + 1}")
     return f"SELECT *, {', '.join(cols)} FROM {s} WINDOW o AS (PARTITION BY img_id ORDER BY y, x)"
@@ -143,12 +157,18 @@ def _around(s: str, v: str = "v") -> str:
 _GX = "n20 - n00 + 2 * n21 - 2 * n01 + n22 - n02"
 _GY = "n02 + 2 * n12 + n22 - n00 - 2 * n10 - n20"
 _IN = "x > 0 AND y > 0 AND x < w - 1 AND y < h - 1"
-_SOBEL = f"""{_PX}, s AS (SELECT img_id, x, y, w, h, CASE WHEN {_IN} THEN sqrt((({_GX}) * ({_GX}) + ({_GY}) * ({_GY}))::DOUBLE) ELSE 0 END AS mag, CASE WHEN {_IN} THEN degrees(atan2(({_GY})::DOUBLE, ({_GX})::DOUBLE)) ELSE 0 END AS a0 FROM ({_around('px')})),
+
+
+def _sobel_of(px: str, width: int) -> str:
+    return f"""{px}, s AS (SELECT img_id, x, y, w, h, CASE WHEN {_IN} THEN sqrt((({_GX}) * ({_GX}) + ({_GY}) * ({_GY}))::DOUBLE) ELSE 0 END AS mag, CASE WHEN {_IN} THEN degrees(atan2(({_GY})::DOUBLE, ({_GX})::DOUBLE)) ELSE 0 END AS a0 FROM ({_around('px', width=width)})),
 so AS (SELECT *, CASE WHEN a < 22.5 OR a >= 157.5 THEN 0 WHEN a < 67.5 THEN 1 WHEN a < 112.5 THEN 2 ELSE 3 END AS dir FROM (SELECT *, CASE WHEN a0 < 0 THEN a0 + 180 ELSE a0 END AS a FROM s))"""
 
 
-def _sobel(spark, sf_dir) -> DataFrame:
-    return images(spark, sf_dir).select("img_id", "w", "h", grid.sobel(F.col("v"), F.col("w"), F.col("h")).alias("g"))
+_SOBEL = _sobel_of(_PX, 8)
+
+
+def _sobel(spark, sf_dir, of=images) -> DataFrame:
+    return of(spark, sf_dir).select("img_id", "w", "h", grid.sobel(F.col("v"), F.col("w"), F.col("h")).alias("g"))
 
 
 @query(f"{_SOBEL} SELECT img_id, x::INT AS x, y::INT AS y, round(mag, 6) AS mag, dir FROM so")
@@ -157,7 +177,11 @@ def sobel(spark, sf_dir):
     return _sobel(spark, sf_dir).select("img_id", F.inline(flat))
 
 
-_NMS = f"""{_SOBEL}, nm AS (SELECT *, {_IN} AND mag > 0 AND mag >= CASE dir WHEN 0 THEN n01 WHEN 1 THEN n20 WHEN 2 THEN n10 ELSE n00 END AND mag >= CASE dir WHEN 0 THEN n21 WHEN 1 THEN n02 WHEN 2 THEN n12 ELSE n22 END AS keep FROM ({_around('so', 'mag')}))"""
+def _nms_of(px: str, width: int) -> str:
+    return f"""{_sobel_of(px, width)}, nm AS (SELECT *, {_IN} AND mag > 0 AND mag >= CASE dir WHEN 0 THEN n01 WHEN 1 THEN n20 WHEN 2 THEN n10 ELSE n00 END AND mag >= CASE dir WHEN 0 THEN n21 WHEN 1 THEN n02 WHEN 2 THEN n12 ELSE n22 END AS keep FROM ({_around('so', 'mag', width)}))"""
+
+
+_NMS = _nms_of(_PX, 8)
 
 
 @query(f"{_NMS} SELECT img_id, x::INT AS x, y::INT AS y, coalesce(keep, FALSE) AS v FROM nm")
@@ -165,7 +189,11 @@ def nms(spark, sf_dir):
     return _out(_sobel(spark, sf_dir), grid.thin(F.col("g"), F.col("w"), F.col("h")))
 
 
-_CLASSES = f"{_NMS}, cl AS (SELECT img_id, x, y, w, h, mag, CASE WHEN NOT coalesce(keep, FALSE) THEN 0 WHEN mag >= hi THEN 2 WHEN mag >= 0.4 * hi THEN 1 ELSE 0 END AS c FROM (SELECT *, greatest(28, 0.18 * max(mag) OVER (PARTITION BY img_id)) AS hi FROM nm))"
+def _classes_of(px: str, width: int) -> str:
+    return f"{_nms_of(px, width)}, cl AS (SELECT img_id, x, y, w, h, mag, CASE WHEN NOT coalesce(keep, FALSE) THEN 0 WHEN mag >= hi THEN 2 WHEN mag >= 0.4 * hi THEN 1 ELSE 0 END AS c FROM (SELECT *, greatest(28, 0.18 * max(mag) OVER (PARTITION BY img_id)) AS hi FROM nm))"
+
+
+_CLASSES = _classes_of(_PX, 8)
 
 
 @query(f"""WITH RECURSIVE {_CLASSES.removeprefix("WITH ")}, gr AS (SELECT img_id, x, y FROM cl WHERE c = 2 UNION SELECT c.img_id, c.x, c.y FROM gr JOIN cl c ON c.img_id = gr.img_id AND c.c = 1 AND abs(c.x - gr.x) <= 1 AND abs(c.y - gr.y) <= 1)
@@ -187,17 +215,22 @@ def hough_votes(spark, sf_dir):
     return hough.votes(_edges(spark, sf_dir))
 
 
-def _edges(spark, sf_dir) -> DataFrame:
-    rows = _sobel(spark, sf_dir)
+def _edges(spark, sf_dir, of=images) -> DataFrame:
+    rows = _sobel(spark, sf_dir, of)
     both = F.arrays_zip(F.col("g").alias("g"), grid.edge_classes(F.col("g"), F.col("w"), F.col("h")).alias("c"))
     px = rows.select("img_id", "w", "h", F.posexplode(both).alias("i", "p")).where("p.c = 2")
-    return px.select("img_id", "w", "h", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.col("p.g.mag").alias("mag"))
+    return px.select("img_id", "w", "h", (F.col("i") % F.col("w")).alias("x"), F.expr("cast(i div w as int)").alias("y"), F.col("p.g.mag").alias("mag"))
 
 
-@query()
+_VOTES = f"SELECT img_id, w, h, t::INT AS theta, floor(x * cos(radians(t)) + y * sin(radians(t)) + 0.5)::INT AS rho, count(*)::INT AS votes FROM cl, range(180) r(t) WHERE c = 2 AND mag >= 20 AND {_IN} GROUP BY ALL"
+
+
+@query(f"""{_classes_of(_DRAWN, 48)}, vt AS ({_VOTES}), st AS (SELECT * FROM (SELECT *, max(votes) OVER (PARTITION BY img_id) AS most FROM vt) WHERE votes >= greatest(18, floor(0.22::DOUBLE * most)) AND abs(rho) < ceil(sqrt((w * w + h * h)::DOUBLE)))
+SELECT * FROM (SELECT img_id, theta, rho, votes, row_number() OVER (PARTITION BY img_id ORDER BY votes DESC, theta, rho)::INT AS rank FROM st a
+    WHERE NOT EXISTS (SELECT 1 FROM vt b WHERE b.img_id = a.img_id AND (b.theta - a.theta + 182) % 180 <= 4 AND abs(b.rho - a.rho) <= 2 AND b.votes > a.votes)) WHERE rank <= 24""")
 def hough_peaks(spark, sf_dir):
-    """Peaks of the votes; vote ties make their order float-sensitive, so it is compared by brute force in the tests."""
-    return hough.peaks(hough.votes(_edges(spark, sf_dir)), images(spark, sf_dir).select("img_id", "w", "h"))
+    """The strongest lines of drawn images."""
+    return hough.peaks(hough.votes(_edges(spark, sf_dir, drawn)), drawn(spark, sf_dir).select("img_id", "w", "h"))
 
 
 @query(f"""{_SOBEL}, en AS (SELECT img_id, 'r' AS k, y AS i, h AS n, sum(mag) AS e FROM so GROUP BY ALL UNION ALL SELECT img_id, 'c', x, w, sum(mag) FROM so GROUP BY ALL),
@@ -215,7 +248,8 @@ def side_energy(spark, sf_dir):
 
 @query()
 def side_scan(spark, sf_dir):
-    g = _sobel(spark, sf_dir).select("img_id", "w", "h", F.transform("g", lambda x: x["mag"]).alias("m"))
+    """Sides of drawn images; sums of magnitudes decide, whose last digits depend on their order, so it is tested against plain sums."""
+    g = _sobel(spark, sf_dir, drawn).select("img_id", "w", "h", F.transform("g", lambda x: x["mag"]).alias("m"))
     return g.select("img_id", grid.side_scan(F.col("m"), F.col("w"), F.col("h")).alias("quad"))
 
 
@@ -283,8 +317,8 @@ def image_sizes(spark, sf_dir):
 
 @query()
 def cover_quads(spark, sf_dir):
-    """The whole cover detection, which mixes expressions, votes and searches within an image."""
-    return covers.detect(images(spark, sf_dir))
+    """The whole cover detection of drawn images, which mixes expressions, votes and searches within an image."""
+    return covers.detect(drawn(spark, sf_dir))
 
 
 @query()

@@ -100,3 +100,112 @@ def test_cover(spark):
     want = [14, 15, 56, 15, 56, 75, 14, 75]
     assert max(abs(x - y) for x, y in zip(rows[0].quad, want, strict=True)) <= 4 and rows[0].method != "inset"
     assert rows[1].method == "sides" and rows[1].quad == [2, 2, 67, 2, 67, 87, 2, 87]  # without any edge the outermost lines count
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def pictures(spark):
+    from shelfspark.plans.grid import drawn
+
+    return {r.img_id: np.array(r.v).reshape(r.h, r.w) for r in drawn(spark, SF).collect()}
+
+
+def corners(k):
+    """Of the cover drawn in image k; None where that has no four sides."""
+    left, top, right, bottom = 4 + k % 7, 5 + k * 3 % 9, 42 - k * 5 % 8, 54 - k * 7 % 10
+    if k % 4 == 1:
+        at = lambda u, v: [(5 * u - v) / 26, (u + 5 * v) / 26]
+        u0, u1, v0, v1 = 5 * (left + 8), 5 * (right + 2), 5 * (top - 3), 5 * (bottom - 12)
+        return [*at(u0, v0), *at(u1, v0), *at(u1, v1), *at(u0, v1)]
+    return [left, top, right, top, right, bottom, left, bottom] if k % 4 == 0 else None
+
+
+def magnitudes(a):
+    a = a.astype(float)
+    out = np.zeros(a.shape)
+    gx = a[:-2, 2:] - a[:-2, :-2] + 2 * (a[1:-1, 2:] - a[1:-1, :-2]) + a[2:, 2:] - a[2:, :-2]
+    gy = a[2:, :-2] + 2 * a[2:, 1:-1] + a[2:, 2:] - a[:-2, :-2] - 2 * a[:-2, 1:-1] - a[:-2, 2:]
+    out[1:-1, 1:-1] = np.sqrt(gx * gx + gy * gy)
+    return out
+
+
+def test_drawn_covers(spark):
+    """On drawn images the quad found is the one drawn, by more than one method."""
+    from shelfspark.plans import QUERIES
+
+    rows = QUERIES["cover_quads"](spark, SF).collect()
+    assert len(rows) == len(pictures(spark)) and len({r.method for r in rows}) >= 2 and any(r.method != "inset" for r in rows)
+    for r in rows:
+        if want := corners(r.img_id):
+            assert max(abs(a - b) for a, b in zip(r.quad, want, strict=True)) <= 5, (r.img_id, r.method, r.quad, want)
+
+
+def test_side_scan(spark):
+    """The strongest smoothed row and column sums of the outer thirds, by plain sums."""
+    from shelfspark.plans import QUERIES
+
+    def end(e, low, high, last):
+        part = np.round(e[low : high + 1], 6)
+        return high - int(part[::-1].argmax()) if last else low + int(part.argmax())
+
+    pics = pictures(spark)
+    for r in QUERIES["side_scan"](spark, SF).collect():
+        m, found = magnitudes(pics[r.img_id]), []
+        for axis, n in ((1, m.shape[0]), (0, m.shape[1])):
+            e = m.sum(axis)
+            smooth = e.copy()
+            smooth[1:-1] = (e[:-2] + 2 * e[1:-1] + e[2:]) / 4
+            found += [end(smooth, 2, min(max(3, n // 3), n - 1), False), end(smooth, max(min(n - 3, n * 2 // 3), 0), n - 3, True)]
+        top, bottom, left, right = found
+        wide = right - left >= m.shape[1] * 0.22 and bottom - top >= m.shape[0] * 0.22
+        assert r.quad == ([left, top, right, top, right, bottom, left, bottom] if wide else None)
+
+
+def test_lines_by_voting(spark):
+    """Peaks are the lines that no stronger one is beside, and their quads lie on the drawn sides."""
+    from shelfspark.operators import hough
+    from shelfspark.plans.grid import _edges, drawn
+
+    votes, sizes = hough.votes(_edges(spark, SF, drawn)), drawn(spark, SF).select("img_id", "w", "h")
+    table = {}
+    for r in votes.collect():
+        table.setdefault(r.img_id, {})[r.theta, r.rho] = r.votes
+    want = set()
+    for img, v in table.items():
+        least = max(18, int(0.22 * max(v.values())))
+        strong = {k for k, n in v.items() if n >= least and not any(v.get(((k[0] + a) % 180, k[1] + b), 0) > n for a in range(-2, 3) for b in range(-2, 3))}
+        ranked = sorted(strong, key=lambda k: (-v[k], k))[:24]
+        want |= {(img, *k, v[k], i + 1) for i, k in enumerate(ranked)}
+    got = hough.peaks(votes, sizes)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 10
+    for r in hough.quads(got, sizes).collect():
+        assert any(np.allclose(r.quad, q, atol=1e-6) for q in widest([p for p in sorted(want, key=lambda p: p[4]) if p[0] == r.img_id], 48, 60))
+
+
+def widest(lines, w, h):
+    """Quads of all upright and level pairs whose distances from the origin differ most, among the eight strongest of each."""
+
+    def pairs(some, n, place):
+        both = [(a, b) for i, a in enumerate(some[:8]) for b in some[i + 1 : 8]]
+        most = max((abs(a[2] - b[2]) for a, b in both), default=0)
+        return [sorted(p, key=place) for p in both if abs(p[0][2] - p[1][2]) == most >= 0.18 * n]
+
+    def meet(a, b):
+        (ta, ra), (tb, rb) = ((np.radians(x[1]), x[2]) for x in (a, b))
+        return np.linalg.solve([[np.cos(ta), np.sin(ta)], [np.cos(tb), np.sin(tb)]], [ra, rb])
+
+    at = lambda p, c, s, n: (p[2] - n / 2 * s(np.radians(p[1]))) / c(np.radians(p[1]))
+    upright = pairs([p for p in lines if p[1] < 35 or p[1] > 145], w, lambda p: at(p, np.cos, np.sin, h))
+    level = pairs([p for p in lines if 55 < p[1] < 125], h, lambda p: at(p, np.sin, np.cos, w))
+    return [np.concatenate([meet(t, l), meet(t, r), meet(b, r), meet(b, l)]) for l, r in upright for t, b in level]  # noqa: E741
+
+
+def test_dark_images_on_a_sampled_grid(spark):
+    """Images so large that the border and a step above one count."""
+    for a in (RNG.integers(0, 120, (200, 150)), RNG.integers(60, 256, (200, 150)), np.where(RNG.random((130, 260)) < 0.38, 20, 200)):
+        h, w = a.shape
+        part = a[h // 12 : h - h // 12 : max(1, h // 48), w // 12 : w - w // 12 : max(1, w // 48)].ravel()
+        dark, bright = (part <= 80).sum(), (part >= 150).sum()
+        want = dark * 5 >= len(part) * 2 or (dark > bright and part.sum() // len(part) < 120)
+        assert one(image(spark, a), grid.mostly_dark(F.col("v"), F.col("w"), F.col("h"))) == want
