@@ -4,24 +4,27 @@ Two texts are linked if their sets of five-word shingles have a Jaccard similari
 
 1. Every whole text becomes a digest of its shingle set, the set's size and a MinHash signature. Texts with one set form
    a class, one row from here on; its copies are counted, never paired.
-2. Signatures are cut into bands; classes that share a band are candidates. Each class is joined to the least class of
-   its bands (a star, never all pairs), and components of that graph say which classes may meet at all. With 30 bands of
-   4 values a pair at the threshold shares no band with probability 1e-7, more similar pairs with less.
-3. The members of a component are dealt to chunks of bounded size and each pair of chunks is one group. Within it
-   candidates' MinHash values are compared a few at a time; a pair is dropped once the posterior probability, under a
-   uniform prior, that its similarity reaches the threshold falls below TOLERANCE. The rest is verified exactly on
-   the shingle sets. A group returns link counts and a spanning forest of its links, never pairs.
-4. Components of the verified links are the near-duplicate classes.
+2. Signatures are cut into bands; classes that share a band are candidates. Groups of the same classes, which most bands of a
+   set of copies make, count once. With 30 bands of 4 values a pair at the threshold shares no band with probability 1e-7, more
+   similar pairs with less.
+3. Within a group candidates' MinHash values are compared a few at a time; a pair is dropped as soon as the posterior
+   probability, under a uniform prior, that its similarity reaches the threshold falls below TOLERANCE. A group returns a
+   spanning forest of the pairs that stay; components of all forests say which classes may be linked at all.
+4. The members of a component meet with their shingle sets, are pruned in the same way, and what stays is verified exactly.
+   A group returns link counts and a spanning forest of its links, never pairs.
+5. Components of the verified links are the near-duplicate classes.
+
+In 3 and 4 the members of a large group are dealt to chunks of bounded size, and each pair of chunks is compared by itself.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, folded_words, materialize, small_batches
+from .common import WordHashes, folded_words, materialize, small_batches, small_side, text_hash
 from .graph import components
 
 SHINGLE = 5
@@ -101,9 +104,19 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def text_hash(text: Column) -> Column:
-    """128 bits, so that no two texts of even a very large corpus share a value."""
-    return F.unhex(F.md5(text.cast("binary")))
+def survivors(sig, a: int, later, keep: list[int]):
+    """Those of the rows later of sig that stay candidates of row a, comparing STEP values at a time."""
+    import numpy as np
+
+    met = np.zeros(len(later), "i4")
+    for step, least in enumerate(keep):
+        at = slice(step * STEP, (step + 1) * STEP)
+        met += (sig[later, at] == sig[a, at]).sum(1, dtype="i4")
+        stay = met >= least
+        later, met = later[stay], met[stay]
+        if not len(later):
+            break
+    return later
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -142,106 +155,166 @@ def with_shingles(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.mapInArrow(pack, T.StructType([*rows.schema.fields[:-1], T.StructField("grams", T.BinaryType())]))
 
 
+def forest(ids, sig, split: int, keep: list[int]):
+    """Candidates of one group: (position, position of the root) in a spanning forest of the pairs that stay.
+
+    Rows before split meet those from split on; with split 0 all rows meet. What a pair already connected would add is nothing,
+    so it is not compared.
+    """
+    import numpy as np
+
+    label = np.arange(len(ids))
+    for a in range(split or len(ids) - 1):
+        later = np.arange(split or a + 1, len(ids))
+        later = survivors(sig, a, later[label[later] != label[a]], keep)
+        if len(later):
+            joined = np.unique(np.append(label[later], label[a]))
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def _grouped(batches, columns: list[str]):
+    """Tables of whole groups from Arrow batches whose rows are sorted by columns; holds one group and a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in columns])
+        starts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [batch.num_rows]])
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            part = batch.slice(lo, hi - lo)
+            if held and any(part.column(c)[0] != held[0].column(c)[0] for c in columns):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _signatures_of(table):
+    import numpy as np
+
+    return np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(table.num_rows, HASHES)
+
+
+def candidate_edges(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v) of a spanning forest of each group's candidates. groups: hash, chunk_a, chunk_b, chunk, rid, sig."""
+    keep, by = least_matches(threshold), ["hash", "chunk_a", "chunk_b"]
+
+    def prune(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for table in _grouped(batches, by):
+            ids, chunk = table["rid"].to_numpy(), table["chunk"].to_numpy()
+            two = table["chunk_a"][0] != table["chunk_b"][0]
+            split = int(np.searchsorted(chunk, table["chunk_b"][0].as_py())) if two else 0
+            if two and not 0 < split < len(ids):
+                continue
+            root = forest(ids, _signatures_of(table), split, keep)
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["u", "v"])
+
+    return groups.repartition(*by).sortWithinPartitions(*by, "chunk", "rid").mapInArrow(prune, "u long, v long")
+
+
+def in_chunks(members: DataFrame) -> DataFrame:
+    """A row of members for each pair of chunks that it takes part in: chunk_a, chunk_b and chunk. members has chunks, their number."""
+    chunk = F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")
+    rows = members.withColumn("chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.withColumns({"chunk_a": F.least("chunk", "_other"), "chunk_b": F.greatest("chunk", "_other")}).drop("_other", "chunks")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(node, component): which of classes(rid, sig) may be linked; those that are in no pair that stays are left out."""
+    width = 4 * BAND
+    of_band = lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width)))
+    bands = classes.select("rid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), of_band)).alias("hash"))
+    groups = bands.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("least"), F.bit_xor(F.xxhash64("rid")).alias("who")).where("m > 1")
+    once = materialize(groups.groupBy("m", "least", "who").agg(F.min("hash").alias("hash")).select("hash", "m"), "groups")
+    members = materialize(bands.join(small_side(once), "hash").select("hash", F.ceil(F.col("m") / CHUNK_ROWS).cast("int").alias("chunks"), F.col("rid").alias("_rid")), "band-members")
+    rows = classes.select("rid", "sig").join(small_side(members), F.col("rid") == F.col("_rid")).drop("_rid")
+    return components(candidate_edges(in_chunks(rows)))
+
+
 def link_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Compare the classes of each pair of chunks; (rid, links, root) of every class with a link there.
 
     rows: component, chunk_a, chunk_b, chunk, rid, copies, sig, grams. links adds up the copies of linked classes; root is
     the least class that rid's links reach within the group.
     """
-    keep = least_matches(threshold)
+    keep, by = least_matches(threshold), ["component", "chunk_a", "chunk_b"]
 
-    def compare(table):
+    def compare(batches):
         import numpy as np
         import pyarrow as pa
 
-        ids, chunk = table["rid"].to_numpy(), table["chunk"].to_numpy()
-        copies = table["copies"].to_numpy()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(len(ids), HASHES)
-        grams = [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()]
-        order = np.lexsort((ids, chunk))
-        ids, chunk, copies, sig, grams = ids[order], chunk[order], copies[order], sig[order], [grams[i] for i in order]
-        size = np.array([len(g) for g in grams])
-        flat, at = np.concatenate(grams), np.concatenate([[0], np.cumsum(size)])
-        cross = table["chunk_a"][0].as_py() != table["chunk_b"][0].as_py()
-        split = int(np.searchsorted(chunk, table["chunk_b"][0].as_py())) if cross else len(ids)
-        links, root = np.zeros(len(ids), "i8"), np.arange(len(ids))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for a in range(split):
-            low = split if cross else a + 1
-            if low == len(ids):
-                break
-            same = sig[low:] == sig[a]
-            left = np.flatnonzero(same.reshape(-1, BANDS, BAND).all(2).any(1))
-            met = np.zeros(len(left), "i8")
-            for step, least in enumerate(keep):
-                met += same[left, step * STEP : (step + 1) * STEP].sum(1)
-                stay = met >= least
-                left, met = left[stay], met[stay]
-                if not len(left):
-                    break
-            left = left + low
-            left = left[(np.minimum(size[left], size[a]) >= threshold * np.maximum(size[left], size[a]) - 1e-9)]
-            if not len(left):
+        for table in _grouped(batches, by):
+            ids, chunk, copies, sig = table["rid"].to_numpy(), table["chunk"].to_numpy(), table["copies"].to_numpy(), _signatures_of(table)
+            grams = [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()]
+            size = np.array([len(g) for g in grams])
+            flat, at = np.concatenate(grams), np.concatenate([[0], np.cumsum(size)])
+            two = table["chunk_a"][0] != table["chunk_b"][0]
+            split = int(np.searchsorted(chunk, table["chunk_b"][0].as_py())) if two else 0
+            if two and not 0 < split < len(ids):
                 continue
-            near = np.concatenate([flat[at[b] : at[b + 1]] for b in left])
-            spot = np.searchsorted(grams[a], near)
-            hit = grams[a][np.minimum(spot, size[a] - 1)] == near
-            common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[left])[:-1]]), dtype="i8")
-            linked = left[common >= threshold * (size[a] + size[left] - common) - 1e-9]
-            links[a] += copies[linked].sum()
-            links[linked] += copies[a]
-            for b in linked:
-                i, j = sorted((find(a), find(int(b))))
-                root[j] = i
-        kept = np.flatnonzero(links)
-        least = {}
-        for i in kept:
-            r = find(int(i))
-            least[r] = min(least.get(r, ids[i]), ids[i])
-        return pa.table({"rid": ids[kept], "links": links[kept], "root": pa.array([least[find(int(i))] for i in kept], pa.int64())})
-
-    return rows.groupBy("component", "chunk_a", "chunk_b").applyInArrow(compare, "rid long, links long, root long")
+            links, label = np.zeros(len(ids), "i8"), np.arange(len(ids))
+            for a in range(split or len(ids) - 1):
+                left = survivors(sig, a, np.arange(split or a + 1, len(ids)), keep)
+                left = left[np.minimum(size[left], size[a]) >= threshold * np.maximum(size[left], size[a]) - 1e-9]
+                if not len(left):
+                    continue
+                near = np.concatenate([flat[at[b] : at[b + 1]] for b in left])
+                spot = np.searchsorted(grams[a], near)
+                hit = grams[a][np.minimum(spot, size[a] - 1)] == near
+                common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[left])[:-1]]), dtype="i8")
+                linked = left[common >= threshold * (size[a] + size[left] - common) - 1e-9]
+                if len(linked):
+                    links[a] += copies[linked].sum()
+                    links[linked] += copies[a]
+                    joined = np.unique(np.append(label[linked], label[a]))
+                    label[np.isin(label, joined)] = joined[0]
+            kept = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(links[kept]), pa.array(ids[label[kept]])], names=["rid", "links", "root"])
+
+    small_batches(rows.sparkSession)
+    rows = rows.select(*by, "chunk", "rid", "copies", "sig", "grams")
+    return rows.repartition(*by).sortWithinPartitions(*by, "chunk", "rid").mapInArrow(compare, "rid long, links long, root long")
 
 
 def classed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """near_duplicates, and of each row text_hash (null for a null text) and class_no, which tells classes apart: null without shingles."""
     sketched = materialize(sketches(docs, key, text), "sketches")
-    grouped = sketched.where("digest is not null").groupBy("digest").agg(F.min("k").alias("first_key"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("sig").alias("sig"))
+    first = F.min(F.struct(F.col("k").isNull(), "k", "text_hash")).alias("lead")  # one row stands for a class
+    grouped = sketched.where("digest is not null").groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.first("sig").alias("sig"))
+    grouped = grouped.select("digest", F.col("lead.k").alias("first_key"), F.xxhash64("lead.k", "lead.text_hash").alias("row"), "copies", "n", "sig")
     classes = materialize(grouped.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
-    width = 4 * BAND
-    bands = classes.select("rid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))).alias("band", "hash"))
-    shared = bands.groupBy("band", "hash").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "hash", "hub")
-    stars = bands.join(shared, ["band", "hash"]).where("rid <> hub").select(F.col("rid").alias("u"), F.col("hub").alias("v"))
-    met = materialize(components(stars), "candidates")
-
-    member = classes.join(met, classes["rid"] == met["node"]).select("component", "rid", "text_hash", "copies", "n", "sig")
+    met = materialize(candidates(classes), "candidates")
+    member = classes.join(small_side(met), classes["rid"] == met["node"]).select("component", "rid", "row", "copies", "n", "sig")
     totals = member.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_ROWS, F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
-    member = materialize(member.join(totals, "component").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")), "members")
+    member = materialize(member.join(totals, "component"), "members")
 
-    # one text stands for a class; copies of it are reduced to one where they are read
-    texts = docs.select(F.col(text).cast("binary").alias("t"), text_hash(F.col(text)).alias("text_hash"))
-    found = texts.join(member.select("text_hash", "rid"), "text_hash").groupBy("rid").agg(F.first("t").alias("t"))
+    texts = docs.select(F.col(text).cast("binary").alias("t"), F.xxhash64(F.col(key).cast("long"), text_hash(F.col(text))).alias("row"))
+    found = texts.join(small_side(member.select("row", "rid")), "row").groupBy("rid").agg(F.first("t").alias("t"))  # repeated rows are one
     sets = with_shingles(found, ["rid"]).join(member, "rid")
-    each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    paired = sets.select("component", "rid", "copies", "chunk", "sig", "grams", each)
-    paired = paired.select("component", F.least("chunk", "other").alias("chunk_a"), F.greatest("chunk", "other").alias("chunk_b"), "chunk", "rid", "copies", "sig", "grams")
-    linked = materialize(link_groups(paired), "links")
+    linked = materialize(link_groups(in_chunks(sets)), "links")
 
     degree = linked.groupBy("rid").agg(F.sum("links").alias("links"))
     joined = components(linked.select(F.col("rid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rid")
     named = classes.select("rid", "digest", "first_key", "copies").join(degree, "rid", "left").join(joined, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    least = named.groupBy("component").agg(F.min("first_key").alias("class_id"))
-    named = named.join(least, "component").select("digest", "component", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = sketched.select("k", "text_hash", "digest").join(named, "digest", "left")
-    alone = F.col("digest").isNull()
-    return out.select(F.col("k").alias(key), F.when(alone, F.col("k")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), "text_hash", F.col("component").alias("class_no"))
+    named = materialize(named, "degrees")
+    least = materialize(named.groupBy("component").agg(F.min("first_key").alias("class_id")), "least")
+    named = materialize(named.join(least, "component").select("digest", "component", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "named")
+    rows = sketched.select("k", "text_hash", "digest")
+    out = rows.where("digest is not null").join(named, "digest").select(F.col("k").alias(key), "class_id", F.col("links").cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"), "text_hash", F.col("component").alias("class_no"))
+    none = F.lit(None).cast("long")
+    alone = rows.where("digest is null").select(F.col("k").alias(key), F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "text_hash", none.alias("class_no"))
+    return out.union(alone)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
