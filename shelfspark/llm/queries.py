@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, jaccard, licenses, mixing, quality, sharding, sst, token_counts, urls, warc
 from .common import materialize, table
@@ -34,9 +35,9 @@ def op6_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_epoch_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "source", "size")
+    docs = mixing.with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", F.md5(F.coalesce("text", F.lit(""))).alias("salt"))
     slim = materialize(mixing.weighed(docs, table(spark, sf_dir, "labels")), "sizes")
-    return mixing.mix(slim, slim["_quality"]).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(slim, slim["_quality"], salt=slim["salt"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

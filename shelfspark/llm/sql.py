@@ -54,7 +54,7 @@ MIX = rf"""
 WITH q AS (SELECT doc_id AS k, CASE min(quality) WHEN 1 THEN {mixing.GOOD} WHEN 0 THEN {mixing.BAD} ELSE {mixing.UNKNOWN} END::DOUBLE AS w FROM labels GROUP BY doc_id),
 d AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-        -ln((('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / {float(1 << 48)!r}) / coalesce(w, {mixing.UNKNOWN})::DOUBLE AS key
+        -ln((('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5) / {float(1 << 48)!r}) / coalesce(w, {mixing.UNKNOWN})::DOUBLE AS key
     FROM documents LEFT JOIN q ON k = doc_id
 ),
 p AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
