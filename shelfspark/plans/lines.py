@@ -83,6 +83,23 @@ def line_clean(spark, sf_dir):
     return located(spark, sf_dir).select("page_id", "ordinal", L.clean(F.col("text")).alias("text"))
 
 
+#: Every kind of line break in turn, in the place of the documents' own.
+_BREAKS = ("\\r\\n", "\\n", "\\x0b", "\\x0c", "\\r", "\\u0085", "\\u2028", "\\u2029")
+_BREAK_CODES = ("chr(13) || chr(10)", "chr(10)", "chr(11)", "chr(12)", "chr(13)", "chr(133)", "chr(8232)", "chr(8233)")
+_BROKEN = f"SELECT doc_id AS page_id, replace(text, chr(10), ([{', '.join(_BREAK_CODES)}])[(doc_id % 8 + 1)::INT]) AS body FROM documents"
+
+
+@query(f"""WITH broken AS ({_BROKEN}), cut AS (SELECT page_id, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_split_to_array(body, '\\r\\n|[\\n\\x0b\\x0c\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS l FROM broken)),
+{_cleaned('cut')} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS place, c AS text FROM cutc WHERE c <> ''""")
+def split_pages(spark, sf_dir):
+    """Cleaned lines of texts with every kind of line break."""
+    from ..sources.catalogue import table
+
+    breaks = F.array(*[F.lit(b.encode().decode("unicode_escape")) for b in _BREAKS])
+    body = F.replace(F.col("text"), F.lit("\n"), F.get(breaks, (F.col("doc_id") % 8).cast("int")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(L.split_lines(body)).alias("place", "text"))
+
+
 #: Lines made of names with initials in all four ways of writing them.
 _NAMES = """SELECT p_partkey AS page_id, 0 AS ordinal, CASE p_partkey % 5 WHEN 0 THEN 'A.I. ' || p_name WHEN 1 THEN 'A I ' || p_name WHEN 2 THEN 'B . C. D.' || p_name WHEN 3 THEN p_name || ', X.Y ' || p_name ELSE '(' || p_name || ', J. R. ' || p_type END AS text FROM part"""
 

@@ -137,3 +137,16 @@ def test_live(spark, tmp_path):
     rows(2, 3).write.mode("append").parquet(src)
     run()
     assert seen == [[2], [2, 3]]
+
+
+def test_stored_answers(spark, tmp_path):
+    """Files of answers, read and turned into records."""
+    from shelfspark.functions import metadata
+    from shelfspark.sources import answers
+
+    book = '{"ISBN:1": {"title": " A book ", "authors": [{"name": "One"}],\n "publish_date": "May 1998", "subjects": [{"name": "x"}]}}'
+    for name, body in (("978-0-306-40615-7.json", book), ("0306406152.503.json", book), ("1.json", "{}"), ("2.json", ""), ("3.json", "{broken"), ("note.txt", book)):
+        (tmp_path / name).write_text(body)
+    got = {r.isbn: (r.status, r.metadata and (r.metadata.title, r.metadata.publication_year, r.metadata.isbn)) for r in metadata.lookup(answers.read(spark, f"file://{tmp_path}")).collect()}
+    assert got == {"978-0-306-40615-7": ("SUCCESS", ("A book", 1998, "9780306406157")), "0306406152": ("NETWORK_ERROR", None), "1": ("NOT_FOUND", None), "3": ("NETWORK_ERROR", None)} | {k: v for k, v in got.items() if k == "2"}
+    assert got.get("2", ("NETWORK_ERROR", None)) == ("NETWORK_ERROR", None)

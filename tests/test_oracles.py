@@ -12,7 +12,7 @@ from shelfspark.plans import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 CHOSEN = [
     "search_all", "search_author", "search_books", "book_form", "display_rows", "detailed_flag", "isbn_conflict", "classify_code", "route_scan", "zone_hits", "metadata_flat", "year_last",
-    "insert_ignore", "update_full_row", "delete_cascade", "upsert_books", "upsert_status", "migrate_2_3", "form_parse", "save_mode", "fill_if_empty", "line_clean", "line_initials", "line_flags",
+    "insert_ignore", "update_full_row", "delete_cascade", "upsert_books", "upsert_status", "migrate_2_3", "form_parse", "save_mode", "fill_if_empty", "line_clean", "split_pages", "hough_peaks", "line_initials", "line_flags",
     "digit_runs", "attempt_score", "drop_covered", "pack_for_locale", "pack_resolve", "stretch", "percentile", "enhanced", "blur", "sobel", "nms", "hysteresis", "quad_geometry", "quad_score", "quad_order", "quad_scale", "nearest_edge", "similar_line", "daily_events",
 ]
 
