@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, jaccard, licenses, mixing, quality, sharding, sst, token_counts, urls, warc
-from .common import materialize, table
+from .common import materialize, settled, table
 from .sql import ORACLE_SQL  # noqa: F401  part of this module's tables
 
 
+def _settled(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """build with its result written out, and the files that it has made on the way deleted."""
+
+    @wraps(build)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return settled(spark, lambda: build(spark, sf_dir), build.__name__)
+
+    return query
+
+
+@_settled
 def op1_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.sorted_token_table(table(spark, sf_dir, "documents"))
 
 
+@_settled
 def op2_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_settled
 def op3_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+@_settled
 def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=True).drop("text_key")
 
 
 def op5_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,10 +44,16 @@ dw AS (
 ),
 m AS (SELECT dw.doc_id, dw.s, dw.n, win.item_id FROM dw JOIN win ON dw.t = win.t AND dw.n = win.n),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id)
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id),
+t AS (SELECT item_id, unnest(list_distinct(w)) AS word, len(w) + {decontam.SLOP} AS reach, len(list_distinct(w)) AS n FROM b),
+o AS (SELECT doc_id, item_id, pos, word, reach, n FROM t JOIN (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d) USING (word)),
+a AS (SELECT doc_id, item_id FROM o GROUP BY ALL HAVING count(DISTINCT word) = any_value(n)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT x.doc_id, x.item_id FROM o x JOIN a USING (doc_id, item_id) JOIN o y ON y.doc_id = x.doc_id AND y.item_id = x.item_id AND y.pos BETWEEN x.pos AND x.pos + x.reach - 1
+    GROUP BY x.doc_id, x.item_id, x.pos HAVING count(DISTINCT y.word) = any_value(x.n)) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id
 """
 
 MIX = rf"""
