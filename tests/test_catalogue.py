@@ -150,3 +150,11 @@ def test_stored_answers(spark, tmp_path):
     got = {r.isbn: (r.status, r.metadata and (r.metadata.title, r.metadata.publication_year, r.metadata.isbn)) for r in metadata.lookup(answers.read(spark, f"file://{tmp_path}")).collect()}
     assert got == {"978-0-306-40615-7": ("SUCCESS", ("A book", 1998, "9780306406157")), "0306406152": ("NETWORK_ERROR", None), "1": ("NOT_FOUND", None), "3": ("NETWORK_ERROR", None)} | {k: v for k, v in got.items() if k == "2"}
     assert got.get("2", ("NETWORK_ERROR", None)) == ("NETWORK_ERROR", None)
+
+
+@pytest.mark.parametrize(("name", "columns"), [("all_books", ["title"]), ("all_authors", ["name"]), ("all_publishers", ["name"]), ("search_all", ["title"]), ("books_by_publisher", ["title"])])
+def test_sorted_results_are_in_order(spark, name, columns):
+    from shelfspark.plans import QUERIES
+
+    rows = [tuple((r[c] or "").encode() for c in columns) for r in QUERIES[name](spark, "/root/testdata/sf0.001").select(columns).collect()]
+    assert rows and rows == sorted(rows)
