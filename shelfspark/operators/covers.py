@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from . import contours, grid, hough, quads
 
 LEAST_SCORE = 0.08
@@ -23,9 +24,8 @@ def detect(images: DataFrame) -> DataFrame:
 
     Images come at working size (360 pixels at most). The first method wins a tie.
     """
-    g = gradients(images)
-    found = contours.with_edges(g).select("img_id", "edges", "contour")
-    g = g.join(found, "img_id")
+    g = materialize(gradients(images), "gradients")  # votes, scores and sides read them
+    g = g.drop("classes").join(materialize(contours.with_edges(g).select("img_id", "edges", "contour"), "contours"), "img_id")
     px = g.select("img_id", "w", "h", F.posexplode(F.arrays_zip("edges", "mag")).alias("i", "p")).where("p.edges")
     px = px.select("img_id", "w", "h", (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), F.col("p.mag").alias("mag"))
     sizes = images.select("img_id", "w", "h")

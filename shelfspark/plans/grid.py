@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import covers, grid, hough, quads
-from ..sources.catalogue import table
+from ..sources.catalogue import spread, table
 from .registry import query
 
 _V = "greatest(0, least(255, floor(e * 200) + 128))"
@@ -17,7 +17,7 @@ _RGB = _PX + ", rgb AS (SELECT *, v AS r, (v * 7 + x * 31) % 256 AS g, (v * 3 +
 def images(spark, sf_dir) -> DataFrame:
     """img_id, w, h and v of every embedding."""
     px = F.transform("embedding", lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(e * 200) + 128)).cast("int"))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), F.lit(8).alias("w"), F.floor(F.size("embedding") / 8).cast("int").alias("h"), px.alias("v"))
+    return spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(F.col("vec_id").alias("img_id"), F.lit(8).alias("w"), F.floor(F.size("embedding") / 8).cast("int").alias("h"), px.alias("v"))
 
 
 def coloured(spark, sf_dir) -> DataFrame:
@@ -36,7 +36,7 @@ _DRAWN = f"WITH px AS (SELECT img_id, x, y, 48 AS w, 60 AS h, ({_COVER})::INT AS
 
 def drawn(spark, sf_dir) -> DataFrame:
     """img_id, w, h and v of the drawn images."""
-    px = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("img_id"), F.sequence(F.lit(0), F.lit(2879)).alias("i"))
+    px = spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select(F.col("s_suppkey").alias("img_id"), F.sequence(F.lit(0), F.lit(2879)).alias("i"))
     return px.select("img_id", F.lit(48).alias("w"), F.lit(60).alias("h"), F.expr(f"transform(transform(i, p -> struct(p % 48 AS x, p div 48 AS y)), q -> cast({_COVER.replace('x ', 'q.x ').replace('y ', 'q.y ')} as int))").alias("v"))
 
 

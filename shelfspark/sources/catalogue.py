@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew over all cores if it is read in fewer tasks; for slim tables of which each row makes much work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, path: str) -> Catalogue:
     """Books, authors and publishers stored as Parquet below path."""
     return Catalogue(*(spark.read.parquet(f"{path}/{n}") for n in ("books", "authors", "publishers")))

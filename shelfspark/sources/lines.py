@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalogue import table
+from .catalogue import spread, table
 
 #: DuckDB definition of located().
 LOCATED = """SELECT doc_id AS page_id, ((i - 1) % 4)::INT AS attempt, (i - 1)::INT AS ordinal, t AS text, ((i - 1) // 4 * 17 + doc_id % 5)::INT AS top, ((i - 1) % 3 * 40)::INT AS "left", (10 + doc_id % 9)::INT AS height,
@@ -17,9 +17,7 @@ def located(spark, sf_dir: str) -> DataFrame:
 
     Of a table that is read in fewer tasks than there are cores the documents are dealt anew before they are cut.
     """
-    docs, cores = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        docs = docs.repartition(cores)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
     return rows.select(
         "page_id", (F.col("ordinal") % 4).cast("int").alias("attempt"), "ordinal", "text", F.expr("cast(ordinal div 4 * 17 + page_id % 5 as int)").alias("top"),
