@@ -1,45 +1,78 @@
 """License scans by conditional compression.
 
-Blocks of a text that mention licensing (single lines, and paragraphs of several lines) are read through windows of about
-each template's length. A window with enough of the template's words is compressed alone and with the template as a
-raw zstandard dictionary, with the same parameters, and is confirmed by the exact differences of wording. Every window of a
-block that could pass the wording check is tried, so a block's length does not matter. Where confirmed windows overlap
-the closest wording counts, and of equals the one that saves more bytes.
-
-A block's text is judged once however often it occurs: distinct blocks are found by an aggregate, judged where they
-lie, and joined back to documents.
+Texts are read in overlapping stretches of STRETCH bytes. A stretch is compressed alone and with all templates together as one raw
+zstandard dictionary; where that saves at least CANDIDATE_BYTES it may hold a notice, and such stretches that touch make one
+candidate block, a stretch longer at each side. A candidate block is then compressed with each template as raw dictionary. The
+templates are ranked by the bytes they save, and those that save a fair share of what they save of themselves are winners.
+Winners are confirmed by the exact differences of wording within windows of about the template's length. Where confirmed
+windows overlap the closest wording counts, and of equals the one that saves more bytes.
+
+No list of words decides on candidates, and each text is scanned in the task that reads it: nothing is shuffled. Blocks that come
+again (a notice at the head of each file) are found in a bounded memory of the worker.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import small_batches
 
-#: Public license notices, as their publishers word them, and the short wordings in use.
+#: Public license notices and texts, as their publishers word them, and the short wordings in use.
 TEMPLATES = {
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "BSD-2-Clause": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-3-Clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
+    "MIT-licensed": "This project is licensed under the MIT License.",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+    "MIT-whole": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
     "All-rights-reserved-short": "All rights reserved.",
     "CC0-1.0-short": "Licensed under CC0 1.0.",
 } | {f"CC-{kind}-4.0-short": f"Licensed under CC {kind} 4.0." for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")}
-#: A block is a candidate if it has one of these, in any case; each template has one.
-CUES = r"(?i)licen[cs]|copyright|permission|permitted|redistribut|all rights reserved|free software"
+#: Bytes of a stretch, and by how many the next one overlaps it: more than the longest notice that saves little.
+STRETCH, OVERLAP = 256, 96
+#: Shortest match that counts as saved.
+MIN_MATCH = 7
+#: Bytes that all templates together must save of a stretch; the shortest notice, three words, saves more.
+CANDIDATE_BYTES = 10
+#: A winner saves at least this share of what it saves of itself.
+WIN_SHARE = 0.5
+#: Templates, of about the same saving, that are tried together before each of them is.
+GROUP = 6
+#: Bytes of a block that is ranked at once; longer ones are ranked in pieces that overlap by twice the longest template.
+BLOCK = 8_192
 #: Least share of a template's words that the block must have, in order, and most further words within the matched span.
 MIN_COVER, MAX_EXTRA = 0.8, 0.2
 _WORD = re.compile(r"\w+(?:\.\w+)*")
@@ -59,20 +92,62 @@ def differences(block: list[str], template: list[str]) -> tuple[list[str], list[
 
 
 class Scanner:
-    """Compressors for all templates, made once a worker."""
+    """Compressors for all templates and one with a dictionary that holds nothing, made once a worker; a bounded memory of blocks that were judged."""
 
     NONE = (None, 0, 0.0, [], [])
+    LIMIT = 20_000
 
     def __init__(self, templates: dict[str, str]) -> None:
         import zstandard
 
         self.templates = {name: words(t) for name, t in templates.items()}
-        params = zstandard.ZstdCompressionParameters.from_level(3, window_log=17, write_content_size=False, write_dict_id=False)
-        self.plain = zstandard.ZstdCompressor(compression_params=params)
-        self.given = {}
-        for name, t in self.templates.items():
-            raw = zstandard.ZstdCompressionDict(" ".join(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.given[name] = zstandard.ZstdCompressor(compression_params=params, dict_data=raw)
+        plain = {name: " ".join(t).encode() for name, t in self.templates.items()}
+        # with a target length the fast strategy leaves literals as they are, so that what is saved is what the template holds
+        params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=MIN_MATCH, hash_log=15, window_log=17, write_content_size=False, write_dict_id=False)
+
+        def given(raw: bytes, size: int):
+            """A compressor with raw, after filler that no text has, as dictionary of size bytes: only equally large ones compare."""
+            filler = hashlib.shake_128(b"filler").digest(size - len(raw)).translate(bytes(range(128, 256)) * 2)
+            return zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(filler + raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+        every = b" . ".join(plain.values())
+        self.margin = max(map(len, plain.values()))
+        self.none, self.given = given(b"", self.margin), {name: given(raw, self.margin) for name, raw in plain.items()}
+        self.all, self.all_none = given(every, len(every)), given(b"", len(every))
+        self.least = {name: WIN_SHARE * self.gain(name, raw) for name, raw in plain.items()}
+        by = sorted(self.least, key=lambda n: (self.least[n], n))
+        self.groups = []
+        for names in (by[i : i + GROUP] for i in range(0, len(by), GROUP)):
+            raw = b" . ".join(plain[n] for n in names)
+            self.groups.append((names, given(raw, GROUP * self.margin), min(self.least[n] for n in names)))
+        self.group_none = given(b"", GROUP * self.margin)
+        self.known: dict[bytes, list] = {}
+
+    def gain(self, name: str, raw: bytes) -> int:
+        """Bytes that a template saves of raw."""
+        return len(self.none.compress(raw)) - len(self.given[name].compress(raw))
+
+    def blocks(self, text: str) -> list[str]:
+        """Candidate blocks of a whole text, in words: runs of stretches of which the templates save enough, and one stretch more at each side."""
+        raw = " ".join(words(text)).encode()
+        starts = range(0, max(1, len(raw) - OVERLAP), STRETCH - OVERLAP)
+        saved = [len(self.all_none.compress(part)) - len(self.all.compress(part)) for part in (raw[i : i + STRETCH] for i in starts)]
+        out, at = [], 0
+        while at < len(saved):
+            if saved[at] < CANDIDATE_BYTES:
+                at += 1
+                continue
+            end = at
+            while end + 1 < len(saved) and saved[end + 1] >= CANDIDATE_BYTES:
+                end += 1
+            lo, hi = max(0, starts[at] - STRETCH), starts[end] + 2 * STRETCH
+            lo = raw.rfind(b" ", 0, lo) + 1 if lo else 0  # whole words
+            hi = raw.find(b" ", hi) if 0 <= raw.find(b" ", hi) else len(raw)
+            if out and lo <= out[-1][1]:
+                lo = out.pop()[0]
+            out.append((lo, hi))
+            at = end + 1
+        return [raw[lo:hi].decode() for lo, hi in out]
 
     def windows(self, mine: list[str], name: str):
         """(start, end) of every window of mine that may hold the template: it begins with a word of it and has enough of them.
@@ -103,55 +178,79 @@ class Scanner:
     def find(self, block: str) -> list[tuple[str, int, float, list[str], list[str]]]:
         """License, bytes that its template saves, share of bytes, missing and extra words: one of each confirmed license.
 
-        The license of the closest wording comes first.
+        The license of the closest wording comes first. A block that is too long for one ranking is ranked in overlapping pieces.
         """
-        mine, found = words(block), []
-        for name, template in self.templates.items():
+        mine, out = words(block), {}
+        raw = " ".join(mine).encode()
+        if len(raw) <= BLOCK:
+            pieces = [mine]
+        else:
+            pieces, lo = [], 0
+            while lo < len(raw):
+                hi = raw.find(b" ", lo + BLOCK)
+                pieces.append(raw[lo : hi if hi >= 0 else len(raw)].decode().split())
+                lo = raw.rfind(b" ", 0, hi - 2 * self.margin) + 1 if hi >= 0 else len(raw)
+        for piece in pieces:
+            for found in self._winners(piece):
+                if found[0] not in out or len(found[3]) + len(found[4]) < len(out[found[0]][3]) + len(out[found[0]][4]):
+                    out[found[0]] = found
+        return sorted(out.values(), key=lambda f: (len(f[3]) + len(f[4]) - (len(self.templates[f[0]]) - len(f[3])), -f[1], f[0]))
+
+    def _winners(self, mine: list[str]) -> list[tuple]:
+        raw, found = " ".join(mine).encode(), []
+        if (before := self.known.get(raw)) is not None:
+            return before
+        # templates of which a whole group saves less than its least one must are not tried one by one
+        alone, apart = len(self.none.compress(raw)), len(self.group_none.compress(raw))
+        able = [name for names, given, least in self.groups if apart - len(given.compress(raw)) >= least for name in names]
+        ranked = sorted((len(self.given[name].compress(raw)) - alone, name) for name in able)
+        for less, name in ranked:
+            if -less < self.least[name]:
+                continue
             for window in self.windows(mine, name):
                 if sure := self.confirm(mine, name, *window):
                     n, start, stop, missing, extra = sure
-                    raw = " ".join(mine[start:stop]).encode()
-                    alone = len(self.plain.compress(raw))
-                    gain = alone - len(self.given[name].compress(raw))
-                    found.append((n + len(missing) - len(template), -gain, name, start, stop, gain / alone, missing, extra))
+                    found.append((n + len(missing) - len(self.templates[name]), less, name, start, stop, missing, extra))
         out, taken = {}, set()
-        for _, less, name, start, stop, share, missing, extra in sorted(found, key=lambda x: x[:5]):
+        for _, _, name, start, stop, missing, extra in sorted(found, key=lambda x: x[:5]):
             if taken.isdisjoint(range(start, stop)):
                 taken.update(range(start, stop))
-                out.setdefault(name, (name, -less, share, missing, extra))
-        return list(out.values())
+                if name not in out:
+                    part = " ".join(mine[start:stop]).encode()
+                    saves = self.gain(name, part)
+                    out[name] = (name, saves, saves / len(self.none.compress(part)), missing, extra)
+        if len(self.known) >= self.LIMIT:
+            self.known.clear()
+        self.known[raw] = list(out.values())
+        return self.known[raw]
 
     def judge(self, block: str) -> tuple[str | None, int, float, list[str], list[str]]:
         """The first of find(), or nulls and nothing saved."""
         return next(iter(self.find(block)), self.NONE)
 
 
-def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_row, key, block: every candidate line, and every candidate paragraph of several lines, of each row of docs."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    cut = F.when(F.col("_text").rlike(CUES), F.concat(F.split("_text", "\n"), F.filter(F.split("_text", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))))
-    found = rows.select("_row", "_key", F.explode_outer(F.filter(cut, lambda b: b.rlike(CUES))).alias("block"))
-    return found.withColumnRenamed("_key", key)
+def notices(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
+    """One row for each row of docs: key, n_candidates (blocks) and found, an array of each block's licenses.
 
-
-def judge_blocks(distinct: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """block, nth, license, saved_bytes, saved_share, missing, extra: a row for each license of each distinct block.
-
-    nth counts a block's rows from 0; a block without a license has one row, whose license is null.
+    An element of found has license, saved_bytes, saved_share, missing and extra (words that differ from the template).
     """
     templates = templates or TEMPLATES
+    small_batches(docs.sparkSession)
 
     def judge(batches):
         import pyarrow as pa
 
         scanner = Scanner(templates)
+        names = ["license", "saved_bytes", "saved_share", "missing", "extra"]
+        kind = pa.list_(pa.struct(list(zip(names, [pa.string(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())], strict=True))))
         for batch in batches:
-            found = [(b, nth, *f) for b in batch.column(0).to_pylist() for nth, f in enumerate(scanner.find(b) or [scanner.NONE])]
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
-            cols = [pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "nth", "license", "saved_bytes", "saved_share", "missing", "extra"])
+            blocks = [scanner.blocks(t) if t else [] for t in batch.column(1).to_pylist()]
+            found = [[dict(zip(names, f, strict=True)) for b in bs for f in scanner.find(b)] for bs in blocks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, blocks), pa.int64()), pa.array(found, kind)], names=["_key", "n_candidates", "found"])
 
-    return distinct.select("block").mapInArrow(judge, "block string, nth int, license string, saved_bytes long, saved_share double, missing array<string>, extra array<string>")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("t"))
+    out = rows.mapInArrow(judge, f"_key {rows.schema['_key'].dataType.simpleString()}, n_candidates long, found array<struct<license:string,saved_bytes:bigint,saved_share:double,missing:array<string>,extra:array<string>>>")
+    return out.withColumnRenamed("_key", key)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
@@ -161,16 +260,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
     template saves; n_differences the fewest words that differ. Null and empty texts have no candidates. Repeated rows and
     rows with one or no key are scanned one by one; equal blocks get equal verdicts; other columns are ignored.
     """
-    found = materialize(blocks(docs, key, text), "blocks")
-    distinct = found.where("block is not null").select("block").distinct()
-    judged = materialize(judge_blocks(distinct, templates), "judged").withColumnRenamed("block", "_b")
-    rows = found.join(judged, found["block"] == judged["_b"], "left")
-    sure = F.col("license").isNotNull()
-    out = rows.groupBy("_row", key).agg(
-        F.count(F.when(F.col("nth") == 0, 1)).alias("n_candidates"),
-        F.count("license").alias("n_confirmed"),
-        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
-        F.coalesce(F.max(F.when(sure, F.col("saved_bytes"))), F.lit(0)).cast("long").alias("saved_bytes"),
-        F.min(F.when(sure, F.size("missing") + F.size("extra"))).cast("long").alias("n_differences"),
-    )
-    return out.drop("_row")
+    each = lambda f: F.transform("found", f)
+    return notices(docs, key, text, templates).select(
+        key, "n_candidates", F.size("found").cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(each(lambda x: x["license"]))), ",").alias("licenses"),
+        F.coalesce(F.array_max(each(lambda x: x["saved_bytes"])), F.lit(0)).cast("long").alias("saved_bytes"),
+        F.array_min(each(lambda x: F.size(x["missing"]) + F.size(x["extra"]))).cast("long").alias("n_differences"),
+    )
