@@ -2,78 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import threading
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import BROADCAST_ROWS, materialize, remove, scratch, settled, shared_dir, small_side  # noqa: F401  for the operators
+
 #: Rows in one Arrow batch; with whole documents as rows this keeps a Python worker small.
 BATCH_ROWS = 256
-#: Most rows of a slim side that is broadcast: of a few numbers each they take some 64 MB.
-BROADCAST_ROWS = 1_000_000
-_made = threading.local()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset and the master is local (tests) a folder of our own is made and announced
-    as checkpoint folder; it is removed when the process ends. On a cluster the setting is needed.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="shelfspark-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.paths = [*getattr(_made, "paths", []), path]
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of any store that Spark writes to."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    This cuts the lineage: what is read later survives the loss of any executor.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
-    """materialize(build()); whatever else build has put below the shared folder is deleted then."""
-    before = set(getattr(_made, "paths", []))
-    out = materialize(build(), name)
-    *passed, kept = [p for p in _made.paths if p not in before]
-    for path in passed:
-        remove(spark, path)
-    _made.paths = [*(p for p in _made.paths if p in before), kept]
-    return out
-
-
-def small_side(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """stored, a written table of slim rows, to be broadcast if it has no more than most rows; beyond that the join is left to Spark."""
-    return F.broadcast(stored) if stored.count() <= most else stored
 
 
 def spread_files(files: DataFrame, per_task: int = 2) -> DataFrame:
@@ -103,17 +40,26 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def publish(uri: str, write) -> None:
-    """write(stream) to a private name beside uri, then move it into place.
+class Publisher:
+    """A file that is written piece by piece under a private name beside uri and moved into place when it is whole.
 
     A task that is lost or runs twice therefore never leaves half a file under the final name.
     """
-    store, path = filesystem(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part, compression=None) as out:
-        write(out)
-    store.move(part, path)
+
+    def __init__(self, uri: str) -> None:
+        self.uri = uri
+        self.store, self.path = filesystem(uri)
+        self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.out, self.bytes = self.store.open_output_stream(self.part, compression=None), 0
+
+    def write(self, data) -> None:
+        self.bytes += len(data)
+        self.out.write(data)
+
+    def finish(self) -> None:
+        self.out.close()
+        self.store.move(self.part, self.path)
 
 
 def bound(value: Column, body) -> Column:

@@ -27,12 +27,14 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filesystem, materialize, publish, scratch, small_batches, spread_files
+from .common import Publisher, filesystem, materialize, scratch, small_batches, spread_files
 
 MAGIC = b"SHSST001"
 BLOCK_BYTES = 64 << 10
@@ -184,7 +186,8 @@ class Encoder:
     the library once. Texts with a special token's string, and vocabularies of other kinds, go through the library whole.
     """
 
-    LIMIT = 1_000_000
+    #: Bytes of what is remembered, as estimated; pieces of more characters than KEPT are not.
+    LIMIT, KEPT, EACH = 200 << 20, 64, 200
 
     def __init__(self, path: str) -> None:
         import os
@@ -202,6 +205,7 @@ class Encoder:
         self.opens = np.zeros(self.library.get_vocab_size(), bool)  # tokens that begin with a blank
         self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}  # ids of a piece as little-endian 32-bit integers
+        self.size = 0
 
     def _learn(self, new: list[str]) -> None:
         import numpy as np
@@ -227,12 +231,19 @@ class Encoder:
         pieces = [_PIECES.findall(t) if self.by_piece and not any(s in t for s in self.special) else None for t in texts]
         every = set().union(*(ps for ps in pieces if ps))
         new = every.difference(self.known)
-        if len(self.known) + len(new) > self.LIMIT:
+        size = self.EACH * len(new)
+        if self.size + size > self.LIMIT:
             self.known.clear()
-            new = every
+            self.size, new = 0, every
+            size = self.EACH * len(new)
         self._learn(list(new))
         of = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(of, ps)), "<u4") if ps is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") for t, ps in zip(texts, pieces, strict=True)]
+        out = [np.frombuffer(b"".join(map(of, ps)), "<u4") if ps is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") for t, ps in zip(texts, pieces, strict=True)]
+        for p in [p for p in new if len(p) > self.KEPT]:
+            del self.known[p]
+            size -= self.EACH
+        self.size += size
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -262,8 +273,10 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str = "byte_bpe_50k.json
     key stand side by side, an empty table writes no shard; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    rows = rows.repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    # the hash of the text and a number of the row spread rows of one identifier, or of none, over ranges
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text)).alias("h"), F.monotonically_increasing_id().alias("i"), F.col(text).alias("t"))
+    order = [F.col("k").asc_nulls_first(), "h", "i"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("k", "t")
 
     def write(batches):
         import numpy as np
@@ -275,8 +288,9 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str = "byte_bpe_50k.json
 
         def close():
             name = f"{uri}/shard-{part:05d}-{seq:05d}.sst"
-            data = shard.finish()
-            publish(name, lambda out: out.write(data))
+            file = Publisher(name)
+            file.write(shard.finish())
+            file.finish()
             row = [decode_key(shard.low), decode_key(shard.high), name, shard.documents, shard.ids, part, seq]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["first_key", "last_key", "shard", "documents", "ids", "part", "seq"])
@@ -327,10 +341,13 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, keys: list[int | None]) -> DataFrame:
     """Point lookups of a short list of keys: (doc_id, ids) for each key and stored document.
 
-    Only shards whose key range and Bloom filter admit a key are searched, by binary search in the sparse index and
-    reading one block. A key without document gives no row.
+    Only shards whose key range in the manifest admits a key are opened, by a task each; those whose Bloom filter admits it are
+    searched, by binary search in the sparse index and reading one block. A key without document gives no row.
     """
     wanted = sorted(set(keys), key=encode_key)
+    from_first = lambda k: F.col("first_key").isNull() | (F.lit(k).isNotNull() & (F.col("first_key") <= F.lit(k)))
+    within = [F.coalesce(from_first(k) & (F.lit(k is None) | (F.col("last_key") >= F.lit(k))), F.lit(False)) for k in wanted]
+    able = manifest.where(reduce(or_, within, F.lit(False)))
 
     def search(batches):
         import pyarrow as pa
@@ -343,7 +360,7 @@ def lookup(manifest: DataFrame, keys: list[int | None]) -> DataFrame:
                     found = [(key, ids.tolist()) for key in wanted for ids in reader.get(key)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return manifest.select("shard").mapInArrow(search, "doc_id long, ids array<long>")
+    return spread_files(able.select("shard"), 1).mapInArrow(search, "doc_id long, ids array<long>")
 
 
 def sorted_token_table(docs: DataFrame, spark: SparkSession | None = None, uri: str | None = None) -> DataFrame:

@@ -1,11 +1,12 @@
 """WARC archives and the chunked record table.
 
-Writing: each task streams its rows into archive files of bounded size, one gzip member a record, payloads in blocks.
-Of records with equal payloads of at least MIN_SHARED bytes only the one with the least identifier carries the payload
-(response); the others are revisit records that name it. Reading: archives are streamed as rows (record, chunk number, bytes),
-each with the payload's SHA-256 up to and including that chunk, so that no task ever holds a whole payload and the digest
-of the last chunk is the record's. Files appear under their final name when whole; the manifest lists those of successful
-tasks, so lost executors and second attempts do no harm.
+Writing: payloads become rows (record, chunk number, bytes) before they leave the JVM; each task streams its rows into archive files
+of bounded size, one gzip member a record, and checks each payload's digest as it goes, so no task's Python ever holds a whole
+record. Of records with equal payloads of at least MIN_SHARED bytes only the one with the least identifier carries the
+payload (response); the others are revisit records that name it, and their payloads are dropped where they are read.
+Reading: archives are streamed as rows (record, chunk number, bytes), each with the payload's SHA-256 up to and including that
+chunk, so that the digest of the last chunk is the record's. Files appear under their final name when whole; the manifest
+lists those of successful tasks, so lost executors and second attempts do no harm.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, publish, scratch, small_batches, spread_files
+from .common import Publisher, filesystem, materialize, scratch, small_batches, small_side, spread_files
 
 MIN_SHARED = 100
-#: Bytes of a chunk, of what is read or written at once, and of compressed records after which a file is closed.
+#: Bytes of a chunk, and of compressed records after which a file is closed.
 CHUNK = 1 << 18
 FILE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -28,78 +29,89 @@ CHUNKS = "page_id long, record_type string, refers_to long, chunk_no int, last b
 
 
 def roles(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """k, url, payload, n (bytes), digest and refers_to (null for a response) of every row.
+    """k, url, payload, n (bytes), digest and refers_to (null for a response) of every row; payload is empty for a revisit.
 
-    Only payloads that occur more than once meet in the join, so a payload of which a third of all rows are copies costs one
-    aggregated row and its rows' own traffic. Rows that repeat the least identifier are responses as well: they are the
-    same record. A null identifier never becomes the response of others unless all are null.
+    Which rows are revisits is found on slim rows (identifier, length, digest); payloads of responses then stay where they are read,
+    or, with more revisits than are broadcast, are dealt by identifier and digest: equal payloads never meet in one task.
+    Rows that repeat the least identifier are responses as well: they are the same record. A null identifier never
+    becomes the response of others unless all are null.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(key).cast("long").alias("k"), url.alias("url"), body.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"))
-    twice = rows.where(F.col("n") >= MIN_SHARED).groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("first")).where("m > 1")
-    out = rows.join(twice.select(F.col("digest").alias("d"), "first"), (F.col("digest") == F.col("d")), "left")
+    slim = materialize(rows.select("k", "url", "n", "digest"), "warc-digests")
+    twice = slim.where(F.col("n") >= MIN_SHARED).groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("first")).where("m > 1")
+    met = slim.join(small_side(materialize(twice.select("digest", "first"), "warc-twice")), "digest")
     later = F.col("first").isNotNull() & ~F.col("k").eqNullSafe(F.col("first"))
-    return out.select("k", "url", "payload", "n", "digest", F.when(later, F.col("first")).alias("refers_to"))
+    revisits = materialize(met.where(later).select("k", "url", F.lit(b"").alias("payload"), "n", "digest", F.col("first").alias("refers_to")), "warc-revisits")
+    gone = small_side(revisits.select(F.col("k").alias("_k"), F.col("digest").alias("_d")))
+    responses = rows.join(gone, (F.col("digest") == F.col("_d")) & F.col("k").eqNullSafe(F.col("_k")), "left_anti")
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)
 
 
-def _uri(k: int | None) -> str:
-    return f"urn:page:{'null' if k is None else k}"
+def _uri(k: int | None, digest: str) -> str:
+    """Name of a record. Rows alike in identifier and payload are one record, however often it is written."""
+    return f"urn:page:{'null' if k is None else k}:{digest[:16]}"
 
 
 def _header(k, url, n, digest, refers_to, body_length: int) -> bytes:
     kind = "response" if refers_to is None else "revisit"
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_uri(k)}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Identified-Payload-Length: {n}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_uri(k, digest)}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Identified-Payload-Length: {n}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_uri(refers_to)}>"]
-    return ("\r\n".join([*lines, f"Content-Length: {body_length}"]) + "\r\n\r\n").encode()
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_uri(refers_to, digest)}>"]
+    return ("\r\n".join([*lines, "Content-Type: text/html; charset=utf-8", f"Content-Length: {body_length}"]) + "\r\n\r\n").encode()
 
 
-def _member(parts) -> Iterator[bytes]:
-    """A gzip member of the byte strings in parts, piece by piece."""
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-    for part in parts:
-        for i in range(0, len(part), CHUNK):
-            yield packer.compress(part[i : i + CHUNK])
-    yield packer.flush()
+def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows of roles() as rows of a chunk each: k, url, n, digest, refers_to, chunk_no, last and data; an empty payload has one empty chunk."""
+    chunks = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk)).cast("int")
+    out = rows.select("k", "url", "n", "digest", "refers_to", "payload", chunks.alias("_n"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk_no"))
+    data = F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk))
+    return out.select("k", "url", "n", "digest", "refers_to", "chunk_no", (F.col("chunk_no") == F.col("_n") - 1).alias("last"), data.alias("data"))
 
 
-def write_archives(rows: DataFrame, uri: str) -> DataFrame:
+def write_archives(rows: DataFrame, uri: str, chunk: int = CHUNK) -> DataFrame:
     """Write rows of roles() as archives below uri; the manifest: path, records, bytes."""
     small_batches(rows.sparkSession)
 
     def write(batches):
-        import io
-
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, seq, buffer, records = TaskContext.get().partitionId(), 0, io.BytesIO(), 0
+        part, seq, file, records = TaskContext.get().partitionId(), 0, None, 0
+        packer = digest = None
 
-        def close():
-            name, data = f"{uri}/pages-{part:05d}-{seq:05d}.warc.gz", buffer.getbuffer()
-            publish(name, lambda out: out.write(data))
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64()), pa.array([len(data)], pa.int64())], names=["path", "records", "bytes"])
+        def row():
+            file.finish()
+            return pa.RecordBatch.from_arrays([pa.array([file.uri]), pa.array([records], pa.int64()), pa.array([file.bytes], pa.int64())], names=["path", "records", "bytes"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                k, url, payload, n, digest, refers_to = (c[i] for c in batch.columns)
-                refers_to = refers_to.as_py()
-                body = memoryview(b"") if refers_to is not None else memoryview(payload.as_buffer())
-                head = _header(k.as_py(), url.as_py(), n.as_py(), digest.as_py(), refers_to, len(body))
-                for piece in _member((head, body, b"\r\n\r\n")):
-                    buffer.write(piece)
-                records += 1
-                if buffer.tell() >= FILE_BYTES:
-                    yield close()
-                    seq, buffer, records = seq + 1, io.BytesIO(), 0
-        if records:
-            yield close()
-
-    return rows.mapInArrow(write, "path string, records long, bytes long")
+                k, url, n, sha, refers_to, number, last = (c[i].as_py() for c in batch.columns[:7])
+                data = memoryview(batch.column(7)[i].as_buffer())
+                if file is None:
+                    file, records = Publisher(f"{uri}/pages-{part:05d}-{seq:05d}.warc.gz"), 0
+                if number == 0:
+                    packer, digest = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha256()
+                    file.write(packer.compress(_header(k, url, n, sha, refers_to, n if refers_to is None else 0)))
+                digest.update(data)
+                file.write(packer.compress(data))
+                if last:
+                    if refers_to is None and digest.hexdigest() != sha:
+                        raise ValueError(f"chunks of record {k} do not add up to its payload")
+                    file.write(packer.compress(b"\r\n\r\n"))
+                    file.write(packer.flush())
+                    records += 1
+                    if file.bytes >= FILE_BYTES:
+                        yield row()
+                        seq, file = seq + 1, None
+        if file is not None:
+            yield row()
+
+    return chunked(rows, chunk).mapInArrow(write, "path string, records long, bytes long")
 
 
 class _Inflated:
@@ -140,7 +152,7 @@ class _Inflated:
 
 
 def _identifier(value: str) -> int | None:
-    name = value.strip("<>").removeprefix("urn:page:")
+    name = value.strip("<>").removeprefix("urn:page:").partition(":")[0]
     return None if name == "null" else int(name)
 
 
