@@ -1,5 +1,7 @@
 """Every stage of the pipeline on one small table."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,10 +71,60 @@ def test_tokens(spark, docs):
 
 
 def test_run(spark):
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert rows and all(r.n_tokens > 0 for r in rows)
+    """The whole pipeline against plain Python, stage by stage; the verdicts of the quality rules are op10's, which has a test of its own."""
+    import zlib
+
+    from shelfspark.llm import mixing, queries
+    from test_operators import brute_contamination, brute_links, encode, library, spaced
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID output"]
+    kept = {r.doc_id for r in queries.op10_quality_rules(spark, SF).where("kept").collect()}
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.doc_id in kept]
+    classes = {}
+    for (k, *_), row in zip([(r[0],) for r in docs], brute_links(docs), strict=True):
+        classes.setdefault(row[1], []).append(k)
+    leads = {min(ks) for ks in classes.values()}
+    docs = [r for r in docs if r[0] in leads]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = {r[0] for r in brute_contamination(docs, items) if r[-1]}
+    docs = [r for r in docs if r[0] not in bad]
+    marks = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        marks[r.doc_id] = min(marks.get(r.doc_id, 1), r.quality)
+    keys = spark.createDataFrame([(k, hashlib.md5(t.encode()).hexdigest(), {1: mixing.GOOD, 0: mixing.BAD, None: mixing.UNKNOWN}[marks.get(k)]) for k, t, _ in docs], "k long, salt string, w double")
+    key = {r.k: r.x for r in keys.select("k", mixing.order_key(F.col("w"), F.col("k"), F.col("salt")).alias("x")).collect()}
+    size = {k: len(spaced(t)) for k, t, _ in docs}
+    total, names = {}, sorted({s for *_, s in docs})
+    for k, _, s in docs:
+        total[s] = total.get(s, 0) + size[k]
+    weight, target, free = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, {}, set(names)
+    while free:
+        rate = (sum(total.values()) - sum(target.values())) / sum(weight[s] for s in free)
+        held = {s for s in free if rate * weight[s] > 3 * total[s]}
+        target |= {s: 3.0 * total[s] for s in held} if held else {s: rate * weight[s] for s in free}
+        free = free - held if held else set()
+    tok, want, at = library(), [], 0
+    times = {}
+    for s in names:
+        epochs, left = divmod(target[s], total[s])
+        for k in sorted((k for k, _, z in docs if z == s), key=key.get):
+            times[k] = int(epochs) + (left > 0 and left >= size[k] / 2)
+            left -= size[k]
+    for k, t, _ in sorted(docs):
+        ids = [*encode(tok, t), 2]
+        for _ in range(times[k]):
+            want.append((k, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+            at += len(ids)
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).orderBy("start").collect()]
+    assert got == want and len(want) > 100
+
+
+def test_stages_without_labels(spark, docs, tmp_path):
+    """With empty labels nothing is trusted and all documents weigh the same."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.decontamination, corpus_pipeline.source_mix):
+        assert stage(spark, docs, str(tmp_path)).count()
 
 
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
