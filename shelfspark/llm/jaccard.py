@@ -36,7 +36,7 @@ TOLERANCE = 1e-7
 #: MinHash values compared in one step.
 STEP = 12
 #: Most classes, and about as many shingles, in a chunk.
-CHUNK_ROWS, CHUNK_GRAMS = 512, 500_000
+CHUNK_ROWS, CHUNK_GRAMS = 256, 500_000
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 _words = WordHashes()
