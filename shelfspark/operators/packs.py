@@ -48,22 +48,31 @@ def by_label(packs: DataFrame) -> DataFrame:
     return packs.orderBy(F.collate("label", "UNICODE_CI_AI"), "ordinal")
 
 
+# Points of a pack whose code, or whose language, is the locale's; languages with packs under other names.
+BY_ISO3, BY_LANGUAGE = 12, 10
+BY_OTHER_NAME = ((("zh",), ("chi_sim", "chi_tra"), 12), (("nb", "nn", "no"), ("nor",), 12), (("iw",), ("heb",), 12), (("in",), ("ind",), 12), (("tl",), ("fil",), 10))
+# Points for a script that is the pack's, another, or not told; for the script that goes without saying; of Chinese packs.
+SCRIPT_FITS, SCRIPT_CLASHES, SCRIPT_UNTOLD = 6, -8, -1
+USUAL_FITS, USUAL_CLASHES = 4, -4
+TRADITIONAL_FITS, TRADITIONAL_CLASHES, SIMPLIFIED_FITS = 6, -4, 4
+
+
 def locale_score(lang: Column, iso3: Column, script: Column, country: Column) -> Column:
     """How well the pack of a row (id, iso6391) suits a locale; 0 if not at all."""
     pack = F.col("id")
     base = base_id(pack)
     same = lambda a, b: F.lower(a) == F.lower(b)
     points = lambda test, n: F.when(test, n).otherwise(0)
-    score = points(same(pack, iso3) | same(base, iso3), 12) + points(same(pack, lang) | same(base, lang) | same(F.col("iso6391"), lang), 10)
-    score = score + points((lang == "zh") & pack.isin("chi_sim", "chi_tra"), 12) + points(lang.isin("nb", "nn", "no") & (pack == "nor"), 12)
-    score = score + points((lang == "iw") & (pack == "heb"), 12) + points((lang == "in") & (pack == "ind"), 12) + points((lang == "tl") & (pack == "fil"), 10)
-    suits = lambda good, bad: F.when(script == good, 6).when(script == bad, -8).otherwise(-1)
-    usual = lambda good: F.when(script.isin(good, ""), 4).otherwise(-4)
+    score = points(same(pack, iso3) | same(base, iso3), BY_ISO3) + points(same(pack, lang) | same(base, lang) | same(F.col("iso6391"), lang), BY_LANGUAGE)
+    for langs, ids, n in BY_OTHER_NAME:
+        score = score + points(lang.isin(*langs) & pack.isin(*ids), n)
+    suits = lambda good, bad: F.when(script == good, SCRIPT_FITS).when(script == bad, SCRIPT_CLASHES).otherwise(SCRIPT_UNTOLD)
+    usual = lambda good: F.when(script.isin(good, ""), USUAL_FITS).otherwise(USUAL_CLASHES)
     by_script = F.when(pack.endswith("_cyrl"), suits("Cyrl", "Latn")).when(pack.endswith("_latn"), suits("Latn", "Cyrl"))
     by_script = by_script.when((pack == "srp") & (lang == "sr"), usual("Cyrl")).when((pack == "aze") & (lang == "az"), usual("Latn")).when((pack == "uzb") & (lang == "uz"), usual("Latn")).otherwise(0)
     land = F.upper(country)
-    chinese = F.when(pack == "chi_tra", F.when(land.isin("TW", "HK", "MO") | (script == "Hant"), 6).otherwise(-4))
-    chinese = chinese.when(pack == "chi_sim", F.when(land.isin("CN", "SG") | script.isin("Hans", ""), 4).otherwise(0)).otherwise(0)
+    chinese = F.when(pack == "chi_tra", F.when(land.isin("TW", "HK", "MO") | (script == "Hant"), TRADITIONAL_FITS).otherwise(TRADITIONAL_CLASHES))
+    chinese = chinese.when(pack == "chi_sim", F.when(land.isin("CN", "SG") | script.isin("Hans", ""), SIMPLIFIED_FITS).otherwise(0)).otherwise(0)
     return F.when(score == 0, 0).otherwise(score + by_script + chinese).cast("int")
 
 

@@ -31,6 +31,7 @@ def _cleaned(source: str) -> str:
 
 
 def _initials(column: str) -> str:
+    # fixed values: the patterns of L.TRIPLE and the others, whose look-behind this dialect lacks
     out, p = column, "(^|[^\\p{L}])"
     for pattern, n in (("(\\p{L})\\s*\\.\\s*(\\p{L})\\s*\\.\\s*(\\p{L})\\s*\\.\\s*", 3), ("(\\p{L})\\s*\\.\\s*(\\p{L})\\s*\\.\\s*", 2), ("(\\p{L})\\s+(\\p{L})\\s+", 2), ("(\\p{L})\\.(\\p{L})\\s+", 2)):
         made = "".join(f"\\{i + 2}. " for i in range(n))
