@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize, small_side
 
 #: (verdict, rule): the rule is a host, a slash and the rest of a path prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -69,8 +69,11 @@ def ratios(labelled: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def scores(strings: DataFrame, ratio: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and score of each distinct row of strings(s, ...): the mean ratio over its characters and end mark."""
-    rows = strings.select(*keep, F.explode(_grams(F.col("s"))).alias("gram")).join(ratio, "gram")
+    """keep and score of each distinct row of strings(s, ...): the mean ratio over its characters and end mark.
+
+    ratio is a written table. The first grams are those of nearly all URLs; where ratio is too large to be broadcast Spark splits them.
+    """
+    rows = strings.select(*keep, F.explode(_grams(F.col("s"))).alias("gram")).join(small_side(ratio), "gram")
     return rows.groupBy(*keep).agg(F.avg("ratio").alias("score"))
 
 
@@ -81,8 +84,6 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES)
     labelled URLs of both kinds there is no model, and what no rule fits is allowed. Repeated rows are judged alike and
     count once in the models; other columns are ignored.
     """
-    from .common import materialize
-
     host, path = parts(F.col(url))
     rows = pages.select(F.col(key), host.alias("host"), path.alias("path"))
     rule, say = rule_of(F.col("host"), F.col("path"), rules)
