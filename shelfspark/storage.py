@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a slim side that is broadcast: of a few numbers each they take some 64 MB.
-BROADCAST_ROWS = 1_000_000
+#: Most rows of a slim side that is broadcast, and most bytes that Spark reckons it has as stored: some 64 MB and 256 MB in memory.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 _made = threading.local()
 
 
@@ -70,5 +70,9 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> D
 
 
 def small_side(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """stored, a written table of slim rows, to be broadcast if it has no more than most rows; beyond that the join is left to Spark."""
-    return F.broadcast(stored) if stored.count() <= most else stored
+    """stored, a written table of slim rows, to be broadcast if it has no more than most rows and BROADCAST_BYTES.
+
+    Beyond that the join is left to Spark.
+    """
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(stored) if size <= BROADCAST_BYTES and stored.count() <= most else stored
