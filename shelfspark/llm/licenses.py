@@ -66,7 +66,7 @@ STRETCH, OVERLAP = 256, 96
 #: Shortest match that counts as saved.
 MIN_MATCH = 7
 #: Bytes that all templates together must save of a stretch; the shortest notice, three words, saves more.
-CANDIDATE_BYTES = 10
+CANDIDATE_BYTES = 7
 #: A winner saves at least this share of what it saves of itself.
 WIN_SHARE = 0.5
 #: Templates, of about the same saving, that are tried together before each of them is.
@@ -123,15 +123,27 @@ class Scanner:
         self.group_none = given(b"", GROUP * self.margin)
         self.known: dict[bytes, list] = {}
 
+    def stretches(self, raw: bytes) -> list[bytes]:
+        """raw in overlapping stretches. The fast strategy steps over more and more bytes the longer it finds nothing, so they are short."""
+        return [raw[i : i + STRETCH] for i in range(0, max(1, len(raw) - OVERLAP), STRETCH - OVERLAP)]
+
+    def sizes(self, parts: list[bytes], given) -> list[int]:
+        return [len(given.compress(part)) for part in parts]
+
+    def saved(self, parts: list[bytes], given, bare: list[int]) -> int:
+        """Bytes that a dictionary saves of stretches; bare: their sizes with one as large that holds nothing."""
+        return sum(max(0, n - m) for n, m in zip(bare, self.sizes(parts, given), strict=True))
+
     def gain(self, name: str, raw: bytes) -> int:
         """Bytes that a template saves of raw."""
-        return len(self.none.compress(raw)) - len(self.given[name].compress(raw))
+        parts = self.stretches(raw)
+        return self.saved(parts, self.given[name], self.sizes(parts, self.none))
 
     def blocks(self, text: str) -> list[str]:
         """Candidate blocks of a whole text, in words: runs of stretches of which the templates save enough, and one stretch more at each side."""
         raw = " ".join(words(text)).encode()
         starts = range(0, max(1, len(raw) - OVERLAP), STRETCH - OVERLAP)
-        saved = [len(self.all_none.compress(part)) - len(self.all.compress(part)) for part in (raw[i : i + STRETCH] for i in starts)]
+        saved = [len(self.all_none.compress(part)) - len(self.all.compress(part)) for part in self.stretches(raw)]
         out, at = [], 0
         while at < len(saved):
             if saved[at] < CANDIDATE_BYTES:
@@ -201,9 +213,10 @@ class Scanner:
         if (before := self.known.get(raw)) is not None:
             return before
         # templates of which a whole group saves less than its least one must are not tried one by one
-        alone, apart = len(self.none.compress(raw)), len(self.group_none.compress(raw))
-        able = [name for names, given, least in self.groups if apart - len(given.compress(raw)) >= least for name in names]
-        ranked = sorted((len(self.given[name].compress(raw)) - alone, name) for name in able)
+        parts = self.stretches(raw)
+        bare, apart = self.sizes(parts, self.none), self.sizes(parts, self.group_none)
+        able = [name for names, given, least in self.groups if self.saved(parts, given, apart) >= least for name in names]
+        ranked = sorted((-self.saved(parts, self.given[name], bare), name) for name in able)
         for less, name in ranked:
             if -less < self.least[name]:
                 continue
