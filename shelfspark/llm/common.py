@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,21 @@ def folded_words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+#: What a Python worker remembers between tasks, by kind: how to forget it.
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remembers(kind: str, forget: Callable[[], None]) -> None:
+    _memories[kind] = forget
+
+
+def keep_only(kind: str) -> None:
+    """Forget what this worker remembers of other kinds. A worker serves one operator after the other; its memory is that of one."""
+    for other, forget in _memories.items():
+        if other != kind:
+            forget()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound; keeps a worker's memory flat."""
 
@@ -103,3 +119,8 @@ class WordHashes(dict):
             self.clear()
         self[word] = value = xxh64_intdigest(word)
         return value
+
+
+#: Of this worker, for all operators on folded words.
+word_hashes = WordHashes()
+remembers("words", word_hashes.clear)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, folded_words, materialize, small_batches, small_side
+from .common import folded_words, keep_only, materialize, small_batches, small_side, word_hashes
 
 WINDOW = 13
 #: Anchors of a window: its rarest terms.
@@ -28,7 +28,6 @@ ANCHORS = 2
 SLOP, NEAR_ANCHORS = 20, 3
 #: Words of documents that are sorted together in a segment of the index.
 SEGMENT_WORDS = 1_000_000
-_words = WordHashes()
 
 
 def _terms(text: bytes | None):
@@ -36,7 +35,7 @@ def _terms(text: bytes | None):
     import numpy as np
 
     words = folded_words(text)
-    return np.fromiter(map(_words.__getitem__, words), "u8", len(words)).view("i8")
+    return np.fromiter(map(word_hashes.__getitem__, words), "u8", len(words)).view("i8")
 
 
 def item_terms(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -97,6 +96,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             ids = [pa.concat_arrays([h[i] for h in held]) for i in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(terms), pa.int64()), pa.array(np.full(len(terms), seg)), lists(one[:-1], one), lists(length, one), pa.nulls(len(terms), pa.int64()), *ids], names=names)
 
+        keep_only("words")
         held, size = [], 0
         for batch in batches:
             terms = [_terms(t) for t in batch.column(2).to_pylist()]
@@ -150,6 +150,7 @@ def words_at(docs: DataFrame, places: DataFrame, key: str = "doc_id", text: str
     def cut(batches):
         import pyarrow as pa
 
+        keep_only("words")
         for batch in batches:
             for k, dk, t, at in zip(*batch.columns, strict=True):
                 h, at = _terms(t.as_py()), at.as_py()

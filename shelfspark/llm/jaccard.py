@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, folded_words, materialize, small_batches, small_side, text_hash
+from .common import folded_words, keep_only, materialize, small_batches, small_side, text_hash, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -39,7 +39,6 @@ STEP = 12
 CHUNK_ROWS, CHUNK_GRAMS = 256, 500_000
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
-_words = WordHashes()
 
 
 def shingles(text: bytes | None):
@@ -47,7 +46,7 @@ def shingles(text: bytes | None):
     import numpy as np
 
     words = folded_words(text)
-    of = _words.__getitem__
+    of = word_hashes.__getitem__
     h = np.fromiter(map(of, words), "u8", len(words))
     if not len(h):
         return h
@@ -128,6 +127,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         import pyarrow as pa
 
+        keep_only("words")
         for batch in batches:
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -147,6 +147,7 @@ def with_shingles(rows: DataFrame, columns: list[str]) -> DataFrame:
     def pack(batches):
         import pyarrow as pa
 
+        keep_only("words")
         for batch in batches:
             grams = [shingles(t).tobytes() for t in batch.column(len(columns)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(grams, pa.binary())], names=[*columns, "grams"])
@@ -208,6 +209,7 @@ def candidate_edges(groups: DataFrame, threshold: float = THRESHOLD) -> DataFram
         import numpy as np
         import pyarrow as pa
 
+        keep_only("signatures")
         for table in _grouped(batches, by):
             ids, chunk = table["rid"].to_numpy(), table["chunk"].to_numpy()
             two = table["chunk_a"][0] != table["chunk_b"][0]
@@ -253,6 +255,7 @@ def link_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        keep_only("signatures")
         for table in _grouped(batches, by):
             ids, chunk, copies, sig = table["rid"].to_numpy(), table["chunk"].to_numpy(), table["copies"].to_numpy(), _signatures_of(table)
             grams = [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()]

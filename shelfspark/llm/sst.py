@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Publisher, filesystem, materialize, scratch, small_batches, spread_files
+from .common import Publisher, filesystem, keep_only, materialize, remembers, scratch, small_batches, spread_files
 
 MAGIC = b"SHSST001"
 BLOCK_BYTES = 64 << 10
@@ -247,10 +247,12 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+remembers("pieces", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary file and worker."""
+    keep_only("pieces")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -324,6 +326,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+        keep_only("shards")
         for batch in batches:
             for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, path = filesystem(shard)
