@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, mixing, quality, sharding, sst, token_counts, urls, warc
+from . import bpe, decontam, importance, jaccard, licenses, mixing, quality, sharding, spelling, sst, token_counts, urls, warc
 from .common import materialize, settled, table
 from .sql import ORACLE_SQL  # noqa: F401  part of this module's tables
 
@@ -71,6 +71,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(marked, marked["_good"]))
 
 
+@_settled
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@_settled
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
 
 _ALL = (
     op1_sst_shards,
@@ -83,5 +96,8 @@ _ALL = (
     op8_section_tokens,
     op9_permutation_shards,
     op10_quality_rules,
+    op11_spelling_variants,
+    op12_importance_resampling,
+    op13_bpe_transducer,
 )
 QUERIES = {f.__name__: f for f in _ALL}

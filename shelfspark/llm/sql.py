@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, sharding, urls
+from . import decontam, importance, mixing, sharding, spelling, urls
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -127,6 +127,66 @@ FROM u LEFT JOIN sc ON u.say IS NULL AND sc.say IS NULL AND sc.host = u.host AND
     )
 
 
+#: Tables of a query that has k(s), distinct strings: c(s, h) with the unsigned crc32 of their UTF-8 bytes.
+_CRC = """
+o AS (SELECT list(v ORDER BY i) AS o FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(3988292384::BIGINT, x // 2) ELSE x // 2 END) AS v FROM range(256) r(i))),
+y AS (SELECT s, list_transform(range(1, strlen(s) + 1), lambda k: ('0x' || substr(hex(encode(s)), 2 * k - 1, 2))::BIGINT) AS b FROM k),
+c AS (SELECT s, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, b), lambda x, e: xor(x // 256, o[xor(x % 256, e) + 1]))) AS h FROM y, o)
+"""
+
+_L = "A-Za-zÀ-ÿ"
+VARIANTS = f"""
+WITH RECURSIVE r AS (
+    SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS s, w
+    FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{_L}]+')) AS w FROM documents)
+),
+k AS (SELECT DISTINCT s FROM r), {_CRC},
+d AS (SELECT CASE WHEN h % {spelling.DAMAGED} = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM r JOIN c ON r.s = c.s),
+v AS (SELECT word, count(*)::BIGINT AS n FROM d WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING count(*) >= {spelling.MIN_COUNT}),
+l AS (SELECT DISTINCT unnest(string_split(word, '')) AS a FROM v),
+p AS (SELECT word, unnest(range(0, length(word) + 1)) AS i FROM v),
+g AS (
+    SELECT word, substr(word, 1, i) || substr(word, i + 2) AS near FROM p WHERE i < length(word)
+    UNION SELECT word, substr(word, 1, i) || a || substr(word, i + 2) FROM p, l WHERE i < length(word)
+    UNION SELECT word, substr(word, 1, i) || a || substr(word, i + 1) FROM p, l
+),
+m AS (SELECT g.word, g.near, v.n FROM g JOIN v ON g.near = v.word WHERE g.word <> g.near),
+b AS (SELECT word, count(*)::BIGINT AS n_near, max(n) AS most FROM m GROUP BY word),
+e AS (SELECT m.word, min(m.near) AS near FROM m JOIN b ON m.word = b.word AND m.n = b.most GROUP BY m.word),
+f AS (
+    SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 2 * v.n THEN near END AS form, CASE WHEN most >= 2 * v.n THEN most END AS form_n
+    FROM v LEFT JOIN b ON b.word = v.word LEFT JOIN e ON e.word = v.word
+),
+w AS (SELECT word, coalesce(form, word) AS root FROM f UNION SELECT w.word, f.form FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.root
+FROM f JOIN w ON w.word = f.word JOIN f z ON z.word = w.root WHERE z.form IS NULL
+"""
+
+RESAMPLED = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+z AS (SELECT w FROM (SELECT {_WORDS} AS w FROM benchmark)),
+u AS (SELECT doc_id, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS s FROM d),
+q AS (SELECT unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS s FROM z),
+k AS (SELECT s FROM u UNION SELECT s FROM q), {_CRC},
+fd AS (SELECT doc_id, c.h % {importance.BUCKETS} AS bucket FROM u JOIN c ON u.s = c.s),
+sn AS (SELECT bucket, count(*) AS n FROM fd GROUP BY bucket),
+tn AS (SELECT c.h % {importance.BUCKETS} AS bucket, count(*) AS n FROM q JOIN c ON q.s = c.s GROUP BY 1),
+ss AS (SELECT count(*) AS n FROM fd),
+ts AS (SELECT coalesce(sum(n), 0)::BIGINT AS n FROM tn),
+gain AS (
+    SELECT i AS bucket, floor(1000 * ln((coalesce(tn.n, 0) + 1)::DOUBLE * (ss.n + {importance.BUCKETS})::DOUBLE / ((coalesce(sn.n, 0) + 1)::DOUBLE * (ts.n + {importance.BUCKETS})::DOUBLE)))::BIGINT AS g
+    FROM range({importance.BUCKETS}) x(i) LEFT JOIN sn ON sn.bucket = i LEFT JOIN tn ON tn.bucket = i, ss, ts
+),
+wt AS (SELECT doc_id, count(*)::BIGINT AS n, sum(g)::BIGINT AS weight FROM fd JOIN gain ON fd.bucket = gain.bucket GROUP BY doc_id),
+sc AS (
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || d.doc_id), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE))))::BIGINT AS score
+    FROM d LEFT JOIN wt ON wt.doc_id = d.doc_id
+),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM sc WHERE n_words >= {importance.MIN_WORDS})
+SELECT sc.doc_id, n_features, weight, score, CASE WHEN r <= n * {importance.PERCENT} // 100 THEN r END::BIGINT AS rank FROM sc LEFT JOIN rk ON rk.doc_id = sc.doc_id
+"""
+
 ORACLE_SQL = {
     "op2_bayes_jaccard": NEAR_DUPLICATES,
     "op3_chunked_warc": ARCHIVE,
@@ -134,4 +194,6 @@ ORACLE_SQL = {
     "op6_url_model": _url_model(),
     "op7_epoch_mix": MIX,
     "op9_permutation_shards": SHARDS,
+    "op11_spelling_variants": VARIANTS,
+    "op12_importance_resampling": RESAMPLED,
 }
