@@ -17,6 +17,8 @@ another, so ties, repeated rows, empty tables and other columns change nothing,
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -34,6 +36,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+class State(dict):
+    """A deterministic state: the next state by byte, made when first asked for.
+
+    places holds where a token may have begun, as the bytes read since and the token before; last is the last token of what has been read.
+    """
+
+    __slots__ = ("machine", "places", "last")
+
+    def __init__(self, machine: Transducer, places: tuple[tuple[bytes, int], ...]) -> None:
+        super().__init__()
+        self.machine, self.places, self.last = machine, places, places[-1][1]
+
+    def __missing__(self, byte: int) -> State:
+        self[byte] = state = self.machine.after(self, bytes([byte]))
+        return state
+
+
 class Transducer:
     """Deterministic transducer from the bytes of one piece to token ids."""
 
@@ -45,26 +64,26 @@ class Transducer:
         if lacking:
             raise ValueError(f"the vocabulary lacks the single bytes {lacking}")
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
-        self.unfinished = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.length = {i: len(t) for t, i in ranks.items()}
+        unfinished = {t[:k] for t in ranks for k in range(1, len(t))}
+        #: What a token may begin with: the token that it is (or None), and whether others go on from there.
+        self.reads = {read: (ranks.get(read), read in unfinished) for read in unfinished.union(ranks)}
+        self.pairs: dict[int, bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, int]]] = []
+        self.states: dict[tuple, State] = {}
         self._forget()
 
     def _forget(self) -> None:
-        for memory in (self.numbers, self.states, self.moves):
-            memory.clear()
-        self._number(((b"", -1),))
+        for state in self.states.values():
+            state.clear()
+        self.states.clear()
+        self.start = self._state(((b"", -1),))
 
-    def _number(self, state: tuple) -> int:
-        found = self.numbers.get(state)
+    def _state(self, places: tuple) -> State:
+        found = self.states.get(places)
         if found is None:
-            found = self.numbers[state] = len(self.states)
-            self.states.append(state)
-            self.moves.append({})
+            found = self.states[places] = State(self, places)
         return found
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
@@ -93,7 +112,8 @@ class Transducer:
 
         Merges go by rank, and of equal ones from left to right.
         """
-        found = self.pairs.get((before, token))
+        pair = before << 32 | token
+        found = self.pairs.get(pair)
         if found is None:
             left, right, i, j, found = self._edge(self.tokens[before], 1), self._edge(self.tokens[token], 0), 0, 0, True
             while found and (i < len(left) and j < len(right)):
@@ -103,109 +123,168 @@ class Transducer:
                 i, j = (i + 1, j) if a_ends <= b_ends else (i, j + 1)
             if len(self.pairs) >= self.PAIRS:
                 self.pairs.clear()
-            self.pairs[before, token] = found
+            self.pairs[pair] = found
         return found
 
-    def _grow(self, at: int, byte: int) -> tuple[int, int]:
-        """Make the transition from state number at; where the memory is full all others are forgotten."""
-        going, ended = [], None
-        for read, before in self.states[at]:
-            read += bytes([byte])
-            if ended is None and (token := self.ranks.get(read)) is not None and (before < 0 or self._may_follow(before, token)):
+    def after(self, state: State, byte: bytes) -> State:
+        """The state after one more byte; where the memory is full all others are forgotten."""
+        going, ended, reads = [], None, self.reads.get
+        for read, before in state.places:
+            read += byte
+            token, more = reads(read, (None, False))
+            if ended is None and token is not None and (before < 0 or self._may_follow(before, token)):
                 ended = token
-            if read in self.unfinished:
+            if more:
                 going.append((read, before))
         if ended is None:
             raise ValueError("the vocabulary holds tokens that its merges do not make")
-        state = (*going, (b"", ended))
         if len(self.states) >= self.STATES:
             self._forget()
-            return self._number(state), ended
-        move = self.moves[at][byte] = (self._number(state), ended)
-        return move
+        return self._state((*going, (b"", ended)))
 
-    def _back(self, last: list[int], end: int) -> Iterator[tuple[int, int]]:
-        """Tokens before end, the last one first, with the places where they end."""
+    def _back(self, last: list[int], end: int) -> list[int]:
+        """Tokens before end."""
+        out, length = [], self.length
         while end:
             token = last[end - 1]
-            yield end, token
-            end -= len(self.tokens[token])
+            out.append(token)
+            end -= length[token]
+        return out[::-1]
 
-    def _certain(self, at: int, last: list[int]) -> int:
+    def _certain(self, state: State, last: list[int]) -> int:
         """How many bytes' tokens no further byte can change: up to where the ways back from all open places have met."""
-        places = [len(last) - len(read) for read, _ in self.states[at]]
-        way = {end for end, _ in self._back(last, places[0])}
-        return min(next((end for end, _ in self._back(last, place) if end in way), 0) for place in places)
 
-    def encode(self, data: Iterable[int]) -> Iterator[int]:
+        def way(end: int) -> Iterator[int]:
+            while end:
+                yield end
+                end -= self.length[last[end - 1]]
+
+        places = [len(last) - len(read) for read, _ in state.places]
+        first = {*way(places[0])}
+        return min(next((end for end in way(place) if end in first), 0) for place in places)
+
+    def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Ids of the bytes of one piece, emitted as they become certain."""
-        at, moves, last, room = 0, self.moves, [], self.LOOKAHEAD
+        state, last, room = self.start, [], self.LOOKAHEAD
         for byte in data:
-            at, token = moves[at].get(byte) or self._grow(at, byte)
-            last.append(token)
+            state = state[byte]
+            last.append(state.last)
             if len(last) == room:
-                sure = self._certain(at, last)
-                yield from [token for _, token in self._back(last, sure)][::-1]
+                sure = self._certain(state, last)
+                yield from self._back(last, sure)
                 del last[:sure]
                 room = len(last) + self.LOOKAHEAD
-        yield from [token for _, token in self._back(last, len(last))][::-1]
+        yield from self._back(last, len(last))
+
+    def encode(self, data: bytes) -> list[int]:
+        """Ids of one piece; a short one is read whole before its tokens are told."""
+        if len(data) > self.LOOKAHEAD:
+            return [*self.stream(data)]
+        state, last = self.start, []
+        for byte in data:
+            state = state[byte]
+            last.append(state.last)
+        return self._back(last, len(last))
 
 
 class Encoder:
-    """Whole texts: each match of the pattern by itself, a piece that is a token being that token."""
+    """Whole texts: each match of the pattern by itself, a piece that is a token being that token.
 
-    #: Most pieces whose ids are remembered, the most characters of such a piece, and of a text that is cut at one go.
-    KEPT, LONG, WHOLE = 300_000, 64, 1 << 20
+    A blank between two characters that are not blank begins a piece with patterns that let a piece begin with a blank but not hold one; with
+    such a pattern (apart is true) texts are cut there, and the ids of what lies between are remembered.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        import regex
+    #: Most stretches whose ids are remembered, the most characters of such a stretch, and of a text that is cut at one go.
+    KEPT, LONG, WHOLE = 600_000, 48, 1 << 20
 
-        self.transducer, self.pieces, self.known = Transducer(ranks), regex.compile(pattern), {}
-
-    def _piece(self, piece: str) -> bytes:
-        import numpy as np
+    def __init__(self, ranks: dict[bytes, int], pattern: str, apart: bool) -> None:
+        import regex
 
-        data = piece.encode()
-        whole = self.transducer.ranks.get(data)
-        ids = np.array([*self.transducer.encode(data)] if whole is None else [whole], "<i4").tobytes()
-        if len(piece) <= self.LONG:
+        self.transducer, self.pieces, self.apart, self.known = Transducer(ranks), regex.compile(pattern), apart, {}
+        self.cut = re.compile(r"(?<=\S) (?=\S)")
+        self.letters = r"\p{L}+" in pattern  # as in the public files' pattern
+
+    def _pieces(self, text: str) -> bytes:
+        ranks, encode, ids = self.transducer.ranks, self.transducer.encode, []
+        for match in self.pieces.finditer(text):
+            data = match[0].encode()
+            whole = ranks.get(data)
+            if whole is None:
+                ids += encode(data)
+            else:
+                ids.append(whole)
+        return array("i", ids).tobytes()
+
+    def _stretch(self, stretch: str) -> bytes:
+        """Ids of a stretch and the blank before it; letters alone are one piece."""
+        if stretch.isalpha() and self.letters:
+            data = b" " + stretch.encode()
+            whole = self.transducer.ranks.get(data)
+            ids = array("i", self.transducer.encode(data) if whole is None else (whole,)).tobytes()
+        else:
+            ids = self._pieces(" " + stretch)
+        if len(stretch) <= self.LONG:
             if len(self.known) >= self.KEPT:
                 self.known.clear()
-            self.known[piece] = ids
+            self.known[stretch] = ids
         return ids
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """text cut at blanks of the kind above, long texts bit by bit."""
+        at = 0
+        for match in self.cut.finditer(text):
+            yield text[at : match.start()]
+            at = match.end()
+        yield text[at:]
+
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit integers; long texts are not held as a list of pieces."""
-        text, known = text or "", self.known
-        pieces = self.pieces.findall(text) if len(text) <= self.WHOLE else (m[0] for m in self.pieces.finditer(text))
-        return b"".join([known.get(p) or self._piece(p) for p in pieces])
+        """Ids as 32-bit integers in the machine's order; long texts are not held as a list of pieces."""
+        if not text or not self.apart:
+            return self._pieces(text or "")
+        known = self.known
+        first, *rest = self.cut.split(text) if len(text) <= self.WHOLE else [text]
+        if len(text) > self.WHOLE:
+            parts = self._parts(text)
+            first, rest = next(parts), parts
+        return self._pieces(first) + b"".join([known.get(s) or self._stretch(s) for s in rest])
 
 
 class Utf8Machine(dict):
-    """(unfinished bytes of a character, token) -> (characters that are whole now, unfinished bytes); filled when first met."""
+    """A state of decoding: (characters that are whole now, next state) by token; the unfinished bytes of a character tell states apart."""
 
-    def __init__(self, tokens: dict[int, bytes]) -> None:
+    def __init__(self, tokens: dict[int, bytes], rest: bytes = b"", states: dict[bytes, Utf8Machine] | None = None) -> None:
         super().__init__()
-        self.tokens = tokens
+        self.tokens, self.rest, self.states = tokens, rest, {} if states is None else states
+        self.states[rest] = self
 
-    def __missing__(self, key: tuple[bytes, int]) -> tuple[str, bytes]:
+    def __missing__(self, token: int) -> tuple[str, Utf8Machine]:
         import codecs
 
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        machine.setstate((key[0], 0))
-        characters = machine.decode(self.tokens[key[1]])
-        self[key] = move = (characters, machine.getstate()[0])
+        machine.setstate((self.rest, 0))
+        characters = machine.decode(self.tokens[token])
+        rest = machine.getstate()[0]
+        after = self.states[rest] if rest in self.states else Utf8Machine(self.tokens, rest, self.states)
+        self[token] = move = (characters, after)
         return move
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Characters, as soon as they are whole; unfinished bytes at the end are one U+FFFD."""
-        rest = b""
+        state = self
         for token in ids:
-            characters, rest = self[rest, token]
+            characters, state = state[token]
             yield characters
-        if rest:
+        if state.rest:
             yield "�"
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of all ids."""
+        state, out = self, []
+        for token in ids:
+            characters, state = state[token]
+            out.append(characters)
+        return "".join(out) + ("�" if state.rest else "")
+
 
 #: Of this Python worker, by vocabulary file.
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -238,11 +317,11 @@ def ids_of(text: Column, vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str
         key = (vocabulary, pattern or public_tokenizers.PATTERN)
         if key not in _encoders:
             keep_only("")
-            _encoders[key] = Encoder(_ranks(_place(vocabulary)), key[1])
+            _encoders[key] = Encoder(_ranks(_place(vocabulary)), key[1], apart=pattern is None)
         coder = _encoders[key]
         rows = [coder.encode(t.as_py()) for t in texts]
         offsets = np.cumsum([0, *(len(r) // 4 for r in rows)])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "i4"), pa.int32()))
 
     return encode(text)
 
@@ -257,11 +336,14 @@ def text_of(ids: Column, vocabulary: str = "byte_bpe_50k.tiktoken") -> Column:
         if vocabulary not in _machines:
             _machines[vocabulary] = Utf8Machine({i: t for t, i in _ranks(_place(vocabulary)).items()})
         machine, data, texts = _machines[vocabulary], [], []
+        token = machine.tokens.__getitem__
         for row in rows:
-            tokens = row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else None
-            known = tokens is not None and all(map(machine.tokens.__contains__, tokens))
-            data.append(b"".join(map(machine.tokens.__getitem__, tokens)) if known else None)
-            texts.append("".join(machine.stream(tokens)) if known else None)
+            ids = row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else None
+            try:
+                data.append(None if ids is None else b"".join(map(token, ids)))
+            except KeyError:  # an id of no token
+                data.append(None)
+            texts.append(None if data[-1] is None else machine.decode(ids))
         return pa.StructArray.from_arrays([pa.array(data, pa.binary()), pa.array(texts, pa.string())], names=["bytes", "text"])
 
     return decode(ids)

@@ -163,9 +163,10 @@ def awkward_texts(ranks):
 
 
 def test_transducer_is_the_library(ranks, reference):
-    coder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    coder = bpe.Encoder(ranks, public_tokenizers.PATTERN, apart=True)
+    plain = bpe.Encoder(ranks, public_tokenizers.PATTERN, apart=False)
     for text in awkward_texts(ranks):
-        assert ids(coder.encode(text)) == reference.encode_ordinary(text), repr(text)
+        assert ids(coder.encode(text)) == ids(plain.encode(text)) == reference.encode_ordinary(text), repr(text)
 
 
 def test_transducer_with_little_memory_and_lookahead(ranks, reference, monkeypatch):
@@ -174,10 +175,10 @@ def test_transducer_with_little_memory_and_lookahead(ranks, reference, monkeypat
         monkeypatch.setattr(bpe.Transducer, name, value)
     for name, value in (("KEPT", 10), ("LONG", 4), ("WHOLE", 20)):
         monkeypatch.setattr(bpe.Encoder, name, value)
-    coder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    coder = bpe.Encoder(ranks, public_tokenizers.PATTERN, apart=True)
     for text in awkward_texts(ranks)[::11]:
         assert ids(coder.encode(text)) == reference.encode_ordinary(text), repr(text)
-    assert len(coder.transducer.states) <= 51 and len(coder.known) <= 10
+    assert len(coder.transducer.states) <= 52 and len(coder.known) <= 10
     monkeypatch.setattr(bpe.Transducer, "STATES", 200_000)
     read, rng = 0, random.Random(9)
 
@@ -187,7 +188,7 @@ def test_transducer_with_little_memory_and_lookahead(ranks, reference, monkeypat
             yield rng.randrange(97, 123)
 
     lag = done = 0
-    for token in bpe.Transducer(ranks).encode(tell()):
+    for token in bpe.Transducer(ranks).stream(tell()):
         lag, done = max(lag, read - done), done + len(coder.transducer.tokens[token])
     assert done == 30_000 and lag < 500
 
