@@ -306,9 +306,11 @@ def _place(vocabulary: str) -> str:
 
 
 def ids_of(text: Column, vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> Column:
-    """array<int>: ids of each whole text by a rank file, without special tokens; the pattern is that of the public files."""
+    """array<int>: ids of each whole text by a rank file, without special tokens; the pattern is that of the public files.
+
+    It is marked as if it were not deterministic, so that Spark computes it once where the ids are used more than once.
+    """
 
-    @F.arrow_udf("array<int>")
     def encode(texts):
         import numpy as np
         import public_tokenizers
@@ -323,7 +325,7 @@ def ids_of(text: Column, vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str
         offsets = np.cumsum([0, *(len(r) // 4 for r in rows)])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "i4"), pa.int32()))
 
-    return encode(text)
+    return F.arrow_udf(encode, "array<int>").asNondeterministic()(text)
 
 
 def text_of(ids: Column, vocabulary: str = "byte_bpe_50k.tiktoken") -> Column:
