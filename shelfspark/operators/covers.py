@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from . import contours, grid, hough, quads
+from . import contours, grid, hough, quads, resample
 
 LEAST_SCORE = 0.08
+#: Longest side that is worked on, shortest side of an image that is looked at.
+WORK_SIDE, LEAST_SIDE = 360, 16
 
 
 def gradients(images: DataFrame) -> DataFrame:
@@ -20,10 +22,22 @@ def gradients(images: DataFrame) -> DataFrame:
 
 
 def detect(images: DataFrame) -> DataFrame:
-    """img_id, quad, score and method of each image: the best of voting, contour and side scan; the inset quad if none is good.
+    """img_id, quad, score and method of each image (img_id, w, h, v), of any size: the best of voting, contour and side scan.
 
-    Images come at working size (360 pixels at most). The first method wins a tie.
+    Images are worked on with WORK_SIDE pixels a side at most and the quad is scaled back. The first method wins a tie; images of which
+    none is good, or with a side under LEAST_SIDE, get the inset quad.
     """
+    sizes = images.select("img_id", F.col("w").alias("full_w"), F.col("h").alias("full_h"))
+    small = resample.fitted(images.where(F.least("w", "h") >= LEAST_SIDE), WORK_SIDE, LEAST_SIDE).select("img_id", "w", "h", "v")
+    full_w, full_h = F.col("full_w"), F.col("full_h")
+    met = sizes.join(at_working_size(small), "img_id", "left")
+    back = quads.scaled(F.col("quad"), full_w / F.col("w"), full_h / F.col("h"), full_w, full_h)
+    quad = F.when(F.coalesce(F.col("score") >= LEAST_SCORE, F.lit(False)), back).otherwise(quads.inset(full_w, full_h))
+    return met.select("img_id", quad.alias("quad"), F.coalesce("score", F.lit(-1.0)).alias("score"), F.coalesce("method", F.lit("inset")).alias("method"))
+
+
+def at_working_size(images: DataFrame) -> DataFrame:
+    """img_id, w, h, quad, score and method (inset, if the score is too low) of images of WORK_SIDE pixels at most."""
     g = materialize(gradients(images), "gradients")  # votes, scores and sides read them
     g = g.drop("classes").join(materialize(contours.with_edges(g).select("img_id", "edges", "contour"), "contours"), "img_id")
     px = g.select("img_id", "w", "h", F.posexplode(F.arrays_zip("edges", "mag")).alias("i", "p")).where("p.edges")
@@ -35,4 +49,4 @@ def detect(images: DataFrame) -> DataFrame:
     tried = rows.select("img_id", "w", "h", *[F.struct(quads.score(F.col(n), F.col("mag"), w, h).alias("score"), F.lit(-i).alias("i"), F.lit(n).alias("method"), quads.clamped(F.col(n), w, h).alias("quad")).alias(n) for i, n in enumerate(("lines", "contour", "sides"))])
     best = tried.select("img_id", "w", "h", F.greatest("lines", "contour", "sides").alias("b"))
     good = F.col("b.score") >= LEAST_SCORE
-    return best.select("img_id", F.when(good, F.col("b.quad")).otherwise(quads.inset(w, h)).alias("quad"), F.col("b.score").alias("score"), F.when(good, F.col("b.method")).otherwise("inset").alias("method"))
+    return best.select("img_id", "w", "h", F.col("b.quad").alias("quad"), F.col("b.score").alias("score"), F.when(good, F.col("b.method")).otherwise("inset").alias("method"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import covers, grid, hough, quads
+from ..operators import covers, grid, hough, quads, resample
 from ..sources.catalogue import spread, table
+from ..sources.images import header
+from ..storage import settled
 from .registry import query
 
 _V = "greatest(0, least(255, floor(e * 200) + 128))"
@@ -318,7 +320,7 @@ def image_sizes(spark, sf_dir):
 @query()
 def cover_quads(spark, sf_dir):
     """The whole cover detection of drawn images, which mixes expressions, votes and searches within an image."""
-    return covers.detect(drawn(spark, sf_dir))
+    return settled(spark, lambda: covers.detect(drawn(spark, sf_dir)), "covers")
 
 
 @query()
@@ -381,3 +383,113 @@ def lasso_crop(spark, sf_dir):
     rows = _quads(spark, sf_dir).select("img_id", corner(0).alias("xs"), corner(1).alias("ys"))
     made = rows.select("img_id", quads.lasso(F.lit(100), F.lit(80), F.col("xs"), F.col("ys")).alias("m")).where("m is not null").select("img_id", "m.*")
     return made.withColumn("coverage", F.round("coverage", 6))
+
+
+def _listed(px: str) -> str:
+    """Arrays of the pixels of a relation px, as im."""
+    return f"im AS (SELECT img_id, max(w)::INT AS w, max(h)::INT AS h, list(v ORDER BY y, x) AS v FROM {px} GROUP BY img_id)"
+
+
+def _bilinear(places: str) -> str:
+    """Values at the places sx, sy of arrays v."""
+    near = lambda dx, dy: f"v[(greatest(0, least(h - 1, gy + {dy})) * w + greatest(0, least(w - 1, gx + {dx})))::INT + 1]"
+    return f"""SELECT img_id, x, y, floor(({near(0, 0)} * (1 - fx) + {near(1, 0)} * fx) * (1 - fy) + ({near(0, 1)} * (1 - fx) + {near(1, 1)} * fx) * fy + 5e-1)::INT AS v
+    FROM (SELECT *, floor(sx - 5e-1) AS gx, floor(sy - 5e-1) AS gy, sx - 5e-1 - floor(sx - 5e-1) AS fx, sy - 5e-1 - floor(sy - 5e-1) AS fy FROM ({places}))"""
+
+
+def _grown(rel: str, w2: str, h2: str) -> str:
+    return _bilinear(f"SELECT *, (x + 5e-1) * w / ({w2}) AS sx, (y + 5e-1) * h / ({h2}) AS sy FROM (SELECT *, p % ({w2}) AS x, p // ({w2}) AS y FROM (SELECT *, unnest(range(({w2}) * ({h2}))) AS p FROM {rel}))")
+
+
+@query(f"{_PX}, {_listed('px')} SELECT img_id, x::INT AS x, y::INT AS y, v FROM ({_grown('im', '13 + img_id % 5', '5 + img_id % 7')})")
+def scaled_image(spark, sf_dir):
+    """Images drawn anew in sizes that grow one side and shrink the other."""
+    rows = images(spark, sf_dir).withColumns({"tw": (13 + F.col("img_id") % 5).cast("int"), "th": (5 + F.col("img_id") % 7).cast("int")})
+    drawn_anew = resample.scaled(F.col("v"), F.col("w"), F.col("h"), F.col("tw"), F.col("th"))
+    return grid.pixels(resample.redrawn(rows, F.struct(F.col("tw").alias("w"), F.col("th").alias("h")), drawn_anew))
+
+
+_TURNS = {2: ("w - 1 - x", "y"), 3: ("w - 1 - x", "h - 1 - y"), 4: ("x", "h - 1 - y"), 5: ("y", "x"), 6: ("h - 1 - y", "x"), 7: ("h - 1 - y", "w - 1 - x"), 8: ("y", "w - 1 - x")}
+
+
+def _turned(rel: str, code: str) -> str:
+    """Where each pixel goes."""
+    case = lambda k: " ".join(f"WHEN {c} THEN {p[k]}" for c, p in _TURNS.items())
+    across = f"{code} BETWEEN 5 AND 8"
+    return f"SELECT img_id, CASE {code} {case(0)} ELSE x END AS x, CASE {code} {case(1)} ELSE y END AS y, CASE WHEN {across} THEN h ELSE w END AS w, CASE WHEN {across} THEN w ELSE h END AS h, v FROM {rel}"
+
+
+@query(f"{_PX} SELECT img_id, x::INT AS x, y::INT AS y, w::INT AS w, v FROM ({_turned('(SELECT img_id, x, y, w, 5 AS h, v FROM px WHERE y < 5)', 'img_id % 9')})")
+def turned_image(spark, sf_dir):
+    """The upper five rows of images in all orientations."""
+    code = (F.col("img_id") % 9).cast("int")
+    rows = images(spark, sf_dir).select("img_id", "w", F.lit(5).alias("h"), F.slice("v", 1, 40).alias("v"))
+    out = resample.redrawn(rows, resample.turned_size(F.col("w"), F.col("h"), code), resample.turned(F.col("v"), F.col("w"), F.col("h"), code))
+    return grid.pixels(out).join(out.select("img_id", "w"), "img_id")
+
+
+_SMALL = "SELECT img_id, x // 2 AS x, y // 2 AS y, 24 AS w, 30 AS h, floor(avg(v) + 5e-1)::INT AS v FROM px GROUP BY ALL"
+_LOADED = f"{_DRAWN}, sm AS ({_SMALL}), up AS ({_turned('sm', 'CASE WHEN img_id % 9 IN (3, 6, 8) THEN img_id % 9 ELSE 1 END')}), {_listed('up')}"
+
+
+@query(f"{_LOADED} SELECT img_id, x::INT AS x, y::INT AS y, v FROM ({_grown('im', 'CASE WHEN w > h THEN 20 ELSE 16 END', 'CASE WHEN w > h THEN 16 ELSE 20 END')})")
+def loaded_image(spark, sf_dir):
+    """Drawn images of 48 x 60 as they are loaded for 20 pixels a side: halved, turned upright, held."""
+    code = (F.col("img_id") % 9).cast("int")
+    return grid.pixels(resample.loaded(drawn(spark, sf_dir).withColumn("orientation", code), 20))
+
+
+#: Corners within a drawn image.
+_CORNERS = {"x0": "4 + img_id % 7", "y0": "5 + img_id * 3 % 9", "x1": "42 - img_id * 5 % 8", "y1": "3 + img_id % 5", "x2": "44 - img_id % 6", "y2": "54 - img_id * 7 % 10", "x3": "2 + img_id % 4", "y3": "50 - img_id % 9"}
+_MAPPED = f"""qd AS (SELECT *, {', '.join(f'({c})::DOUBLE AS {n}' for n, c in _CORNERS.items())} FROM im),
+dt AS (SELECT *, (x1 - x2) * (y3 - y2) - (y1 - y2) * (x3 - x2) AS d, x0 - x1 + x2 - x3 AS ex, y0 - y1 + y2 - y3 AS ey,
+    floor(greatest({_SIDE[0]}, {_SIDE[2]}) + 5e-1)::INT AS ow, floor(greatest({_SIDE[3]}, {_SIDE[1]}) + 5e-1)::INT AS oh FROM qd),
+hm AS (SELECT *, (ex * (y3 - y2) - ey * (x3 - x2)) / d AS pg, ((x1 - x2) * ey - (y1 - y2) * ex) / d AS ph FROM dt),
+pl AS (SELECT *, (x + 5e-1) / ow AS pu, (y + 5e-1) / oh AS pt FROM (SELECT *, p % ow AS x, p // ow AS y FROM (SELECT *, unnest(range(ow * oh)) AS p FROM hm)))"""
+
+
+@query(f"""{_DRAWN}, {_listed('px')}, {_MAPPED} SELECT img_id, x::INT AS x, y::INT AS y, v FROM ({_bilinear("SELECT img_id, x, y, w, h, v, ((x1 - x0 + pg * x1) * pu + (x3 - x0 + ph * x3) * pt + x0) / (pg * pu + ph * pt + 1) AS sx, ((y1 - y0 + pg * y1) * pu + (y3 - y0 + ph * y3) * pt + y0) / (pg * pu + ph * pt + 1) AS sy FROM pl")})""")
+def warped_cover(spark, sf_dir):
+    """A quadrilateral of each drawn image, straightened."""
+    rows = drawn(spark, sf_dir).withColumn("quad", F.array(*[F.expr(c).cast("double") for c in _CORNERS.values()]))
+    return grid.pixels(resample.warped(rows, least=8))
+
+
+_PHOTO = "(x * 3 + y * 5 + img_id) % 251"
+
+
+@query(f"""WITH bx AS (SELECT *, floor(least(x0, x1, x2, x3))::INT AS l, floor(least(y0, y1, y2, y3))::INT AS t, ceil(greatest(x0, x1, x2, x3))::INT AS r, ceil(greatest(y0, y1, y2, y3))::INT AS b FROM ({_QUADS})),
+al AS (SELECT *, {' + '.join(_turn(i) for i in range(4))} AS wn FROM (SELECT *, unnest(range(l, r)) AS px FROM (SELECT *, unnest(range(t, b)) AS py FROM bx))),
+mk AS (SELECT img_id, avg((wn <> 0)::INT) >= 0.18 AS masked FROM al GROUP BY img_id),
+cv AS (SELECT al.img_id, px - l + 16 AS x, py - t + 16 AS y, CASE WHEN wn <> 0 OR NOT masked THEN (px * 3 + py * 5 + al.img_id) % 251 ELSE 255 END AS v, r - l + 32 AS w, b - t + 32 AS h FROM al JOIN mk ON mk.img_id = al.img_id),
+rw AS (SELECT img_id, y, sum(v - 255)::BIGINT AS s, sum((v - 255) * x)::BIGINT AS sx FROM cv GROUP BY ALL),
+sz AS (SELECT DISTINCT img_id, w, h FROM cv), ys AS (SELECT img_id, w, unnest(range(h)) AS y FROM sz)
+SELECT ys.img_id, ys.y::INT AS y, w::INT AS w, (coalesce(s, 0) + 255 * w)::BIGINT AS total, (coalesce(sx, 0) + 255 * w * (w - 1) // 2)::BIGINT AS weighted FROM ys LEFT JOIN rw ON rw.img_id = ys.img_id AND rw.y = ys.y""")
+def lasso_pixels(spark, sf_dir):
+    """Lassos with four corners cut out of photos of 100 x 80: sums of each row's pixels, plain and weighted by their place."""
+    corner = lambda d: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(F.col("q"), 2 * i + d))
+    photo = grid.each(F.lit(100), F.lit(80), lambda x, y: (x * 3 + y * 5 + F.col("img_id").cast("int")) % 251)
+    rows = spread(_quads(spark, sf_dir)).select("img_id", F.lit(100).alias("w"), F.lit(80).alias("h"), photo.alias("v"), corner(0).alias("xs"), corner(1).alias("ys"))
+    out = resample.lassoed(rows).where("v is not null")
+    line = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.slice("v", y * F.col("w") + 1, F.col("w")))
+    total = lambda at: F.aggregate(at, F.lit(0).cast("long"), lambda a, p: a + p)
+    each = out.select("img_id", "w", F.posexplode(line).alias("y", "p"))
+    return each.select("img_id", "y", "w", total(F.col("p")).alias("total"), total(F.transform("p", lambda v, i: v * i)).alias("weighted"))
+
+
+def _hex(value, digits: int):
+    return F.lpad(F.hex(value), digits, "0")
+
+
+@query(f"""SELECT p_partkey, CASE WHEN NOT broken THEN CASE kind WHEN 0 THEN 'png' ELSE 'jpeg' END END AS format, CASE WHEN NOT broken THEN w END AS w, CASE WHEN NOT broken THEN h END AS h,
+    CASE WHEN broken THEN NULL WHEN kind = 1 THEN turned ELSE 1 END AS orientation
+    FROM (SELECT p_partkey, p_partkey % 3 AS kind, p_partkey % 10 = 9 AS broken, (p_partkey % 8 + 1)::INT AS turned, ({_SZ})::INT AS w, ({_SZ2})::INT AS h FROM part)""")
+def image_headers(spark, sf_dir):
+    """Headers of PNG files, and of JPEG files with and without orientation, made from parts; one in ten is cut short."""
+    k, w, h = F.col("p_partkey"), F.expr(_SZ), F.expr(_SZ2)
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _hex(w, 8), _hex(h, 8), F.lit("080200000000000000"))
+    exif = F.concat(F.lit("FFE10022" + "457869660000" + "4D4D002A00000008" + "0001" + "0112000300000001"), _hex(k % 8 + 1, 4), F.lit("0000" + "00000000"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), F.when(k % 3 == 1, exif).otherwise(F.lit("")), F.lit("FFDB0004FFFFFFC0001108"), _hex(h, 4), _hex(w, 4), F.lit("03012200021101031101FFDA"))
+    data = F.when(k % 3 == 0, png).otherwise(jpeg)
+    cut = F.when(k % 10 == 9, F.substring(data, 1, 36)).otherwise(data)
+    return table(spark, sf_dir, "part").select("p_partkey", header(F.unhex(cut)).alias("h")).select("p_partkey", "h.*")

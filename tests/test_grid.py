@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import contours, covers, grid, quads
+from shelfspark.operators import contours, covers, grid, quads, resample
 
 
 def image(spark, *arrays):
@@ -209,3 +209,127 @@ def test_dark_images_on_a_sampled_grid(spark):
         dark, bright = (part <= 80).sum(), (part >= 150).sum()
         want = dark * 5 >= len(part) * 2 or (dark > bright and part.sum() // len(part) < 120)
         assert one(image(spark, a), grid.mostly_dark(F.col("v"), F.col("w"), F.col("h"))) == want
+
+
+def drawn_at(a, sx, sy):
+    """Bilinear value of an array at a place."""
+    h, w = a.shape
+    x, y = np.floor(sx - 0.5), np.floor(sy - 0.5)
+    fx, fy = sx - 0.5 - x, sy - 0.5 - y
+    at = lambda dx, dy: a[np.clip(y + dy, 0, h - 1).astype(int), np.clip(x + dx, 0, w - 1).astype(int)]
+    return np.floor((at(0, 0) * (1 - fx) + at(1, 0) * fx) * (1 - fy) + (at(0, 1) * (1 - fx) + at(1, 1) * fx) * fy + 0.5).astype(int)
+
+
+def grids(df):
+    return [None if r.v is None else np.array(r.v).reshape(r.h, r.w) for r in df.orderBy("img_id").collect()]
+
+
+def test_scaling_and_turning(spark):
+    a = RNG.integers(0, 256, (30, 46))
+    up = np.add(*np.mgrid[0:600, 0:20]) % 256
+    df = image(spark, a, a[:1, :1], up)
+    for most, shapes in ((20, [(13, 20), (1, 1), (20, 1)]), (46, [(30, 46), (1, 1), (46, 2)])):
+        got = grids(resample.fitted(df, most))
+        assert [g.shape for g in got] == shapes
+        for g, source in zip(got, (a, a[:1, :1], up), strict=True):
+            y, x = np.mgrid[0 : g.shape[0], 0 : g.shape[1]]
+            assert (g == drawn_at(source, (x + 0.5) * source.shape[1] / g.shape[1], (y + 0.5) * source.shape[0] / g.shape[0])).all()
+    turns = {1: a, 2: a[:, ::-1], 3: a[::-1, ::-1], 4: a[::-1], 5: a.T, 6: np.rot90(a, -1), 7: np.rot90(a, 2).T, 8: np.rot90(a), 0: a, 9: a}
+    rows = image(spark, *[a] * 10).withColumn("code", F.col("img_id"))
+    out = resample.redrawn(rows, resample.turned_size(F.col("w"), F.col("h"), F.col("code")), resample.turned(F.col("v"), F.col("w"), F.col("h"), F.col("code")))
+    assert all((g == turns[k]).all() for k, g in enumerate(grids(out)))
+    one_, mirrored = grids(resample.loaded(image(spark, a, a).withColumn("orientation", F.col("img_id") + 6), 20))
+    half = np.floor(a.reshape(15, 2, 23, 2).mean((1, 3)) + 0.5).astype(int)
+    y, x = np.mgrid[0:20, 0:13]
+    turned = np.rot90(half, -1)
+    assert one_.shape == (20, 13) and (one_ == drawn_at(turned, (x + 0.5) * 15 / 13, (y + 0.5) * 23 / 20)).all() and mirrored.shape == (13, 20)
+
+
+def test_straightened_covers(spark):
+    """A quad that is a rectangle is cut out; any other is mapped by the projection that solves its eight equations; too small ones are null."""
+    a = RNG.integers(0, 256, (90, 120))
+    quads_ = [[10, 20, 100, 20, 100, 85, 10, 85], [12, 8, 101, 15, 110, 80, 5, 70], [0, 0, 30, 0, 30, 30, 0, 30], [0, 0, 50, 0, 100, 0, 0, 88], [80, 10, 110, 80, 20, 85, 10, 20]]
+    df = image(spark, *[a] * 5).join(spark.createDataFrame([(i, [float(c) for c in q]) for i, q in enumerate(quads_)], "img_id int, quad array<double>"), "img_id")
+    got = grids(resample.warped(df))
+    assert (got[0] == a[20:85, 10:100]).all() and got[2] is None and got[3] is None
+    for k in (1, 4):
+        (h, w), p = got[k].shape, np.array(quads_[k], float).reshape(4, 2)
+        rows, target = [], []
+        for (u, v), (x, y) in zip([(0, 0), (w, 0), (w, h), (0, h)], p, strict=True):
+            rows += [[u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y]]
+            target += [x, y]
+        m = np.append(np.linalg.solve(np.array(rows, float), target), 1).reshape(3, 3)
+        v, u = np.mgrid[0:h, 0:w] + 0.5
+        x, y, z = np.tensordot(m, np.stack([u, v, np.ones_like(u)]), 1)
+        assert (np.abs(got[k] - drawn_at(a, x / z, y / z)) <= 1).all()  # a place that is half way may round either way
+    assert resample.warped(df.where("img_id = 1"), most=70).first().w == 70
+
+
+def test_cut_out_lassos(spark):
+    a = RNG.integers(0, 255, (60, 80))
+    star = ([40, 70, 10, 70, 20], [5, 55, 20, 20, 55])  # crosses itself; its middle is inside by winding
+    thin = ([0, 79, 79], [0, 58, 60])
+    shapes = [star, ([10, 60, 60, 10], [10, 10, 50, 50]), thin, ([10, 12, 11], [10, 10, 15])]
+    df = image(spark, *[a] * 4).join(spark.createDataFrame([(i, [float(c) for c in x], [float(c) for c in y]) for i, (x, y) in enumerate(shapes)], "img_id int, xs array<double>, ys array<double>"), "img_id")
+    got = grids(resample.lassoed(df))
+    assert got[3] is None and (got[1][16:-16, 16:-16] == a[10:50, 10:60]).all() and (got[1][:16] == 255).all() and (got[2][16:-16, 16:-16] == a[0:60, 0:79]).all()
+    xs, ys = (np.array(v, float) for v in star)
+    y, x = np.mgrid[5:55, 10:70] + 0.5
+    turns = np.zeros(y.shape, int)
+    for x1, y1, x2, y2 in zip(xs, ys, np.roll(xs, -1), np.roll(ys, -1), strict=True):
+        side = (x2 - x1) * (y - y1) - (x - x1) * (y2 - y1)
+        turns += ((y1 <= y) & (y2 > y) & (side > 0)).astype(int) - ((y1 > y) & (y2 <= y) & (side < 0))
+    assert (got[0][16:-16, 16:-16] == np.where(turns != 0, a[5:55, 10:70], 255)).all() and 2 in np.abs(turns)
+
+
+def test_covers_of_any_size(spark):
+    """A large image is worked on at 360 pixels and its quad scaled back; one that is too small gets the inset quad."""
+    a = np.full((540, 420), 30)
+    a[90:456, 84:342] = 220
+    rows = covers.detect(image(spark, a, np.full((10, 70), 99))).orderBy("img_id").collect()
+    want = [84, 90, 341, 90, 341, 455, 84, 455]
+    assert max(abs(x - y) for x, y in zip(rows[0].quad, want, strict=True)) <= 8 and rows[0].method != "inset"
+    assert rows[1].method == "inset" and rows[1].quad == pytest.approx([5.6, 0.8, 64.4, 0.8, 64.4, 9.2, 5.6, 9.2])
+
+
+def test_percentiles(spark):
+    import math
+
+    arrays = [RNG.integers(-20, 300, (1, n)) for n in (1, 2, 3, 50, 999)]
+    for f in (0.0, 0.02, 0.5, 0.98, 1.0):
+        got = [r.p for r in image(spark, *arrays).orderBy("img_id").select(grid.percentile(F.col("v"), f).alias("p")).collect()]
+        assert got == [int(np.sort(a.ravel().clip(0, 255))[max(1, math.floor(a.size * f + 0.5)) - 1]) for a in arrays]
+    empty = spark.createDataFrame([([],)], "v array<int>")
+    assert empty.select(grid.percentile(F.col("v"), 0.5).alias("p")).first().p is None
+
+
+def test_image_headers(spark, tmp_path):
+    """Sizes and orientations of files as written; broken, cut and other files give null."""
+    import struct
+    import zlib
+
+    from shelfspark.sources import images
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def exif(order, code):
+        return {"<": b"II", ">": b"MM"}[order] + struct.pack(f"{order}HIH", 42, 8, 2) + struct.pack(f"{order}HHIHH", 0x010F, 3, 1, 7, 0) + struct.pack(f"{order}HHIHH", 0x0112, 3, 1, code, 0) + bytes(4)
+
+    def segment(marker, body):
+        return bytes([0xFF, marker]) + struct.pack(">H", len(body) + 2) + body
+
+    png = images.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 300, 200, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"x"))
+    frame = lambda marker: segment(marker, struct.pack(">BHHB", 8, 640, 480, 3) + bytes(9))
+    jpeg = lambda *parts: images.JPEG + b"".join(parts) + segment(0xDA, bytes(8)) + b"\x01\x02"
+    cases = {
+        "a.png": (png, ("png", 300, 200, 1)), "b.png": (png[:33] + chunk(b"eXIf", exif(">", 6)) + png[33:], ("png", 300, 200, 6)), "c.png": (png[:20], None),
+        "d.jpg": (jpeg(segment(0xE0, b"JFIF\0" + bytes(9)), frame(0xC0)), ("jpeg", 480, 640, 1)), "e.jpg": (jpeg(segment(0xE1, b"Exif\0\0" + exif("<", 8)), segment(0xC4, bytes(30)), frame(0xC2)), ("jpeg", 480, 640, 8)),
+        "f.jpg": (jpeg(segment(0xE1, b"Exif\0\0" + exif(">", 3)[:-10]), b"\xff\xff", frame(0xC1)), ("jpeg", 480, 640, 1)), "g.jpg": (jpeg(), None), "h.jpg": (images.JPEG + b"\xff\xe1\xff", None), "j.jpeg": (b"GIF89a....", None),
+    }
+    for name, (data, _) in cases.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "k.txt").write_bytes(png)
+    got = {r.path.rpartition("/")[2]: (r.format, r.w, r.h, r.orientation) for r in images.files(spark, str(tmp_path)).collect()}
+    assert got == {name: want or (None,) * 4 for name, (_, want) in cases.items()}
+    assert spark.createDataFrame([(None,)], "c binary").select(images.header(F.col("c")).alias("h")).first().h is None
