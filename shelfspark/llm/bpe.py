@@ -36,20 +36,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+#: Bits of a token in a place.
+BITS, MASK = 32, (1 << 32) - 1
+
+
 class State(dict):
     """A deterministic state: the next state by byte, made when first asked for.
 
-    places holds where a token may have begun, as the bytes read since and the token before; last is the last token of what has been read.
+    places holds where a token may have begun, each as the node of what has been read since, and below BITS the token before, counted from 1;
+    last is the last token of all that has been read.
     """
 
     __slots__ = ("machine", "places", "last")
 
-    def __init__(self, machine: Transducer, places: tuple[tuple[bytes, int], ...]) -> None:
+    def __init__(self, machine: Transducer, places: tuple[int, ...]) -> None:
         super().__init__()
-        self.machine, self.places, self.last = machine, places, places[-1][1]
+        self.machine, self.places, self.last = machine, places, places[-1] - 1
 
     def __missing__(self, byte: int) -> State:
-        self[byte] = state = self.machine.after(self, bytes([byte]))
+        self[byte] = state = self.machine.after(self, byte)
         return state
 
 
@@ -65,9 +70,20 @@ class Transducer:
             raise ValueError(f"the vocabulary lacks the single bytes {lacking}")
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
-        unfinished = {t[:k] for t in ranks for k in range(1, len(t))}
-        #: What a token may begin with: the token that it is (or None), and whether others go on from there.
-        self.reads = {read: (ranks.get(read), read in unfinished) for read in unfinished.union(ranks)}
+        #: The tree of what tokens begin with: child by node and byte; of each node its token or -1, its depth, and whether it has children.
+        self.child: dict[int, int] = {}
+        self.token, self.depth, self.inner = [-1], [0], [True]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                below = self.child.setdefault(node << 8 | byte, len(self.token))
+                if below == len(self.token):
+                    self.token.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.inner.append(False)
+                    self.inner[node] = True
+                node = below
+            self.token[node] = rank
         self.pairs: dict[int, bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
@@ -78,7 +94,7 @@ class Transducer:
         for state in self.states.values():
             state.clear()
         self.states.clear()
-        self.start = self._state(((b"", -1),))
+        self.start = self._state((0,))
 
     def _state(self, places: tuple) -> State:
         found = self.states.get(places)
@@ -126,21 +142,24 @@ class Transducer:
             self.pairs[pair] = found
         return found
 
-    def after(self, state: State, byte: bytes) -> State:
+    def after(self, state: State, byte: int) -> State:
         """The state after one more byte; where the memory is full all others are forgotten."""
-        going, ended, reads = [], None, self.reads.get
-        for read, before in state.places:
-            read += byte
-            token, more = reads(read, (None, False))
-            if ended is None and token is not None and (before < 0 or self._may_follow(before, token)):
+        going, ended, child = [], -1, self.child.get
+        for place in state.places:
+            node = child(place >> BITS << 8 | byte)
+            if node is None:
+                continue
+            before = place & MASK
+            if ended < 0 and (token := self.token[node]) >= 0 and (not before or self._may_follow(before - 1, token)):
                 ended = token
-            if more:
-                going.append((read, before))
-        if ended is None:
+            if self.inner[node]:
+                going.append(node << BITS | before)
+        if ended < 0:
             raise ValueError("the vocabulary holds tokens that its merges do not make")
+        going.append(ended + 1)
         if len(self.states) >= self.STATES:
             self._forget()
-        return self._state((*going, (b"", ended)))
+        return self._state(tuple(going))
 
     def _back(self, last: list[int], end: int) -> list[int]:
         """Tokens before end."""
@@ -159,7 +178,7 @@ class Transducer:
                 yield end
                 end -= self.length[last[end - 1]]
 
-        places = [len(last) - len(read) for read, _ in state.places]
+        places = [len(last) - self.depth[place >> BITS] for place in state.places]
         first = {*way(places[0])}
         return min(next((end for end in way(place) if end in first), 0) for place in places)
 
@@ -195,7 +214,7 @@ class Encoder:
     """
 
     #: Most stretches whose ids are remembered, the most characters of such a stretch, and of a text that is cut at one go.
-    KEPT, LONG, WHOLE = 600_000, 48, 1 << 20
+    KEPT, LONG, WHOLE = 900_000, 48, 1 << 20
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, apart: bool) -> None:
         import regex
@@ -220,14 +239,8 @@ class Encoder:
         if stretch.isalpha() and self.letters:
             data = b" " + stretch.encode()
             whole = self.transducer.ranks.get(data)
-            ids = array("i", self.transducer.encode(data) if whole is None else (whole,)).tobytes()
-        else:
-            ids = self._pieces(" " + stretch)
-        if len(stretch) <= self.LONG:
-            if len(self.known) >= self.KEPT:
-                self.known.clear()
-            self.known[stretch] = ids
-        return ids
+            return array("i", self.transducer.encode(data) if whole is None else (whole,)).tobytes()
+        return self._pieces(" " + stretch)
 
     def _parts(self, text: str) -> Iterator[str]:
         """text cut at blanks of the kind above, long texts bit by bit."""
@@ -238,15 +251,33 @@ class Encoder:
         yield text[at:]
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as 32-bit integers in the machine's order; long texts are not held as a list of pieces."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit integers in the machine's order.
+
+        What is new in the texts is encoded first, in order, so that one stretch after the other passes through much the same states. Long texts
+        are taken bit by bit and never held as a list of stretches.
+        """
+        cut = [self.cut.split(t) if t and self.apart and len(t) <= self.WHOLE else None for t in texts]
+        new = {s for parts in cut if parts for s in parts[1:]}.difference(self.known)
+        if len(self.known) + len(new) > self.KEPT:
+            self.known.clear()
+            new = {s for parts in cut if parts for s in parts[1:]}
+        known = self.known
+        for s in sorted(new):
+            known[s] = self._stretch(s)
+        out = [self._long(t) if parts is None else self._pieces(parts[0]) + b"".join([known[s] for s in parts[1:]]) for t, parts in zip(texts, cut, strict=True)]
+        for s in [s for s in new if len(s) > self.LONG]:
+            del known[s]
+        return out
+
+    def _long(self, text: str | None) -> bytes:
         if not text or not self.apart:
             return self._pieces(text or "")
-        known = self.known
-        first, *rest = self.cut.split(text) if len(text) <= self.WHOLE else [text]
-        if len(text) > self.WHOLE:
-            parts = self._parts(text)
-            first, rest = next(parts), parts
-        return self._pieces(first) + b"".join([known.get(s) or self._stretch(s) for s in rest])
+        parts = self._parts(text)
+        first = self._pieces(next(parts))
+        return first + b"".join(self.known.get(s) or self._stretch(s) for s in parts)
 
 
 class Utf8Machine(dict):
@@ -321,7 +352,7 @@ def ids_of(text: Column, vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str
             keep_only("")
             _encoders[key] = Encoder(_ranks(_place(vocabulary)), key[1], apart=pattern is None)
         coder = _encoders[key]
-        rows = [coder.encode(t.as_py()) for t in texts]
+        rows = coder.encode_all(texts.to_pylist())
         offsets = np.cumsum([0, *(len(r) // 4 for r in rows)])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "i4"), pa.int32()))
 
@@ -338,14 +369,15 @@ def text_of(ids: Column, vocabulary: str = "byte_bpe_50k.tiktoken") -> Column:
         if vocabulary not in _machines:
             _machines[vocabulary] = Utf8Machine({i: t for t, i in _ranks(_place(vocabulary)).items()})
         machine, data, texts = _machines[vocabulary], [], []
-        token = machine.tokens.__getitem__
         for row in rows:
             ids = row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else None
             try:
-                data.append(None if ids is None else b"".join(map(token, ids)))
+                text = None if ids is None else machine.decode(ids)
             except KeyError:  # an id of no token
-                data.append(None)
-            texts.append(None if data[-1] is None else machine.decode(ids))
+                text = None
+            texts.append(text)
+            whole = text is None or "\ufffd" not in text  # else bytes may be no UTF-8
+            data.append(None if text is None else text.encode() if whole else b"".join(map(machine.tokens.__getitem__, ids)))
         return pa.StructArray.from_arrays([pa.array(data, pa.binary()), pa.array(texts, pa.string())], names=["bytes", "text"])
 
     return decode(ids)
