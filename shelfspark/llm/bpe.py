@@ -206,6 +206,10 @@ class Transducer:
         return self._back(last, len(last))
 
 
+#: All characters of white space but the blank and the end of a line.
+OTHER_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+
+
 class Encoder:
     """Whole texts: each match of the pattern by itself, a piece that is a token being that token.
 
@@ -242,6 +246,12 @@ class Encoder:
             return array("i", self.transducer.encode(data) if whole is None else (whole,)).tobytes()
         return self._pieces(" " + stretch)
 
+    def _cut(self, text: str) -> list[str]:
+        """text cut at blanks of the kind above; plain splitting does that where no blank has another one at its side."""
+        if any(pair in text for pair in ("  ", " \n", "\n ")) or any(c in text for c in OTHER_BLANKS):
+            return self.cut.split(text)
+        return text.split(" ")
+
     def _parts(self, text: str) -> Iterator[str]:
         """text cut at blanks of the kind above, long texts bit by bit."""
         at = 0
@@ -259,7 +269,7 @@ class Encoder:
         What is new in the texts is encoded first, in order, so that one stretch after the other passes through much the same states. Long texts
         are taken bit by bit and never held as a list of stretches.
         """
-        cut = [self.cut.split(t) if t and self.apart and len(t) <= self.WHOLE else None for t in texts]
+        cut = [self._cut(t) if t and self.apart and len(t) <= self.WHOLE else None for t in texts]
         new = {s for parts in cut if parts for s in parts[1:]}.difference(self.known)
         if len(self.known) + len(new) > self.KEPT:
             self.known.clear()
