@@ -129,10 +129,6 @@ def keepable(s: Column) -> Column:
     return (s != "") & ~math_noise(s) & ~mixed_scripts(s) & (looks_like_initials(s) | number_like(s) | has_useful_word(s))
 
 
-def _digit_token(t: Column) -> Column:
-    return t.rlike(rf"^[\p{{Nd}}{_LOOK}.,:\-]*$") & t.rlike(r"\p{Nd}")
-
-
 def _as_digits(t: Column) -> Column:
     return F.translate(F.regexp_replace(t, rf"[^\p{{Nd}}{_LOOK}]", ""), LOOKALIKES, LOOKALIKE_DIGITS)
 
@@ -140,22 +136,23 @@ def _as_digits(t: Column) -> Column:
 def collapse_digits(s: Column) -> Column:
     """A cleaned line in which digit tokens, and lookalikes beside them, are joined to numbers.
 
-    A number with fewer than two real digits is dropped. A fold numbers the runs of tokens that belong together, one small struct a
-    token; the runs are then put together once.
+    A number with fewer than two real digits is dropped. Tokens that are surely text or surely digits tell where lookalikes belong, so the
+    line is cut there by patterns: a lookalike alone counts if digits are right before it (others of its kind between them) or right behind.
+    Each run of joined tokens is then put together once; nothing grows token by token.
     """
-    kinds = lambda ts: F.transform(ts, lambda t: F.struct(t.alias("t"), _digit_token(t).alias("d"), ((F.length(t) == 1) & t.rlike(f"^[{_LOOK}]$")).alias("l"), _as_digits(t).alias("n"), digits(t).alias("r")))
-    number = lambda num, real: F.when((num != "") & (real >= 2), F.array(num)).otherwise(F.array().cast("array<string>"))
-    state = lambda num, real, out: F.struct(num.alias("num"), real.alias("real"), out.alias("out"))
+    token = rf"(?=\S*\p{{Nd}})[\p{{Nd}}{_LOOK}.,:\-]++(?!\S)"
+    run = rf"(?<!\S)(?:[{_LOOK}]\s)?{token}(?:\s(?:{token}|[{_LOOK}](?!\S)))*+"
+
+    def number(part: Column) -> Column:
+        return F.when(digits(part) >= 2, F.concat(F.lit(" "), _as_digits(part), F.lit(" "))).otherwise(F.lit(" "))
 
-    def fold(ts: Column) -> Column:
-        ahead = F.transform(ts, lambda x, i: F.struct(x["t"].alias("t"), x["n"].alias("n"), x["r"].alias("r"), x["d"].alias("d"), x["l"].alias("l"), F.coalesce(F.get(ts, i + 1)["d"], F.lit(False)).alias("next")))
-        taken = lambda a, x: x["d"] | (x["l"] & ((a["real"] > 0) | x["next"]))
-        none = F.array().cast("array<string>")
-        step = lambda a, x: F.when(taken(a, x), state(F.concat(a["num"], x["n"]), a["real"] + x["r"], a["out"])).otherwise(state(F.lit(""), F.lit(0), F.concat(a["out"], number(a["num"], a["real"]), F.array(x["t"]))))
-        return F.aggregate(ahead, state(F.lit(""), F.lit(0), none), step, lambda a: F.array_join(F.concat(a["out"], number(a["num"], a["real"])), " "))
+    def joined(c: Column) -> Column:
+        runs, texts = F.regexp_extract_all(c, F.lit(f"({run})"), 1), F.split(c, run)
+        each = F.transform(F.arrays_zip(texts.alias("t"), F.transform(runs, number).alias("n")), lambda x: F.concat(F.coalesce(x["t"], F.lit("")), F.coalesce(x["n"], F.lit(""))))
+        return trimmed(F.regexp_replace(F.array_join(each, ""), r"\s+", " "))
 
     # without a digit or lookalike in a token of its own nothing is joined
-    return let(clean(s), lambda c: F.when(~c.rlike(rf"(?:^|\s)[\p{{Nd}}{_LOOK}.,:\-]+(?:\s|$)"), c).otherwise(let(kinds(F.split(c, r"\s+")), fold)))
+    return let(clean(s), lambda c: F.when(~c.rlike(rf"(?:^|\s)[\p{{Nd}}{_LOOK}.,:\-]+(?:\s|$)"), c).otherwise(joined(c)))
 
 
 def digit_run(s: Column) -> Column:

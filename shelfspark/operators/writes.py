@@ -6,7 +6,9 @@ dealt in blocks of ordinals, so that numbering does not pass through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,6 +65,55 @@ def delete_rows(table: DataFrame, ids: DataFrame) -> DataFrame:
     return table.join(ids.select("id"), "id", "left_anti")
 
 
+@dataclass(frozen=True)
+class Written:
+    """What a write returns: the new state as a written table, how many rows it inserted, updated and deleted, and the inserted rows' identifiers.
+
+    ids: ordinal and id, -1 for rows that were ignored; None where nothing is inserted.
+    """
+
+    table: DataFrame
+    inserted: int = 0
+    updated: int = 0
+    deleted: int = 0
+    ids: DataFrame | None = None
+
+
+def _written(rows: DataFrame, name: str, **counted: Column) -> tuple[DataFrame, dict[str, int]]:
+    """rows without the columns that begin with an underscore, written out, and counts that were observed on the way: no second pass."""
+    seen = Observation()
+    marked = rows.observe(seen, *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in counted.items()])
+    out = materialize(marked.select([c for c in rows.columns if not c.startswith("_")]), name)
+    return out, seen.get
+
+
+def inserted(table: DataFrame, new: DataFrame, unique: str, ordinal: str = "ordinal") -> Written:
+    """insert_ignore() carried out, with the new identifier of each row of new, or -1."""
+    fresh = materialize(number(first_of(new, unique, ordinal).join(table.select(unique), unique, "left_anti"), table, ordinal), "fresh")
+    both = table.withColumn("_new", F.lit(False)).unionByName(fresh.select(table.columns).withColumn("_new", F.lit(True)))
+    out, counts = _written(both, "inserted", inserted=F.col("_new"))
+    ids = new.select(ordinal).join(fresh.select(ordinal, "id"), ordinal, "left").select(F.col(ordinal).alias("ordinal"), F.coalesce("id", F.lit(-1)).cast("long").alias("id"))
+    return Written(out, inserted=counts["inserted"], ids=ids)
+
+
+def updated(table: DataFrame, changed: DataFrame) -> Written:
+    """update_rows() carried out, with the number of rows that changed has and table as well, whether their values differ or not."""
+    other = [c for c in table.columns if c != "id"]
+    rows = table.join(changed.select(F.col("id"), F.struct(*other).alias("_new")), "id", "left")
+    rows = rows.select("id", *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in other], F.col("_new").isNotNull().alias("_hit")).select(*table.columns, "_hit")
+    out, counts = _written(rows, "updated", updated=F.col("_hit"))
+    return Written(out, updated=counts["updated"])
+
+
+def deleted(table: DataFrame, ids: DataFrame) -> Written:
+    """delete_rows() carried out, with the number of rows that went; both are counted on the rows as they are written."""
+    gone = ids.select(F.col("id").alias("_id")).distinct()
+    rows = table.join(gone, F.col("id") == F.col("_id"), "left")
+    seen = Observation()
+    out = materialize(rows.observe(seen, F.count("_id").alias("n")).where("_id is null").select(table.columns), "deleted")
+    return Written(out, deleted=seen.get["n"])
+
+
 def delete_parents(c: Catalogue, authors: DataFrame | None = None, publishers: DataFrame | None = None) -> Catalogue:
     """The catalogue without some authors and publishers (tables of id) and without the books that refer to them."""
     books, kept_a, kept_p = c.books, c.authors, c.publishers

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as ops
+from ..operators import trigrams
 from ..sources.catalogue import derived, with_views
 from ..sources.schemas import DETAIL_TYPES
+from ..storage import settled
 from .registry import query
 
 _BOOK = "id, title, author_id, publisher_id, isbn, page_count, cover_image_uri, publication_year, genres, signed, purchase_price, rating"
@@ -172,3 +174,27 @@ def nullable_relation(spark, sf_dir):
     return d.join(l, d["doc_id"] == l["doc_id"], "left").select(d["doc_id"], "lang", "quality", "toxic", l["doc_id"].isNotNull().alias("labelled"))
 
 
+
+
+def _by_index(spark, sf_dir, search):
+    """A search by freshly built indexes, with its result written out, and the indexes deleted."""
+    c = derived(spark, sf_dir)
+    books = lambda: trigrams.build(c.books, ["title", "isbn"])
+    authors = lambda: trigrams.build(c.authors, ["name"])
+    return settled(spark, lambda: _flat(search(c, books, authors)), "found")
+
+
+@query(_joined("b.title ILIKE '%red gizmo%' OR b.isbn ILIKE '%red gizmo%' OR a.name ILIKE '%red gizmo%'"))
+def indexed_search_title(spark, sf_dir):
+    """All fields by trigrams, of a needle that titles have."""
+    return _by_index(spark, sf_dir, lambda c, books, authors: trigrams.search_all(c, books(), authors(), "RED Gizmo"))
+
+
+@query(_joined("b.isbn ILIKE '%97800000%'"))
+def indexed_search_isbn(spark, sf_dir):
+    return _by_index(spark, sf_dir, lambda c, books, authors: trigrams.search_isbn(c, books(), "97800000"))
+
+
+@query(_joined("a.name ILIKE '%r#000000003%'", "INNER"))
+def indexed_search_author(spark, sf_dir):
+    return _by_index(spark, sf_dir, lambda c, books, authors: trigrams.search_author(c, authors(), "R#000000003"))

@@ -146,3 +146,33 @@ def genres_joined(spark, sf_dir):
 @query("SELECT event_id, (regexp_extract(props, '\"k\": *(-?[0-9]+)', 1))::BIGINT AS k FROM events")
 def event_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get(F.map_values(F.from_json("props", "map<string,bigint>")), 0).alias("k"))
+
+
+@query(f"SELECT isbn, http_code, body FROM ({_ANSWERS}) WHERE isbn IS NOT NULL")
+def stored_answers(spark, sf_dir):
+    """All answers stored by ISBN and read back through the data source."""
+    from ..sources import stores
+    from ..storage import scratch, settled
+
+    def build():
+        path = scratch(spark, "answers")
+        stores.store_answers(answers(spark, sf_dir), path)
+        stores.register(spark)
+        return spark.read.format("stored_answers").load(path)
+
+    return settled(spark, build, "answers-read")
+
+
+@query(f"SELECT isbn, http_code, body FROM ({_ANSWERS}) WHERE isbn IN ('978-13', '978-14', '978-22', ' - ')")
+def answers_by_isbn(spark, sf_dir):
+    """Answers of some ISBNs; the filter reaches the data source, which opens their folders only."""
+    from ..sources import stores
+    from ..storage import scratch, settled
+
+    def build():
+        path = scratch(spark, "answers")
+        stores.store_answers(answers(spark, sf_dir), path)
+        stores.register(spark)
+        return spark.read.format("stored_answers").load(path).where(F.col("isbn").isin("978-13", "978-14", "978-22", " - "))
+
+    return settled(spark, build, "answers-read")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import writes as ops
 from ..sources.catalogue import derived, with_views
 from ..sources.schemas import BASE_TYPES, DETAIL_TYPES
+from ..storage import settled
 from .registry import query
 
 #: New names for authors: known ones, new ones, and repetitions, in the order of ord.
@@ -81,13 +82,13 @@ _SAVED = {
     FROM books b LEFT JOIN linked l ON l.own = b.id UNION ALL SELECT (SELECT max(id) FROM books) + row_number() OVER (ORDER BY ordinal), title, isbn, author_id, publisher_id FROM linked WHERE own IS NULL""", **_SAVED))
 def upsert_books(spark, sf_dir):
     c = derived(spark, sf_dir)
-    return ops.save_books(c, _forms(c))[0].books.select("id", "title", "isbn", "author_id", "publisher_id")
+    return settled(spark, lambda: ops.save_books(c, _forms(c))[0].books.select("id", "title", "isbn", "author_id", "publisher_id"), "saved")
 
 
 @query(with_views("SELECT ordinal, CASE WHEN clash OR k > 1 THEN 'isbn_conflict' ELSE 'saved' END AS status FROM turn", **_SAVED))
 def upsert_status(spark, sf_dir):
     c = derived(spark, sf_dir)
-    return ops.save_books(c, _forms(c))[1]
+    return settled(spark, lambda: ops.save_books(c, _forms(c))[1], "saved")
 
 
 @query(with_views("SELECT id, name FROM aa", **_SAVED))
@@ -178,3 +179,27 @@ def row_to_form(spark, sf_dir):
     c = derived(spark, sf_dir)
     books = c.books.drop("isbn").join(_v1(c).select("id", "isbn"), "id")
     return ops.to_form(books).select("id", "title", "isbn", "page_count", "genres", "publication_year", "signed")
+
+
+@query(with_views("SELECT n.ordinal, CASE WHEN k = 1 AND f.id IS NOT NULL THEN f.id ELSE -1 END::BIGINT AS id, (SELECT count(*) FROM fresh)::BIGINT AS inserted FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ordinal) AS k FROM new) n LEFT JOIN numbered f ON f.name = n.name", new=_NEW, fresh=_FRESH, numbered=_NUMBERED))
+def inserted_ids(spark, sf_dir):
+    """What an insert of many rows returns: the identifier of each, -1 for ignored ones, and how many went in."""
+    def build():
+        c = derived(spark, sf_dir)
+        done = ops.inserted(c.authors, _new(c), "name")
+        return done.ids.withColumn("inserted", F.lit(done.inserted).cast("long"))
+
+    return settled(spark, build, "ids")
+
+
+@query(with_views("SELECT (SELECT count(*) FROM books WHERE page_count > 250)::BIGINT AS updated, (SELECT count(*) FROM books WHERE page_count <= 100)::BIGINT AS deleted, count(*)::BIGINT AS n, sum(id)::BIGINT AS ids FROM books WHERE page_count > 100"))
+def affected_counts(spark, sf_dir):
+    """How many rows an update and a delete affect, and what is left."""
+    def build():
+        books = derived(spark, sf_dir).books
+        changed = ops.updated(books, books.where("page_count > 250").withColumn("title", F.upper("title")))
+        gone = ops.deleted(changed.table, changed.table.where("page_count <= 100").select("id"))
+        counts = F.lit(changed.updated).cast("long").alias("updated"), F.lit(gone.deleted).cast("long").alias("deleted")
+        return gone.table.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")).select(*counts, "n", "ids")
+
+    return settled(spark, build, "counts")

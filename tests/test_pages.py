@@ -305,3 +305,15 @@ def test_number_lines(spark):
     for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_name").join(QUERIES["number_lines"](spark, SF), "p_partkey").collect():
         text = f"Vol {''.join(c + ' ' for c in str(r.p_partkey))} O {r.p_name}"
         assert (r.collapsed, r.parts) == (collapse(text), explode(text))
+
+
+def test_long_lines_of_numbers(spark):
+    """A line is put together in one pass, however many runs or tokens it has; lookalikes count beside digits only."""
+    import time
+
+    lines = ["x 12 " * 20_000, "1 l O 2 " * 20_000, "l l 5 O x l 7 8 lx 9 l", "l 5", "5 lx 6", "o O l", "12,5 l .", "- 3 4-5 l l l", "O 1 O 1 x O O 1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "k int, t string").repartition(1)
+    df.select(L.collapse_digits(F.col("t"))).where("k > 1").collect()
+    began = time.perf_counter()
+    got = [r.c for r in df.orderBy("k").select(L.collapse_digits(F.col("t")).alias("c")).collect()]
+    assert time.perf_counter() - began < 8 and got == [collapse(t) for t in lines]
