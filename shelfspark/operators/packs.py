@@ -39,6 +39,27 @@ def search(packs: DataFrame, needle: str, localized: Column | None = None) -> Da
     return packs.where(reduce(lambda a, b: a | b, tests))
 
 
+def search_each(needles: DataFrame, packs: DataFrame, needle: str = "needle") -> DataFrame:
+    """needles with the packs that search() finds for each; none, and no row, for needles that find nothing.
+
+    Each distinct needle meets the 110 packs once, whatever the number of rows.
+    """
+    word = F.lower(F.trim(F.coalesce(F.col(needle), F.lit(""))))
+    starts = lambda name: F.col(name).startswith(F.col("_word"))
+    names = packs.withColumns({"_id": F.lower("id"), "_base": F.lower(base_id(F.col("id"))), "_name": F.lower("label")})
+    names = names.withColumn("_parts", F.split("_name", r"[\s(/)\-]+"))
+    words = needles.select(word.alias("_word")).distinct()
+    hit = starts("_id") | starts("_base") | starts("iso6391") | starts("_name") | F.exists("_parts", lambda p: p.startswith(F.col("_word")))
+    found = words.join(F.broadcast(names), hit).drop("_id", "_base", "_name", "_parts")
+    return needles.withColumn("_key", word).join(found, F.col("_key") == F.col("_word")).drop("_key", "_word")
+
+
+def chooser_each(needles: DataFrame, packs: DataFrame, chosen: Column, needle: str = "needle") -> DataFrame:
+    """What chooser() shows for each distinct needle (of rows with needle and what chosen needs)."""
+    place = F.row_number().over(Window.partitionBy(needle).orderBy(F.collate("label", "UNICODE_CI_AI"), "ordinal")) - 1  # at most 110 rows
+    return search_each(needles.distinct(), packs, needle).withColumns({"place": place, "checked": F.col("id") == chosen})
+
+
 def of_family(packs: DataFrame, family: str) -> DataFrame:
     return packs.where(F.col("family") == family).orderBy("ordinal")
 

@@ -13,35 +13,61 @@ _P = f"WITH packs AS ({duckdb_values()})"
 _B = "regexp_replace(id, '_(cyrl|latn)$', '')"
 
 
-def _found(needle: str) -> str:
-    words = "string_split_regex(lower(label), '[\\s(/)\\-]+')"
-    return f"starts_with(id, '{needle}') OR starts_with({_B}, '{needle}') OR starts_with(iso6391, '{needle}') OR starts_with(lower(label), '{needle}') OR length(list_filter({words}, lambda x: starts_with(x, '{needle}'))) > 0"
+#: Whether a pack is found by the column needle.
+_FOUND = f"""starts_with(id, needle) OR starts_with({_B}, needle) OR starts_with(iso6391, needle) OR starts_with(lower(label), needle)
+    OR length(list_filter(string_split_regex(lower(label), '[\\s(/)\\-]+'), lambda x: starts_with(x, needle))) > 0"""
+#: Documents by language.
+_LANGS = "SELECT lang, count(*)::BIGINT AS docs FROM documents WHERE lang IS NOT NULL GROUP BY lang"
 
 
-@query(f"{_P} SELECT family, recogniser, count(*)::BIGINT AS n, string_agg(id, ',' ORDER BY ordinal) AS ids FROM packs GROUP BY ALL")
+def _langs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def _with_docs(spark, sf_dir):
+    """Packs with docs, the number of documents in their language."""
+    known = _langs(spark, sf_dir).withColumnRenamed("lang", "iso6391")
+    return packs(spark).join(known, "iso6391", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+
+
+_DOCS = f"{_P}, l AS ({_LANGS}), d AS (SELECT packs.*, coalesce(docs, 0)::BIGINT AS docs FROM packs LEFT JOIN l ON lang = iso6391)"
+
+
+@query(f"{_DOCS} SELECT family, recogniser, count(*)::BIGINT AS n, sum(docs)::BIGINT AS docs, string_agg(id, ',' ORDER BY ordinal) AS ids FROM d GROUP BY ALL")
 def pack_families(spark, sf_dir):
-    p = packs(spark).groupBy("family", "recogniser").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ordinal", "id"))).alias("x"))
-    return p.select("family", "recogniser", "n", F.array_join(F.transform("x", lambda x: x["id"]), ",").alias("ids"))
+    """Families with their packs and the documents that these would read."""
+    p = _with_docs(spark, sf_dir).groupBy("family", "recogniser").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("ordinal", "id"))).alias("x"))
+    return p.select("family", "recogniser", "n", "docs", F.array_join(F.transform("x", lambda x: x["id"]), ",").alias("ids"))
 
 
-@query(f"{_P} SELECT ordinal, id, label, {_B} AS base FROM packs WHERE {_found('l')}")
+@query(f"{_P}, l AS ({_LANGS}), w AS (SELECT lang AS needle, docs FROM l) SELECT needle, docs, ordinal, id, label, {_B} AS base FROM w, packs WHERE {_FOUND}")
 def pack_search(spark, sf_dir):
-    return ops.search(packs(spark), " L ").select("ordinal", "id", "label", ops.base_id(F.col("id")).alias("base"))
+    """The packs that each language of documents finds as a needle."""
+    found = ops.search_each(_langs(spark, sf_dir).withColumnRenamed("lang", "needle"), packs(spark))
+    return found.select("needle", "docs", "ordinal", "id", "label", ops.base_id(F.col("id")).alias("base"))
 
 
-@query(f"{_P} SELECT ordinal, id FROM packs WHERE family = 'INDIC'")
+@query(f"{_P}, l AS ({_LANGS}) SELECT DISTINCT lang, p.ordinal, p.id FROM l JOIN packs f ON f.iso6391 = lang JOIN packs p ON p.family = f.family")
 def pack_family(spark, sf_dir):
-    return ops.of_family(packs(spark), "INDIC").select("ordinal", "id")
+    """All packs of the families that documents' languages belong to."""
+    p = packs(spark)
+    own = _langs(spark, sf_dir).join(F.broadcast(p.select("iso6391", "family")), F.col("lang") == F.col("iso6391")).select("lang", "family").distinct()
+    return own.join(F.broadcast(p.select("ordinal", "id", "family")), "family").select("lang", "ordinal", "id")
+
+
+_WANTED = "SELECT DISTINCT lower(substr(c_mktsegment, 1, 1)) AS needle FROM customer"
 
 
-@query(f"{_P} SELECT id, (row_number() OVER (ORDER BY label, ordinal) - 1)::INT AS place, id = 'cat' AS checked FROM packs WHERE {_found('c')}")
+@query(f"{_P}, w AS ({_WANTED}) SELECT needle, id, (row_number() OVER (PARTITION BY needle ORDER BY label, ordinal) - 1)::INT AS place, id = 'cat' AS checked FROM w, packs WHERE {_FOUND}")
 def pack_chooser(spark, sf_dir):
-    return ops.chooser(packs(spark), "c", "cat").select("id", "place", "checked")
+    """What the chooser shows for the first letters of customers' segments."""
+    wanted = table(spark, sf_dir, "customer").select(F.lower(F.substring("c_mktsegment", 1, 1)).alias("needle"))
+    return ops.chooser_each(wanted, packs(spark), F.lit("cat")).select("needle", "id", "place", "checked")
 
 
-@query(f"{_P} SELECT ordinal, id, label FROM packs")
+@query(f"{_DOCS} SELECT ordinal, id, label, docs FROM d")
 def packs_by_label(spark, sf_dir):
-    return ops.by_label(packs(spark)).select("ordinal", "id", "label")
+    return ops.by_label(_with_docs(spark, sf_dir)).select("ordinal", "id", "label", "docs")
 
 
 #: Thirteen locales that name a pack, and some with scripts and countries.
@@ -58,15 +84,21 @@ def _score() -> str:
     + CASE id WHEN 'chi_tra' THEN CASE WHEN country IN ('TW', 'HK', 'MO') OR script = 'Hant' THEN 6 ELSE -4 END WHEN 'chi_sim' THEN CASE WHEN country IN ('CN', 'SG') OR script IN ('Hans', '') THEN 4 ELSE 0 END ELSE 0 END END"""
 
 
-_SCORED = f"""{_P}, l(lang, iso3, script, country) AS (VALUES {", ".join(map(str, LOCALES))}), z AS (SELECT *, {_B} AS base FROM l, packs),
+_SCORED = f"""{_P}, n(k, lang, iso3, script, country) AS (VALUES {", ".join(str((i, *v)) for i, v in enumerate(LOCALES))}),
+c AS (SELECT c_custkey, lang, iso3, script, country FROM customer JOIN n ON k = c_custkey % {len(LOCALES)}), l AS (SELECT DISTINCT lang, iso3, script, country FROM c), z AS (SELECT *, {_B} AS base FROM l, packs),
 y AS (SELECT *, CASE WHEN iso3 IN (id, base) THEN 12 ELSE 0 END + CASE WHEN lang IN (id, base, iso6391) THEN 10 ELSE 0 END + CASE WHEN lang = 'zh' AND id IN ('chi_sim', 'chi_tra') THEN 12 ELSE 0 END
     + CASE WHEN lang IN ('nb', 'nn', 'no') AND id = 'nor' THEN 12 ELSE 0 END + CASE WHEN (lang, id) IN (('iw', 'heb'), ('in', 'ind')) THEN 12 ELSE 0 END + CASE WHEN (lang, id) = ('tl', 'fil') THEN 10 ELSE 0 END AS s0 FROM z),
 x AS (SELECT *, ({_score()})::INT AS score FROM y)"""
 
 
-@query(f"{_SCORED} SELECT lang, iso3, script, country, CASE WHEN score > 0 THEN id ELSE 'eng' END AS pack, greatest(score, 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang, iso3, script, country ORDER BY score DESC, ordinal) AS k FROM x) WHERE k = 1")
+@query(f"""{_SCORED} SELECT c_custkey, lang, iso3, script, country, pack, score FROM c JOIN (SELECT lang, iso3, script, country, CASE WHEN score > 0 THEN id ELSE 'eng' END AS pack, greatest(score, 0) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, iso3, script, country ORDER BY score DESC, ordinal) AS k FROM x) WHERE k = 1) USING (lang, iso3, script, country)""")
 def pack_for_locale(spark, sf_dir):
-    return ops.best_for(spark.createDataFrame(LOCALES, "lang string, iso3 string, script string, country string"), packs(spark))
+    """The pack of each customer, whose locale is one of LOCALES; every distinct locale is judged once."""
+    names = ["lang", "iso3", "script", "country"]
+    known = spark.createDataFrame([(i, *v) for i, v in enumerate(LOCALES)], "k int, lang string, iso3 string, script string, country string")
+    own = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(LOCALES)).alias("k")).join(F.broadcast(known), "k").drop("k")
+    return own.join(ops.best_for(own.select(names).distinct(), packs(spark)), names)
 
 
 @query(f"{_P} SELECT w.c_custkey, w.wanted, coalesce(p.id, 'eng') AS pack FROM (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Latin' WHEN 3 THEN 'no such' ELSE upper(id) END AS wanted FROM customer LEFT JOIN packs ON ordinal = c_custkey % 110) w LEFT JOIN packs p ON p.id = lower(w.wanted) AND lower(w.wanted) <> 'latin'")
