@@ -210,10 +210,35 @@ def proximity_matches(docs: DataFrame, index: DataFrame, items: DataFrame, slop:
     rarest = counted.groupBy("uid").agg(rank.alias("r")).join(items, "uid").select("uid", reach.alias("reach"), F.size("r").alias("n"), F.posexplode("r").alias("rank", "x"))
     wanted = materialize(rarest.select("uid", "reach", "n", "rank", F.col("x.term").alias("term")), "anchors")
     lists = postings(index, wanted).groupBy("uid", "reach", "n", "seg", "doc").agg(F.collect_list(F.struct("rank", "p")).alias("at"), F.countDistinct("rank").alias("has"))
-    of = lambda r: F.filter("at", lambda x: x["rank"] == r)
-    meets = lambda x: F.forall(F.sequence(F.lit(1), F.lit(NEAR_ANCHORS - 1)), lambda r: (r >= F.col("n")) | F.exists("at", lambda y: (y["rank"] == r) & (F.abs(y["p"] - x["p"]) < F.col("reach"))))
-    near = lists.where("has = n").select("uid", "seg", "doc", "reach", F.explode(F.filter(of(0), meets)).alias("x"))
-    near = near.select("uid", "seg", "doc", (F.col("x.p") - F.col("reach") + 1).cast("long").alias("start"), (F.col("x.p") + F.col("reach")).cast("long").alias("stop"))
+    full = lists.where("has = n").select("uid", "seg", "doc", "reach", "at")
+
+    def meet(batches):
+        """Stretches around places of the rarest term that have the others near: sorted lists are merged, stretches that touch are one."""
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            took, starts, stops = [], [], []
+            for i, (reach, at) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4), strict=True)):
+                rank, p = (at.values.field(k).to_numpy(zero_copy_only=False).astype("i8") for k in (0, 1))
+                first = np.sort(p[rank == 0])
+                for r in range(1, int(rank.max()) + 1):
+                    other = np.sort(p[rank == r])
+                    after = np.searchsorted(other, first)
+                    behind, ahead = first - other[np.maximum(after - 1, 0)], other[np.minimum(after, len(other) - 1)] - first
+                    first = first[(np.abs(behind) < reach) | (np.abs(ahead) < reach)]
+                if len(first):
+                    begins = np.flatnonzero(np.diff(first, prepend=first[0] - 2 * reach) >= 2 * reach - 1)
+                    ends = np.append(begins[1:], len(first)) - 1
+                    took += [i] * len(begins)
+                    starts.append(first[begins] - reach + 1)
+                    stops.append(first[ends] + reach)
+            out = pa.RecordBatch.from_arrays([*batch.columns[:3]], names=["uid", "seg", "doc"]).take(pa.array(took, pa.int64()))
+            joined = lambda parts: pa.array(np.concatenate(parts) if parts else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([*out.columns, joined(starts), joined(stops)], names=["uid", "seg", "doc", "start", "stop"])
+
+    kinds = ", ".join(f"{c} {full.schema[c].dataType.simpleString()}" for c in ("uid", "seg", "doc"))
+    near = full.mapInArrow(meet, f"{kinds}, start long, stop long")
 
     def verify(batches):
         import pyarrow as pa
@@ -222,8 +247,9 @@ def proximity_matches(docs: DataFrame, index: DataFrame, items: DataFrame, slop:
             wanted, last, width = set(terms), {}, len(terms) + slop
             for i, w in enumerate(words):
                 if w in wanted:
+                    last.pop(w, None)  # words stand in the order of their last places
                     last[w] = i
-                    if len(last) == len(wanted) and i - min(last.values()) < width:
+                    if len(last) == len(wanted) and i - next(iter(last.values())) < width:
                         return True
             return False
 
