@@ -25,6 +25,8 @@ RANGE_ROWS = 10_000
 SEED = "mix-1"
 #: Most sources whose cuts are broadcast.
 SOURCES = 100_000
+#: Alike rows that come out of one row of the plan.
+ALIKE = 1 << 16
 #: Quality weights: of documents labelled good, labelled bad, and without label.
 GOOD, BAD, UNKNOWN = 2.0, 0.5, 1.0
 
@@ -81,7 +83,10 @@ def mix(sized: DataFrame, weight: Column | None = None, key: str = "doc_id", sou
     out = _placed(sized, weight, key, source, salt)
     # of _m rows alike the first _more are in the last epoch
     taken = (F.col("epochs") + (F.col("_nth") < F.col("_more")).cast("int")) * F.col("size")
-    each = out.withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    # in chunks, which are dealt to as many tasks as there are shuffle partitions, so that very many alike rows are no long array and no single task
+    chunks = out.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(ALIKE).cast("long"))))
+    dealt = chunks.repartition(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key", "_from")
+    each = dealt.withColumn("_nth", F.explode(F.sequence(F.col("_from"), F.least(F.col("_m"), F.col("_from") + ALIKE) - 1)))
     return each.withColumn("taken", taken.cast("long")).select(*sized.columns, *new)
 
 
