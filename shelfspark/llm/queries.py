@@ -47,10 +47,12 @@ def op5_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@_settled
 def op6_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).drop("score")
 
 
+@_settled
 def op7_epoch_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", F.md5(F.coalesce("text", F.lit(""))).alias("salt"))
     slim = materialize(mixing.weighed(docs, table(spark, sf_dir, "labels")), "sizes")
@@ -65,6 +67,7 @@ def op9_permutation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+@_settled
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = quality.trusted_rows(docs, table(spark, sf_dir, "labels"))

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, importance, spelling
+from shelfspark.llm import bpe, decontam, importance, mixing, spelling
 
 CLASHES = ["k", "t", "word", "words", "n", "form", "root", "near", "rank", "score", "weight", "stream", "bucket", "_key", "_run", "_row", "_part", "ids", "bytes", "_decoded"]
 TEXT = "Candle candles cand1e candel handle Handle handles the the the kandle candle candle, handle; handles sandle. ÉÀ× élève élèves élève Élève "
@@ -223,3 +223,36 @@ def test_round_trip(spark, reference):
     given = spark.createDataFrame([(1, [64, 65]), (2, None), (3, []), (4, [99_999]), (5, [161])], "k int, ids array<int>")
     out = {r.k: (r.bytes, r.text) for r in bpe.decoded(given).collect()}
     assert out[2] == (None, None) == out[4] and out[3] == (b"", "") and out[1][0].decode() == out[1][1] and len(out[5][0]) == 1
+
+
+def test_proximity_in_a_long_repetitive_text(spark):
+    """Repeated words cost one pass: 100,000 of them, where all are near and where they only just are not."""
+    import time
+
+    gap = "x " * (decontam.SLOP + 3)
+    rows = [(1, "alpha beta gamma " * 33_400), (2, f"alpha beta {gap}" * 8_000 + "gamma"), (3, "gamma beta x alpha"), (4, ("alpha " + gap) * 5_000 + "beta alpha gamma")]
+    docs, items = frame(spark, rows), spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
+    decontam.contamination(docs.limit(0), items, near=True).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_words, r.n_near) for r in decontam.contamination(docs, items, near=True).collect()}
+    assert time.perf_counter() - began < 60
+    assert got == {1: (100_200, 1), 2: (8_000 * (decontam.SLOP + 5) + 1, 0), 3: (4, 1), 4: (5_000 * (decontam.SLOP + 4) + 3, 1)}
+
+
+def test_mix_of_very_many_alike_rows(spark, monkeypatch):
+    """Alike rows come out of more than half the partitions, are all there, and of the last epoch as many are taken as fit."""
+    n = 2_000_000
+    rows = spark.range(n, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit(0).cast("long").alias("size"))
+    more = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), F.lit(3).cast("long").alias("size"))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        out = mixing.mix(rows.union(more))
+        spread = out.groupBy(F.spark_partition_id().alias("p"), "source").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("t")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(r.n for r in spread if r.source == "a") == n and len({r.p for r in spread if r.source == "a"}) > 4
+    assert sum(r.n for r in spread if r.source == "b") == 1000 and abs(sum(r.t for r in spread) - 3000) <= 3
+    monkeypatch.setattr(mixing, "ALIKE", 3)
+    twins = spark.createDataFrame([(5, "a", 10)] * 8 + [(6, "b", 10)] * 40, "doc_id long, source string, size long")
+    got = mixing.mix(twins).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("t"), F.max("taken").alias("m"), F.first("target").alias("g")).collect()
+    assert all(r.n == {5: 8, 6: 40}[r.doc_id] and abs(r.t - r.g) <= 10 and r.m <= 30 for r in got)
