@@ -4,7 +4,8 @@ Texts are read in overlapping stretches of STRETCH bytes. A stretch is compresse
 zstandard dictionary; where that saves at least CANDIDATE_BYTES it may hold a notice, and such stretches that touch make one
 candidate block, a stretch longer at each side. A candidate block is then compressed with each template as raw dictionary. The
 templates are ranked by the bytes they save, and those that save a fair share of what they save of themselves are winners.
-Winners are confirmed by the exact differences of wording within windows of about the template's length. Where confirmed
+Winners are confirmed by the exact differences of wording within windows of about the template's length: few words may differ, names,
+modifiers and versions not at all (another version of a family is that version's license), and no negation may stand by. Where confirmed
 windows overlap the closest wording counts, and of equals the one that saves more bytes.
 
 No list of words decides on candidates, and each text is scanned in the task that reads it: nothing is shuffled. Blocks that come
@@ -61,6 +62,42 @@ TEMPLATES = {
     "All-rights-reserved-short": "All rights reserved.",
     "CC0-1.0-short": "Licensed under CC0 1.0.",
 } | {f"CC-{kind}-4.0-short": f"Licensed under CC {kind} 4.0." for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")}
+#: Further public wordings: what whole license texts open with, notices of databases and scripts, and short forms.
+FURTHER = {
+    "AGPL-3.0-opening": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0-opening": "Apache License Version 2.0, January 2004",
+    "GPL-2.0-opening": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0-opening": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1-opening": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0-opening": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "MPL-2.0-opening": "Mozilla Public License Version 2.0",
+    "Artistic-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+    "ODbL-1.0": "This database is made available under the Open Database License.",
+    "CC0-1.0-dedication": "CC0 1.0 Universal Public Domain Dedication",
+    "MIT-title": "The MIT License (MIT)",
+}
+#: How notices call licenses, and what they say of them; one template for each of both.
+CALLED = {
+    "AGPL-3.0": ("GNU Affero General Public License version 3", "GNU AGPL v3"), "Apache-2.0": ("Apache License 2.0", "Apache 2.0 license"), "Artistic-2.0": ("Artistic License 2.0",), "BSD": ("BSD License",), "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",), "BSL-1.0": ("Boost Software License 1.0",), "EPL-2.0": ("Eclipse Public License 2.0",), "GPL-3.0": ("GNU General Public License version 3", "GNU General Public License v3", "GNU GPL v3", "GPL v3"), "ISC": ("ISC License",),
+    "LGPL-3.0": ("GNU Lesser General Public License version 3", "GNU LGPL v3"), "MIT": ("MIT License",), "MPL-2.0": ("Mozilla Public License 2.0",), "Unlicense": ("Unlicense",), "Zlib": ("zlib License",),
+}
+_KINDS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CALLED |= {f"CC-{kind}-4.0": tuple(f"Creative Commons {long} 4.0 {license}" for license in ("International License", "License")) for kind, long in _KINDS.items()}
+SAID = ("Licensed under the {}.", "Available under the terms of the {}.")
+FURTHER |= {f"{name}-said-{i}{j}": said.format(call) for name, calls in CALLED.items() for i, call in enumerate(calls) for j, said in enumerate(SAID)}
+#: Identifiers of the public list that tags in source files name.
+TAGS = ("0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+FURTHER |= {f"{tag}-tag": f"SPDX-License-Identifier: {tag}" for tag in TAGS}
+# of equal stretches the compressor finds the last, so the notices above stay at the end
+TEMPLATES = FURTHER | TEMPLATES
+#: Words that tell licenses apart: names and modifiers anywhere, and those of Creative Commons in its notices. A difference in them is no match.
+NAMES = frozenset("affero apache agpl artistic boost bsd bsl cc cc0 cddl clause commons creative database eclipse epl expat gpl isc json lesser lgpl mit mozilla mpl ncsa ofl openssl php python unlicense wtfpl x11 zlib 0bsd only later".split())
+CC_WORDS = frozenset("by sa nc nd attribution sharealike noncommercial noderivatives noderivs".split())
+#: Versions that a family has; a notice of another version than its template's is one of that version. Names begin with the family.
+VERSIONS = {"AGPL": ("1.0", "3.0"), "Apache": ("1.0", "1.1", "2.0"), "Artistic": ("1.0", "2.0"), "BSL": ("1.0",), "CC-": ("1.0", "2.0", "2.5", "3.0", "4.0"), "CC0": ("1.0",), "EPL": ("1.0", "2.0"), "GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "MPL": ("1.0", "1.1", "2.0")}
+#: Words that turn a notice around, within it or among so many words before it.
+NEGATIONS, BEFORE = frozenset("not never no cannot isn aren wasn neither nor longer".split()), 3
 #: Bytes of a stretch, and by how many the next one overlaps it: more than the longest notice that saves little.
 STRETCH, OVERLAP = 256, 96
 #: Shortest match that counts as saved.
@@ -82,6 +119,17 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def few(n: int, share: float) -> int:
+    """The most words of n that a share allows."""
+    return int(share * n + 1e-9)
+
+
+def version_of(word: str) -> str | None:
+    """A version in the form 2.0: v2, 2 and 2.0 are the same; None for other words."""
+    found = re.fullmatch(r"v?(\d{1,2})(?:\.(\d{1,2}))?", word)
+    return f"{int(found[1])}.{int(found[2] or 0)}" if found else None
+
+
 def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str], range]:
     """Template words that the block lacks, block words put in between matched ones, and where the match lies in the block."""
     runs = [r for r in difflib.SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if r.size]
@@ -101,6 +149,7 @@ class Scanner:
         import zstandard
 
         self.templates = {name: words(t) for name, t in templates.items()}
+        self.versions = {name: self._version(name, t) for name, t in self.templates.items()}
         plain = {name: " ".join(t).encode() for name, t in self.templates.items()}
         # with a target length the fast strategy leaves literals as they are, so that what is saved is what the template holds
         params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=MIN_MATCH, hash_log=15, window_log=17, write_content_size=False, write_dict_id=False)
@@ -123,6 +172,32 @@ class Scanner:
         self.group_none = given(b"", GROUP * self.margin)
         self.known: dict[bytes, list] = {}
 
+    @staticmethod
+    def _version(name: str, template: list[str]) -> tuple[str, tuple[str, ...]] | None:
+        """The version that a template's name and wording have, and those that its family has; None for a template without."""
+        family = next((f for f in sorted(VERSIONS, key=len, reverse=True) if name.startswith(f)), None)
+        own = re.search(r"\d+\.\d+", name)
+        return (own[0], VERSIONS[family]) if family and own and own[0] in map(version_of, template) else None
+
+    def decided(self, mine: list[str], name: str, span: tuple[int, int], missing: list[str], extra: list[str]) -> str | None:
+        """The license that a wording close to a template stands for: the template's, the same in another version, or None.
+
+        Names and modifiers must be the template's own, a version one of the family, and no negation may stand in the wording or right before it.
+        """
+        start, stop = span
+        if not NEGATIONS.isdisjoint([*extra, *mine[max(0, start - BEFORE) : start]]):
+            return None
+        telling = NAMES | CC_WORDS if name.startswith("CC-") else NAMES
+        version = self.versions[name]
+        lacking = [w for w in missing if w in telling or (version is None and version_of(w))]
+        if lacking or any(w in telling for w in extra):
+            return None
+        if version and version[0] in map(version_of, missing):
+            # the word of the version differs: it is within the wording, or behind it where the template ends with one
+            there = [v for v in map(version_of, [*extra, *mine[stop : stop + 1]]) if v in version[1]]
+            return name.replace(version[0], there[0]) if there else None
+        return name
+
     def stretches(self, raw: bytes) -> list[bytes]:
         """raw in overlapping stretches. The fast strategy steps over more and more bytes the longer it finds nothing, so they are short."""
         return [raw[i : i + STRETCH] for i in range(0, max(1, len(raw) - OVERLAP), STRETCH - OVERLAP)]
@@ -167,7 +242,8 @@ class Scanner:
         A confirmed span has at most the template's words and the extra ones it may have, so no other window can pass.
         """
         template = self.templates[name]
-        known, need, width = set(template), len(template) - int((1 - MIN_COVER) * len(template)), len(template) + int(MAX_EXTRA * len(template))
+        spare = self.versions[name] is not None  # a version may differ besides
+        known, need, width = set(template), len(template) - few(len(template), 1 - MIN_COVER) - spare, len(template) + few(len(template), MAX_EXTRA) + spare
         at = [i for i, w in enumerate(mine) if w in known]
         last = 0
         for k, start in enumerate(at):
@@ -177,14 +253,17 @@ class Scanner:
                 yield start, at[last - 1] + 1
 
     def confirm(self, mine: list[str], name: str, start: int, end: int):
-        """The closest confirmed wording of the template from start to end at most: (differences, first word, end, missing, extra), or None."""
+        """The closest confirmed wording of the template from start to end at most: (differences, first word, end, missing, extra, license), or None."""
         template = self.templates[name]
         best = None
-        for stop in sorted({end, min(end, start + len(template)), min(end, start + len(template) - int((1 - MIN_COVER) * len(template)))}):
+        for stop in sorted({end, min(end, start + len(template)), min(end, start + len(template) - few(len(template), 1 - MIN_COVER))}):
             missing, extra, span = differences(mine[start:stop], template)
-            if len(missing) <= (1 - MIN_COVER) * len(template) and len(extra) <= MAX_EXTRA * len(template):
+            version = self.versions[name]
+            spare = version is not None and version[0] in map(version_of, missing)
+            if len(missing) <= few(len(template), 1 - MIN_COVER) + spare and len(extra) <= few(len(template), MAX_EXTRA) + spare:
                 if best is None or len(missing) + len(extra) < best[0]:
-                    best = len(missing) + len(extra), start + span.start, start + span.stop, missing, extra
+                    license = self.decided(mine, name, (start + span.start, start + span.stop), missing, extra)
+                    best = (len(missing) + len(extra), start + span.start, start + span.stop, missing, extra, license) if license else best
         return best
 
     def find(self, block: str) -> list[tuple[str, int, float, list[str], list[str]]]:
@@ -206,7 +285,7 @@ class Scanner:
             for found in self._winners(piece):
                 if found[0] not in out or len(found[3]) + len(found[4]) < len(out[found[0]][3]) + len(out[found[0]][4]):
                     out[found[0]] = found
-        return sorted(out.values(), key=lambda f: (len(f[3]) + len(f[4]) - (len(self.templates[f[0]]) - len(f[3])), -f[1], f[0]))
+        return [f[:5] for f in sorted(out.values(), key=lambda f: (len(f[3]) + len(f[4]) - (f[5] - len(f[3])), -f[1], f[0]))]
 
     def _winners(self, mine: list[str]) -> list[tuple]:
         raw, found = " ".join(mine).encode(), []
@@ -222,16 +301,16 @@ class Scanner:
                 continue
             for window in self.windows(mine, name):
                 if sure := self.confirm(mine, name, *window):
-                    n, start, stop, missing, extra = sure
-                    found.append((n + len(missing) - len(self.templates[name]), less, name, start, stop, missing, extra))
+                    n, start, stop, missing, extra, license = sure
+                    found.append((n + len(missing) - len(self.templates[name]), less, name, start, stop, missing, extra, license))
         out, taken = {}, set()
-        for _, _, name, start, stop, missing, extra in sorted(found, key=lambda x: x[:5]):
+        for _, _, name, start, stop, missing, extra, license in sorted(found, key=lambda x: x[:5]):
             if taken.isdisjoint(range(start, stop)):
                 taken.update(range(start, stop))
-                if name not in out:
+                if license not in out:
                     part = " ".join(mine[start:stop]).encode()
                     saves = self.gain(name, part)
-                    out[name] = (name, saves, saves / len(self.none.compress(part)), missing, extra)
+                    out[license] = (license, saves, saves / len(self.none.compress(part)), missing, extra, len(self.templates[name]))
         if len(self.known) >= self.LIMIT:
             self.known.clear()
         self.known[raw] = list(out.values())
