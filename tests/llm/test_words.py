@@ -256,3 +256,17 @@ def test_mix_of_very_many_alike_rows(spark, monkeypatch):
     twins = spark.createDataFrame([(5, "a", 10)] * 8 + [(6, "b", 10)] * 40, "doc_id long, source string, size long")
     got = mixing.mix(twins).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("t"), F.max("taken").alias("m"), F.first("target").alias("g")).collect()
     assert all(r.n == {5: 8, 6: 40}[r.doc_id] and abs(r.t - r.g) <= 10 and r.m <= 30 for r in got)
+
+
+@pytest.mark.parametrize("name", ["op6_url_model", "op7_epoch_mix", "op10_quality_rules", "op11_spelling_variants", "op12_importance_resampling"])
+def test_queries_leave_no_scratch(spark, name):
+    """Of all that a query writes below the shared folder only its result stays."""
+    import os
+
+    from shelfspark.llm.queries import QUERIES
+    from shelfspark.storage import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(set(os.listdir(folder)) - before) == 1
