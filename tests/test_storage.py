@@ -33,3 +33,19 @@ def test_settled_keeps_its_result_alone(spark):
     assert not os.path.exists(seen[0].inputFiles()[0].removeprefix("file://")) if seen[0].inputFiles() else True
     with pytest.raises(Exception, match="(?i)not.*exist|file"):
         seen[0].collect()
+
+
+WRITING = ["upsert_books", "upsert_status", "cover_quads", "indexed_search_author", "stored_answers", "answers_by_isbn", "observed_books", "inserted_ids", "affected_counts"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", WRITING)
+def test_queries_leave_no_scratch(spark, name):
+    """Of all that a query writes below the shared folder only its result stays."""
+    from shelfspark.plans import QUERIES
+    from shelfspark.storage import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(set(os.listdir(folder)) - before) == 1
