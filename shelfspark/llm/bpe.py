@@ -7,8 +7,8 @@ deterministic state is the set of those that may still go on, and is made when f
 the last token of what has been read. Where the tokens before all places that are still open agree, they are certain and are
 emitted, so that a piece of any length is encoded with a bounded lookahead. States are forgotten when there are too many.
 
-Decoding. A machine whose state is the unfinished bytes of a character (three at most) reads tokens and emits whole characters, so
-that ids can be decoded as they arrive, wherever tokens cut characters.
+Decoding. A machine whose state is the unfinished bytes of a character (three at most) reads tokens, one by one or in blocks, and emits whole
+characters, so that ids can be decoded as they arrive, wherever tokens or blocks cut characters.
 
 Defined results: null and empty texts have no ids; ids of no token make bytes and text null, no ids make both empty; bytes that are no
 UTF-8 become U+FFFD in the text and stay in the bytes; texts of any length are read piece by piece; rows are independent of one
@@ -293,6 +293,9 @@ class Encoder:
 class Utf8Machine(dict):
     """A state of decoding: (characters that are whole now, next state) by token; the unfinished bytes of a character tell states apart."""
 
+    #: Tokens that decode() puts together at one go.
+    BLOCK = 4096
+
     def __init__(self, tokens: dict[int, bytes], rest: bytes = b"", states: dict[bytes, Utf8Machine] | None = None) -> None:
         super().__init__()
         self.tokens, self.rest, self.states = tokens, rest, {} if states is None else states
@@ -318,13 +321,15 @@ class Utf8Machine(dict):
         if state.rest:
             yield "�"
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of all ids."""
-        state, out = self, []
-        for token in ids:
-            characters, state = state[token]
-            out.append(characters)
-        return "".join(out) + ("�" if state.rest else "")
+    def decode(self, ids: list[int]) -> tuple[bytes, str]:
+        """Bytes and text of all ids, BLOCK tokens at a time; a character that a block's end cuts waits for the next block."""
+        import codecs
+
+        machine, token, data, out = codecs.getincrementaldecoder("utf-8")("replace"), self.tokens.__getitem__, [], []
+        for k in range(0, len(ids), self.BLOCK):
+            data.append(b"".join(map(token, ids[k : k + self.BLOCK])))
+            out.append(machine.decode(data[-1]))
+        return b"".join(data), "".join(out) + machine.decode(b"", True)
 
 
 #: Of this Python worker, by vocabulary file.
@@ -382,12 +387,11 @@ def text_of(ids: Column, vocabulary: str = "byte_bpe_50k.tiktoken") -> Column:
         for row in rows:
             ids = row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else None
             try:
-                text = None if ids is None else machine.decode(ids)
+                raw, text = (None, None) if ids is None else machine.decode(ids)
             except KeyError:  # an id of no token
-                text = None
+                raw, text = None, None
+            data.append(raw)
             texts.append(text)
-            whole = text is None or "\ufffd" not in text  # else bytes may be no UTF-8
-            data.append(None if text is None else text.encode() if whole else b"".join(map(machine.tokens.__getitem__, ids)))
         return pa.StructArray.from_arrays([pa.array(data, pa.binary()), pa.array(texts, pa.string())], names=["bytes", "text"])
 
     return decode(ids)

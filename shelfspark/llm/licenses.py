@@ -96,8 +96,9 @@ NAMES = frozenset("affero apache agpl artistic boost bsd bsl cc cc0 cddl clause
 CC_WORDS = frozenset("by sa nc nd attribution sharealike noncommercial noderivatives noderivs".split())
 #: Versions that a family has; a notice of another version than its template's is one of that version. Names begin with the family.
 VERSIONS = {"AGPL": ("1.0", "3.0"), "Apache": ("1.0", "1.1", "2.0"), "Artistic": ("1.0", "2.0"), "BSL": ("1.0",), "CC-": ("1.0", "2.0", "2.5", "3.0", "4.0"), "CC0": ("1.0",), "EPL": ("1.0", "2.0"), "GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "MPL": ("1.0", "1.1", "2.0")}
-#: Words that turn a notice around, within it or among so many words before it.
+#: Words that turn a notice around: within it, or among the BEFORE words before it and those that lead up to it.
 NEGATIONS, BEFORE = frozenset("not never no cannot isn aren wasn neither nor longer".split()), 3
+LEADING = frozenset("a an and are as available be been by code covered distributed governed is it made of offered program project published released software source terms the this to under was were work licensed".split())
 #: Bytes of a stretch, and by how many the next one overlaps it: more than the longest notice that saves little.
 STRETCH, OVERLAP = 256, 96
 #: Shortest match that counts as saved.
@@ -185,8 +186,13 @@ class Scanner:
         Names and modifiers must be the template's own, a version one of the family, and no negation may stand in the wording or right before it.
         """
         start, stop = span
-        if not NEGATIONS.isdisjoint([*extra, *mine[max(0, start - BEFORE) : start]]):
+        lead = start
+        while lead and start - lead < 2 * BEFORE and mine[lead - 1] in LEADING:
+            lead -= 1
+        if not NEGATIONS.isdisjoint([*extra, *mine[max(0, min(start - BEFORE, lead - 1)) : start]]):
             return None
+        if "clause" in mine[stop : stop + 2] and "clause" not in self.templates[name]:
+            return None  # BSD 4-Clause is not BSD
         telling = NAMES | CC_WORDS if name.startswith("CC-") else NAMES
         version = self.versions[name]
         lacking = [w for w in missing if w in telling or (version is None and version_of(w))]

@@ -209,6 +209,8 @@ def test_streaming_decode(ranks, reference):
         some = [rng.choice(one_byte) if rng.random() < 0.7 else rng.randrange(50_256) for _ in range(rng.randrange(12))]
         data = b"".join(machine.tokens[i] for i in some)
         assert "".join(machine.stream(some)) == data.decode("utf-8", "replace")
+        machine.BLOCK = rng.randrange(1, 5)
+        assert machine.decode(some) == (data, data.decode("utf-8", "replace"))
 
 
 def test_round_trip(spark, reference):
