@@ -63,10 +63,15 @@ def clean(s: Column) -> Column:
 
 def initials(s: Column) -> Column:
     """A cleaned line with authors' initials written as "A. B. Name"."""
-    t = F.regexp_replace(clean(s), TRIPLE, "$1. $2. $3. ")
-    for pattern in (DOUBLE, DOUBLE_UNDOTTED, DOUBLE_ONE_DOT):
-        t = F.regexp_replace(t, pattern, "$1. $2. ")
-    return trimmed(F.regexp_replace(t, r"\s+", " "))
+
+    def written(c: Column) -> Column:
+        t = F.regexp_replace(c, TRIPLE, "$1. $2. $3. ")
+        for pattern in (DOUBLE, DOUBLE_UNDOTTED, DOUBLE_ONE_DOT):
+            t = F.regexp_replace(t, pattern, "$1. $2. ")
+        # each pattern begins with a letter by itself and a dot, or with two such letters; other lines are left as they are
+        return F.when(c.rlike(r"(?<!\p{L})\p{L}(?:\s*\.|\s+\p{L}\s)"), trimmed(F.regexp_replace(t, r"\s+", " "))).otherwise(c)
+
+    return let(clean(s), written)
 
 
 def looks_like_initials(s: Column) -> Column:
@@ -113,7 +118,7 @@ def number_like(s: Column) -> Column:
 
 def gibberish(s: Column) -> Column:
     s = F.coalesce(s, F.lit(""))
-    return (s != "") & ~looks_like_initials(s) & ~number_like(s) & ~has_useful_word(s)
+    return (s != "") & ~has_useful_word(s) & ~looks_like_initials(s) & ~number_like(s)  # most lines end at the first
 
 
 def math_noise(s: Column) -> Column:
@@ -121,12 +126,13 @@ def math_noise(s: Column) -> Column:
     s = F.coalesce(s, F.lit(""))
     brackets, ops, chars = count_of(s, r"[^()\[\]{}]"), count_of(s, r"[^=+*/\^_<>|\\×−]"), letters(s) + digits(s)
     by_sign = s.rlike(MATH) & (letters(s) < 8)
-    return (s != "") & (by_sign | ((brackets >= 2) & (chars < 6)) | ((ops + brackets >= 3) & (chars <= ops + brackets + 3)))
+    signed = s.rlike(r"[()\[\]{}=+*/\^_<>|\\×−]")  # few lines are; the others need no counts
+    return (s != "") & (by_sign | (signed & (((brackets >= 2) & (chars < 6)) | ((ops + brackets >= 3) & (chars <= ops + brackets + 3)))))
 
 
 def keepable(s: Column) -> Column:
     s = F.coalesce(s, F.lit(""))
-    return (s != "") & ~math_noise(s) & ~mixed_scripts(s) & (looks_like_initials(s) | number_like(s) | has_useful_word(s))
+    return (s != "") & ~math_noise(s) & ~mixed_scripts(s) & (has_useful_word(s) | looks_like_initials(s) | number_like(s))
 
 
 def _as_digits(t: Column) -> Column:
@@ -189,13 +195,13 @@ def explode_number(s: Column) -> Column:
 def script_mismatch(s: Column, family: Column) -> Column:
     """Whether a line of at least two letters has no letter of the family's script; for CYRILLIC and LATIN only."""
 
-    def judge(t: Column) -> Column:
-        cyr, lat = cyrillic(t), latin(t)
-        other = letters(t) - cyr - lat
-        wrong = F.when(family == "CYRILLIC", (cyr == 0) & (lat >= 2) & (other == 0)).when(family == "LATIN", (lat == 0) & (cyr >= 2) & (other == 0)).otherwise(False)
-        return wrong & ~looks_like_initials(t) & ~mostly_digits(t)
+    def judge(n: Column) -> Column:
+        other = n["letters"] - n["cyr"] - n["lat"]
+        wrong = F.when(family == "CYRILLIC", (n["cyr"] == 0) & (n["lat"] >= 2) & (other == 0)).when(family == "LATIN", (n["lat"] == 0) & (n["cyr"] >= 2) & (other == 0)).otherwise(False)
+        return wrong & ~looks_like_initials(n["t"]) & ~mostly_digits(n["t"])
 
-    return let(F.coalesce(s, F.lit("")), judge)
+    t = F.coalesce(s, F.lit(""))
+    return let(F.struct(t.alias("t"), cyrillic(t).alias("cyr"), latin(t).alias("lat"), letters(t).alias("letters")), judge)
 
 
 def key(s: Column) -> Column:
