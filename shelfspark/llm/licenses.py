@@ -171,6 +171,12 @@ class Scanner:
             raw = b" . ".join(plain[n] for n in names)
             self.groups.append((names, given(raw, GROUP * self.margin), min(self.least[n] for n in names)))
         self.group_none = given(b"", GROUP * self.margin)
+        # as many groups again are tried together before each of them is
+        parts = [self.groups[i : i + GROUP] for i in range(0, len(self.groups), GROUP)]
+        raws = [b" . ".join(plain[n] for names, *_ in groups for n in names) for groups in parts]
+        size = max(map(len, raws))
+        self.heaps = [(groups, given(raw, size), min(least for *_, least in groups)) for groups, raw in zip(parts, raws, strict=True)]
+        self.heap_none = given(b"", size)
         self.known: dict[bytes, list] = {}
 
     @staticmethod
@@ -300,7 +306,9 @@ class Scanner:
         # templates of which a whole group saves less than its least one must are not tried one by one
         parts = self.stretches(raw)
         bare, apart = self.sizes(parts, self.none), self.sizes(parts, self.group_none)
-        able = [name for names, given, least in self.groups if self.saved(parts, given, apart) >= least for name in names]
+        together = self.sizes(parts, self.heap_none)
+        tried = [group for groups, given, least in self.heaps if self.saved(parts, given, together) >= least for group in groups]
+        able = [name for names, given, least in tried if self.saved(parts, given, apart) >= least for name in names]
         ranked = sorted((-self.saved(parts, self.given[name], bare), name) for name in able)
         for less, name in ranked:
             if -less < self.least[name]:
