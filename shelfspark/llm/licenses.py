@@ -109,6 +109,8 @@ CANDIDATE_BYTES = 7
 WIN_SHARE = 0.5
 #: Templates, of about the same saving, that are tried together before each of them is.
 GROUP = 6
+#: Share of the least saving of its templates that a heap must save; in large dictionaries the compressor may find a shorter match.
+HEAP_SHARE = 0.5
 #: Bytes of a block that is ranked at once; longer ones are ranked in pieces that overlap by twice the longest template.
 BLOCK = 8_192
 #: Least share of a template's words that the block must have, in order, and most further words within the matched span.
@@ -307,7 +309,7 @@ class Scanner:
         parts = self.stretches(raw)
         bare, apart = self.sizes(parts, self.none), self.sizes(parts, self.group_none)
         together = self.sizes(parts, self.heap_none)
-        tried = [group for groups, given, least in self.heaps if self.saved(parts, given, together) >= least for group in groups]
+        tried = [group for groups, given, least in self.heaps if self.saved(parts, given, together) >= HEAP_SHARE * least for group in groups]
         able = [name for names, given, least in tried if self.saved(parts, given, apart) >= least for name in names]
         ranked = sorted((-self.saved(parts, self.given[name], bare), name) for name in able)
         for less, name in ranked:
