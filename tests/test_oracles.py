@@ -52,3 +52,15 @@ def test_plans_push_down(spark):
     df = by_id(table(spark, SF, "part").withColumnRenamed("p_partkey", "id"), 5).select("id", "p_name")
     plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert "EqualTo(p_partkey,5)" in plan and "ReadSchema: struct<p_partkey:bigint,p_name:string>" in plan
+
+
+def test_pixels_at_the_edge_of_a_whole_number(spark, duck, tmp_path):
+    """Values whose product with 200 is whole as a real and not as a double."""
+    near = [k / 200 for k in range(-128, 128)]
+    rows = [(i, near[i * 64 : i * 64 + 64], 0) for i in range(4)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("inverted", "luma", "blur", "hysteresis"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert plain(map(tuple, df.collect())) == plain(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall())
