@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters up to U+0020.
+BLANKS = "".join(map(chr, range(33)))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def trimmed(s: Column) -> Column:
     """s without characters up to U+0020 at both ends."""
-    return F.regexp_replace(s, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def present(s: Column) -> Column:
@@ -40,3 +42,10 @@ def contains_like(s: Column, needle: str, ascii_only: bool = False) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however often they are used: nothing is pushed below or merged into a generator."""
+    made = df.select("*", F.inline(F.array(F.struct(*[c.alias(f"_{n}") for n, c in columns.items()]))))
+    kept = [F.col(f"_{n}").alias(n) if n in columns else F.col(n) for n in df.columns]
+    return made.select(*kept, *[F.col(f"_{n}").alias(n) for n in columns if n not in df.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import lines as L
-from ..functions.strings import let
+from ..functions.strings import let, once
 
 MIN_CONFIDENCE = 32.0
 
@@ -21,7 +21,7 @@ def admit(rows: DataFrame, band_top: Column | None = None) -> DataFrame:
 
     A line of low confidence needs six letters or four digits.
     """
-    out = rows.withColumn("text", L.initials(F.col("text"))).where(L.keepable(F.col("text")))
+    out = once(rows, text=L.initials(F.col("text"))).where(L.keepable(F.col("text")))
     sure = (F.col("confidence") >= MIN_CONFIDENCE) | (L.letters(F.col("text")) >= 6) | (L.digits(F.col("text")) >= 4)
     out = out.where(sure)
     return out if band_top is None else out.withColumn("top", (F.col("top") + band_top).cast("int"))
@@ -35,8 +35,9 @@ def attempt_scores(rows: DataFrame, family: str) -> DataFrame:
     """page_id, attempt, score: the mean confidence (whole), less 20 an unwanted line, plus 30, letters and half confidence a good one; 50 less without any."""
     bad = unwanted(F.col("text"), F.lit(family))
     worth = 30 + L.letters(F.col("text")) + F.floor(F.col("confidence") / 2 + 0.5)
-    good = ~F.col("bad") & L.keepable(F.col("text"))
-    points = rows.withColumn("bad", bad).select("page_id", "attempt", "confidence", good.alias("good"), F.when(F.col("bad"), -20).when(good, worth).otherwise(0).alias("points"))
+    good = ~F.col("bad") & F.col("good")
+    worded = once(rows.select("page_id", "attempt", "confidence", "text"), bad=bad, good=L.keepable(F.col("text")))
+    points = worded.select("page_id", "attempt", "confidence", good.alias("good"), F.when(F.col("bad"), -20).when(good, worth).otherwise(0).alias("points"))
     grouped = points.groupBy("page_id", "attempt").agg(F.floor(F.avg("confidence")).alias("mean"), F.sum("points").alias("points"), F.sum(F.col("good").cast("int")).alias("useful"))
     return grouped.select("page_id", "attempt", (F.col("mean") + F.col("points") - F.when(F.col("useful") == 0, 50).otherwise(0)).cast("bigint").alias("score"))
 
@@ -120,17 +121,24 @@ def merge_similar(texts: Column) -> Column:
     """Fold texts: each is added, or replaces the first similar one if that is worse."""
 
     def put(done: Column, x: Column) -> Column:
-        return let(L.index_of_similar(done, x), lambda k: F.when(k < 0, F.concat(done, F.array(x))).otherwise(F.transform(done, lambda d, i: F.when((i == k) & should_replace(d, x), x).otherwise(d))))
+        place = L.index_of_similar_key(F.transform(done, lambda d: d["k"]), x["k"])
+        return let(place, lambda k: F.when(k < 0, F.concat(done, F.array(x))).otherwise(F.transform(done, lambda d, i: F.when((i == k) & should_replace(d["t"], x["t"]), x).otherwise(d))))
 
-    return F.aggregate(texts, F.array().cast("array<string>"), put)
+    return F.transform(_fold_keyed(texts, put), lambda x: x["t"])
+
+
+def _fold_keyed(texts: Column, put) -> Column:
+    """Fold texts t with their keys k, each of which is made once."""
+    keyed = F.transform(texts, lambda t: F.struct(t.alias("t"), L.key(t).alias("k")))
+    return let(keyed, lambda ks: F.aggregate(ks, F.slice(ks, 1, 0), put))
 
 
 def distinct_parts(texts: Column) -> Column:
     """Texts cut at their numbers, cleaned, kept if worth it and not similar to an earlier one."""
     parts = F.transform(F.flatten(F.transform(texts, L.explode_number)), L.initials)
     parts = F.filter(parts, L.keepable)
-    put = lambda done, x: F.when(L.index_of_similar(done, x) < 0, F.concat(done, F.array(x))).otherwise(done)
-    return F.aggregate(parts, F.array().cast("array<string>"), put)
+    put = lambda done, x: F.when(L.index_of_similar_key(F.transform(done, lambda d: d["k"]), x["k"]) < 0, F.concat(done, F.array(x))).otherwise(done)
+    return F.transform(_fold_keyed(parts, put), lambda x: x["t"])
 
 
 def covered(line: Column, key: Column, other: Column) -> Column:
@@ -147,7 +155,7 @@ def uncovered(texts: Column) -> Column:
 
 def drop_covered(rows: DataFrame) -> DataFrame:
     """Rows (page_id, ordinal, text) without those that another row of the page covers, as a self-join on the page."""
-    keyed = rows.select("page_id", "ordinal", "text", L.key(F.col("text")).alias("k"))
+    keyed = once(rows.select("page_id", "ordinal", "text"), k=L.key(F.col("text")))
     other = keyed.select(F.col("page_id").alias("op"), F.col("ordinal").alias("oo"), F.col("k").alias("ok"))
     mine = keyed.withColumn("number", L.mostly_digits(F.col("text")))
     hides = (F.col("page_id") == F.col("op")) & (F.col("ordinal") != F.col("oo")) & ~F.col("number") & covered(F.col("text"), F.col("k"), F.col("ok"))

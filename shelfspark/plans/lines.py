@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from ..functions.strings import once
 from ..operators import pages as ops
 from ..sources.lines import LOCATED, located
 from .registry import query
@@ -75,7 +76,7 @@ _ID = "page_id, ordinal"
 
 @query(f"{_BASE} SELECT page_id, ordinal, c AS text, lower(regexp_replace(c, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) AS key FROM linesc WHERE c <> ''")
 def line_split(spark, sf_dir):
-    rows = located(spark, sf_dir).withColumn("text", L.clean(F.col("text"))).where("text <> ''")
+    rows = once(located(spark, sf_dir).select("page_id", "ordinal", "text"), text=L.clean(F.col("text"))).where("text <> ''")
     return rows.select("page_id", "ordinal", "text", L.key(F.col("text")).alias("key"))
 
 
@@ -124,14 +125,14 @@ _F = _flags("c")
 @query(f"{_BASE} SELECT {_ID}, {', '.join(f'{_F[n]} AS {n}' for n in ('initials', 'useful', 'mixed', 'gibberish', 'math', 'keep'))}, {_F['foreign']} AS mismatch FROM linesc")
 def line_flags(spark, sf_dir):
     c = F.col("c")
-    rows = located(spark, sf_dir).select("page_id", "ordinal", L.clean(F.col("text")).alias("c"))
+    rows = once(located(spark, sf_dir).select("page_id", "ordinal", "text"), c=L.clean(F.col("text")))
     return rows.select("page_id", "ordinal", L.looks_like_initials(c).alias("initials"), L.has_useful_word(c).alias("useful"), L.mixed_scripts(c).alias("mixed"), L.gibberish(c).alias("gibberish"), L.math_noise(c).alias("math"), L.keepable(c).alias("keep"), L.script_mismatch(c, F.lit("CYRILLIC")).alias("mismatch"))
 
 
 @query(f"{_BASE} SELECT {_ID}, {_F['letters']}::INT AS letters, {_F['digits']}::INT AS digits, {_score('c', 'confidence')} AS score, CASE WHEN length(c) > 80 THEN substr(c, 1, 80) || '…' ELSE c END AS preview FROM linesc")
 def line_score(spark, sf_dir):
     c = F.col("c")
-    rows = located(spark, sf_dir).select("page_id", "ordinal", "confidence", L.clean(F.col("text")).alias("c"))
+    rows = once(located(spark, sf_dir).select("page_id", "ordinal", "confidence", "text"), c=L.clean(F.col("text")))
     return rows.select("page_id", "ordinal", L.letters(c).alias("letters"), L.digits(c).alias("digits"), L.line_score(c, F.col("confidence")).alias("score"), L.preview(c).alias("preview"))
 
 
@@ -223,7 +224,7 @@ _KEYS = f"keys AS (SELECT {_ID}, c AS text, lower(regexp_replace(c, '[^\\p{{L}}\
     AND (a.ini OR length(a.k) <= 4 OR (length(a.k) >= 4 AND length(a.k) * 100 >= length(b.k) * 70 AND (length(b.k) - length(a.k) <= 1 OR (length(b.k) - length(a.k)) * 6 <= length(b.k)))))""")
 def drop_covered(spark, sf_dir):
     """Lines that no longer line covers. A key inside another differs from it by its missing characters alone."""
-    rows = located(spark, sf_dir).select("page_id", "ordinal", L.clean(F.col("text")).alias("text"))
+    rows = once(located(spark, sf_dir).select("page_id", "ordinal", "text"), text=L.clean(F.col("text")))
     return ops.drop_covered(rows)
 
 

@@ -74,3 +74,11 @@ def test_formula_words_before_letters_with_accents(spark, tmp_path):
     for name in ("line_score", "line_flags", "attempt_score"):
         df = QUERIES[name](spark, str(tmp_path))
         assert plain(map(tuple, df.collect())) == plain(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall())
+
+
+def test_lines_are_cleaned_once(spark):
+    """A line's words are made below a generator, so that no filter or column makes them again; blanks at its ends need no pattern."""
+    for name in ("line_split", "admit_lines", "attempt_score"):
+        df = QUERIES[name](spark, SF)
+        plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        assert "inline(" in plan and not any("\u00a0" in x for x in plan.splitlines() if "Filter" in x)  # which cleaning replaces
