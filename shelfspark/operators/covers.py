@@ -40,10 +40,8 @@ def at_working_size(images: DataFrame) -> DataFrame:
     """img_id, w, h, quad, score and method (inset, if the score is too low) of images of WORK_SIDE pixels at most."""
     g = materialize(gradients(images), "gradients")  # votes, scores and sides read them
     g = g.drop("classes").join(materialize(contours.with_edges(g).select("img_id", "edges", "contour"), "contours"), "img_id")
-    px = g.select("img_id", "w", "h", F.posexplode(F.arrays_zip("edges", "mag")).alias("i", "p")).where("p.edges")
-    px = px.select("img_id", "w", "h", (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), F.col("p.mag").alias("mag"))
     sizes = images.select("img_id", "w", "h")
-    lines = hough.quads(hough.peaks(hough.votes(px), sizes), sizes)
+    lines = hough.quads(hough.strongest(g), sizes)
     w, h = F.col("w"), F.col("h")
     rows = g.join(lines.withColumnRenamed("quad", "lines"), "img_id", "left").withColumn("sides", grid.side_scan(F.col("mag"), w, h))
     tried = rows.select("img_id", "w", "h", *[F.struct(quads.score(F.col(n), F.col("mag"), w, h).alias("score"), F.lit(-i).alias("i"), F.lit(n).alias("method"), quads.clamped(F.col(n), w, h).alias("quad")).alias(n) for i, n in enumerate(("lines", "contour", "sides"))])

@@ -1,6 +1,7 @@
 """Straight lines by voting: edge pixels vote for the lines through them, and four lines make a quadrilateral.
 
-Votes are an aggregate over (image, theta, rho) with partial sums; peaks and pairs are small per image.
+strongest() counts the votes of an image within its row, so that nothing is shuffled or broadcast. votes() has them as rows, an aggregate
+over (image, theta, rho) with partial sums, of which peaks() takes the same lines.
 """
 
 from __future__ import annotations
@@ -40,6 +41,47 @@ def peaks(counts: DataFrame, sizes: DataFrame, most: int = 24) -> DataFrame:
     return kept.withColumn("rank", rank).where(F.col("rank") <= most).select("img_id", "theta", "rho", "votes", "rank")
 
 
+def strongest(images: DataFrame, most: int = 24) -> DataFrame:
+    """peaks() of votes() of images given as img_id, w, h, edges (array of booleans) and mag (array of magnitudes)."""
+
+    def search(batches):
+        import math
+
+        import numpy as np
+        import pyarrow as pa
+
+        turns = [math.radians(t) for t in range(THETAS)]
+        cos, sin, steps = np.array([*map(math.cos, turns)]), np.array([*map(math.sin, turns)]), np.arange(THETAS)
+        numbers = lambda column, i: column[i].values.to_numpy(zero_copy_only=False)
+
+        def lines(w, h, edges, mag):
+            y, x = np.divmod(np.nonzero(edges & (mag >= 20))[0], w)
+            inner = (x > 0) & (y > 0) & (x < w - 1) & (y < h - 1)
+            x, y = x[inner], y[inner]
+            reach = math.ceil(math.sqrt(w * w + h * h))
+            far, wide = reach + 3, 2 * reach + 7  # three columns more a side than there are distances
+            rho = np.floor(x[:, None] * cos + y[:, None] * sin + 0.5).astype("i8")
+            count = np.bincount((steps * wide + rho + far).ravel(), minlength=THETAS * wide).reshape(THETAS, wide)
+            theta, at = np.nonzero(count >= max(18, math.floor(0.22 * max(count.max(), 1))))
+            theta, at = theta[np.abs(at - far) < reach], at[np.abs(at - far) < reach]
+            near = np.max([count[(theta + dt) % THETAS, at + dr] for dt in range(-2, 3) for dr in range(-2, 3)], axis=0)
+            kept = near <= count[theta, at]
+            theta, at = theta[kept], at[kept]
+            first = np.lexsort((at, theta, -count[theta, at]))[:most]
+            return theta[first], at[first] - far, count[theta[first], at[first]]
+
+        for batch in batches:
+            keys, w, h = (batch.column(i).to_pylist() for i in range(3))
+            found = [lines(w[i], h[i], numbers(batch.column(3), i), numbers(batch.column(4), i)) for i in range(len(keys))]
+            n = [len(f[0]) for f in found]
+            parts = [np.repeat(np.array(keys, "i8"), n), *[np.concatenate([f[k] for f in found] or [np.zeros(0)]).astype("i4") for k in range(3)], np.concatenate([np.arange(1, c + 1) for c in n] or [np.zeros(0)]).astype("i4")]
+            yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["img_id", "theta", "rho", "votes", "rank"])
+
+    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    rows = images.selectExpr("cast(img_id as long) as img_id", "cast(w as int) as w", "cast(h as int) as h", "edges", "mag")
+    return rows.mapInArrow(search, "img_id long, theta int, rho int, votes int, rank int")
+
+
 def _cross(a: str, b: str) -> Column:
     """x and y where two lines meet; null if they are parallel."""
     r = lambda n: F.radians(F.col(f"{n}.theta").cast("double"))

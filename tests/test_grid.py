@@ -333,3 +333,19 @@ def test_image_headers(spark, tmp_path):
     got = {r.path.rpartition("/")[2]: (r.format, r.w, r.h, r.orientation) for r in images.files(spark, str(tmp_path)).collect()}
     assert got == {name: want or (None,) * 4 for name, (_, want) in cases.items()}
     assert spark.createDataFrame([(None,)], "c binary").select(images.header(F.col("c")).alias("h")).first().h is None
+
+
+def test_lines_within_a_row(spark):
+    """The same lines as from rows of votes, with nothing shuffled or broadcast; images of several sizes, one without an edge."""
+    from shelfspark.operators import hough
+
+    a = [RNG.random((30, 40)) < 0.1, np.zeros((20, 20), bool), RNG.random((25, 60)) < 0.05]
+    a[0][:, 12] = a[2][7, :] = True
+    rows = [(i, m.shape[1], m.shape[0], m.ravel().tolist(), (m * 20.0 + RNG.integers(0, 9, m.shape)).ravel().tolist()) for i, m in enumerate(a)]
+    df = spark.createDataFrame(rows, "img_id bigint, w int, h int, edges array<boolean>, mag array<double>")
+    px = [(i, w, h, k % w, k // w, g) for i, w, h, e, m in rows for k, (on, g) in enumerate(zip(e, m, strict=True)) if on]
+    votes = hough.votes(spark.createDataFrame(px, "img_id bigint, w int, h int, x int, y int, mag double"))
+    got = hough.strongest(df)
+    want = {tuple(r) for r in hough.peaks(votes, df.select("img_id", "w", "h")).collect()}
+    assert {tuple(r) for r in got.collect()} == want and {r[0] for r in want} == {0, 2}
+    assert "Exchange" not in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
