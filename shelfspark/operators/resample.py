@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import let
+from ..functions.strings import let, once
 from . import grid, quads
 
 WHITE = 255
@@ -72,15 +72,15 @@ def held_size(w: Column, h: Column, most: int, least: int = 1) -> Column:
 
 
 def redrawn(images: DataFrame, size: Column, value: Column) -> DataFrame:
-    """images with a new value array and size (a struct of w and h), which are computed from the old ones."""
-    out = images.withColumns({"_size": size, "_v": value})
+    """images with a new value array and size (a struct of w and h), which are computed from the old ones, once an image."""
+    out = once(images, _size=size, _v=value)
     return out.withColumns({"w": F.col("_size.w"), "h": F.col("_size.h"), "v": F.col("_v")}).drop("_size", "_v")
 
 
 def loaded(images: DataFrame, most: int = 2048) -> DataFrame:
     """Images (w, h, v and orientation) as they are loaded: sampled down by a power of two, turned upright, held at most pixels a side."""
     w, h, code = F.col("w"), F.col("h"), F.when(F.col("orientation").isin(*ROTATIONS), F.col("orientation")).otherwise(1)
-    by = images.withColumn("_by", grid.sample_size(w, h, most))
+    by = once(images, _by=grid.sample_size(w, h, most))
     small = redrawn(by, F.struct(*[F.greatest(F.lit(1), grid.div(n, F.col("_by"))).alias(k) for n, k in ((w, "w"), (h, "h"))]), shrunk(F.col("v"), w, h, F.col("_by"))).drop("_by")
     upright = redrawn(small, turned_size(w, h, code), turned(F.col("v"), w, h, code))
     return fitted(upright, most)
@@ -88,13 +88,13 @@ def loaded(images: DataFrame, most: int = 2048) -> DataFrame:
 
 def fitted(images: DataFrame, most: int, least: int = 1) -> DataFrame:
     """Images (w, h and v) with the long side held at most pixels and no side under least."""
-    sized = images.withColumn("_to", held_size(F.col("w"), F.col("h"), most, least))
+    sized = once(images, _to=held_size(F.col("w"), F.col("h"), most, least))
     return redrawn(sized, F.col("_to"), scaled(F.col("v"), F.col("w"), F.col("h"), F.col("_to.w"), F.col("_to.h"))).drop("_to")
 
 
 def for_recognition(images: DataFrame) -> DataFrame:
     """Images (w, h and v) at the size that recognition works on, see grid.fit_size."""
-    sized = images.withColumn("_to", grid.fit_size(F.col("w"), F.col("h")))
+    sized = once(images, _to=grid.fit_size(F.col("w"), F.col("h")))
     return redrawn(sized, F.col("_to"), scaled(F.col("v"), F.col("w"), F.col("h"), F.col("_to.w"), F.col("_to.h"))).drop("_to")
 
 
@@ -122,7 +122,7 @@ def warped(images: DataFrame, quad: str = "quad", least: int = 64, most: int = 1
     Each new pixel's centre is mapped back into the old image and takes the bilinear value there; outside it is outside.
     """
     w, h = F.col("w"), F.col("h")
-    sized = images.withColumns({"_m": homography(F.col(quad)), "_to": quads.crop_size(F.col(quad), least, most)})
+    sized = once(images, _m=homography(F.col(quad)), _to=quads.crop_size(F.col(quad), least, most))
 
     def place(m: Column, to: Column, x: Column, y: Column) -> Column:
         u, t = (x + 0.5) / to["w"], (y + 0.5) / to["h"]
@@ -167,7 +167,7 @@ def lassoed(images: DataFrame, xs: str = "xs", ys: str = "ys", pad: int = 16) ->
     quads.lasso needs for a mask, the whole box is kept.
     """
     w = F.col("w")
-    sized = images.withColumn("_box", quads.lasso(w, F.col("h"), F.col(xs), F.col(ys), pad))
+    sized = once(images, _box=quads.lasso(w, F.col("h"), F.col(xs), F.col(ys), pad))
     white = lambda n: F.array_repeat(F.lit(WHITE), n.cast("int"))
 
     def pixels(o: Column) -> Column:

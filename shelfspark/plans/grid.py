@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strings import once
 from ..operators import covers, grid, hough, quads, resample
 from ..sources.catalogue import spread, table
 from ..sources.images import header
@@ -38,8 +39,28 @@ _DRAWN = f"WITH px AS (SELECT img_id, x, y, 48 AS w, 60 AS h, ({_COVER})::INT AS
 
 def drawn(spark, sf_dir) -> DataFrame:
     """img_id, w, h and v of the drawn images."""
-    px = spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select(F.col("s_suppkey").alias("img_id"), F.sequence(F.lit(0), F.lit(2879)).alias("i"))
-    return px.select("img_id", F.lit(48).alias("w"), F.lit(60).alias("h"), F.expr(f"transform(transform(i, p -> struct(p % 48 AS x, p div 48 AS y)), q -> cast({_COVER.replace('x ', 'q.x ').replace('y ', 'q.y ')} as int))").alias("v"))
+
+    def draw(batches, step=256):
+        """_COVER in whole arrays; remainders have the sign of what is divided, as in SQL."""
+        import numpy as np
+        import pyarrow as pa
+
+        mod = np.fmod
+        x, y = np.arange(2880)[None, :] % 48, np.arange(2880)[None, :] // 48
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                ids = batch.column(0).slice(at, step)
+                k = ids.to_numpy()[:, None]
+                l, t, r, b, kind = 4 + mod(k, 7), 5 + mod(k * 3, 9), 42 - mod(k * 5, 8), 54 - mod(k * 7, 10), mod(k, 4)
+                slanted = (5 * x + y >= 5 * (l + 8)) & (5 * x + y < 5 * (r + 2)) & (5 * y - x >= 5 * (t - 3)) & (5 * y - x < 5 * (b - 12))
+                upright = (x >= l) & (x < r) & ((kind == 2) | ((y >= t) & (y < b)))
+                v = np.where(kind == 3, 90, np.where(np.where(kind == 1, slanted, upright), 190, 40)) + mod(x * x * 7 + y * y * 13 + x * y * mod(k, 17), 11)
+                n = len(ids)
+                same = lambda size, n=n: pa.array(np.full(n, size, "i4"))
+                yield pa.RecordBatch.from_arrays([ids, same(48), same(60), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * 2880), pa.array(v.astype("i4").ravel()))], names=["img_id", "w", "h", "v"])
+
+    keys = spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("img_id")))
+    return keys.mapInArrow(draw, "img_id long, w int, h int, v array<int>")
 
 
 def lined(spark, sf_dir) -> DataFrame:
@@ -266,7 +287,7 @@ _SIDE = [f"sqrt((x{(i + 1) % 4} - x{i}) ** 2 + (y{(i + 1) % 4} - y{i}) ** 2)" fo
 def _quads(spark, sf_dir) -> DataFrame:
     k = F.col("s_suppkey")
     values = [k % 20, k * 7 % 20, 99 - k * 3 % 30, k * 11 % 20, 99 - k * 5 % 40, 79 - k * 13 % 30, k * 17 % 40, 79 - k * 19 % 40]
-    return table(spark, sf_dir, "supplier").select(k.alias("img_id"), F.array(*[v.cast("double") for v in values]).alias("q"))
+    return spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select(k.alias("img_id"), F.array(*[v.cast("double") for v in values]).alias("q"))
 
 
 _AREA = "abs(" + " + ".join(f"x{i} * y{(i + 1) % 4} - x{(i + 1) % 4} * y{i}" for i in range(4)) + ") / 2"
@@ -383,7 +404,7 @@ def lasso_crop(spark, sf_dir):
     """Crops of lassos with four corners in an image of 100 x 80; they are small enough that every pixel is sampled."""
     corner = lambda d: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(F.col("q"), 2 * i + d))
     rows = _quads(spark, sf_dir).select("img_id", corner(0).alias("xs"), corner(1).alias("ys"))
-    made = rows.select("img_id", quads.lasso(F.lit(100), F.lit(80), F.col("xs"), F.col("ys")).alias("m")).where("m is not null").select("img_id", "m.*")
+    made = once(rows, m=quads.lasso(F.lit(100), F.lit(80), F.col("xs"), F.col("ys"))).where("m is not null").select("img_id", "m.*")
     return made.withColumn("coverage", F.round("coverage", 6))
 
 
@@ -471,7 +492,7 @@ def lasso_pixels(spark, sf_dir):
     """Lassos with four corners cut out of photos of 100 x 80: sums of each row's pixels, plain and weighted by their place."""
     corner = lambda d: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(F.col("q"), 2 * i + d))
     photo = grid.each(F.lit(100), F.lit(80), lambda x, y: (x * 3 + y * 5 + F.col("img_id").cast("int")) % 251)
-    rows = spread(_quads(spark, sf_dir)).select("img_id", F.lit(100).alias("w"), F.lit(80).alias("h"), photo.alias("v"), corner(0).alias("xs"), corner(1).alias("ys"))
+    rows = _quads(spark, sf_dir).select("img_id", F.lit(100).alias("w"), F.lit(80).alias("h"), photo.alias("v"), corner(0).alias("xs"), corner(1).alias("ys"))
     out = resample.lassoed(rows).where("v is not null")
     line = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.slice("v", y * F.col("w") + 1, F.col("w")))
     total = lambda at: F.aggregate(at, F.lit(0).cast("long"), lambda a, p: a + p)

@@ -349,3 +349,15 @@ def test_lines_within_a_row(spark):
     want = {tuple(r) for r in hough.peaks(votes, df.select("img_id", "w", "h")).collect()}
     assert {tuple(r) for r in got.collect()} == want and {r[0] for r in want} == {0, 2}
     assert "Exchange" not in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+
+
+def test_work_is_dealt_and_done_once(spark):
+    """Quads and drawn images are made by all cores; sizes, boxes and pixels are made below generators, which no filter or column repeats."""
+    from shelfspark.plans import QUERIES
+    from shelfspark.plans.grid import _quads, drawn
+
+    assert _quads(spark, SF).rdd.getNumPartitions() == drawn(spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    for name, least in {"loaded_image": 5, "warped_cover": 2, "lasso_pixels": 2, "lasso_crop": 1}.items():
+        df = QUERIES[name](spark, SF)
+        plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        assert sum("Generate inline" in x for x in plan.splitlines()) >= least, plan
