@@ -127,14 +127,14 @@ def contour(edges):
 
 
 def with_edges(images: DataFrame, key: str = "img_id", classes: str = "classes") -> DataFrame:
-    """key, w, h, edges (array of booleans) and contour (quad or null) of images with edge classes."""
+    """key, w, h, edges (array of booleans) and contour (quad or null) of images with edge classes; a missing image has no edges."""
 
     def search(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            grown = [grow(np.array(c, "i4").reshape(h, w)) for w, h, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            grown = [grow(np.array(c or [], "i4").reshape(h or 0, w or 0)) for w, h, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([g.ravel() for g in grown], pa.list_(pa.bool_())), pa.array([contour(g) for g in grown], pa.list_(pa.float64()))], names=["k", "w", "h", "edges", "contour"])
 
     rows = images.selectExpr(f"cast({key} as long) as k", "cast(w as int) as w", "cast(h as int) as h", f"{classes} as c")

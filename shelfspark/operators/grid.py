@@ -44,8 +44,8 @@ def bound_once(f):
 
 
 def each(w: Column, h: Column, body) -> Column:
-    """Array of body(x, y) over all pixels."""
-    return F.transform(F.sequence(F.lit(0), w * h - 1), lambda i: body(i % w, div(i, w)))
+    """Array of body(x, y) over all pixels; empty for an image without any, where a sequence to -1 would go down."""
+    return F.transform(F.slice(F.sequence(F.lit(0), w * h), F.lit(1), w * h), lambda i: body(i % w, div(i, w)))
 
 
 def inner(x: Column, y: Column, w: Column, h: Column) -> Column:

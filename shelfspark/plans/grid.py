@@ -18,8 +18,12 @@ _RGB = _PX + ", rgb AS (SELECT *, v AS r, (v * 7 + x * 31) % 256 AS g, (v * 3 +
 
 
 def images(spark, sf_dir) -> DataFrame:
-    """img_id, w, h and v of every embedding; real times a whole number stays real as in the SQL, where Spark would take doubles."""
-    px = F.transform("embedding", lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(e * F.lit(200.0).cast("float")) + 128)).cast("int"))
+    """img_id, w, h and v of every embedding; real times a whole number stays real as in the SQL, where Spark would take doubles.
+
+    Values are held within 0 and 255 before they become whole, which infinite ones and NaN (255, as it is the largest) never do.
+    """
+    held = lambda e: F.greatest(F.lit(-128.0), F.least(F.lit(127.0), e * F.lit(200.0).cast("float")))
+    px = F.transform("embedding", lambda e: (F.floor(held(e)) + 128).cast("int"))
     return spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(F.col("vec_id").alias("img_id"), F.lit(8).alias("w"), F.floor(F.size("embedding") / 8).cast("int").alias("h"), px.alias("v"))
 
 

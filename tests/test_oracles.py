@@ -66,6 +66,31 @@ def test_pixels_at_the_edge_of_a_whole_number(spark, duck, tmp_path):
         assert plain(map(tuple, df.collect())) == plain(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall())
 
 
+IMAGES = ["chroma_as_dark", "dark_on_light", "enhanced", "hough_votes", "hysteresis", "inverted", "min_channel", "nms", "sobel"]
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """Embeddings with reals that are no numbers, infinite, very large or missing, and without any; and reals of the driver's kind at an edge."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    nan, inf, path = math.nan, math.inf, tmp_path_factory.mktemp("odd")
+    edge = [k / 200 * (-1) ** k for k in range(64)]
+    rows = [[nan] * 5 + edge[5:], [inf] * 3 + [-inf] * 3 + edge[6:], [None] * 4 + edge[4:], None, [1e30] * 8 + [-1e30] * 8 + edge[16:], []]
+    pq.write_table(pa.table({"vec_id": pa.array(range(6), pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32()))}), path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet'")
+    return str(path), con
+
+
+@pytest.mark.parametrize("name", IMAGES)
+def test_images_of_odd_values(spark, odd, name):
+    path, con = odd
+    df = QUERIES[name](spark, path)
+    assert plain(map(tuple, df.collect())) == plain(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall())
+
+
 def test_formula_words_before_letters_with_accents(spark, tmp_path):
     text = "\n".join(["1 sinó", "cosß", "tan", "tana", "Λb", "ab", "expé maisons bleues", "log 2"])
     spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
