@@ -31,12 +31,15 @@ def unwanted(text: Column, family: Column) -> Column:
     return L.script_mismatch(text, family) | L.gibberish(text) | L.mixed_scripts(text)
 
 
-def attempt_scores(rows: DataFrame, family: str) -> DataFrame:
-    """page_id, attempt, score: the mean confidence (whole), less 20 an unwanted line, plus 30, letters and half confidence a good one; 50 less without any."""
-    bad = unwanted(F.col("text"), F.lit(family))
+def attempt_scores(rows: DataFrame, family: str, admitted: bool = False) -> DataFrame:
+    """page_id, attempt, score: the mean confidence (whole), less 20 an unwanted line, plus 30, letters and half confidence a good one; 50 less without any.
+
+    Lines of admit() (admitted) are keepable, so neither gibberish nor of mixed scripts, and are not judged again.
+    """
+    bad = L.script_mismatch(F.col("text"), F.lit(family)) if admitted else unwanted(F.col("text"), F.lit(family))
     worth = 30 + L.letters(F.col("text")) + F.floor(F.col("confidence") / 2 + 0.5)
     good = ~F.col("bad") & F.col("good")
-    worded = once(rows.select("page_id", "attempt", "confidence", "text"), bad=bad, good=L.keepable(F.col("text")))
+    worded = once(rows.select("page_id", "attempt", "confidence", "text"), bad=bad, good=F.lit(True) if admitted else L.keepable(F.col("text")))
     points = worded.select("page_id", "attempt", "confidence", good.alias("good"), F.when(F.col("bad"), -20).when(good, worth).otherwise(0).alias("points"))
     grouped = points.groupBy("page_id", "attempt").agg(F.floor(F.avg("confidence")).alias("mean"), F.sum("points").alias("points"), F.sum(F.col("good").cast("int")).alias("useful"))
     return grouped.select("page_id", "attempt", (F.col("mean") + F.col("points") - F.when(F.col("useful") == 0, 50).otherwise(0)).cast("bigint").alias("score"))
@@ -48,14 +51,14 @@ def best(rows: DataFrame, by: list[str], score: str, order: str) -> DataFrame:
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def best_attempts(rows: DataFrame, family: str) -> DataFrame:
+def best_attempts(rows: DataFrame, family: str, admitted: bool = False) -> DataFrame:
     """page_id, attempt, score of the best attempt of each page."""
-    return best(attempt_scores(rows, family), ["page_id"], "score", "attempt")
+    return best(attempt_scores(rows, family, admitted), ["page_id"], "score", "attempt")
 
 
 def gray_or_inverted(rows: DataFrame) -> DataFrame:
     """page_id, gray, inverted (sums of line scores of attempts 0 and 1) and chosen; gray wins a tie."""
-    score = L.line_score(F.col("text"), F.col("confidence"))
+    score = F.when(F.col("attempt") < 2, L.line_score(F.col("text"), F.col("confidence")))
     out = rows.withColumn("_s", score).groupBy("page_id").agg(*[F.coalesce(F.sum(F.when(F.col("attempt") == k, F.col("_s"))), F.lit(0)).cast("bigint").alias(n) for k, n in enumerate(("gray", "inverted"))])
     return out.withColumn("chosen", F.when(F.col("gray") >= F.col("inverted"), "gray").otherwise("inverted"))
 
@@ -156,9 +159,12 @@ def uncovered(texts: Column) -> Column:
 def drop_covered(rows: DataFrame) -> DataFrame:
     """Rows (page_id, ordinal, text) without those that another row of the page covers, as a self-join on the page."""
     keyed = once(rows.select("page_id", "ordinal", "text"), k=L.key(F.col("text")))
-    other = keyed.select(F.col("page_id").alias("op"), F.col("ordinal").alias("oo"), F.col("k").alias("ok"))
-    mine = keyed.withColumn("number", L.mostly_digits(F.col("text")))
-    hides = (F.col("page_id") == F.col("op")) & (F.col("ordinal") != F.col("oo")) & ~F.col("number") & covered(F.col("text"), F.col("k"), F.col("ok"))
+    keyed = once(keyed, n=F.length("k"))
+    other = keyed.select(F.col("page_id").alias("op"), F.col("ordinal").alias("oo"), F.col("k").alias("ok"), F.col("n").alias("on"))
+    # a short line or initials may be in any longer key, others in one that is longer by a sixth or by one; numbers in none
+    most = F.when(L.mostly_digits(F.col("text")), 0).when(L.looks_like_initials(F.col("text")) | (F.col("n") <= 4), 1 << 30).otherwise(F.greatest(F.col("n") + 1, F.floor(F.col("n") * 6 / 5).cast("int")))
+    mine = once(keyed, most=most)
+    hides = (F.col("page_id") == F.col("op")) & (F.col("on") > F.col("n")) & (F.col("on") <= F.col("most")) & (F.instr("ok", F.col("k")) > 0)
     return mine.join(other, hides, "left_anti").select("page_id", "ordinal", "text")
 
 
@@ -172,7 +178,7 @@ def result(filtered: Column) -> dict[str, Column]:
 def recognise(rows: DataFrame, family: str) -> DataFrame:
     """page_id, lines, full_text, options of each page: admitted lines of its best attempt, clustered, merged and filtered."""
     admitted = admit(rows)
-    chosen = admitted.join(best_attempts(admitted, family).select("page_id", "attempt"), ["page_id", "attempt"], "left_semi")
+    chosen = admitted.join(best_attempts(admitted, family, True).select("page_id", "attempt"), ["page_id", "attempt"], "left_semi")
     pages = page_lines(chosen).select("page_id", cluster_rows(F.col("lines")).alias("rows"))
     texts = pages.select("page_id", F.filter(F.transform(F.filter("rows", lambda r: ~unwanted(r["text"], F.lit(family))), lambda r: L.initials(r["text"])), L.keepable).alias("texts"))
     merged = texts.select("page_id", merge_similar(F.col("texts")).alias("m"))

@@ -126,7 +126,10 @@ _F = _flags("c")
 def line_flags(spark, sf_dir):
     c = F.col("c")
     rows = once(located(spark, sf_dir).select("page_id", "ordinal", "text"), c=L.clean(F.col("text")))
-    return rows.select("page_id", "ordinal", L.looks_like_initials(c).alias("initials"), L.has_useful_word(c).alias("useful"), L.mixed_scripts(c).alias("mixed"), L.gibberish(c).alias("gibberish"), L.math_noise(c).alias("math"), L.keepable(c).alias("keep"), L.script_mismatch(c, F.lit("CYRILLIC")).alias("mismatch"))
+    judged = {"initials": L.looks_like_initials(c), "useful": L.has_useful_word(c), "worded": L.worded(c), "mixed": L.mixed_scripts(c), "math": L.math_noise(c)}
+    rows = once(rows, **judged)  # keepable() and gibberish() are made of these
+    some = c != ""
+    return rows.select("page_id", "ordinal", "initials", "useful", "mixed", (some & ~F.col("worded")).alias("gibberish"), "math", (some & F.col("worded") & ~F.col("mixed") & ~F.col("math")).alias("keep"), L.script_mismatch(c, F.lit("CYRILLIC")).alias("mismatch"))
 
 
 @query(f"{_BASE} SELECT {_ID}, {_F['letters']}::INT AS letters, {_F['digits']}::INT AS digits, {_score('c', 'confidence')} AS score, CASE WHEN length(c) > 80 THEN substr(c, 1, 80) || '…' ELSE c END AS preview FROM linesc")
@@ -199,12 +202,12 @@ def admit_lines(spark, sf_dir):
 
 @query(f"{_BASE}, {_ADMIT}, {_SCORED} SELECT * FROM sco")
 def attempt_score(spark, sf_dir):
-    return ops.attempt_scores(ops.admit(located(spark, sf_dir)), "LATIN")
+    return ops.attempt_scores(ops.admit(located(spark, sf_dir)), "LATIN", admitted=True)
 
 
 @query(f"{_BASE}, {_ADMIT}, {_SCORED} SELECT page_id, attempt, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, attempt) AS k FROM sco) WHERE k = 1")
 def best_attempt(spark, sf_dir):
-    return ops.best_attempts(ops.admit(located(spark, sf_dir)), "LATIN")
+    return ops.best_attempts(ops.admit(located(spark, sf_dir)), "LATIN", admitted=True)
 
 
 @query(f"{_BASE}, {_ADMIT}, g AS (SELECT page_id, coalesce(sum(CASE WHEN attempt = 0 THEN s END), 0)::BIGINT AS gray, coalesce(sum(CASE WHEN attempt = 1 THEN s END), 0)::BIGINT AS inverted FROM (SELECT page_id, attempt, {_score('i', 'confidence')} AS s FROM adm) GROUP BY page_id) SELECT *, CASE WHEN gray >= inverted THEN 'gray' ELSE 'inverted' END AS chosen FROM g")

@@ -107,3 +107,35 @@ def test_lines_are_cleaned_once(spark):
         df = QUERIES[name](spark, SF)
         plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
         assert "inline(" in plan and not any("\u00a0" in x for x in plan.splitlines() if "Filter" in x)  # which cleaning replaces
+
+
+def test_lines_are_judged_once(spark):
+    """Formulas are looked for once a line, and what a longer key adds is told by lengths before a key is searched for."""
+    for name in ("line_flags", "attempt_score", "best_attempt", "gray_or_inverted", "drop_covered"):
+        df = QUERIES[name](spark, SF)
+        plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        assert plan.count("sgn|chi") == (2 if name == "gray_or_inverted" else 0 if name == "drop_covered" else 1) and "levenshtein" not in plan
+
+
+def test_numbers_and_scripts_by_patterns(spark):
+    """Lines at the limits of what is told without counting, by counts of their characters."""
+    import re
+    import unicodedata as u
+
+    from shelfspark.functions import lines as L
+
+    texts = ["12", "12 ab", "1234 O", "1 2 3 4", "a 1234 b", "O 1234 l", "12345 xy", "1234 x", "x", "xy", "да", "xд", "日本", "é 1", "", "()ab", "(a)bcdefg", "=+*abcdef", "=+*abcdefg", "a(b)c=d+e", "((((((", "1234"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    c = df.t
+    from pyspark.sql import functions as F
+
+    for r in df.select("t", L.script_mismatch(c, F.lit("CYRILLIC")).alias("c"), L.script_mismatch(c, F.lit("LATIN")).alias("l"), L.mostly_digits(c).alias("d"), L.math_noise(c).alias("m")).collect():
+        letters = [x for x in r.t if u.category(x)[0] == "L"]
+        latin, cyr = sum(x <= "\u024f" for x in letters), sum("\u0400" <= x <= "\u052f" for x in letters)
+        n, signs = len(letters) + sum(x.isdigit() for x in r.t), sum(x in "()[]{}=+*/\\^_<>|×−" for x in r.t)
+        initials = r.t == "x"  # a letter by itself needs a dot
+        assert r.c == (len(letters) == latin >= 2 and not r.d) and r.l == (len(letters) == cyr >= 2) and not (initials and r.c)
+        by_sign = len(letters) < 8 and re.search("[_^=]", r.t) is not None
+        assert r.m == (by_sign or (sum(x in "()[]{}" for x in r.t) >= 2 and n < 6) or (signs >= 3 and n <= signs + 3)), r
+    numbers = {r.t for r in df.where(L.mostly_digits(c)).collect()}
+    assert numbers == {"1234 O", "1 2 3 4", "a 1234 b", "O 1234 l", "1234 x", "1234"}
