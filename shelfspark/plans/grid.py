@@ -278,8 +278,7 @@ def side_energy(spark, sf_dir):
 @query()
 def side_scan(spark, sf_dir):
     """Sides of drawn images; sums of magnitudes decide, whose last digits depend on their order, so it is tested against plain sums."""
-    g = _sobel(spark, sf_dir, drawn).select("img_id", "w", "h", F.transform("g", lambda x: x["mag"]).alias("m"))
-    return g.select("img_id", grid.side_scan(F.col("m"), F.col("w"), F.col("h")).alias("quad"))
+    return grid.side_quads(drawn(spark, sf_dir))
 
 
 #: Quads made of suppliers' numbers in an image of 100 x 80.

@@ -361,3 +361,19 @@ def test_work_is_dealt_and_done_once(spark):
         df = QUERIES[name](spark, SF)
         plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
         assert sum("Generate inline" in x for x in plan.splitlines()) >= least, plan
+
+
+def test_side_quads_are_those_of_side_scan(spark):
+    """Images of many sizes in one batch, as by the expressions; nothing of it is an expression over pixels."""
+    import numpy as np
+
+    from shelfspark.plans import QUERIES
+
+    rng = np.random.default_rng(3)
+    rows = [(i, int(w), int(h), rng.integers(0, 256, int(w * h)).tolist()) for i, (w, h) in enumerate(rng.integers(3, 40, (60, 2)))]
+    df = spark.createDataFrame(rows, "img_id long, w int, h int, v array<int>")
+    w, h = F.col("w"), F.col("h")
+    mags = df.select("img_id", "w", "h", F.transform(grid.sobel(F.col("v"), w, h), lambda g: g["mag"]).alias("m"))
+    assert sorted(grid.side_quads(df).collect()) == sorted(mags.select("img_id", grid.side_scan(F.col("m"), w, h).alias("quad")).collect())
+    plan = (q := QUERIES["side_scan"](spark, SF))._sc._jvm.PythonSQLUtils.explainString(q._jdf.queryExecution(), "simple")
+    assert "lambdafunction" not in plan
