@@ -124,12 +124,13 @@ _F = _flags("c")
 
 @query(f"{_BASE} SELECT {_ID}, {', '.join(f'{_F[n]} AS {n}' for n in ('initials', 'useful', 'mixed', 'gibberish', 'math', 'keep'))}, {_F['foreign']} AS mismatch FROM linesc")
 def line_flags(spark, sf_dir):
-    c = F.col("c")
-    rows = once(located(spark, sf_dir).select("page_id", "ordinal", "text"), c=L.clean(F.col("text")))
-    judged = {"initials": L.looks_like_initials(c), "useful": L.has_useful_word(c), "worded": L.worded(c), "mixed": L.mixed_scripts(c), "math": L.math_noise(c)}
+    c, m = F.col("c"), F.col("m")
+    rows = once(located(spark, sf_dir).select("page_id", "ordinal", "text"), m=L.measured(F.col("text")))
+    rows = once(rows, c=L.cleaned(F.col("text"), m)).drop("text")
+    judged = {"initials": L.looks_like_initials(c), "useful": L.has_useful_word(c), "worded": L.worded(c, m), "mixed": L.mixed_scripts(c, m), "math": L.math_noise(c, m)}
     rows = once(rows, **judged)  # keepable() and gibberish() are made of these
     some = c != ""
-    return rows.select("page_id", "ordinal", "initials", "useful", "mixed", (some & ~F.col("worded")).alias("gibberish"), "math", (some & F.col("worded") & ~F.col("mixed") & ~F.col("math")).alias("keep"), L.script_mismatch(c, F.lit("CYRILLIC")).alias("mismatch"))
+    return rows.select("page_id", "ordinal", "initials", "useful", "mixed", (some & ~F.col("worded")).alias("gibberish"), "math", (some & F.col("worded") & ~F.col("mixed") & ~F.col("math")).alias("keep"), L.script_mismatch(c, F.lit("CYRILLIC"), m).alias("mismatch"))
 
 
 @query(f"{_BASE} SELECT {_ID}, {_F['letters']}::INT AS letters, {_F['digits']}::INT AS digits, {_score('c', 'confidence')} AS score, CASE WHEN length(c) > 80 THEN substr(c, 1, 80) || '…' ELSE c END AS preview FROM linesc")
