@@ -16,17 +16,22 @@ from ..functions.strings import let, once
 MIN_CONFIDENCE = 32.0
 
 
-def admit(rows: DataFrame, band_top: Column | None = None) -> DataFrame:
+def admit(rows: DataFrame, band_top: Column | None = None, measures: bool = False) -> DataFrame:
     """Rows whose cleaned text is worth keeping, text cleaned and the band's top added.
 
-    A line of low confidence needs six letters or four digits.
+    A line of low confidence needs six letters or four digits. With measures a column m has what was measured() of each line.
     """
-    out = once(rows, text=L.initials(F.col("text"))).where(L.keepable(F.col("text")))
-    sure = (F.col("confidence") >= MIN_CONFIDENCE) | (L.letters(F.col("text")) >= 6) | (L.digits(F.col("text")) >= 4)
-    out = out.where(sure)
+    text, m = F.col("text"), F.col("m")
+    out = once(once(rows, m=L.measured(text)), text=L.with_initials(text, m)).where(L.keepable(text, m))
+    out = out.where((F.col("confidence") >= MIN_CONFIDENCE) | (m["letters"] >= 6) | (m["digits"] >= 4))
+    out = out if measures else out.drop("m")
     return out if band_top is None else out.withColumn("top", (F.col("top") + band_top).cast("int"))
 
 
+def _measures(rows: DataFrame) -> Column | None:
+    return F.col("m") if "m" in rows.columns else None
+
+
 def unwanted(text: Column, family: Column) -> Column:
     return L.script_mismatch(text, family) | L.gibberish(text) | L.mixed_scripts(text)
 
@@ -36,10 +41,12 @@ def attempt_scores(rows: DataFrame, family: str, admitted: bool = False) -> Data
 
     Lines of admit() (admitted) are keepable, so neither gibberish nor of mixed scripts, and are not judged again.
     """
-    bad = L.script_mismatch(F.col("text"), F.lit(family)) if admitted else unwanted(F.col("text"), F.lit(family))
-    worth = 30 + L.letters(F.col("text")) + F.floor(F.col("confidence") / 2 + 0.5)
+    m = _measures(rows)
+    bad = L.script_mismatch(F.col("text"), F.lit(family), m) if admitted else unwanted(F.col("text"), F.lit(family))
+    worth = 30 + (L.letters(F.col("text")) if m is None else F.col("letters")) + F.floor(F.col("confidence") / 2 + 0.5)
     good = ~F.col("bad") & F.col("good")
-    worded = once(rows.select("page_id", "attempt", "confidence", "text"), bad=bad, good=F.lit(True) if admitted else L.keepable(F.col("text")))
+    counted = [] if m is None else [m["letters"].alias("letters"), "m"]
+    worded = once(rows.select("page_id", "attempt", "confidence", "text", *counted), bad=bad, good=F.lit(True) if admitted else L.keepable(F.col("text")))
     points = worded.select("page_id", "attempt", "confidence", good.alias("good"), F.when(F.col("bad"), -20).when(good, worth).otherwise(0).alias("points"))
     grouped = points.groupBy("page_id", "attempt").agg(F.floor(F.avg("confidence")).alias("mean"), F.sum("points").alias("points"), F.sum(F.col("good").cast("int")).alias("useful"))
     return grouped.select("page_id", "attempt", (F.col("mean") + F.col("points") - F.when(F.col("useful") == 0, 50).otherwise(0)).cast("bigint").alias("score"))
@@ -57,8 +64,11 @@ def best_attempts(rows: DataFrame, family: str, admitted: bool = False) -> DataF
 
 
 def gray_or_inverted(rows: DataFrame) -> DataFrame:
-    """page_id, gray, inverted (sums of line scores of attempts 0 and 1) and chosen; gray wins a tie."""
-    score = F.when(F.col("attempt") < 2, L.line_score(F.col("text"), F.col("confidence")))
+    """page_id, gray, inverted (sums of line scores of attempts 0 and 1) and chosen; gray wins a tie.
+
+    Characters of lines that admit() gives with their measures are not counted again.
+    """
+    score = F.when(F.col("attempt") < 2, L.line_score(F.col("text"), F.col("confidence"), _measures(rows)))
     out = rows.withColumn("_s", score).groupBy("page_id").agg(*[F.coalesce(F.sum(F.when(F.col("attempt") == k, F.col("_s"))), F.lit(0)).cast("bigint").alias(n) for k, n in enumerate(("gray", "inverted"))])
     return out.withColumn("chosen", F.when(F.col("gray") >= F.col("inverted"), "gray").otherwise("inverted"))
 
@@ -139,7 +149,7 @@ def _fold_keyed(texts: Column, put) -> Column:
 def distinct_parts(texts: Column) -> Column:
     """Texts cut at their numbers, cleaned, kept if worth it and not similar to an earlier one."""
     parts = F.transform(F.flatten(F.transform(texts, L.explode_number)), L.initials)
-    parts = F.filter(parts, L.keepable)
+    parts = F.filter(parts, lambda x: L.keepable(x))
     put = lambda done, x: F.when(L.index_of_similar_key(F.transform(done, lambda d: d["k"]), x["k"]) < 0, F.concat(done, F.array(x))).otherwise(done)
     return F.transform(_fold_keyed(parts, put), lambda x: x["t"])
 
@@ -180,7 +190,7 @@ def recognise(rows: DataFrame, family: str) -> DataFrame:
     admitted = admit(rows)
     chosen = admitted.join(best_attempts(admitted, family, True).select("page_id", "attempt"), ["page_id", "attempt"], "left_semi")
     pages = page_lines(chosen).select("page_id", cluster_rows(F.col("lines")).alias("rows"))
-    texts = pages.select("page_id", F.filter(F.transform(F.filter("rows", lambda r: ~unwanted(r["text"], F.lit(family))), lambda r: L.initials(r["text"])), L.keepable).alias("texts"))
+    texts = pages.select("page_id", F.filter(F.transform(F.filter("rows", lambda r: ~unwanted(r["text"], F.lit(family))), lambda r: L.initials(r["text"])), lambda x: L.keepable(x)).alias("texts"))
     merged = texts.select("page_id", merge_similar(F.col("texts")).alias("m"))
     parts = merged.select("page_id", distinct_parts(F.col("m")).alias("p"))
     final = parts.select("page_id", uncovered(F.col("p")).alias("f"))

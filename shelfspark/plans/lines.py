@@ -203,17 +203,17 @@ def admit_lines(spark, sf_dir):
 
 @query(f"{_BASE}, {_ADMIT}, {_SCORED} SELECT * FROM sco")
 def attempt_score(spark, sf_dir):
-    return ops.attempt_scores(ops.admit(located(spark, sf_dir)), "LATIN", admitted=True)
+    return ops.attempt_scores(ops.admit(located(spark, sf_dir), measures=True), "LATIN", admitted=True)
 
 
 @query(f"{_BASE}, {_ADMIT}, {_SCORED} SELECT page_id, attempt, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, attempt) AS k FROM sco) WHERE k = 1")
 def best_attempt(spark, sf_dir):
-    return ops.best_attempts(ops.admit(located(spark, sf_dir)), "LATIN", admitted=True)
+    return ops.best_attempts(ops.admit(located(spark, sf_dir), measures=True), "LATIN", admitted=True)
 
 
 @query(f"{_BASE}, {_ADMIT}, g AS (SELECT page_id, coalesce(sum(CASE WHEN attempt = 0 THEN s END), 0)::BIGINT AS gray, coalesce(sum(CASE WHEN attempt = 1 THEN s END), 0)::BIGINT AS inverted FROM (SELECT page_id, attempt, {_score('i', 'confidence')} AS s FROM adm) GROUP BY page_id) SELECT *, CASE WHEN gray >= inverted THEN 'gray' ELSE 'inverted' END AS chosen FROM g")
 def gray_or_inverted(spark, sf_dir):
-    return ops.gray_or_inverted(ops.admit(located(spark, sf_dir)))
+    return ops.gray_or_inverted(ops.admit(located(spark, sf_dir), measures=True))
 
 
 @query(f"{_BASE} SELECT page_id, bool_or({_F['keep']} AND NOT {_F['foreign']} AND NOT {_F['gibberish']}) AS real FROM linesc GROUP BY page_id")
