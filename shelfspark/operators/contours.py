@@ -8,44 +8,69 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from . import grid
+
 FRACTIONS = (0.02, 0.03, 0.04, 0.06, 0.08, 0.1, 0.12)
 LEAST_POINTS = 40
 
 
 def _near(mask):
-    """mask or any of its eight neighbours."""
+    """mask or any of its eight neighbours, for images (images, rows, columns)."""
     import numpy as np
 
-    p = np.pad(mask, 1)
-    h, w = mask.shape
-    return np.logical_or.reduce([p[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)])
+    p = np.pad(mask, ((0, 0), (1, 1), (1, 1)))
+    p = p[:, :-2] | p[:, 1:-1] | p[:, 2:]
+    return p[:, :, :-2] | p[:, :, 1:-1] | p[:, :, 2:]
+
+
+def components(mask):
+    """Runs of set pixels of images (images, rows, columns) in order, as their first places and those after them, and the first run of each one's component.
+
+    Places count a blank row and a blank column more an image, so that nothing touches across a border. Runs that touch take the lesser of their
+    components' first runs, until all agree.
+    """
+    import numpy as np
+
+    n, h, w = mask.shape
+    wide = w + 1
+    p = np.zeros((n, h + 1, wide), "i1")
+    p[:, :h, :w] = mask
+    ends = np.nonzero(np.diff(p.ravel(), prepend=0))[0]
+    start, stop = ends[::2], ends[1::2]
+    low, high = np.searchsorted(stop, start + wide - 1, "right"), np.searchsorted(start, stop + wide, "right")  # those below that touch
+    many = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(start)), many)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    first = np.arange(len(start))
+    while (first[a] != first[b]).any():
+        one, other = first[a], first[b]
+        np.minimum.at(first, np.maximum(one, other), np.minimum(one, other))
+        while (first[first] != first).any():
+            first = first[first]
+    return start, stop, first
 
 
 def grow(classes):
-    """Strong pixels (2) and the weak ones (1) that are connected to them."""
-    out = classes == 2
-    while True:
-        more = _near(out) & (classes > 0)
-        if (more == out).all():
-            return out
-        out = more
+    """Strong pixels (2) and the weak ones (1) that are connected to them, of one image or of images (images, rows, columns)."""
+    import numpy as np
+
+    c = classes if classes.ndim == 3 else classes[None]
+    start, stop, first = components(c > 0)
+    out = c > 0
+    if len(start):
+        strong = np.add.reduceat((c[out] == 2).astype(int), np.cumsum(stop - start) - (stop - start))
+        out[out] = np.repeat((np.bincount(first, strong) > 0)[first], stop - start)
+    return out.reshape(classes.shape)
 
 
 def labels(mask):
-    """Component of each set pixel (the least index in it), -1 elsewhere, by spreading the least neighbour."""
+    """Component of each set pixel (the least index in it), -1 elsewhere."""
     import numpy as np
 
-    none = mask.size
-    ids = np.where(mask, np.arange(mask.size).reshape(mask.shape), none)
-    while True:
-        p = np.pad(ids, 1, constant_values=none)
-        h, w = mask.shape
-        low = np.minimum.reduce([p[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)])
-        new = np.where(mask, low, none)
-        new = np.where(mask, np.append(new.ravel(), none)[new], none)  # jump to the label's own label
-        if (new == ids).all():
-            return np.where(mask, ids, -1)
-        ids = new
+    start, stop, first = components(mask[None])
+    ids, size = np.full(mask.shape, -1), stop - start
+    ids[mask] = np.repeat(np.nonzero(mask.ravel())[0][np.cumsum(size) - size][first], size)
+    return ids
 
 
 def hull(points):
@@ -103,39 +128,60 @@ def four_corners(ring):
     return [min(ring, key=total), max(ring, key=slope), max(ring, key=total), min(ring, key=slope)]
 
 
-def contour(edges):
-    """The quad of largest area among the contours of twice widened edges; None without."""
+def contours(edges):
+    """The quad of largest area among the contours of twice widened edges, for each of images (images, rows, columns); None without.
+
+    Of each row of a component its ends suffice, as no other pixel is a corner of the hull.
+    """
     import numpy as np
 
     def widen(m):
         out = np.zeros_like(m)
-        if min(m.shape) > 2:
-            out[1:-1, 1:-1] = _near(m)[1:-1, 1:-1]
+        if min(m.shape[1:]) > 2:
+            out[:, 1:-1, 1:-1] = _near(m)[:, 1:-1, 1:-1]
         return out
 
-    ids, best, most = labels(widen(widen(edges))), None, 0.0
-    for label in np.unique(ids[ids >= 0]):
-        ys, xs = np.nonzero(ids == label)
-        if len(xs) < LEAST_POINTS or (corners := four_corners(hull(zip(xs.tolist(), ys.tolist(), strict=True)))) is None:
+    n, h, w = edges.shape
+    start, stop, first = components(widen(widen(edges)))
+    best, most = [None] * n, [0.0] * n
+    big = (np.bincount(first, stop - start) >= LEAST_POINTS)[first]
+    if not big.any():
+        return best
+    order = np.nonzero(big)[0][np.argsort(first[big], kind="stable")]
+    label, row, left, right = first[order], start[order] // (w + 1), start[order] % (w + 1), (stop[order] - 1) % (w + 1)
+    new = np.diff(label, prepend=-1) != 0
+    begins = np.nonzero(new | (np.diff(row, prepend=-1) != 0))[0]  # the first run in each row of a component
+    left, right = left[begins], right[np.append(begins[1:], len(order)) - 1]
+    image, y, cuts = row[begins] // (h + 1), row[begins] % (h + 1), np.nonzero(new[begins])[0]
+    total, slope = (lambda p: p[0] + p[1]), (lambda p: p[0] - p[1])
+    for a, b in zip(cuts, [*cuts[1:], len(begins)], strict=True):
+        ys, i = y[a:b].tolist(), image[a]
+        if (corners := four_corners(hull([*zip(left[a:b].tolist(), ys, strict=True), *zip(right[a:b].tolist(), ys, strict=True)]))) is None:
             continue
-        total, slope = (lambda p: p[0] + p[1]), (lambda p: p[0] - p[1])
         q = [min(corners, key=total), max(corners, key=slope), max(corners, key=total), min(corners, key=slope)]
-        size = abs(sum(q[i][0] * q[(i + 1) % 4][1] - q[(i + 1) % 4][0] * q[i][1] for i in range(4))) / 2
-        if size > most:
-            most, best = size, [float(c) for p in q for c in p]
+        size = abs(sum(q[k][0] * q[(k + 1) % 4][1] - q[(k + 1) % 4][0] * q[k][1] for k in range(4))) / 2
+        if size > most[i]:
+            most[i], best[i] = size, [float(c) for p in q for c in p]
     return best
 
 
-def with_edges(images: DataFrame, key: str = "img_id", classes: str = "classes") -> DataFrame:
-    """key, w, h, edges (array of booleans) and contour (quad or null) of images with edge classes; a missing image has no edges."""
+def contour(edges):
+    """contours() of one image."""
+    return contours(edges[None])[0]
+
+
+def with_edges(images: DataFrame, drop: tuple[str, ...] = ("classes",)) -> DataFrame:
+    """images (w, h, classes and others) with edges (array of booleans) and contour (quad or null), without the columns of drop; a missing image has no edges."""
 
-    def search(batches):
+    def find(batch):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            grown = [grow(np.array(c or [], "i4").reshape(h or 0, w or 0)) for w, h, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([g.ravel() for g in grown], pa.list_(pa.bool_())), pa.array([contour(g) for g in grown], pa.list_(pa.float64()))], names=["k", "w", "h", "edges", "contour"])
+        edges, quads = [np.zeros(0, bool)] * batch.num_rows, [None] * batch.num_rows
+        for at, classes in grid.alike(*map(batch.column, ("w", "h", "classes"))):
+            grown = grow(classes)
+            for i, e, q in zip(at, grown, contours(grown), strict=True):
+                edges[i], quads[i] = e.ravel(), q
+        return [pa.array(edges, pa.list_(pa.bool_())), pa.array(quads, pa.list_(pa.float64()))]
 
-    rows = images.selectExpr(f"cast({key} as long) as k", "cast(w as int) as w", "cast(h as int) as h", f"{classes} as c")
-    return rows.mapInArrow(search, "k long, w int, h int, edges array<boolean>, contour array<double>").withColumnRenamed("k", key)
+    return grid.found(images, "edges array<boolean>, contour array<double>", find, drop)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..functions.strings import once
 from . import contours, grid, hough, quads, resample
 
 LEAST_SCORE = 0.08
@@ -13,38 +13,26 @@ LEAST_SCORE = 0.08
 WORK_SIDE, LEAST_SIDE = 360, 16
 
 
-def gradients(images: DataFrame) -> DataFrame:
-    """img_id, w, h, mag (magnitudes) and classes of blurred gray images (img_id, w, h, v)."""
-    w, h = F.col("w"), F.col("h")
-    blurred = images.select("img_id", "w", "h", grid.blur(F.col("v"), w, h).alias("b"))
-    edges = blurred.select("img_id", "w", "h", grid.sobel(F.col("b"), w, h).alias("g"))
-    return edges.select("img_id", "w", "h", F.transform("g", lambda x: x["mag"]).alias("mag"), grid.edge_classes(F.col("g"), w, h).alias("classes"))
-
-
 def detect(images: DataFrame) -> DataFrame:
     """img_id, quad, score and method of each image (img_id, w, h, v), of any size: the best of voting, contour and side scan.
 
     Images are worked on with WORK_SIDE pixels a side at most and the quad is scaled back. The first method wins a tie; images of which
-    none is good, or with a side under LEAST_SIDE, get the inset quad.
+    none is good, or with a side under LEAST_SIDE, get the inset quad. An image never leaves its row, so nothing is shuffled.
     """
-    sizes = images.select("img_id", F.col("w").alias("full_w"), F.col("h").alias("full_h"))
-    small = resample.fitted(images.where(F.least("w", "h") >= LEAST_SIDE), WORK_SIDE, LEAST_SIDE).select("img_id", "w", "h", "v")
+    seen = lambda c: F.when(F.least("w", "h") >= LEAST_SIDE, F.col(c)).alias(c)
+    rows = images.select("img_id", F.col("w").alias("full_w"), F.col("h").alias("full_h"), *map(seen, ("w", "h", "v")))
+    met = at_working_size(resample.fitted(rows, WORK_SIDE, LEAST_SIDE))
     full_w, full_h = F.col("full_w"), F.col("full_h")
-    met = sizes.join(at_working_size(small), "img_id", "left")
     back = quads.scaled(F.col("quad"), full_w / F.col("w"), full_h / F.col("h"), full_w, full_h)
-    quad = F.when(F.coalesce(F.col("score") >= LEAST_SCORE, F.lit(False)), back).otherwise(quads.inset(full_w, full_h))
-    return met.select("img_id", quad.alias("quad"), F.coalesce("score", F.lit(-1.0)).alias("score"), F.coalesce("method", F.lit("inset")).alias("method"))
+    return met.select("img_id", F.when(F.col("score") >= LEAST_SCORE, back).otherwise(quads.inset(full_w, full_h)).alias("quad"), "score", "method")
 
 
 def at_working_size(images: DataFrame) -> DataFrame:
-    """img_id, w, h, quad, score and method (inset, if the score is too low) of images of WORK_SIDE pixels at most."""
-    g = materialize(gradients(images), "gradients")  # votes, scores and sides read them
-    g = g.drop("classes").join(materialize(contours.with_edges(g).select("img_id", "edges", "contour"), "contours"), "img_id")
-    sizes = images.select("img_id", "w", "h")
-    lines = hough.quads(hough.strongest(g), sizes)
+    """images (w, h, v and others) of WORK_SIDE pixels at most with quad, score and method (inset, if the score is too low) instead of v."""
     w, h = F.col("w"), F.col("h")
-    rows = g.join(lines.withColumnRenamed("quad", "lines"), "img_id", "left").withColumn("sides", grid.side_scan(F.col("mag"), w, h))
-    tried = rows.select("img_id", "w", "h", *[F.struct(quads.score(F.col(n), F.col("mag"), w, h).alias("score"), F.lit(-i).alias("i"), F.lit(n).alias("method"), quads.clamped(F.col(n), w, h).alias("quad")).alias(n) for i, n in enumerate(("lines", "contour", "sides"))])
-    best = tried.select("img_id", "w", "h", F.greatest("lines", "contour", "sides").alias("b"))
-    good = F.col("b.score") >= LEAST_SCORE
-    return best.select("img_id", "w", "h", F.col("b.quad").alias("quad"), F.col("b.score").alias("score"), F.when(good, F.col("b.method")).otherwise("inset").alias("method"))
+    found = hough.with_lines(contours.with_edges(grid.gradients(images)))
+    rows = once(found, lines=hough.corners(F.col("lines"), w, h))
+    tried = [F.struct(quads.score(F.col(n), F.col("mag"), w, h).alias("score"), F.lit(-i).alias("i"), F.lit(n).alias("method"), quads.clamped(F.col(n), w, h).alias("quad")) for i, n in enumerate(("lines", "contour", "sides"))]
+    best = once(rows, _best=F.greatest(*tried)).drop("mag", "lines", "contour", "sides")
+    good = F.col("_best.score") >= LEAST_SCORE
+    return best.select("*", "_best.quad", "_best.score", F.when(good, F.col("_best.method")).otherwise("inset").alias("method")).drop("_best")

@@ -10,6 +10,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.strings import let
 
@@ -384,54 +385,148 @@ def side_scan(mag: Column, w: Column, h: Column) -> Column:
     return let(F.struct(rows.alias("r"), cols.alias("c")), lambda e: let(F.struct(smooth(e["r"]).alias("r"), smooth(e["c"]).alias("c")), quad))
 
 
-def side_quads(images: DataFrame) -> DataFrame:
-    """img_id and quad, the side_scan() of the sobel() magnitudes of images (img_id, w, h, v), in whole arrays of alike images.
+def alike(w, h, *values, most: int = 100_000):
+    """Places and values (images, rows, columns) of images of one size, about most pixels at a time, of Arrow arrays; NaN for null among numbers.
 
-    Sums run in the order of the expressions', so quads are the same.
+    Images without all their pixels are left out.
     """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    w, h, *sizes = (np.array(a.to_pylist(), dtype=float) for a in (w, h, *map(pc.list_value_length, values)))  # NaN for none
+    whole = np.logical_and.reduce([w > 0, h > 0, *(n >= w * h for n in sizes)])
+    for width, height in sorted({*zip(w[whole].tolist(), h[whole].tolist(), strict=True)}):
+        places, step = np.nonzero(whole & (w == width) & (h == height))[0], max(1, int(most // (width * height)))
+        for i in range(0, len(places), step):
+            some = places[i : i + step]
+            px = (pc.list_slice(v.take(pa.array(some)), 0, int(width * height)).flatten() for v in values)
+            yield some, *(p.to_numpy(zero_copy_only=False).reshape(len(some), int(height), int(width)) for p in px)
 
-    def scan(v):
-        """Quads of images of one size (images, rows, columns)."""
-        import numpy as np
 
-        n, h, w = v.shape
-        p = lambda dx, dy: v[:, 1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx]
-        mag = np.zeros((n, h, w))
-        if min(h, w) > 2:
-            gx = p(1, -1) - p(-1, -1) + 2 * p(1, 0) - 2 * p(-1, 0) + p(1, 1) - p(-1, 1)
-            gy = p(-1, 1) + 2 * p(0, 1) + p(1, 1) - p(-1, -1) - 2 * p(0, -1) - p(1, -1)
-            mag[:, 1:-1, 1:-1] = np.sqrt((gx * gx + gy * gy).astype("f8"))
-
-        def ends(e):
-            """Places of the strongest sums in the outer thirds, from both ends; None if there are none."""
-            size, smooth = e.shape[1], e.copy()
-            smooth[:, 1:-1] = (e[:, :-2] + e[:, 1:-1] * 2 + e[:, 2:]) / 4
-            first = smooth[:, 2 : min(max(3, size // 3), size - 1) + 1]
-            low = max(min(size - 3, size * 2 // 3), 0)
-            last = smooth[:, low : max(size - 2, 0)][:, ::-1]
-            return (2 + first.argmax(1), size - 3 - last.argmax(1)) if first.size and last.size else None
-
-        down, across = ends(np.cumsum(mag, axis=2)[:, :, -1]), ends(np.cumsum(mag, axis=1)[:, -1, :])
-        if down is None or across is None:
-            return [None] * n
-        (t, b), (l, r) = down, across
-        wide = (r - l >= w * 0.22) & (b - t >= h * 0.22)
-        return [q if on else None for q, on in zip(np.stack([l, t, r, t, r, b, l, b], 1).astype("f8").tolist(), wide.tolist(), strict=True)]
+def found(images: DataFrame, schema: str, find, drop: tuple[str, ...] = ()) -> DataFrame:
+    """images without the columns of drop, but with those of schema, Arrow arrays that find makes of a batch."""
+    kept, new = [f for f in images.schema if f.name not in drop], StructType.fromDDL(schema)
+    old, names = [f.name for f in kept], [f.name for f in [*kept, *new]]
 
     def search(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            w, h = (np.array(batch.column(i).to_pylist(), dtype=float) for i in (1, 2))  # NaN for none
-            out, v = [None] * batch.num_rows, batch.column(3)
-            for width, height in {*zip(w[(w > 0) & (h > 0)], h[(w > 0) & (h > 0)], strict=True)}:
-                at = np.nonzero((w == width) & (h == height))[0]
-                px = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype("i8")
-                for i, q in zip(at, scan(px.reshape(len(at), int(height), int(width))), strict=True):
-                    out[i] = q
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["img_id", "quad"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, old), *find(batch)], names=names)
 
     images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    return images.mapInArrow(search, StructType([*kept, *new]))
+
+
+def _slopes(v):
+    """Differences across and down at the inner pixels of images (images, rows, columns) of three rows and columns or more, as in sobel()."""
+    n, h, w = v.shape
+    p = lambda dx, dy: v[:, 1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx]
+    gx = p(1, -1) - p(-1, -1) + 2 * p(1, 0) - 2 * p(-1, 0) + p(1, 1) - p(-1, 1)
+    gy = p(-1, 1) + 2 * p(0, 1) + p(1, 1) - p(-1, -1) - 2 * p(0, -1) - p(1, -1)
+    return gx, gy
+
+
+def _blurred(v):
+    """blur() of images (images, rows, columns)."""
+    import numpy as np
+
+    for axis in (2, 1):
+        n = v.shape[axis]
+        v = np.floor(sum(np.take(v, np.clip(np.arange(n) + i - 2, 0, n - 1), axis) * k for i, k in enumerate(KERNEL)) / 16)
+    return v
+
+
+def _edges(v):
+    """Magnitudes of sobel() and edge_classes() of images (images, rows, columns)."""
+    import numpy as np
+
+    n, h, w = v.shape
+    mag, classes = np.zeros((n, h, w)), np.zeros((n, h, w), "i4")
+    if min(h, w) < 3:
+        return mag, classes
+    gx, gy = _slopes(v)
+    mag[:, 1:-1, 1:-1] = np.sqrt(gx * gx + gy * gy)
+    high = np.fmax(28.0, np.fmax.reduce(mag.reshape(n, -1), axis=1) * 0.18)
+    i, y, x = np.nonzero(mag >= (high * 0.4)[:, None, None])  # others are 0, whatever their direction
+    a = np.degrees(np.arctan2(gy[i, y - 1, x - 1], gx[i, y - 1, x - 1]))
+    a = np.where(a < 0, a + 180, a)
+    step = np.select([(a < 22.5) | (a >= 157.5), a < 67.5, a < 112.5], [1, 1 - w, w], 1 + w)
+    flat, at = mag.ravel(), (i * h + y) * w + x
+    thin = (flat[at] >= flat[at - step]) & (flat[at] >= flat[at + step])
+    classes[i, y, x] = np.where(thin, np.where(flat[at] >= high[i], 2, 1), 0)
+    return mag, classes
+
+
+def _sides(mag):
+    """side_scan() of magnitudes (images, rows, columns): quads or None. Sums run in the order of the expressions', so quads are the same."""
+    import numpy as np
+
+    n, h, w = mag.shape
+
+    def strongest(e):
+        """Places of the largest sums, those of null apart, and whether there are any."""
+        e = np.where(np.isnan(e), -np.inf, e)
+        return e.argmax(1), e.max(1) > -np.inf
+
+    def ends(e):
+        """Places of the strongest sums in the outer thirds, from both ends; None if there are none."""
+        size, smooth = e.shape[1], e.copy()
+        smooth[:, 1:-1] = (e[:, :-2] + e[:, 1:-1] * 2 + e[:, 2:]) / 4
+        first = smooth[:, 2 : min(max(3, size // 3), size - 1) + 1]
+        low = max(min(size - 3, size * 2 // 3), 0)
+        last = smooth[:, low : max(size - 2, 0)][:, ::-1]
+        if not (first.size and last.size):
+            return None
+        (a, one), (b, other) = strongest(first), strongest(last)
+        return 2 + a, size - 3 - b, one & other
+
+    down, across = ends(np.cumsum(mag, axis=2)[:, :, -1]), ends(np.cumsum(mag, axis=1)[:, -1, :])
+    if down is None or across is None:
+        return [None] * n
+    (t, b, rows), (l, r, cols) = down, across
+    wide = rows & cols & (r - l >= w * 0.22) & (b - t >= h * 0.22)
+    return [q if on else None for q, on in zip(np.stack([l, t, r, t, r, b, l, b], 1).astype("f8").tolist(), wide.tolist(), strict=True)]
+
+
+def side_quads(images: DataFrame) -> DataFrame:
+    """img_id and quad, the side_scan() of the sobel() magnitudes of images (img_id, w, h, v), in whole arrays of alike images."""
+
+    def find(batch):
+        import numpy as np
+        import pyarrow as pa
+
+        out = [None] * batch.num_rows
+        for at, v in alike(*map(batch.column, ("w", "h", "v"))):
+            mag = np.zeros(v.shape)
+            if min(v.shape[1:]) > 2:
+                gx, gy = _slopes(v.astype("f8"))
+                mag[:, 1:-1, 1:-1] = np.sqrt(gx * gx + gy * gy)
+            for i, q in zip(at, _sides(mag), strict=True):
+                out[i] = q
+        return [pa.array(out, pa.list_(pa.float64()))]
+
     rows = images.selectExpr("cast(img_id as long) as img_id", "cast(w as int) as w", "cast(h as int) as h", "v")
-    return rows.mapInArrow(search, "img_id long, quad array<double>")
+    return found(rows, "quad array<double>", find, ("w", "h", "v"))
+
+
+def gradients(images: DataFrame) -> DataFrame:
+    """images (w, h, v and others) with mag, classes and sides instead of v, in whole arrays of alike images.
+
+    These are the sobel() magnitudes, edge_classes() and side_scan() of the blur(); null for images without all their pixels.
+    """
+
+    def find(batch):
+        import numpy as np
+        import pyarrow as pa
+
+        (mags, classes, sides), gaps = ([None] * batch.num_rows for _ in range(3)), False  # gaps: NaN has to become null
+        for at, v in alike(*map(batch.column, ("w", "h", "v"))):
+            mag, kinds = _edges(_blurred(v.astype("f8")))
+            gaps |= bool(np.isnan(mag).any())
+            for i, m, c, q in zip(at, mag, kinds, _sides(mag), strict=True):
+                mags[i], classes[i], sides[i] = m.ravel(), c.ravel(), q
+        return [pa.array(mags, pa.list_(pa.float64()), from_pandas=gaps), pa.array(classes, pa.list_(pa.int32())), pa.array(sides, pa.list_(pa.float64()))]
+
+    return found(images, "mag array<double>, classes array<int>, sides array<double>", find, ("v",))

@@ -1,6 +1,6 @@
 """Straight lines by voting: edge pixels vote for the lines through them, and four lines make a quadrilateral.
 
-strongest() counts the votes of an image within its row, so that nothing is shuffled or broadcast. votes() has them as rows, an aggregate
+with_lines() counts the votes of an image within its row, so that nothing is shuffled or broadcast. votes() has them as rows, an aggregate
 over (image, theta, rho) with partial sums, of which peaks() takes the same lines.
 """
 
@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.strings import let
+from . import grid
+
 THETAS = 180
 
 
@@ -41,73 +44,95 @@ def peaks(counts: DataFrame, sizes: DataFrame, most: int = 24) -> DataFrame:
     return kept.withColumn("rank", rank).where(F.col("rank") <= most).select("img_id", "theta", "rho", "votes", "rank")
 
 
-def strongest(images: DataFrame, most: int = 24) -> DataFrame:
-    """peaks() of votes() of images given as img_id, w, h, edges (array of booleans) and mag (array of magnitudes)."""
-
-    def search(batches):
-        import math
-
+def searcher(most: int):
+    """A search for the lines of an image, strongest first, as thetas, rhos and votes, by its edges and magnitudes (rows, columns)."""
+    import math
+
+    import numpy as np
+
+    turns = [math.radians(t) for t in range(THETAS)]
+    cos, sin, steps = np.array([*map(math.cos, turns)]), np.array([*map(math.sin, turns)]), np.arange(THETAS)
+
+    def search(edges, mag):
+        h, w = edges.shape
+        y, x = np.nonzero(edges & (mag >= 20))
+        inner = (x > 0) & (y > 0) & (x < w - 1) & (y < h - 1)
+        x, y = x[inner], y[inner]
+        reach = math.ceil(math.sqrt(w * w + h * h))
+        far, wide = reach + 3, 2 * reach + 7  # three columns more a side than there are distances
+        rho = x[:, None] * cos
+        rho += y[:, None] * sin
+        rho += 0.5
+        at = np.floor(rho, out=rho).astype("i8")
+        at += steps * wide + far
+        count = np.bincount(at.ravel(), minlength=THETAS * wide)
+        theta, at = np.divmod(np.nonzero(count >= max(18, math.floor(0.22 * max(count.max(), 1))))[0], wide)
+        count = count.reshape(THETAS, wide)
+        theta, at = theta[np.abs(at - far) < reach], at[np.abs(at - far) < reach]
+        near = np.max([count[(theta + dt) % THETAS, at + dr] for dt in range(-2, 3) for dr in range(-2, 3)], axis=0)
+        kept = near <= count[theta, at]
+        theta, at = theta[kept], at[kept]
+        first = np.lexsort((at, theta, -count[theta, at]))[:most]
+        return theta[first], at[first] - far, count[theta[first], at[first]]
+
+    return search
+
+
+def with_lines(images: DataFrame, most: int = 24, drop: tuple[str, ...] = ("edges",)) -> DataFrame:
+    """images (w, h, edges, mag and others) with lines, an array of the theta, rho and votes of peaks() of votes(), strongest first; without the columns of drop."""
+
+    def find(batch):
         import numpy as np
         import pyarrow as pa
 
-        turns = [math.radians(t) for t in range(THETAS)]
-        cos, sin, steps = np.array([*map(math.cos, turns)]), np.array([*map(math.sin, turns)]), np.arange(THETAS)
-        numbers = lambda column, i: column[i].values.to_numpy(zero_copy_only=False)
-
-        def lines(w, h, edges, mag):
-            y, x = np.divmod(np.nonzero(edges & (mag >= 20))[0], w)
-            inner = (x > 0) & (y > 0) & (x < w - 1) & (y < h - 1)
-            x, y = x[inner], y[inner]
-            reach = math.ceil(math.sqrt(w * w + h * h))
-            far, wide = reach + 3, 2 * reach + 7  # three columns more a side than there are distances
-            rho = np.floor(x[:, None] * cos + y[:, None] * sin + 0.5).astype("i8")
-            count = np.bincount((steps * wide + rho + far).ravel(), minlength=THETAS * wide).reshape(THETAS, wide)
-            theta, at = np.nonzero(count >= max(18, math.floor(0.22 * max(count.max(), 1))))
-            theta, at = theta[np.abs(at - far) < reach], at[np.abs(at - far) < reach]
-            near = np.max([count[(theta + dt) % THETAS, at + dr] for dt in range(-2, 3) for dr in range(-2, 3)], axis=0)
-            kept = near <= count[theta, at]
-            theta, at = theta[kept], at[kept]
-            first = np.lexsort((at, theta, -count[theta, at]))[:most]
-            return theta[first], at[first] - far, count[theta[first], at[first]]
-
-        for batch in batches:
-            keys, w, h = (batch.column(i).to_pylist() for i in range(3))
-            found = [lines(w[i], h[i], numbers(batch.column(3), i), numbers(batch.column(4), i)) for i in range(len(keys))]
-            n = [len(f[0]) for f in found]
-            parts = [np.repeat(np.array(keys, "i8"), n), *[np.concatenate([f[k] for f in found] or [np.zeros(0)]).astype("i4") for k in range(3)], np.concatenate([np.arange(1, c + 1) for c in n] or [np.zeros(0)]).astype("i4")]
-            yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["img_id", "theta", "rho", "votes", "rank"])
-
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+        search, lines = searcher(most), [(np.zeros(0, int),) * 3] * batch.num_rows
+        for at, edges, mag in grid.alike(*map(batch.column, ("w", "h", "edges", "mag"))):
+            for i, e, m in zip(at, edges, mag, strict=True):
+                lines[i] = search(e, m)
+        parts = [pa.array(np.concatenate([f[k] for f in lines]).astype("i4")) for k in range(3)]
+        ends = np.cumsum([0, *(len(f[0]) for f in lines)])
+        return [pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.StructArray.from_arrays(parts, ["theta", "rho", "votes"]))]
+
+    return grid.found(images, "lines array<struct<theta:int,rho:int,votes:int>>", find, drop)
+
+
+def strongest(images: DataFrame, most: int = 24) -> DataFrame:
+    """peaks() of votes() of images given as img_id, w, h, edges (array of booleans) and mag (array of magnitudes)."""
     rows = images.selectExpr("cast(img_id as long) as img_id", "cast(w as int) as w", "cast(h as int) as h", "edges", "mag")
-    return rows.mapInArrow(search, "img_id long, theta int, rho int, votes int, rank int")
+    each = with_lines(rows, most, ("w", "h", "edges", "mag")).select("img_id", F.posexplode("lines").alias("i", "line"))
+    return each.select("img_id", "line.*", (F.col("i") + 1).alias("rank"))
 
 
-def _cross(a: str, b: str) -> Column:
+def _cross(a: Column, b: Column) -> Column:
     """x and y where two lines meet; null if they are parallel."""
-    r = lambda n: F.radians(F.col(f"{n}.theta").cast("double"))
+    r = lambda n: F.radians(n["theta"].cast("double"))
     det = F.cos(r(a)) * F.sin(r(b)) - F.cos(r(b)) * F.sin(r(a))
-    x = (F.col(f"{a}.rho") * F.sin(r(b)) - F.col(f"{b}.rho") * F.sin(r(a))) / det
-    y = (F.cos(r(a)) * F.col(f"{b}.rho") - F.cos(r(b)) * F.col(f"{a}.rho")) / det
+    x = (a["rho"] * F.sin(r(b)) - b["rho"] * F.sin(r(a))) / det
+    y = (F.cos(r(a)) * b["rho"] - F.cos(r(b)) * a["rho"]) / det
     return F.when(F.abs(det) >= 1e-6, F.array(x, y))
 
 
+def corners(lines: Column, w: Column, h: Column) -> Column:
+    """The quad of the widest pair of upright and of level lines among the eight strongest of each; null without. lines: theta and rho, strongest first."""
+    a = lambda n: F.radians(n["theta"].cast("double"))
+    left = lambda n: F.when(F.abs(F.cos(a(n))) < 1e-6, 0.0).otherwise((n["rho"] - h / 2 * F.sin(a(n))) / F.cos(a(n)))
+    top = lambda n: F.when(F.abs(F.sin(a(n))) < 1e-6, 0.0).otherwise((n["rho"] - w / 2 * F.cos(a(n))) / F.sin(a(n)))
+
+    def widest(kind, size: Column, place) -> Column:
+        """one and two, by their places; of pairs as wide the weakest."""
+        pair = lambda one, k, two, k2: F.struct(F.abs(one["rho"] - two["rho"]).alias("gap"), k.alias("k"), k2.alias("k2"), one.alias("one"), two.alias("two"))
+        pairs = lambda some: F.flatten(F.transform(some, lambda one, k: F.transform(F.slice(some, F.lit(1), k), lambda two, k2: pair(one, k, two, k2))))
+        put = lambda p: F.when(place(p["one"]) <= place(p["two"]), F.struct(p["one"].alias("one"), p["two"].alias("two"))).otherwise(F.struct(p["two"].alias("one"), p["one"].alias("two")))
+        best = F.array_max(let(F.slice(F.filter(lines, kind), 1, 8), pairs))  # of at most 28 pairs of 8 lines
+        return let(best, lambda p: F.when(p["gap"] >= 0.18 * size, put(p)))
+
+    upright = widest(lambda n: (n["theta"] < 35) | (n["theta"] > 145), w, left)
+    level = widest(lambda n: (n["theta"] > 55) & (n["theta"] < 125), h, top)
+    meet = lambda p: F.concat(_cross(p["h"]["one"], p["v"]["one"]), _cross(p["h"]["one"], p["v"]["two"]), _cross(p["h"]["two"], p["v"]["two"]), _cross(p["h"]["two"], p["v"]["one"]))
+    return let(F.struct(upright.alias("v"), level.alias("h")), meet)
+
+
 def quads(lines: DataFrame, sizes: DataFrame) -> DataFrame:
-    """img_id and quad from the widest pair of upright and of level lines among the eight strongest of each."""
-    kind = F.when((F.col("theta") < 35) | (F.col("theta") > 145), "v").when((F.col("theta") > 55) & (F.col("theta") < 125), "h")
-    some = lines.withColumn("kind", kind).where("kind is not null")
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("img_id", "kind").orderBy("rank"))).where("k <= 8")
-    line = some.select("img_id", "kind", "k", F.struct("theta", "rho").alias("line")).join(sizes, "img_id")
-    a = F.radians(F.col("line.theta").cast("double"))
-    at = F.when(F.col("kind") == "v", F.when(F.abs(F.cos(a)) < 1e-6, 0.0).otherwise((F.col("line.rho") - F.col("h") / 2 * F.sin(a)) / F.cos(a))).otherwise(F.when(F.abs(F.sin(a)) < 1e-6, 0.0).otherwise((F.col("line.rho") - F.col("w") / 2 * F.cos(a)) / F.sin(a)))
-    line = line.withColumn("at", at)
-    b = line.select("img_id", "kind", F.col("k").alias("k2"), F.col("line").alias("line2"), F.col("at").alias("at2"))
-    pairs = line.join(b, ["img_id", "kind"]).where("k2 < k")  # at most 28 pairs of 8 lines
-    pairs = pairs.withColumn("gap", F.abs(F.col("line.rho") - F.col("line2.rho")))
-    widest = pairs.withColumn("r", F.row_number().over(Window.partitionBy("img_id", "kind").orderBy(F.col("gap").desc(), F.col("k").desc(), F.col("k2").desc()))).where("r = 1")
-    first = F.col("at") <= F.col("at2")
-    widest = widest.where(F.col("gap") >= 0.18 * F.when(F.col("kind") == "v", F.col("w")).otherwise(F.col("h")))
-    both = widest.select("img_id", "kind", F.when(first, F.col("line")).otherwise(F.col("line2")).alias("one"), F.when(first, F.col("line2")).otherwise(F.col("line")).alias("two"))
-    v = both.where("kind = 'v'").select("img_id", F.col("one").alias("left"), F.col("two").alias("right"))
-    h = both.where("kind = 'h'").select("img_id", F.col("one").alias("top"), F.col("two").alias("bottom"))
-    corners = F.concat(_cross("top", "left"), _cross("top", "right"), _cross("bottom", "right"), _cross("bottom", "left"))
-    return v.join(h, "img_id").select("img_id", corners.alias("quad")).where("quad is not null")
+    """img_id and quad, the corners() of lines given as rows (img_id, theta, rho, rank)."""
+    ranked = lines.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("rank", "theta", "rho"))).alias("lines")).join(sizes, "img_id")
+    return ranked.select("img_id", corners(F.col("lines"), F.col("w"), F.col("h")).alias("quad")).where("quad is not null")

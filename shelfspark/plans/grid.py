@@ -228,7 +228,7 @@ SELECT img_id, x::INT AS x, y::INT AS y FROM gr""")
 def hysteresis(spark, sf_dir):
     from ..operators.contours import with_edges
 
-    rows = _sobel(spark, sf_dir).withColumn("classes", grid.edge_classes(F.col("g"), F.col("w"), F.col("h")))
+    rows = _sobel(spark, sf_dir).select("img_id", "w", "h", grid.edge_classes(F.col("g"), F.col("w"), F.col("h")).alias("classes"))
     return grid.pixels(with_edges(rows), value="edges").where("edges").drop("edges")
 
 

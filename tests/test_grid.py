@@ -377,3 +377,69 @@ def test_side_quads_are_those_of_side_scan(spark):
     assert sorted(grid.side_quads(df).collect()) == sorted(mags.select("img_id", grid.side_scan(F.col("m"), w, h).alias("quad")).collect())
     plan = (q := QUERIES["side_scan"](spark, SF))._sc._jvm.PythonSQLUtils.explainString(q._jdf.queryExecution(), "simple")
     assert "lambdafunction" not in plan
+
+
+def test_gradients_are_those_of_the_expressions(spark):
+    """Images of many sizes in one batch, one with missing pixels, one without any and one cut short."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(w), int(h), rng.integers(0, 256, int(w * h)).tolist(), f"p{i}") for i, (w, h) in enumerate(rng.integers(3, 40, (40, 2)))]
+    for k in (100, 700):
+        rows.append((k, 30, 40, [None if j % k == 50 else int(x) for j, x in enumerate(rng.integers(0, 256, 1200))], "gaps"))
+    df = spark.createDataFrame([*rows, (900, 20, 20, None, "none"), (901, 20, 20, [1] * 399, "cut")], "img_id long, w int, h int, v array<int>, kept string")
+    w, h = F.col("w"), F.col("h")
+    sobel = df.where("img_id < 900").select("img_id", "w", "h", "kept", grid.blur(F.col("v"), w, h).alias("b")).select("img_id", "w", "h", "kept", grid.sobel(F.col("b"), w, h).alias("g"))
+    want = sobel.select("img_id", "w", "h", "kept", F.transform("g", lambda g: g["mag"]).alias("mag"), grid.edge_classes(F.col("g"), w, h).alias("classes")).withColumn("sides", grid.side_scan(F.col("mag"), w, h))
+    got = grid.gradients(df)
+    assert [tuple(r) for r in got.where("img_id < 900").orderBy("img_id").collect()] == [tuple(r) for r in want.orderBy("img_id").collect()]
+    assert all((r.mag, r.classes, r.sides) == (None, None, None) for r in got.where("img_id >= 900").collect())
+
+
+def test_components_of_many_images():
+    """Components, edges grown and contours of images together, as those of each by spreading over neighbours and hulls of all pixels."""
+    rng = np.random.default_rng(11)
+
+    def spread(mask):
+        ids = np.full(mask.shape, -1)
+        for y, x in zip(*np.nonzero(mask), strict=True):
+            todo, own = [(y, x)] if ids[y, x] < 0 else [], y * mask.shape[1] + x
+            while todo:
+                y, x = todo.pop()
+                if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x] and ids[y, x] < 0:
+                    ids[y, x] = own
+                    todo += [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        return ids
+
+    for h, w in ((1, 1), (2, 7), (30, 24), (41, 19)):
+        stack = np.stack([rng.choice(3, (h, w), p=[1 - 2 * p, p, p]) for p in (0.0, 0.004, 0.03, 0.15, 0.3, 0.5)])
+        for c in stack:
+            ids = spread(c > 0)
+            assert (contours.labels(c > 0) == ids).all()
+        grown = contours.grow(stack)
+        assert (grown == [np.isin(i, i[c == 2]) & (c > 0) for c, i in ((c, spread(c > 0)) for c in stack)]).all()
+        for edges, got in zip(grown, contours.contours(grown), strict=True):
+            on, best, most = edges, None, 0
+            for _ in range(2):
+                p = np.pad(on, 1)
+                on = np.pad(np.logical_or.reduce([p[i : i + h, j : j + w] for i in range(3) for j in range(3)])[1:-1, 1:-1], 1) if min(h, w) > 2 else on & False
+            ids = spread(on)
+            for label in np.unique(ids[on]):
+                ys, xs = np.nonzero(ids == label)
+                if len(xs) >= contours.LEAST_POINTS and (four := contours.four_corners(contours.hull(zip(xs.tolist(), ys.tolist(), strict=True)))):
+                    q = [min(four, key=sum), max(four, key=lambda p: p[0] - p[1]), max(four, key=sum), min(four, key=lambda p: p[0] - p[1])]
+                    size = abs(sum(q[k][0] * q[k - 3][1] - q[k - 3][0] * q[k][1] for k in range(4))) / 2
+                    best, most = ([float(n) for p in q for n in p], size) if size > most else (best, most)
+            assert got == best
+
+
+def test_covers_within_a_row(spark):
+    """Nothing is shuffled, joined or stored on the way to a quad, and each image has one row, even of those with one number."""
+    a = np.full((90, 70), 30)
+    a[15:76, 14:57] = 220
+    df = image(spark, a, np.full((10, 70), 99), a.T).withColumn("img_id", F.when(F.col("img_id") < 2, 7))
+    got = covers.detect(df)
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert not any(x in plan for x in ("Exchange", "Join", "Window", "FileScan")), plan
+    rows = sorted(got.collect(), key=lambda r: (r.img_id or 0, r.score))
+    assert [r.img_id for r in rows] == [None, 7, 7] and rows[1].method == "inset" and rows[1].score == -1
+    for r, want in ((rows[2], [14, 15, 56, 15, 56, 75, 14, 75]), (rows[0], [15, 14, 75, 14, 75, 56, 15, 56])):
+        assert max(abs(x - y) for x, y in zip(r.quad, want, strict=True)) <= 4
