@@ -45,7 +45,7 @@ def drawn(spark, sf_dir) -> DataFrame:
     """img_id, w, h and v of the drawn images."""
 
     def draw(batches, step=256):
-        """_COVER in whole arrays; remainders have the sign of what is divided, as in SQL."""
+        """_COVER in whole arrays; remainders have the sign of what is divided, as in SQL, and without a number no pixel has a value."""
         import numpy as np
         import pyarrow as pa
 
@@ -54,14 +54,15 @@ def drawn(spark, sf_dir) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 ids = batch.column(0).slice(at, step)
-                k = ids.to_numpy()[:, None]
+                k = ids.fill_null(0).to_numpy()[:, None]
                 l, t, r, b, kind = 4 + mod(k, 7), 5 + mod(k * 3, 9), 42 - mod(k * 5, 8), 54 - mod(k * 7, 10), mod(k, 4)
                 slanted = (5 * x + y >= 5 * (l + 8)) & (5 * x + y < 5 * (r + 2)) & (5 * y - x >= 5 * (t - 3)) & (5 * y - x < 5 * (b - 12))
                 upright = (x >= l) & (x < r) & ((kind == 2) | ((y >= t) & (y < b)))
                 v = np.where(kind == 3, 90, np.where(np.where(kind == 1, slanted, upright), 190, 40)) + mod(x * x * 7 + y * y * 13 + x * y * mod(k, 17), 11)
                 n = len(ids)
                 same = lambda size, n=n: pa.array(np.full(n, size, "i4"))
-                yield pa.RecordBatch.from_arrays([ids, same(48), same(60), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * 2880), pa.array(v.astype("i4").ravel()))], names=["img_id", "w", "h", "v"])
+                none = np.repeat(ids.is_null().to_numpy(zero_copy_only=False), 2880) if ids.null_count else None
+                yield pa.RecordBatch.from_arrays([ids, same(48), same(60), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * 2880), pa.array(v.astype("i4").ravel(), mask=none))], names=["img_id", "w", "h", "v"])
 
     keys = spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("img_id")))
     return keys.mapInArrow(draw, "img_id long, w int, h int, v array<int>")

@@ -443,3 +443,16 @@ def test_covers_within_a_row(spark):
     assert [r.img_id for r in rows] == [None, 7, 7] and rows[1].method == "inset" and rows[1].score == -1
     for r, want in ((rows[2], [14, 15, 56, 15, 56, 75, 14, 75]), (rows[0], [15, 14, 75, 14, 75, 56, 15, 56])):
         assert max(abs(x - y) for x, y in zip(r.quad, want, strict=True)) <= 4
+
+
+def test_covers_of_odd_suppliers(spark, tmp_path):
+    """One row a supplier: numbers below zero, one twice, and none, which draws nothing and so gets the inset quad."""
+    from shelfspark.plans import QUERIES
+
+    spark.createDataFrame([(k,) for k in (8, 8, -3, None)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = {}
+    for r in QUERIES["cover_quads"](spark, str(tmp_path)).collect():
+        rows.setdefault(r.img_id, []).append((r.quad, r.score, r.method))
+    assert {k: len(v) for k, v in rows.items()} == {8: 2, -3: 1, None: 1} and rows[8][0] == rows[8][1]
+    assert rows[None][0][1:] == (-1.0, "inset") and rows[None][0][0] == pytest.approx([3.84, 4.8, 44.16, 4.8, 44.16, 55.2, 3.84, 55.2])
+    assert all(r.quad is None for r in QUERIES["side_scan"](spark, str(tmp_path)).where("img_id is null").collect())
