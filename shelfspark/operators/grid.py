@@ -511,10 +511,10 @@ def side_quads(images: DataFrame) -> DataFrame:
     return found(rows, "quad array<double>", find, ("w", "h", "v"))
 
 
-def gradients(images: DataFrame) -> DataFrame:
+def gradients(images: DataFrame, blurred: bool = True) -> DataFrame:
     """images (w, h, v and others) with mag, classes and sides instead of v, in whole arrays of alike images.
 
-    These are the sobel() magnitudes, edge_classes() and side_scan() of the blur(); null for images without all their pixels.
+    These are the sobel() magnitudes, edge_classes() and side_scan() of the blur(), or of v itself; null for images without all their pixels.
     """
 
     def find(batch):
@@ -523,7 +523,7 @@ def gradients(images: DataFrame) -> DataFrame:
 
         (mags, classes, sides), gaps = ([None] * batch.num_rows for _ in range(3)), False  # gaps: NaN has to become null
         for at, v in alike(*map(batch.column, ("w", "h", "v"))):
-            mag, kinds = _edges(_blurred(v.astype("f8")))
+            mag, kinds = _edges(_blurred(v.astype("f8")) if blurred else v.astype("f8"))
             gaps |= bool(np.isnan(mag).any())
             for i, m, c, q in zip(at, mag, kinds, _sides(mag), strict=True):
                 mags[i], classes[i], sides[i] = m.ravel(), c.ravel(), q

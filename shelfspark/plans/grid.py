@@ -258,9 +258,8 @@ SELECT * FROM (SELECT img_id, theta, rho, votes, row_number() OVER (PARTITION BY
     WHERE NOT EXISTS (SELECT 1 FROM vt b WHERE b.img_id = a.img_id AND (b.theta - a.theta + 182) % 180 <= 4 AND abs(b.rho - a.rho) <= 2 AND b.votes > a.votes)) WHERE rank <= 24""")
 def hough_peaks(spark, sf_dir):
     """The strongest lines of drawn images."""
-    rows = _sobel(spark, sf_dir, drawn)
-    classed = rows.select("img_id", "w", "h", F.transform("g", lambda x: x["mag"]).alias("mag"), grid.edge_classes(F.col("g"), F.col("w"), F.col("h")).alias("c"))
-    return hough.strongest(classed.withColumn("edges", F.transform("c", lambda c: c == 2)))
+    classed = grid.gradients(drawn(spark, sf_dir), blurred=False)
+    return hough.strongest(classed.withColumn("edges", F.transform("classes", lambda c: c == 2)))
 
 
 @query(f"""{_SOBEL}, en AS (SELECT img_id, 'r' AS k, y AS i, h AS n, sum(mag) AS e FROM so GROUP BY ALL UNION ALL SELECT img_id, 'c', x, w, sum(mag) FROM so GROUP BY ALL),
